@@ -169,12 +169,12 @@ def _(fx):
 
 
 RING_SQL = """
-, rings AS (SELECT dx, dy, row_number() OVER (ORDER BY greatest(abs(dx),abs(dy)), CASE WHEN abs(dx)=greatest(abs(dx),abs(dy)) THEN 0 ELSE 1 END,
+, rings AS MATERIALIZED (SELECT dx, dy, row_number() OVER (ORDER BY greatest(abs(dx),abs(dy)), CASE WHEN abs(dx)=greatest(abs(dx),abs(dy)) THEN 0 ELSE 1 END,
   CASE WHEN abs(dx)=greatest(abs(dx),abs(dy)) THEN dx ELSE dy END, CASE WHEN abs(dx)=greatest(abs(dx),abs(dy)) THEN dy ELSE dx END) AS o
   FROM (SELECT range AS dx FROM range(-10,11)) a, (SELECT range AS dy FROM range(-10,11)) b),
-nb AS (SELECT c.bx, c.by_, row_number() OVER (PARTITION BY c.bx, c.by_ ORDER BY o)-1 AS rank, n.bx AS nx, n.by_ AS ny
+nb AS MATERIALIZED (SELECT c.bx, c.by_, row_number() OVER (PARTITION BY c.bx, c.by_ ORDER BY o)-1 AS rank, n.bx AS nx, n.by_ AS ny
   FROM fx_bins c, rings, fx_bins n WHERE n.bx = c.bx+dx AND n.by_ = c.by_+dy),
-full_ AS (SELECT bx, by_ FROM nb WHERE rank < 50 GROUP BY 1,2 HAVING count(*) = 50)
+nb50 AS MATERIALIZED (SELECT bx, by_, rank, nx, ny FROM nb QUALIFY rank < 50 AND max(rank) OVER (PARTITION BY bx, by_) >= 49)
 """
 
 
@@ -183,9 +183,9 @@ def ring_oracle(body: str) -> str:
 
 
 QUERIES["d2_ring_neighbors"] = lambda spark, d: D.ring_neighbors(Fixtures(spark, d)["fx_bins"])
-ORACLE_SQL["d2_ring_neighbors"] = ring_oracle("SELECT bx, by_, rank, nx, ny FROM nb JOIN full_ USING (bx, by_) WHERE rank < 50")
+ORACLE_SQL["d2_ring_neighbors"] = ring_oracle("SELECT bx, by_, rank, nx, ny FROM nb50")
 QUERIES["b8_relative_positions"] = lambda spark, d: D.relative_positions(D.ring_neighbors(Fixtures(spark, d)["fx_bins"]))
-ORACLE_SQL["b8_relative_positions"] = ring_oracle("SELECT bx, by_, rank, (nx-bx)*3 AS dx, (ny-by_)*3 AS dy FROM nb JOIN full_ USING (bx, by_) WHERE rank < 50")
+ORACLE_SQL["b8_relative_positions"] = ring_oracle("SELECT bx, by_, rank, (nx-bx)*3 AS dx, (ny-by_)*3 AS dy FROM nb50")
 
 
 @query("b10_spatial_holdout", "SELECT bx, by_, CASE WHEN NOT (3*bx > floor(s*0.75) AND 3*by_ > floor(s*0.75)) THEN 'train' WHEN foreground = 1 THEN 'validation' ELSE 'dropped' END AS split FROM fx_samples CROSS JOIN (SELECT max(s) AS s FROM fx_records) m")
@@ -368,7 +368,7 @@ def _(fx):
 
 
 ORACLE_SQL["c28_neighborhood_stats"] = oracle("SELECT 1 FROM fx_records", "fx_records", "fx_bins").replace(
-    " SELECT 1 FROM fx_records", RING_SQL + f"SELECT nb.bx, nb.by_, count(*) FILTER (WHERE rank=0) AS centre_genes, count(DISTINCT gene_id) AS genes, CAST(sum(cnt) AS BIGINT) AS umis FROM nb JOIN full_ USING (bx, by_) JOIN {EXPR} e ON e.bx=nx AND e.by_=ny WHERE rank < 50 GROUP BY 1,2"
+    " SELECT 1 FROM fx_records", RING_SQL + f"SELECT nb.bx, nb.by_, count(*) FILTER (WHERE rank=0) AS centre_genes, count(DISTINCT gene_id) AS genes, CAST(sum(cnt) AS BIGINT) AS umis FROM nb50 nb JOIN {EXPR} e ON e.bx=nx AND e.by_=ny GROUP BY 1,2"
 )
 
 
@@ -379,7 +379,7 @@ def _(fx):
     return d.agg(*(F.round(F.percentile(F.sqrt("d2") * 3, F.lit(p / 100)), 6).alias(f"p{p}") for p in (50, 90, 99)))
 
 
-ORACLE_SQL["c29_context_reach"] = ring_oracle("SELECT round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(quantile_cont(d, 0.99), 6) AS p99 FROM (SELECT sqrt(max((nx-bx)*(nx-bx)+(ny-by_)*(ny-by_)))*3 AS d FROM nb JOIN full_ USING (bx, by_) WHERE rank < 50 GROUP BY bx, by_) q")
+ORACLE_SQL["c29_context_reach"] = ring_oracle("SELECT round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(quantile_cont(d, 0.99), 6) AS p99 FROM (SELECT sqrt(max((nx-bx)*(nx-bx)+(ny-by_)*(ny-by_)))*3 AS d FROM nb50 GROUP BY bx, by_) q")
 
 
 @query("c31_eligible_nuclei", "SELECT nucleus_id, count(*) AS n_spots, count(*) >= 60 AS eligible FROM fx_labels WHERE nucleus_id > 0 GROUP BY 1")
@@ -404,7 +404,7 @@ def _(fx):
 
 
 ORACLE_SQL["d3_gather_tokens"] = oracle("SELECT 1 FROM fx_records", "fx_records", "fx_bins").replace(
-    " SELECT 1 FROM fx_records", RING_SQL + f"SELECT rank, count(*) AS tokens, CAST(sum(cnt) AS BIGINT) AS umis FROM nb JOIN full_ USING (bx, by_) JOIN {EXPR} e ON e.bx=nx AND e.by_=ny WHERE rank < 50 GROUP BY 1"
+    " SELECT 1 FROM fx_records", RING_SQL + f"SELECT rank, count(*) AS tokens, CAST(sum(cnt) AS BIGINT) AS umis FROM nb50 nb JOIN {EXPR} e ON e.bx=nx AND e.by_=ny GROUP BY 1"
 )
 
 
