@@ -31,7 +31,7 @@ from .common import BIN, BOOL, INT, LONG, STR, Scratch, schema, whole_texts
 
 SEED_LEN = 40
 #: Blocks of a first rank that are compared within a task.
-IN_TASK = 64
+IN_TASK = 512
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
