@@ -154,12 +154,12 @@ def blocks(texts: DataFrame, threshold: int) -> DataFrame:
 
 
 def strings_of(need: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(rank, block, d, string): fingerprint of every string of each block, read from the text of the block's first place."""
-    per_text = need.groupBy("k1", "k2").agg(F.collect_list(F.struct("rank", "block", "p", "low", "high")).alias("need"))
+    """(rank, block, d, string, again): fingerprint of every string of each block, read from the text of the block's first place."""
+    per_text = need.groupBy("k1", "k2").agg(F.collect_list(F.struct("rank", "block", "p", "low", "high", "again")).alias("need"))
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(4)]
+            out = [[] for _ in range(5)]
             for text, need in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = _i64(prefix_ranks(text.encode(), threshold))
                 for x in need:
@@ -168,11 +168,12 @@ def strings_of(need: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
                     out[1].append(np.full(len(d), x["block"], np.int64))
                     out[2].append(d.astype(np.int32))
                     out[3].append(s[x["p"] - d])
+                    out[4].append(np.full(len(d), x["again"], bool))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["rank", "block", "d", "string"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["rank", "block", "d", "string", "again"])
 
     joined = texts.select("k1", "k2", "text").join(per_text, ["k1", "k2"]).select("text", "need")
-    return joined.mapInArrow(run, schema(rank=LONG, block=LONG, d=INT, string=LONG))
+    return joined.mapInArrow(run, schema(rank=LONG, block=LONG, d=INT, string=LONG, again=BOOL))
 
 
 def packed_strings(need: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -288,7 +289,8 @@ def find_repeats(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id",
     few = shared_in_task(packed_strings(need.filter(F.col("size") <= IN_TASK), texts, threshold), threshold)
     many = scratch.keep(strings_of(need.filter(F.col("size") > IN_TASK), texts, threshold))
     twice = many.groupBy("rank", "d", "string").agg(F.min("block").alias("x"), F.max("block").alias("y")).filter("x <> y").drop("x", "y")
-    hot = many.join(twice, ["rank", "d", "string"], "left_semi").select("rank", "block", F.col("d").alias("a"), F.col("d").alias("b"))
+    # blocks that are repeats as a whole lend their strings and need no verdict
+    hot = many.filter("not again").join(twice, ["rank", "d", "string"], "left_semi").select("rank", "block", F.col("d").alias("a"), F.col("d").alias("b"))
     verdict = few.union(hot).union(kinds.filter("again").select("rank", "block", F.col("low").alias("a"), F.col("high").alias("b")))
     verdict = scratch.keep(verdict)
     at = found.filter("not twice").select("rank", "block", "k1", *_place(F.col("at")))
