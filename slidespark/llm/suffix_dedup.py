@@ -8,8 +8,9 @@ rank is shared, until its prefix passes the threshold.
 2. Second rank: each surviving position with all the threshold-long strings around it that chose it, as one
    block. Equal blocks are repeats as a whole and go on as one.
 3. Last rank: within a first rank that still holds different blocks, every string of threshold length. Small
-   ranks are compared in sorted runs inside tasks, large ones by a shuffle on the string's rank, so a hot rank
-   meets no single task.
+   ranks are compared in sorted runs inside tasks. Large ones are cut into cells of neighbouring offsets, whose
+   strings share a prefix that grows as cells are halved twice a round, and shuffled by its rank: cells alone
+   with it leave, equal cells are settled as runs, so a hot rank meets no single task.
 
 Ranks are fingerprints (64 bits a rank, combined over ranks), grouped and sorted by Spark; counting is map-side
 combined. Whole texts that equal another are known by their text key; they are repeats as a whole.
@@ -32,6 +33,8 @@ from .common import BIN, BOOL, INT, LONG, STR, Scratch, schema, whole_texts
 SEED_LEN = 40
 #: Blocks of a first rank that are compared within a task.
 IN_TASK = 512
+#: Offsets of a cell, round by round, where a first rank has more blocks.
+WIDTHS = (64, 16, 4, 1)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -153,27 +156,64 @@ def blocks(texts: DataFrame, threshold: int) -> DataFrame:
     return cols.mapInArrow(run, schema(rank=LONG, block=LONG, k1=LONG, at=LONG, low=INT, high=INT, twice=BOOL))
 
 
-def strings_of(need: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(rank, block, d, string, again): fingerprint of every string of each block, read from the text of the block's first place."""
+def cells_of(need: DataFrame, texts: DataFrame, threshold: int, width: int) -> DataFrame:
+    """(rank, block, k1, k2, p, low, high, again, cell, core, name): the offsets of each block cut into cells of ``width``.
+
+    core is the rank of the bytes that all strings of a cell hold, a prefix that grows as cells get narrower; name
+    stands for all strings low..high that the block has in the cell."""
+    fields = ["rank", "block", "k1", "k2", "p", "low", "high", "again", "cell", "core", "name"]
     per_text = need.groupBy("k1", "k2").agg(F.collect_list(F.struct("rank", "block", "p", "low", "high", "again")).alias("need"))
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(5)]
-            for text, need in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = _i64(prefix_ranks(text.encode(), threshold))
-                for x in need:
-                    d = np.arange(x["low"], x["high"] + 1)
-                    out[0].append(np.full(len(d), x["rank"], np.int64))
-                    out[1].append(np.full(len(d), x["block"], np.int64))
-                    out[2].append(d.astype(np.int32))
-                    out[3].append(s[x["p"] - d])
-                    out[4].append(np.full(len(d), x["again"], bool))
+            out = [[] for _ in fields]
+            for k1, k2, text, need in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                raw = text.encode()
+                strings, cores = prefix_ranks(raw, threshold), prefix_ranks(raw, threshold - width + 1)
+                run_sum = np.r_[np.uint64(0), np.cumsum(_mix(strings), dtype=np.uint64)]
+                cut = [np.arange(x["low"] // width, x["high"] // width + 1) for x in need]
+                times = [len(c) for c in cut]
+                rank, block, p, low, high = (np.repeat(np.array([x[f] for x in need], np.int64), times) for f in ("rank", "block", "p", "low", "high"))
+                again = np.repeat(np.array([x["again"] for x in need], bool), times)
+                cell = np.concatenate(cut)
+                low, high = np.maximum(low, cell * width), np.minimum(high, cell * width + width - 1)
+                total = run_sum[p - low + 1] - run_sum[p - high]
+                name = _mix(_mix(_mix(strings[p - high] * _M2 + strings[p - low]) * _M1 + total) * _M2 + (low * 1024 + high).astype(np.uint64))
+                n, i32 = len(cell), np.int32
+                row = [rank, block, np.full(n, k1, np.int64), np.full(n, k2, i32), p.astype(i32), low.astype(i32), high.astype(i32), again, cell.astype(i32), _i64(cores[p - cell * width]), _i64(name)]
+                for o, c in zip(out, row, strict=True):
+                    o.append(c)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["rank", "block", "d", "string", "again"])
-
-    joined = texts.select("k1", "k2", "text").join(per_text, ["k1", "k2"]).select("text", "need")
-    return joined.mapInArrow(run, schema(rank=LONG, block=LONG, d=INT, string=LONG, again=BOOL))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], fields)
+
+    joined = texts.select("k1", "k2", "text").join(per_text, ["k1", "k2"]).select("k1", "k2", "text", "need")
+    kinds = schema(rank=LONG, block=LONG, k1=LONG, k2=INT, p=INT, low=INT, high=INT, again=BOOL, cell=INT, core=LONG, name=LONG)
+    return joined.mapInArrow(run, kinds)
+
+
+def shared_by_cells(need: DataFrame, texts: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """(rank, block, a, b): runs of offsets whose strings another block of the rank holds, for ranks of any size.
+
+    Cells are ranked by growing prefixes. Those with a rank of their own leave; equal cells are repeats as a whole
+    and go on as one; the others are cut into narrower cells, at last single strings."""
+    found = []
+    for width in (w for w in WIDTHS if w == 1 or w < threshold - SEED_LEN):
+        cells = scratch.keep(cells_of(need, texts, threshold, width))
+        by = ["rank", "cell", "core"]
+        kinds = cells.groupBy(*by, "name").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("block", "k1", "k2", "p", "low", "high")).alias("x"))
+        kinds = scratch.keep(kinds.select(*by, "name", "n", (F.col("again") | (F.col("n") > 1)).alias("again"), "x.*"))
+        # blocks that are repeats as a whole lend their strings and need no verdict
+        equal = kinds.filter("n > 1").select(*by, "name")
+        found.append(scratch.keep(cells.filter("not again").join(equal, [*by, "name"], "left_semi").select("rank", "block", F.col("low").alias("a"), F.col("high").alias("b"))))
+        open_ = kinds.groupBy(*by).agg(F.count("*").alias("names"), F.min("again").alias("settled")).filter("names > 1 and not settled")
+        need = scratch.keep(kinds.join(open_, by, "left_semi").select("rank", "block", "k1", "k2", "p", "low", "high", "again"))
+        scratch.drop(cells, kinds)
+        if need.isEmpty():
+            break
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out
 
 
 def packed_strings(need: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -287,17 +327,16 @@ def find_repeats(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id",
     need = scratch.keep(kinds.join(sizes, "rank").drop("all_again"))
     # rank 3: strings
     few = shared_in_task(packed_strings(need.filter(F.col("size") <= IN_TASK), texts, threshold), threshold)
-    many = scratch.keep(strings_of(need.filter(F.col("size") > IN_TASK), texts, threshold))
-    twice = many.groupBy("rank", "d", "string").agg(F.min("block").alias("x"), F.max("block").alias("y")).filter("x <> y").drop("x", "y")
-    # blocks that are repeats as a whole lend their strings and need no verdict
-    hot = many.filter("not again").join(twice, ["rank", "d", "string"], "left_semi").select("rank", "block", F.col("d").alias("a"), F.col("d").alias("b"))
-    verdict = few.union(hot).union(kinds.filter("again").select("rank", "block", F.col("low").alias("a"), F.col("high").alias("b")))
-    verdict = scratch.keep(verdict)
+    many = shared_by_cells(need.filter(F.col("size") > IN_TASK), texts, threshold, scratch)
+    verdict = few.union(many).union(kinds.filter("again").select("rank", "block", F.col("low").alias("a"), F.col("high").alias("b")))
+    # a block's runs in one row, one for each of its offsets at most
+    verdict = scratch.keep(verdict.groupBy("rank", "block").agg(F.collect_list(F.struct("a", "b")).alias("runs")))
     at = found.filter("not twice").select("rank", "block", "k1", *_place(F.col("at")))
-    spans = at.join(verdict, ["rank", "block"]).select("k1", "k2", F.struct((F.col("p") - F.col("b")).alias("from"), (F.col("p") - F.col("a") + threshold).alias("to")).alias("s"))
-    spans = spans.groupBy("k1", "k2").agg(F.collect_list("s").alias("found"))
+    run = lambda x: F.struct((F.col("p") - x["b"]).alias("from"), (F.col("p") - x["a"] + threshold).alias("to"))
+    spans = at.join(verdict, ["rank", "block"]).select("k1", "k2", F.transform("runs", run).alias("s"))
+    spans = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("found"))
     out = scratch.keep(removed(texts, spans))
-    scratch.drop(texts, found, kinds, need, many, verdict, seen)
+    scratch.drop(texts, found, kinds, need, verdict, seen)
     return base.join(copies, ["k1", "k2"]), out
 
 

@@ -29,6 +29,8 @@ def corpus():
         c = list(base)
         c[rnd.randrange(150)] = "changed"
         texts.append(" ".join(c))
+    common = words(70)
+    texts += [words(rnd.randrange(1, 20)) + " " + common[rnd.randrange(60) :] + " " + words(rnd.randrange(1, 20)) for _ in range(12)]
     texts += [None, "", "  \n\t ", "one", "two words", "aaaa " * 200, "x" * 900, words(6000), "Same Same", "same same", "line\nline\nline a b c a b c"]
     return [(i, t, "en", f"src{i % 3}", 0, "k", 1) for i, t in enumerate(texts)] + [(0, texts[0], "en", "src0", 0, "k", 1), (None, texts[1], None, None, None, None, None)]
 
@@ -71,7 +73,9 @@ def test_bpe_odd_texts(text):
     assert m.encode(text) == np.array(tokenizers.Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def test_suffix_dedup_equals_brute_force(docs, nothing, corpus):
+@pytest.mark.parametrize("in_task", [suffix_dedup.IN_TASK, 1])
+def test_suffix_dedup_equals_brute_force(docs, nothing, corpus, in_task, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "IN_TASK", in_task)  # 1: every rank goes by cells
     n, seen = 200, Counter()
     raws = [(i, (t or "").encode()) for i, t, *_ in corpus]
     for _, b in raws:
