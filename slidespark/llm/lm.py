@@ -1,13 +1,14 @@
 """Language-model scores by masked pseudo-likelihood.
 
 Method: a network predicts every token from the tokens on both of its sides. Its input and output classes are the
-most frequent words themselves, word endings for other known words, and lengths for unknown words; a known word's
-probability within its class comes from the corpus counts. The network (two class embeddings, tanh, softmax) is
+most frequent words themselves and word endings for all others; a word's probability within its class comes from
+the corpus counts, whatever its rank. The network (two class embeddings, tanh, softmax) is
 trained in numpy on the counts of (left, token, right) classes of the whole corpus, which are its sufficient
 statistics and of a fixed size. A document's score is the sum of its tokens' conditional log probabilities.
 
-What is gathered: word counts (grouped by Spark over all documents; the MAX_WORDS most frequent are kept as the
-lexicon, a documented bound) and at most CLASSES ** 3 class counts.
+What is gathered: counts of all words, a table that grows with the corpus, and at most CLASSES ** 3 class counts.
+The HEAD most frequent words are broadcast, which only saves a shuffle: every other word of a document is joined
+to the table of counts, so scores do not depend on HEAD.
 
 Edge cases: null and word-free texts have no tokens and score 0; single words are predicted from the text's ends;
 very long texts are scored in slices with their neighbours; repeated rows count and are scored as rows; an empty
@@ -22,18 +23,19 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import DBL, LONG, STR, schema, whole_texts
+from .common import DBL, INT, LONG, STR, Scratch, schema, whole_texts
 
-#: Lexicon, classes (own words, endings, lengths of unknown words), width of the network, training steps.
-MAX_WORDS, OWN, ENDINGS, LENGTHS = 20_000, 63, 24, 8
-EDGE = OWN + ENDINGS + LENGTHS  # the class before the first and after the last token
+#: Words that are broadcast (OWN at least), classes (own words, endings), width of the network, training steps.
+HEAD, OWN, ENDINGS = 20_000, 63, 24
+EDGE = OWN + ENDINGS  # the class before the first and after the last token
 CLASSES = EDGE + 1
 WIDTH, STEPS, LEARN = 32, 200, 0.05
-#: Log probability of a letter of an unknown word.
-LETTER = -math.log(30.0)
+#: Log probabilities of joined words are summed as whole numbers of this part, so sums do not depend on the order of rows.
+UNIT = 1e-9
 
 
 def words(text: str) -> list[str]:
@@ -59,30 +61,43 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, schema(word=STR, n=LONG)).groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def ending(word: str) -> int:
+    return OWN + zlib.crc32(word[-2:].encode()) % ENDINGS
+
+
+def ending_of(word: Column) -> Column:
+    """The same in SQL."""
+    return F.lit(OWN) + F.crc32(F.encode(F.right(word, F.lit(2)), "UTF-8")) % ENDINGS
+
+
+def class_totals(counts: DataFrame, own: list[tuple[str, int]]) -> dict[int, int]:
+    """Tokens of every ending's class over all words of the corpus, the own words' left out."""
+    total = Counter({r.cls: r.n for r in counts.groupBy(ending_of(F.col("word")).alias("cls")).agg(F.sum("n").alias("n")).collect()})
+    for w, n in own:
+        total[ending(w)] -= n
+    return dict(total)
+
+
 class Lexicon:
-    """Class and log probability within the class of every word."""
-
-    def __init__(self, counts: list[tuple[str, int]]):
-        self.known: dict[str, tuple[int, float]] = {}
-        cls = {w: i if i < OWN else OWN + zlib.crc32(w[-2:].encode()) % ENDINGS for i, (w, _) in enumerate(counts)}
-        total = Counter()
-        for w, n in counts:
-            total[cls[w]] += n
-        for w, n in counts:
-            self.known[w] = cls[w], math.log(n / total[cls[w]])
-
-    def __call__(self, ws: list[str]) -> tuple[np.ndarray, float]:
+    """Class of every word, and log probability within the class of the most frequent."""
+
+    def __init__(self, head: list[tuple[str, int]], total: dict[int, int]):
+        self.known = {w: (i, 0.0) if i < OWN else (ending(w), math.log(n / total[ending(w)])) for i, (w, n) in enumerate(head)}
+
+    def __call__(self, ws: list[str]) -> tuple[np.ndarray, float, Counter[str]]:
+        """Classes with the edges, the sum over words of the head, and counts of the other words."""
         get = self.known.get
-        c, s = np.empty(len(ws) + 2, np.int64), 0.0
+        c, s, other = np.empty(len(ws) + 2, np.int64), 0.0, Counter()
         c[0] = c[-1] = EDGE
         for i, w in enumerate(ws, 1):
             k = get(w)
             if k is None:
-                n = len(w)
-                k = OWN + ENDINGS + min(n // 3, LENGTHS - 1), n * LETTER
-            c[i] = k[0]
-            s += k[1]
-        return c, s
+                c[i] = ending(w)
+                other[w] += 1
+            else:
+                c[i] = k[0]
+                s += k[1]
+        return c, s, other
 
 
 def context_counts(docs: DataFrame, lexicon) -> DataFrame:
@@ -92,7 +107,7 @@ def context_counts(docs: DataFrame, lexicon) -> DataFrame:
         lex, have = lexicon.value, np.zeros(CLASSES**3, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                c, _ = lex(words(t))
+                c, *_ = lex(words(t))
                 if len(c) > 2:
                     key = (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
                     if len(key) > 20_000:
@@ -143,10 +158,13 @@ def train(keys: np.ndarray, n: np.ndarray, seed: int = 1) -> np.ndarray:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, log_prob, per_token) of every document; per_token is null for texts without tokens."""
+    scratch = Scratch(docs.sparkSession, "lm")
     rows = whole_texts(docs, id_col, text_col)
     sc = docs.sparkSession.sparkContext
-    top = [tuple(r) for r in word_counts(rows).orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()]
-    lexicon = sc.broadcast(Lexicon(top))
+    corpus = scratch.keep(word_counts(rows))
+    head = [tuple(r) for r in corpus.orderBy(F.desc("n"), "word").limit(max(HEAD, OWN)).collect()]
+    totals = class_totals(corpus, head[:OWN])
+    lexicon = sc.broadcast(Lexicon(head, totals))
     counts = np.array([tuple(r) for r in context_counts(rows, lexicon).collect()], np.int64).reshape(-1, 2)
     counts = counts[np.argsort(counts[:, 0])]
     table = sc.broadcast(train(counts[:, 0], counts[:, 1]))
@@ -154,11 +172,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def run(batches):
         lex, logs = lexicon.value, table.value
         for b in batches:
-            n, total = [], []
+            n, total, other, times = [], [], [], []
             for t in b.column(1).to_pylist():
-                c, s = lex(words(t))
+                c, s, o = lex(words(t))
                 n.append(len(c) - 2)
                 total.append(s + float(logs[c[:-2], c[2:], c[1:-1]].sum(dtype=np.float64)) if len(c) > 2 else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "n_tokens", "log_prob"])
-
-    return rows.mapInArrow(run, schema(doc_id=LONG, n_tokens=LONG, log_prob=DBL)).withColumn("per_token", F.col("log_prob") / F.nullif(F.col("n_tokens"), F.lit(0)))
+                other.append(list(o))
+                times.append(list(o.values()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(other, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
+                ["doc_id", "n_tokens", "log_prob", "other", "times"],
+            )
+
+    fields = schema(doc_id=LONG, n_tokens=LONG, log_prob=DBL, other=T.ArrayType(STR), times=T.ArrayType(INT))
+    # ids may repeat or be null: rows are numbered, and the numbers are written before anything is joined by them
+    part = scratch.keep(rows.mapInArrow(run, fields).withColumn("row", F.monotonically_increasing_id()))
+    pairs = part.select("row", F.explode(F.arrays_zip("other", "times")).alias("w")).select("row", F.col("w.other").alias("word"), F.col("w.times").alias("times"))
+    total_of = F.element_at(F.create_map(*(F.lit(x) for k in sorted(totals) for x in (k, totals[k]))), ending_of(F.col("word"))) if totals else F.lit(1)
+    unit = F.round(F.log(F.col("n") / total_of) / UNIT).cast("long")
+    sums = pairs.join(corpus, "word").groupBy("row").agg(F.sum(F.col("times") * unit).alias("units"))
+    out = part.select("row", "doc_id", "n_tokens", "log_prob").join(sums, "row", "left")
+    out = out.select("doc_id", "n_tokens", (F.col("log_prob") + F.coalesce("units", F.lit(0)) * UNIT).alias("log_prob"))
+    return out.withColumn("per_token", F.col("log_prob") / F.nullif(F.col("n_tokens"), F.lit(0)))

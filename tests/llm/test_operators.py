@@ -247,3 +247,19 @@ def test_lm_learns_both_sides():
     keys = np.array([(1 * c + 5) * c + 2, (3 * c + 6) * c + 4])
     logs = lm.train(keys, np.array([100, 100]))
     assert logs[1, 2].argmax() == 5 and logs[3, 4].argmax() == 6
+
+
+@pytest.mark.parametrize("head", [lm.HEAD, 0])
+def test_lm_scores_every_word_by_its_counts(spark, docs, corpus, head, monkeypatch):
+    """Within its class every word weighs by its corpus count, also beyond the broadcast head."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "train", lambda keys, n: np.zeros((lm.CLASSES,) * 3, np.float32))
+    texts = [(i, lm.words(t or "")) for i, t, *_ in corpus]
+    n = Counter(w for _, ws in texts for w in ws)
+    own = set(sorted(n, key=lambda w: (-n[w], w.encode()))[: lm.OWN])
+    total = Counter()
+    for w in n:
+        total[lm.ending(w)] += n[w] * (w not in own)
+    log = {w: 0.0 if w in own else math.log(n[w] / total[lm.ending(w)]) for w in n}
+    want = Counter((i, len(ws), round(sum(log[w] for w in ws), 3)) for i, ws in texts)
+    assert Counter((r.doc_id, r.n_tokens, round(r.log_prob, 3) + 0.0) for r in lm.score(docs).collect()) == want
