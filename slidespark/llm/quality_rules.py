@@ -1,8 +1,10 @@
 """Quality rules: base rules, then robust multivariate outliers. SQL expressions only.
 
 Method: for every language and source, the minimum covariance determinant of a vector of transformed statistics
-is approached by concentration steps from a start at the medians: means and covariances of the half to three
-quarters of rows that lie nearest are taken again and again. Rows whose Mahalanobis distance passes a fixed
+is approached by concentration steps from several starts, the medians and rows by least hash: means and covariances
+of the half of rows that lie nearest are taken again and again; after two steps the start of the least determinant
+goes on until no group's determinant falls any more. Rows that tie at the half's edge count by an equal part, so
+copies cannot fill it beyond its size. Rows whose Mahalanobis distance passes a fixed
 chi-square quantile are rejected. Sparse groups are shrunk towards all rows of the corpus.
 
 Scale: rows are read once for their statistics, which are written; every step is then one pass over seven small
@@ -25,8 +27,9 @@ from .common import Scratch
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Share of rows in the concentrated subset, its consistency factor for 5 dimensions, and the chi-square cut-off (5 dimensions, 1 - 1e-6).
-SUBSET, CONSISTENCY, CUTOFF = 0.75, 1.41, 35.9
-STEPS = 3
+SUBSET, CONSISTENCY, CUTOFF = 0.5, 1.91, 35.9
+#: Starts of every group, concentration steps of all of them, and the fall of a log determinant that asks for another step.
+STARTS, STEPS, FALL = 5, 2, 0.01
 #: Rows' worth of corpus figures that a group is shrunk by, and the least variance of each statistic.
 SHRINK = 25.0
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeat")
@@ -69,18 +72,30 @@ def quantile(rows: DataFrame, keys: list[str], value: Column, share: float, name
     return run.filter(F.col("_c") >= share * F.col("_t")).groupBy(*keys).agg(F.min("_b").alias(name))
 
 
-def moments(rows: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
-    """Row counts, sums and sums of products by group."""
+def nearest(rows: DataFrame, keys: list[str], value: Column, share: float) -> DataFrame:
+    """The share of rows of least value with their weight: 1, but at the cut an equal part for each of the rows that tie."""
+    bins = rows.select(*keys, value.alias("_b")).groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*keys)
+    run = bins.withColumn("_c", F.sum("_n").over(w.orderBy("_b"))).withColumn("_t", F.sum("_n").over(w))
+    cut = run.filter(F.col("_c") >= share * F.col("_t")).groupBy(*keys).agg(F.min(F.struct("_b", "_n", "_c", "_t")).alias("_x"))
+    cut = cut.select(*keys, F.col("_x._b").alias("_cut"), ((share * F.col("_x._t") - F.col("_x._c") + F.col("_x._n")) / F.col("_x._n")).alias("_part"))
+    x = rows.join(cut, keys).filter(value <= F.col("_cut"))
+    return x.select(*rows.columns, F.when(value < F.col("_cut"), 1.0).otherwise(F.col("_part")).alias("weight"))
+
+
+def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Weights, weighted sums and sums of products by group."""
     pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+    w = F.col("weight")
     return rows.groupBy(*keys).agg(
-        F.count("*").cast("double").alias(f"{prefix}n"),
-        *(F.sum(f).alias(f"{prefix}s{i}") for i, f in enumerate(FEATURES)),
-        *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"{prefix}q{i}{j}") for i, j in pairs),
+        F.sum(w).alias("n"),
+        *(F.sum(w * F.col(f)).alias(f"s{i}") for i, f in enumerate(FEATURES)),
+        *(F.sum(w * F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in pairs),
     )
 
 
 def factors(groups: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Means m0.. and Cholesky factors l00.. of every group, shrunk towards the corpus row."""
+    """Means m0.., Cholesky factors l00.. and log determinant of every group and start, shrunk towards the corpus row."""
     d = range(len(FEATURES))
     pairs = [(i, j) for i in d for j in range(i + 1)]
     x = groups.crossJoin(F.broadcast(corpus))  # the corpus is one row
@@ -89,6 +104,7 @@ def factors(groups: DataFrame, corpus: DataFrame) -> DataFrame:
     cov = lambda p, i, j: F.col(f"{p}q{i}{j}") / F.col(f"{p}n") - mean(p, i) * mean(p, j)
     x = x.select(
         *KEYS,
+        "start",
         *((share * mean("", i) + (1 - share) * mean("c_", i)).alias(f"m{i}") for i in d),
         *(((share * cov("", i, j) + (1 - share) * cov("c_", i, j)) * CONSISTENCY + (FLOOR[FEATURES[i]] ** 2 if i == j else 0.0)).alias(f"a{i}{j}") for i, j in pairs),
     )
@@ -97,11 +113,12 @@ def factors(groups: DataFrame, corpus: DataFrame) -> DataFrame:
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         x = x.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return x.select(*KEYS, *(f"m{i}" for i in d), *(f"l{i}{j}" for i, j in pairs))
+    det = sum((2 * F.log(f"l{i}{i}") for i in d), F.lit(0.0))
+    return x.select(*KEYS, "start", *(f"m{i}" for i in d), *(f"l{i}{j}" for i, j in pairs), det.alias("det"))
 
 
 def distance(rows: DataFrame, fitted: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance from their group."""
+    """rows with start and d2, the squared Mahalanobis distance from their group, once for every start that is fitted."""
     x = rows.join(fitted, KEYS)
     for i, f in enumerate(FEATURES):
         rest = F.col(f) - F.col(f"m{i}")
@@ -109,16 +126,50 @@ def distance(rows: DataFrame, fitted: DataFrame) -> DataFrame:
             rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
         x = x.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(FEATURES))), F.col("z0") * F.col("z0"))
-    return x.select(*rows.columns, d2.alias("d2"))
+    return x.select(*rows.columns, "start", d2.alias("d2"))
+
 
+def start(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows with start and d2 from the start's centre, each statistic by its least deviation.
 
-def start(rows: DataFrame) -> DataFrame:
-    """rows with d2 from the group's medians, each statistic by its least deviation."""
+    Start 0 is the group's medians, the others are values by least hash: copies are drawn as one."""
     pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.floor(F.col(f) * 128).alias("v")) for i, f in enumerate(FEATURES))))
     long = rows.select(*KEYS, pairs.alias("x")).select(*KEYS, "x.k", "x.v")
     mid = quantile(long, [*KEYS, "k"], F.col("v"), 0.5, "v").groupBy(*KEYS).agg(*(F.max(F.when(F.col("k") == i, F.col("v"))).alias(f"m{i}") for i in range(len(FEATURES))))
-    d2 = sum((((F.col(f) - F.col(f"m{i}") / 128) / FLOOR[f]) ** 2 for i, f in enumerate(FEATURES)), F.lit(0.0))
-    return rows.join(mid, KEYS).select(*rows.columns, d2.alias("d2"))
+    mid = mid.select(*KEYS, F.lit(0).alias("start"), *((F.col(f"m{i}") / 128).alias(f"m{i}") for i in range(len(FEATURES))))
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(k), *FEATURES).alias("h"), *FEATURES)) for k in range(1, STARTS)]
+    drawn = rows.groupBy(*KEYS).agg(F.array(*(F.struct(F.lit(k).alias("start"), x.alias("at")) for k, x in enumerate(drawn, 1))).alias("x"))
+    drawn = drawn.select(*KEYS, F.explode("x").alias("x")).select(*KEYS, "x.start", *(F.col(f"x.at.{f}").alias(f"m{i}") for i, f in enumerate(FEATURES)))
+    d2 = sum((((F.col(f) - F.col(f"m{i}")) / FLOOR[f]) ** 2 for i, f in enumerate(FEATURES)), F.lit(0.0))
+    return rows.join(scratch.keep(mid.unionByName(drawn)), KEYS).select(*rows.columns, "start", d2.alias("d2"))
+
+
+def concentrate(far: DataFrame, scratch: Scratch) -> DataFrame:
+    """One step: figures of the nearest rows of every group and start; the corpus is that of start 0."""
+    near = nearest(far, [*KEYS, "start"], F.floor(F.log(F.col("d2") + 1e-6) * 32), SUBSET)
+    groups = scratch.keep(moments(near, [*KEYS, "start"]))
+    sums = [c for c in groups.columns if c not in (*KEYS, "start")]
+    corpus = groups.filter("start = 0").agg(*(F.sum(c).alias(f"c_{c}") for c in sums)).filter("c_n > 0")
+    return scratch.keep(factors(groups, corpus))
+
+
+def fit(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Figures of every group from the start, and then the step, of the least determinant."""
+    far = start(rows, scratch)
+    for _ in range(STEPS):
+        fitted = concentrate(far, scratch)
+        far = distance(rows, fitted)
+    figures = [c for c in fitted.columns if c not in (*KEYS, "start")]
+    least = fitted.groupBy(*KEYS).agg(F.min_by(F.struct(*figures), F.struct("det", "start")).alias("x"))
+    best = scratch.keep(least.select(*KEYS, F.lit(0).alias("start"), "x.*"))
+    while True:
+        new = concentrate(distance(rows, best), scratch).select(*KEYS, F.struct(*figures).alias("x"))
+        both = best.join(new, KEYS).withColumn("fell", F.col("x.det") < F.col("det") - FALL)
+        both = scratch.keep(both.select(*KEYS, "start", *(F.when(F.col("fell"), F.col(f"x.{c}")).otherwise(F.col(c)).alias(c) for c in figures), "fell"))
+        best = both.drop("fell")
+        # determinants are bounded by FLOOR from below, so this ends
+        if not both.filter("fell").limit(1).count():
+            return best
 
 
 def apply(docs: DataFrame, **cols: str) -> DataFrame:
@@ -126,15 +177,7 @@ def apply(docs: DataFrame, **cols: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "quality-rules")
     stats = scratch.keep(statistics(docs, **cols))
     rows = stats.filter(~F.col("base_failed")).select(*KEYS, *transformed())
-    bin_of = F.floor(F.log(F.col("d2") + 1e-6) * 32)
-    fitted = None
-    for step in range(STEPS + 1):
-        far = start(rows) if step == 0 else distance(rows, fitted)
-        cut = quantile(far, KEYS, bin_of, SUBSET, "cut")
-        near = far.join(cut, KEYS).filter(bin_of <= F.col("cut"))
-        groups = scratch.keep(moments(near, KEYS))
-        corpus = groups.agg(*(F.sum(c).alias(f"c_{c}") for c in groups.columns if c not in KEYS)).filter("c_n > 0")
-        fitted = scratch.keep(factors(groups, corpus))
+    fitted = fit(rows, scratch)
     seen = distance(stats.select("*", *transformed()).filter(~F.col("base_failed")), fitted)
     out = seen.select(*stats.columns, "d2", (F.col("d2") <= CUTOFF).alias("kept"))
     failed = stats.filter("base_failed").select("*", F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))

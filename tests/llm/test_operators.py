@@ -203,6 +203,22 @@ def test_quality_rules(docs, nothing, corpus):
     assert quality_rules.apply(nothing).count() == 0
 
 
+@pytest.mark.parametrize("copies", [True, False])
+def test_quality_rules_reject_a_third_of_junk(spark, copies):
+    """A third of a group is extreme, as equal rows or as distinct ones: all of it goes, nearly all else stays."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(600):
+        w = ["".join(rnd.choice("abcdefg") for _ in range(rnd.randrange(3, 9))) for _ in range(rnd.randrange(80, 140))]
+        if i % 3 == 0:
+            w = ["#" * (5 if copies else rnd.randrange(4, 7)) + f"a{k}" for k in range(70 if copies else rnd.randrange(60, 80))]
+        rows.append((i, " ".join(w), "en", "s"))
+    ready(spark)
+    got = {r.doc_id: r.kept for r in quality_rules.apply(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i] for i in range(0, 600, 3))
+    assert sum(got[i] for i in range(600) if i % 3) >= 390
+
+
 def test_embeddings_equal_brute_force(spark):
     rnd = np.random.default_rng(5)
     base = rnd.normal(size=(150, 16))
