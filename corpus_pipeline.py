@@ -20,10 +20,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: 5-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates stays: 5-word shingles, similarity 0.8 or more.
+
+    Of rows that repeat an id and its text one stays, the least; rows without an id are told apart by their text."""
     ready(spark)
-    gone = minhash_dedup.near_duplicates(docs, k=5, percent=80).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    no_id = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(2**62 - 1).bitwiseOR(2**62)  # above ids, so that a row with an id is kept rather
+    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), no_id))
+    gone = minhash_dedup.near_duplicates(rows, k=5, percent=80, id_col="_key").filter("not kept").select(F.col("doc_id").alias("_key")).distinct()
+    left = rows.join(gone, "_key", "left_anti")
+    return left.groupBy("_key", F.sha2("text", 256).alias("_text")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
