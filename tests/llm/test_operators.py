@@ -119,6 +119,25 @@ def test_minhash_equals_brute_force(docs, nothing, corpus):
     assert minhash_dedup.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_minhash_trees_reach_the_recall(spark, percent, monkeypatch):
+    """Pairs just at the threshold share a path of all levels in some tree, with the trees near_duplicates takes."""
+    rnd, rows = random.Random(9), []
+    for i in range(1500):
+        w = [f"{rnd.randrange(10**9)}" for _ in range(200)]
+        common = w[: 2 * percent]
+        side = (200 - 2 * percent) // 2
+        rows += [(2 * i, " ".join(common + w[2 * percent : 2 * percent + side])), (2 * i + 1, " ".join(common + w[200 - side :]))]
+    ready(spark)
+    used = []
+    signatures = minhash_dedup.signatures
+    monkeypatch.setattr(minhash_dedup, "signatures", lambda *a, **b: used.append(signatures(*a, **b)) or used[0])
+    minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent)
+    paths = {r.doc_id: np.array(r.chosen).reshape(-1, minhash_dedup.LEVELS) for r in used[0].collect()}
+    met = sum((paths[2 * i] == paths[2 * i + 1]).all(1).any() for i in range(1500))
+    assert met >= 0.995 * 1500
+
+
 def test_minhash_large_node_by_pivots(spark):
     """A family of copies too large for an exhaustive node is settled by pivots."""
     rnd = random.Random(2)
