@@ -303,6 +303,15 @@ def _(fx):
     return rounded(E.pool_embeddings(m, v), "value", digits=3)
 
 
+@query("c12_pool_embeddings_whole")
+def _(fx):
+    """All dimensions; too many rows for SQL of this form."""
+    g = fx["fx_genes"].select("gene_id", S.gene_symbol(F.col("gene_name"), F.col("gene_identifier")).alias("symbol"))
+    m = E.merge_symbols(E.bin_expression(fx["fx_records"]), g).withColumnRenamed("symbol", "gene_id")
+    v = fx["fx_embeddings"].select(F.col("symbol").alias("gene_id"), "embedding")
+    return rounded(E.pool_embeddings(m, v), "value", digits=3)
+
+
 @query("c15_fano_median", "SELECT grp, round(fano, 6) AS fano FROM (SELECT grp, quantile_cont(f, 0.5) AS fano FROM (SELECT grp, greatest((q-s*s::DOUBLE/n)/(n-1), 0)/(s::DOUBLE/n) AS f FROM (SELECT cell_a AS grp, gene_id, sum(c) AS s, sum(c*c) AS q FROM (SELECT x, y, gene_id, sum(cnt) AS c FROM fx_records GROUP BY 1,2,3) e JOIN fx_labels USING (x, y) WHERE cell_a > 0 GROUP BY 1,2) g JOIN (SELECT cell_a AS grp, count(*) AS n FROM fx_labels WHERE cell_a > 0 GROUP BY 1) n USING (grp) WHERE n >= 2) h GROUP BY grp) z")
 def _(fx):
     spots = fx["fx_labels"].filter("cell_a > 0").select("x", "y", F.col("cell_a").alias("grp"))
@@ -454,6 +463,13 @@ def _(fx):
     return rounded(D.kernel_enhance(fx["fx_spots"], e, 2), "value")
 
 
+@query("d11_kernel_enhance_whole")
+def _(fx):
+    """All genes; the range join in SQL is too slow for them."""
+    e = fx["fx_records"].groupBy("x", "y", "gene_id").agg(F.sum("cnt").alias("cnt"))
+    return rounded(D.kernel_enhance(fx["fx_spots"], e, 2), "value")
+
+
 @query("d12_window_members", f"SELECT cell, count(*) AS spots FROM {CENTRES_SQL} c JOIN fx_spots s ON abs(x-cx) <= 20 AND abs(y-cy) <= 20 GROUP BY 1")
 def _(fx):
     return D.window_members(E.cell_stats(fx["fx_labels"], "nucleus_id").select("cell", "cx", "cy"), fx["fx_spots"]).groupBy("cell").agg(F.count("*").alias("spots"))
@@ -610,6 +626,28 @@ def _(fx):
     return fx["fx_genes"].select("gene_id", S.is_mt(F.concat(F.when(F.col("gene_id") % 7 == 0, "mt-").otherwise(""), "gene_name")).alias("mt"))
 
 
+def all_genes(fx: Fixtures) -> DataFrame:
+    """fx_genes over the whole of part."""
+    k = F.col("p_partkey").cast("long")
+    return fx["part"].select(k.alias("gene_id"), F.concat(F.lit("ENS"), k.cast("string")).alias("gene_identifier"), F.col("p_name").alias("gene_name"))
+
+
+@query("g2_gene_symbol_whole")
+def _(fx):
+    n, i = F.col("gene_name"), F.col("gene_identifier")
+    return all_genes(fx).select("gene_id", S.gene_symbol(n, i).alias("symbol"), S.gene_identifier(n, i).alias("identifier"))
+
+
+@query("g4_fingerprint_whole")
+def _(fx):
+    return all_genes(fx).select("gene_id", S.fingerprint(F.col("gene_identifier"), F.col("gene_name")).alias("h"))
+
+
+@query("g6_is_mt_whole")
+def _(fx):
+    return all_genes(fx).select("gene_id", S.is_mt(F.concat(F.when(F.col("gene_id") % 7 == 0, "mt-").otherwise(""), "gene_name")).alias("mt"))
+
+
 @query("g7_safe_div", "SELECT bx, by_, round(greatest(least(CAST(bx AS DOUBLE)/nullif(by_ % 4, 0), 9), 1), 6) AS r FROM fx_bins WHERE by_ % 4 <> 0 UNION ALL SELECT bx, by_, NULL FROM fx_bins WHERE by_ % 4 = 0")
 def _(fx):
     r = S.safe_div(F.col("bx").cast("double"), F.col("by_") % 4)
