@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -76,6 +78,20 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 5 == 0
 
 
+#: Keys that hot_join may broadcast.
+HOT = 10_000
+
+
+def hot_join(rows: DataFrame, of: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of rows with of, one row a key and n the rows that have it, where a few keys may hold most rows.
+
+    Keys that hold the HOT-th part of the rows or more, of which there are HOT at most, are broadcast; the others
+    are shuffled."""
+    total = of.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(of.filter(F.col(n) >= max(total / HOT, 1000)))  # HOT rows at most
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(of, key))
+
+
 def connected(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components by minimum labels with pointer jumping.
 
