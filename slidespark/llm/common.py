@@ -74,6 +74,17 @@ def whole_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def least_hashes(rows: DataFrame, n: int, salt: str, *keys: str) -> DataFrame:
+    """The n rows of least hash of the keys (ties by the keys). A threshold leaves about 4 n rows to be sorted, whatever the number of partitions."""
+    total = rows.count()
+    h = F.xxhash64(*keys, F.lit(salt))
+    if total > 8 * n + 100:
+        few = rows.filter(F.pmod(h, F.lit(2**40)) < int(2**40 * 4 * n / total))
+        if few.count() >= n:
+            rows = few
+    return rows.orderBy(F.pmod(h, F.lit(2**40)), *keys).limit(n)
+
+
 def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 5 == 0
 
@@ -82,14 +93,19 @@ def held_out(id_col: Column) -> Column:
 HOT = 10_000
 
 
-def hot_join(rows: DataFrame, of: DataFrame, key: str, n: str) -> DataFrame:
-    """Inner join of rows with of, one row a key and n the rows that have it, where a few keys may hold most rows.
+def hot_join(rows: DataFrame, of: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of rows with of by keys, where a few keys may hold most rows; n of ``of`` is the number of rows with the key.
 
-    Keys that hold the HOT-th part of the rows or more, of which there are HOT at most, are broadcast; the others
-    are shuffled."""
-    total = of.agg(F.sum(n)).first()[0] or 0
-    hot = F.broadcast(of.filter(F.col(n) >= max(total / HOT, 1000)))  # HOT rows at most
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(of, key))
+    If ``of`` has at most HOT rows, it is broadcast. Else the keys that hold the HOT-th part of the rows or more, of
+    which there are HOT at most (times the rows of ``of`` a key), are broadcast, and the others are shuffled. ``of``
+    should be a written table: it is read several times."""
+    count, total = of.agg(F.count("*"), F.sum(n)).first()
+    if count <= HOT:
+        return rows.join(F.broadcast(of), keys)
+    least = max(total / HOT, 1000)
+    hot = F.broadcast(of.filter(F.col(n) >= least))
+    cold = rows.join(F.broadcast(of.filter(F.col(n) >= least).select(*keys).distinct()), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(of, keys))
 
 
 def connected(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:

@@ -158,8 +158,8 @@ def full_sets(docs: DataFrame, k: int, wanted: DataFrame, id_col: str, text_col:
 
 def nodes_of(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """rows (node, ..) split into those of small and of large nodes; nodes of one document are left out."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    sized = scratch.keep(rows.join(sizes, "node"))
+    sizes = scratch.keep(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
+    sized = scratch.keep(hot_join(rows, sizes, ["node"], "size"))
     return sized.filter(F.col("size") <= SMALL), sized.filter(F.col("size") > SMALL)
 
 
@@ -201,7 +201,7 @@ def _blocks(percent: int):
         for x in np.flatnonzero(side == 0):
             ok = (comp != comp[x]) & ((side == 1) if two else (np.arange(len(f)) > x))
             ok &= np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent
-            ok &= np.bitwise_count(sketch ^ sketch[x]) <= most
+            ok &= np.bitwise_count((sketch ^ sketch[x]).view(np.uint64)) <= most
             near = np.flatnonzero(ok)
             if not len(near):
                 continue
@@ -213,7 +213,8 @@ def _blocks(percent: int):
                 inter = np.array([mark[ids[starts[y] : starts[y + 1]]].sum() for y in near])
             mark[own] = 0
             new = [x]  # one document of every component that x joins
-            for y in near[inter * 100 >= (n[near] + n[x] - inter) * percent].tolist():
+            hits = near[inter * 100 >= (n[near] + n[x] - inter) * percent]
+            for y in np.roll(hits, -int(x)).tolist():  # from another document on for every x
                 if comp[y] != comp[x]:
                     new.append(y)
                     comp[comp == comp[y]] = comp[x]
@@ -302,6 +303,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     of_set = sets.select("sid", "rep", "copies").join(comp, "sid")
     least = of_set.groupBy("comp").agg(F.min("rep").alias("component"))
     of_set = scratch.keep(of_set.join(least, "comp").select("sid", "copies", "component"))
-    out = hot_join(named.select("doc_id", "n_shingles", "sid"), of_set, "sid", "copies").select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    out = hot_join(named.select("doc_id", "n_shingles", "sid"), of_set, ["sid"], "copies").select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
     alone = sig.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
