@@ -1,17 +1,22 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Method: a bounded, class-stratified sample of labelled documents is the set of examples. Terms (words and word
-beginnings) are chosen from the sample by chi-square; their document frequencies are counted over all documents.
-The examples form an inverted index: every term's list is cut into blocks of example slots with the block's
-largest weight. A document visits blocks in the order of their upper bounds and stops once the bound of the next
-block cannot beat its k-th neighbour, so the k neighbours are exact. Similarity-weighted votes, corrected for the
-sample's class shares and shrunk towards the labelled share, give the score; the neighbours are its evidence.
-
-Bounds: MAX_EXAMPLES examples, MAX_TERMS terms; the broadcast index is at most their product in 4-byte weights.
-
-Edge cases: null and empty texts, and texts without a chosen term, get the score of the labelled train rows that
-have none (0 without labels); labels that are null are ignored, several labels of a document count as toxic if one is; with
-no usable labels every score is 0; repeated documents are scored row by row; other columns are not read.
+Method: a bounded, class-stratified sample of labelled documents is the set of examples. Every word of an example is
+a term; a document's vector weighs a term by (1 + log tf) * idf * r, with document frequencies over all documents
+and r = (c / (c + CHANCE)) ** 2 for the term's chi-square c between the classes of the examples, so words that say nothing
+of the class weigh little, and no term is left out. Words that no example has say nothing of it and weigh 0.
+The examples form an inverted index: every term's posting list is cut into blocks of example slots with the
+block's largest weight. A document visits blocks in the order of their upper bounds and stops once the bound of the
+next cannot reach its k-th neighbour, so the neighbours are exact. Examples that tie at the k-th place share what is
+left of the k places, whatever their label. Votes weigh by squared similarity, corrected for the sample's class
+shares and shrunk towards the labelled share; a logistic curve fitted on the examples, each scored without itself and its
+equals, turns them into calibrated scores. The nearest examples are the evidence.
+
+Bounds: MAX_EXAMPLES examples of MAX_CHARS characters together; the broadcast index is bounded by these.
+
+Edge cases: null and empty texts, and texts without a term of any example, get the calibrated labelled share; labels
+that are null are ignored, several labels of a document count as toxic if one is; labels of documents that are not
+there are ignored; with labels of one class or none every score is the toxic share of the labels (0 without any);
+repeated documents are scored row by row; very long texts are scored whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,187 +32,265 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BOOL, DBL, LONG, STR, held_out, schema, whole_texts
+from .common import DBL, INT, LONG, STR, held_out, schema, whole_texts
 
 #: Documented bounds of the fitted classifier.
-MAX_EXAMPLES, MAX_TERMS = 4000, 512
-#: Least chi-square of a chosen term: with a million candidates, chance alone reaches about 24.
-LEAST_CHI = 25.0
-#: Lengths of the word beginnings used as terms beside whole words.
-STEMS = (4, 5, 6)
-BLOCK, NEAREST = 64, 24
+MAX_EXAMPLES, MAX_CHARS = 4000, 32_000_000
+#: Chi-square that chance alone may reach: with a million candidates about 24.
+CHANCE = 25.0
+BLOCK, FIRST, NEAREST, EVIDENCE = 128, 4, 24, 8
+#: Similarities closer than this tie.
+TIE = 1e-6
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
-def terms_of(word: str) -> list[str]:
-    return ["=" + word, *("^" + word[:n] for n in STEMS if len(word) > n)]
-
-
 class Bag:
-    """Counts of chosen terms in a text; words seen before are looked up."""
+    """Terms of a text and their counts."""
 
     def __init__(self, terms: dict[str, int]):
-        self.terms, self.seen = terms, {}
-
-    def __call__(self, text: str) -> dict[int, int]:
-        out: dict[int, int] = {}
-        seen, terms = self.seen, self.terms
-        for w, n in Counter(WORDS(text.lower())).items():
-            hit = seen.get(w)
-            if hit is None:
-                hit = tuple(terms[t] for t in terms_of(w) if t in terms)
-                if len(seen) > 300_000:
-                    seen.clear()
-                if len(w) < 40:
-                    seen[w] = hit
-            for t in hit:
-                out[t] = out.get(t, 0) + n
-        return out
+        self.terms = terms
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        c = Counter(WORDS(text.lower()))
+        t = np.fromiter(map(self.terms.get, c, repeat(-1)), np.int64, len(c))
+        known = t >= 0
+        return t[known], np.fromiter(c.values(), np.int64, len(c))[known]
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of all ranges starts[i] .. starts[i] + sizes[i], one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
 
 
 class Index:
-    """Block-max inverted index of the examples. weights: term x slot, lists cut into blocks of BLOCK slots."""
+    """Block-max inverted index. A term's postings lie by slot; its blocks are those that hold any of them."""
 
-    def __init__(self, bags: list[dict[int, int]], ids: list[int], labels: list[int], idf: np.ndarray):
-        self.idf = idf
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: list[int], weight: np.ndarray):
+        self.weight = weight
         vecs = [self.vector(b) for b in bags]
-        # alike examples share blocks: by label, then by strongest term
-        order = sorted(range(len(bags)), key=lambda i: (-labels[i], -1 if not len(vecs[i][0]) else int(vecs[i][0][np.argmax(vecs[i][1])]), ids[i]))
-        n = -(-max(len(bags), 1) // BLOCK) * BLOCK
-        self.weights = np.zeros((len(idf), n), np.float32)
-        for slot, i in enumerate(order):
-            self.weights[vecs[i][0], slot] = vecs[i][1]
-        self.most = self.weights.reshape(len(idf), n // BLOCK, BLOCK).max(2) if len(idf) else np.zeros((0, n // BLOCK), np.float32)
-        self.ids = np.array([ids[i] for i in order] + [-1] * (n - len(order)), np.int64)
-        self.labels = np.array([labels[i] for i in order] + [0] * (n - len(order)), np.int8)
-
-    def vector(self, bag: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and their unit-length weights: (1 + log tf) * idf."""
-        t = np.fromiter(bag, np.int64, len(bag))
-        w = (1 + np.log(np.fromiter(bag.values(), np.float64, len(bag)))) * self.idf[t]
+        # alike examples share blocks: by strongest term
+        order = sorted(range(len(bags)), key=lambda i: (int(vecs[i][0][np.argmax(vecs[i][1])]) if len(vecs[i][0]) else -1, ids[i]))
+        self.slots = -(-max(len(bags), 1) // BLOCK) * BLOCK
+        self.ids = np.array([ids[i] for i in order] + [-1] * (self.slots - len(order)), np.int64)
+        self.labels = np.array([labels[i] for i in order] + [0] * (self.slots - len(order)), np.int8)
+        term = np.concatenate([vecs[i][0] for i in order] or [np.empty(0, np.int64)])
+        slot = np.repeat(np.arange(len(order)), [len(vecs[i][0]) for i in order])
+        w = np.concatenate([vecs[i][1] for i in order] or [np.empty(0)])
+        by = np.lexsort((slot, term))
+        term, self.slot, self.w = term[by], slot[by].astype(np.int32), w[by].astype(np.float32)
+        at = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (self.slot[1:] // BLOCK != self.slot[:-1] // BLOCK)]) if len(term) else np.empty(0, np.int64)
+        self.post = np.r_[at, len(term)]  # postings of a block of a list
+        self.block = self.slot[at] // BLOCK
+        self.most = np.maximum.reduceat(self.w, at) if len(at) else np.empty(0, np.float32)
+        self.first = np.searchsorted(term[at] if len(at) else term, np.arange(len(weight) + 1))  # blocks of a term
+
+    def vector(self, bag: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms that weigh anything and their unit-length weights."""
+        t, n = bag
+        w = (1 + np.log(n)) * self.weight[t]
+        t, w = t[w > 0], w[w > 0]
         length = math.sqrt(float(w @ w))
-        return t, (w / length if length else w).astype(np.float32)
+        return t, w / length if length else w
 
-    def nearest(self, bag: dict[int, int], k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """Slots and similarities of the k most similar examples that share a term, exact, ties by slot."""
+    def nearest(self, bag: tuple[np.ndarray, np.ndarray], k: int = NEAREST, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slots, similarities, shares) of the k most similar examples, by similarity and slot; ties at the k-th place share it."""
         t, q = self.vector(bag)
-        bounds = q @ self.most[t]
+        lo, size = self.first[t], self.first[t + 1] - self.first[t]
+        at = _gather(lo, size)
+        block, times = self.block[at], np.repeat(q, size)
+        bounds = np.bincount(block, times * self.most[at], self.slots // BLOCK)
         order = np.argsort(-bounds, kind="stable")
-        slots, sims, at, floor = np.empty(0, np.int64), np.empty(0, np.float32), 0, 0.0
-        rows = self.weights[t]
-        while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= floor - 1e-6:
-            take = order[at : at + 4]
-            at += 4
-            cols = (take[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            s = q @ rows[:, cols]
-            hit = s > 0
-            slots, sims = np.concatenate([slots, cols[hit]]), np.concatenate([sims, s[hit]])
-            if len(sims) > k:
-                best = np.lexsort((slots, -sims))[:k]
-                slots, sims = slots[best], sims[best]
-            floor = float(sims.min()) if len(sims) >= k else 0.0
-        best = np.lexsort((slots, -sims))[:k]
-        return slots[best], sims[best]
+        order = order[bounds[order] > 0]
+        slots, sims, floor = [np.empty(0, np.int64)], [np.empty(0)], 0.0
+        # the most promising blocks give a floor; of the others only those that may reach it are visited
+        for visit in (order[:FIRST], order[FIRST:]):
+            now = np.zeros(len(bounds), bool)
+            now[visit[bounds[visit] >= floor - TIE]] = True
+            on = np.flatnonzero(now[block])
+            if not len(on):
+                continue
+            part = at[on]
+            sizes = self.post[part + 1] - self.post[part]
+            p = _gather(self.post[part], sizes)
+            s = np.bincount(self.slot[p], self.w[p] * np.repeat(times[on], sizes), self.slots)
+            if skip is not None:
+                s[skip] = 0
+            hit = np.flatnonzero(s > max(floor - TIE, 0))
+            slots.append(hit)
+            sims.append(s[hit])
+            every = np.concatenate(sims)
+            if len(every) >= k:
+                floor = float(np.partition(every, len(every) - k)[len(every) - k])
+        slots, sims = np.concatenate(slots), np.concatenate(sims)
+        keep = np.flatnonzero(sims >= floor - TIE)
+        keep = keep[np.lexsort((slots[keep], -sims[keep]))]
+        slots, sims = slots[keep], sims[keep]
+        share = np.ones(len(sims))
+        if len(sims) > k:
+            last = np.abs(sims - floor) <= TIE
+            share[last] = (k - int((~last).sum())) / int(last.sum())
+        return slots, sims, share
 
 
 def sample_labels(labels: DataFrame, n: int) -> DataFrame:
     """(doc_id, toxic) of at most n train rows, half of them toxic if there are as many, in hash order."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    rows = rows.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    rows = rows.withColumn("_o", F.xxhash64("doc_id", F.lit("examples")))
+    rows = train_labels(labels).withColumn("_o", F.xxhash64("doc_id", F.lit("examples")))
     return rows.filter("toxic = 1").orderBy("_o", "doc_id").limit(n // 2).union(rows.filter("toxic = 0").orderBy("_o", "doc_id").limit(n - n // 2)).select("doc_id", "toxic")
 
 
+def train_labels(labels: DataFrame) -> DataFrame:
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
+    return rows.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+
+
 class Classifier:
     """Fitted scorer: ``score(bag) -> (score, neighbour ids)``."""
 
-    def __init__(self, terms: dict[str, int], index: Index | None, weight: tuple[float, float], prior: float, empty: float):
-        self.terms, self.index, self.weight, self.prior, self.empty = terms, index, weight, prior, empty
+    def __init__(self, terms: dict[str, int], index: Index | None, weight: tuple[float, float], prior: float):
+        self.terms, self.index, self.weight, self.prior, self.curve = terms, index, weight, prior, (0.0, 1.0)
 
-    def score(self, bag: dict[int, int]) -> tuple[float, list[int]]:
-        if self.index is None or not bag:
-            return self.empty, []
-        slots, sims = self.index.nearest(bag)
+    def vote(self, bag, skip: np.ndarray | None = None) -> tuple[float, list[int]]:
+        slots, sims, share = self.index.nearest(bag, skip=skip) if self.index else (np.empty(0, np.int64),) * 3
         if not len(slots):
-            return self.empty, []
+            return self.prior, []
         # the nearer, the heavier: squared similarity
-        s = sims.astype(np.float64) ** 2
+        s = sims**2 * share
         y = self.index.labels[slots]
         pos, neg = self.weight[1] * float(s[y == 1].sum()), self.weight[0] * float(s[y == 0].sum())
         mass = 0.25 * min(self.weight)
-        return (pos + mass * self.prior) / (pos + neg + mass), self.index.ids[slots[:8]].tolist()
+        return (pos + mass * self.prior) / (pos + neg + mass), self.index.ids[slots[:EVIDENCE]].tolist()
+
+    def score(self, bag) -> tuple[float, list[int]]:
+        v, near = self.vote(bag)
+        return (curve(np.array([v]), *self.curve)[0] if self.index else self.prior), near
+
+
+def _logit(v: np.ndarray) -> np.ndarray:
+    v = np.clip(v, 1e-4, 1 - 1e-4)
+    return np.log(v / (1 - v))
+
+
+def curve(v: np.ndarray, a: float, b: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-(a + b * _logit(v))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = MAX_EXAMPLES, terms: int = MAX_TERMS) -> Classifier:
-    """Fit on train labels. What reaches the driver: at most ``examples`` sparse vectors over ``terms`` terms."""
+def calibrate(v: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Logistic curve of the vote's logit by Newton steps, with a weak pull towards the vote itself."""
+    x, a, b = _logit(v), 0.0, 1.0
+    w = w / w.sum() * len(w)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(a + b * x)))
+        g = np.array([(w * (y - p)).sum() - a, (w * (y - p) * x).sum() - (b - 1)])
+        h = w * p * (1 - p)
+        m = np.array([[h.sum() + 1, (h * x).sum()], [(h * x).sum(), (h * x * x).sum() + 1]])
+        step = np.linalg.solve(m, g)
+        a, b = a + step[0], max(b + step[1], 0.05)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(a), float(b)
+
+
+def relevance(n0: np.ndarray, n1: np.ndarray, of0: int, of1: int) -> np.ndarray:
+    """(c / (c + CHANCE)) ** 2 for the chi-square c, with continuity correction, of terms that n0 and n1 of the classes' examples hold."""
+    n = of0 + of1
+    off = np.maximum(np.abs(n1 * (of0 - n0) - n0 * (of1 - n1)) - n / 2, 0.0)
+    chi = n * off**2 / np.maximum((n0 + n1) * (n - n0 - n1) * of0 * of1, 1.0)
+    return (chi / (chi + CHANCE)) ** 2
+
+
+def bags_of(sample: DataFrame) -> list:
+    """Rows (doc_id, toxic, words, times) of the examples; bounded as they are."""
+
+    def run(batches):
+        for b in batches:
+            counts = [Counter(WORDS(t.lower())) for t in b.column(2).to_pylist()]
+            lists = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc_id", "toxic", "words", "times"])
+
+    fields = schema(doc_id=LONG, toxic=INT, words=T.ArrayType(STR), times=T.ArrayType(INT))
+    return sorted(sample.select("doc_id", "toxic", "text").mapInArrow(run, fields).collect(), key=lambda r: r.doc_id)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = MAX_EXAMPLES) -> Classifier:
+    """Fit on train labels. What reaches the driver: the bags of at most ``examples`` documents and their words' document frequencies."""
     texts = whole_texts(docs, id_col, text_col)
-    shares = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
-    shares = dict(shares.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("t")).groupBy("t").count().collect())
+    shares = dict(train_labels(labels).groupBy("toxic").count().collect())
+    prior = shares.get(1, 0) / max(sum(shares.values()), 1)
     picked = [tuple(r) for r in sample_labels(labels, examples).collect()]
-    if len({t for _, t in picked}) < 2:
-        return Classifier({}, None, (1.0, 1.0), 0.0, 0.0)
+    none = Classifier({}, None, (1.0, 1.0), prior)
+    if not picked:
+        return none
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int"))
-    sample = texts.join(chosen, "doc_id").select("toxic", "text")
-    prior = shares[1] / (shares[0] + shares[1])
-
-    def count(batches):
-        have: dict[str, list[int]] = {}
-        for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for t in {t for w in set(WORDS(text.lower())) for t in terms_of(w)}:
-                    have.setdefault(t, [0, 0])[y] += 1
-        keys = list(have)
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([have[x][y] for x in part], pa.int64()) for y in (0, 1))], ["term", "n0", "n1"])
-
-    n1 = sum(t for _, t in picked)
-    n0 = len(picked) - n1
-    counts = sample.mapInArrow(count, schema(term=STR, n0=LONG, n1=LONG)).groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    c, d = F.lit(float(n1)) - a, F.lit(float(n0)) - b
-    chi = F.lit(float(n0 + n1)) * (a * d - b * c) ** 2 / F.greatest((a + b) * (c + d) * F.lit(float(n1)) * F.lit(float(n0)), F.lit(1.0))
-    # terms of the toxic class, then a few of the other as counterweight
-    lean = F.when(a / n1 > b / n0, 1.0).otherwise(0.1)
-    best = counts.filter("n0 + n1 >= 3").select("term", chi.alias("chi"), (chi * lean).alias("s")).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("s"), "term").limit(terms).select("term")
-    names = {r.term: i for i, r in enumerate(best.collect())}
-    df, n = frequencies(texts, names)
-    idf = np.log((n + 1) / (df + 1)) + 0.1
-
-    def bags(batches):
-        bag = Bag(names)
-        for b in batches:
-            found = [bag(x) for x in b.column(2).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)])
-            flat = [pa.array([v for x in found for v in f(x)], pa.int32()) for f in (dict.keys, dict.values)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in flat)], ["doc_id", "toxic", "t", "c"])
-
-    ints = T.ArrayType(T.IntegerType())
-    rows = texts.join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(bags, schema(doc_id=LONG, toxic=T.IntegerType(), t=ints, c=ints)).dropDuplicates(["doc_id"]).collect()
-    rows.sort()
-    none = [r.toxic for r in rows if not r.t]
-    rows = [r for r in rows if r.t]
-    weight = (1 - prior) / n0, prior / n1
-    low = sum(weight[y] for y in none) + weight[0]
-    empty = sum(weight[1] for y in none if y) / low
-    if not rows:
-        return Classifier({}, None, weight, prior, min(empty, 0.49))
-    index = Index([dict(zip(r.t, r.c, strict=True)) for r in rows], [r.doc_id for r in rows], [r.toxic for r in rows], idf)
-    return Classifier(names, index, weight, prior, min(empty, 0.49))
+    # one text of an id that repeats, the least; whole texts, in hash order, as far as MAX_CHARS goes
+    there = texts.join(chosen, "doc_id")
+    sizes = there.groupBy("doc_id").agg(F.min(F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("x")).select("doc_id", "x.n", "x.h").collect()
+    order = {d: i for i, (d, _) in enumerate(picked)}
+    left, keep = MAX_CHARS, []
+    for r in sorted(sizes, key=lambda r: order[r.doc_id] % max(examples // 2, 1)):
+        if r.n <= left:
+            left -= r.n
+            keep.append((r.doc_id, r.h))
+    if not keep:
+        return none
+    which = F.broadcast(spark.createDataFrame(keep, "doc_id long, h long"))
+    sample = there.withColumn("h", F.xxhash64("text")).join(which, ["doc_id", "h"])
+    rows = list({r.doc_id: r for r in bags_of(sample)}.values())
+    of = [sum(r.toxic == y for r in rows) for y in (0, 1)]
+    if not all(of):
+        return none
+    names: dict[str, int] = {}
+    for r in rows:
+        for w in r.words:
+            names.setdefault(w, len(names))
+    n = np.zeros((2, len(names)))
+    bags = [(np.array([names[w] for w in r.words], np.int64), np.array(r.times, np.int64)) for r in rows]
+    for r, (t, _) in zip(rows, bags, strict=True):
+        n[r.toxic, t] += 1
+    df, total = frequencies(texts, names)
+    weight = (np.log((total + 1) / (df + 1)) + 0.1) * relevance(n[0], n[1], *of)
+    # words that weigh nothing need no place in the index
+    new = np.cumsum(weight > 0) - 1
+    names = {w: int(new[t]) for w, t in names.items() if weight[t] > 0}
+    bags = [(new[t[weight[t] > 0]], k[weight[t] > 0]) for t, k in bags]
+    weight = weight[weight > 0]
+    index = Index(bags, [r.doc_id for r in rows], [r.toxic for r in rows], weight)
+    model = Classifier(names, index, ((1 - prior) / of[0], prior / of[1]), prior)
+    # calibration: every example without itself and those with its words
+    same: dict[tuple, list[int]] = {}
+    slot_of = {int(d): i for i, d in enumerate(index.ids) if d >= 0}
+    key = [hash((b[0].tobytes(), b[1].tobytes())) for b in bags]
+    for r, k in zip(rows, key, strict=True):
+        same.setdefault(k, []).append(slot_of[r.doc_id])
+    held = spark.sparkContext.broadcast((model, bags, [np.array(same[k]) for k in key]))
+    spans = spark.range(0, len(rows), 1, max(1, min(32, len(rows) // 100)))
+
+    def votes(batches):
+        m, b, skip = held.value
+        for x in batches:
+            at = x.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([m.vote(b[i], skip[i])[0] for i in at], pa.float64())], ["i", "v"])
+
+    got = dict(map(tuple, spans.mapInArrow(votes, schema(i=LONG, v=DBL)).collect()))
+    y = np.array([r.toxic for r in rows], np.float64)
+    model.curve = calibrate(np.array([got[i] for i in range(len(rows))]), y, np.where(y > 0, model.weight[1], model.weight[0]))
+    return model
 
 
 def frequencies(texts: DataFrame, names: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Document frequency of the chosen terms and number of documents, over all rows."""
+    """Document frequency of the terms and number of documents, over all rows."""
+    held = texts.sparkSession.sparkContext.broadcast(names)
 
     def count(batches):
-        bag, have, n = Bag(names), np.zeros(len(names) + 1, np.int64), 0
+        terms, have, n = held.value, np.zeros(len(held.value) + 1, np.int64), 0
         for b in batches:
             for x in b.column(0).to_pylist():
-                have[list(bag(x))] += 1
+                have[[terms[w] for w in set(WORDS(x.lower())) if w in terms]] += 1
                 n += 1
         have[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(have)), pa.int64()), pa.array(have, pa.int64())], ["t", "n"])
+        at = np.flatnonzero(have)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(have[at], pa.int64())], ["t", "n"])
 
     rows = texts.select("text").mapInArrow(count, schema(t=LONG, n=LONG)).groupBy("t").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(names) + 1, np.float64)
