@@ -1,23 +1,29 @@
 """Mixing to target weights: soft domain membership and document rates. SQL expressions only.
 
-Method: the labelled rows define domains (toxic; else low or high by their quality). A classifier over a few text
-statistics gives every document its posterior of each domain. Document rates w >= 0 then minimise
+Method: the labelled rows define domains (toxic; else low or high by their quality). A classifier over text
+statistics and words that tell the classes apart gives every document its posterior of each domain. Document rates
+w >= 0 then minimise the least squares
 
-    sum_k (sum_i w_i t_i p_ik - T_k)^2 / (2 N S_k)  +  RIDGE / 2 * sum_i t_i / N * (w_i - 1)^2
+    r' M r,  r_k = sum_i w_i t_i p_ik - T_k
 
-(t tokens, p posteriors, T targets, S natural totals, N all tokens) by projected gradient: a step needs only the
-domain totals, one grouped sum over all documents. A document's rate after n steps is a fold of its own posterior
-over the n residuals, so the table of posteriors is written once and never rewritten.
+(t tokens, p posteriors, T targets) by projected gradient steps from w = 1, w <- max(0, w - p' M r), in the metric
+M of the inverse Gram matrix of the documents that still have a rate. A step needs only the domain totals and that matrix, one grouped
+sum over all documents; a step that does not lessen the residual is halved. Steps go on until every total is within
+CLOSE of its target (as a share of all tokens) or the residual falls no more, which is where targets cannot be met with
+rates of 0 or more. A document's rate after some steps is a fold of its own posterior over their few numbers; the
+table of rates is written anew every FOLD steps.
 
 Edge cases: null and empty texts have no tokens and rate 1; without labels all posteriors are the class shares 1/3;
 targets are scaled to sum 1, those of domains that hold no token are ignored; an empty table gives no rows;
-repeated rows are documents of their own; other columns pass through ``sample`` only.
+repeated rows are documents of their own; very long texts are one row like others; rows that tie in everything have equal rates; other columns pass
+through ``sample`` only, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +33,10 @@ from .common import Scratch
 
 DOMAINS = ["high", "low", "toxic"]
 TARGETS = {"high": 0.85, "low": 0.15, "toxic": 0.0}
-#: Labelled rows that term choice may read, terms chosen, and the length of a word's beginning.
-MAX_SAMPLE, MAX_TERMS, STEM = 4000, 64, 5
-STEPS, RATE, RIDGE, CLOSE = 30, 1.0, 0.02, 1e-3
+#: Labelled rows that the choice of words reads (documented bound), and the least chi-square of a chosen word.
+MAX_SAMPLE, CHANCE = 4000, 25.0
+#: Largest miss of a total, in shares of all tokens; steps between two writes of the rates; steps and halvings at most.
+CLOSE, FOLD, STEPS, HALVINGS = 1e-4, 8, 200, 20
 BINS = {"b_words": 16, "b_length": 32, "b_symbols": 16, "b_distinct": 16, "b_terms": 8}
 
 
@@ -40,19 +47,21 @@ def labelled(labels: DataFrame) -> DataFrame:
     return x.select("doc_id", F.when(F.col("t") > 0, "toxic").when(F.col("q") > 0, "high").otherwise("low").alias("cls"))
 
 
-def stems(w: Column) -> Column:
-    return F.array_distinct(F.transform(w, lambda x: F.substring(x, 1, STEM)))
-
-
 def terms(texts: DataFrame, classes: DataFrame) -> list[str]:
-    """Word beginnings that set the toxic rows of a bounded, class-balanced hash sample apart."""
+    """Words that set the toxic rows of a bounded, class-balanced hash sample apart, by chi-square of the classes' rows."""
     order = F.xxhash64("doc_id", F.lit("terms"))
-    pick = classes.filter("cls = 'toxic'").orderBy(order).limit(MAX_SAMPLE // 2).union(classes.filter("cls <> 'toxic'").orderBy(order).limit(MAX_SAMPLE // 2))
-    words = texts.join(F.broadcast(pick), "doc_id").select((F.col("cls") == "toxic").cast("double").alias("y"), F.explode(stems(S.words(F.lower("text")))).alias("stem"))
-    n1, n0 = F.lit(MAX_SAMPLE / 2), F.lit(MAX_SAMPLE / 2)
-    c = words.groupBy("stem").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    score = (F.col("a") - F.col("b")) ** 2 / (F.col("a") + F.col("b")) * (n1 + n0) / (2 * n1)
-    return [r.stem for r in c.filter("a > b").select("stem", score.alias("s")).filter("s >= 20").orderBy(F.desc("s"), "stem").limit(MAX_TERMS).collect()]
+    pick = classes.filter("cls = 'toxic'").orderBy(order, "doc_id").limit(MAX_SAMPLE // 2).union(classes.filter("cls <> 'toxic'").orderBy(order, "doc_id").limit(MAX_SAMPLE // 2))
+    rows = texts.join(F.broadcast(pick), "doc_id").select((F.col("cls") == "toxic").cast("double").alias("y"), "text")
+    n1, n = (float(x or 0) for x in rows.agg(F.sum("y"), F.count("*")).first())
+    n0 = n - n1
+    if not n0 or not n1:
+        return []
+    words = rows.select("y", F.explode(F.array_distinct(S.words(F.lower("text")))).alias("word"))
+    c = words.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    off = F.greatest(F.abs(a * (n0 - b) - b * (n1 - a)) - n / 2, F.lit(0.0))
+    chi = n * off * off / F.greatest((a + b) * (n - a - b) * n0 * n1, F.lit(1.0))
+    return sorted(r.word for r in c.filter((a / n1 > b / n0) & (chi >= CHANCE)).select("word").collect())
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,7 +71,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str
     chosen = terms(texts, classes)
     lex = F.array(*map(F.lit, chosen)) if chosen else F.array().cast("array<string>")
     t = F.col("text")
-    of_words = S.let(S.words(F.lower(t)), lambda w: S.let(stems(w), lambda s: F.struct(F.size(w).alias("n"), F.size(s).alias("d"), F.size(F.array_intersect(s, lex)).alias("x"))))
+    of_words = S.let(S.words(F.lower(t)), lambda w: S.let(F.array_distinct(w), lambda s: F.struct(F.size(w).alias("n"), F.size(s).alias("d"), F.size(F.array_intersect(s, lex)).alias("x"))))
     rows = texts.select("doc_id", of_words.alias("w"), S.word_chars(t).alias("chars"), S.n_symbols(t).alias("symbols"))
     n = F.greatest(F.col("w.n"), F.lit(1))
     rows = rows.select(
@@ -84,53 +93,73 @@ def posteriors(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str
     return scratch.keep(x.select("doc_id", "tokens", *((F.col(f"e_{d}") / total).alias(f"p_{d}") for d in DOMAINS)))
 
 
-def rate(residuals: list[list[float]]) -> Column:
-    """Rate of a row after the steps whose residuals are given: a fold of projected gradient steps from 1."""
-    if not residuals:
-        return F.lit(1.0)
-    steps = F.array(*(F.array(*map(F.lit, r)) for r in residuals))
+def after(steps: list[list[float]]) -> Column:
+    """Rate of a row with rate w after the steps whose numbers are given: a fold of projected steps."""
+    if not steps:
+        return F.col("w")
 
     def one(w, r):
         slope = sum((F.col(f"p_{d}") * F.get(r, k) for k, d in enumerate(DOMAINS[1:], 1)), F.col(f"p_{DOMAINS[0]}") * F.get(r, 0))
-        return F.greatest(F.lit(0.0), w - F.lit(RATE) * (slope + F.lit(RIDGE) * (w - 1)))
+        return F.greatest(F.lit(0.0), w - slope)
 
-    return F.when(F.col("tokens") > 0, F.aggregate(steps, F.lit(1.0), one)).otherwise(1.0)
+    return F.when(F.col("tokens") > 0, F.aggregate(F.array(*(F.array(*map(F.lit, r)) for r in steps)), F.col("w"), one)).otherwise(F.col("w"))
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """rows of posteriors with rate; expected domain totals match the targets, summing to all tokens."""
+def totals(rows: DataFrame, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Domain totals at the rates after the steps, and the Gram matrix of the posteriors of rows with a rate."""
+    pairs = [(i, j) for i in range(len(DOMAINS)) for j in range(i + 1)]
+    x = rows.select("tokens", *(f"p_{d}" for d in DOMAINS), after(steps).alias("w"))
+    t, p = F.col("tokens"), [F.col(f"p_{d}") for d in DOMAINS]
+    got = x.agg(*(F.sum(F.col("w") * t * v) for v in p), *(F.sum(F.when(F.col("w") > 0, t * p[i] * p[j]).otherwise(0.0)) for i, j in pairs)).first()
+    got = [float(v or 0) for v in got]
+    gram = np.zeros((len(DOMAINS),) * 2)
+    for (i, j), v in zip(pairs, got[len(DOMAINS) :], strict=True):
+        gram[i, j] = gram[j, i] = v
+    return np.array(got[: len(DOMAINS)]), gram
 
-    def totals(residuals):
-        w = rate(residuals)
-        return rows.select("tokens", *(f"p_{d}" for d in DOMAINS), w.alias("w")).agg(*(F.sum(F.col("w") * F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS)).first()
-
-    natural = totals([])
-    if natural[0] is None:
-        return rows.withColumn("rate", F.lit(1.0))
-    have = [max(float(x), 1e-9) for x in natural]
-    n = sum(have)
-    want = [max(targets.get(d, 0.0), 0.0) if h > 1e-6 else 0.0 for d, h in zip(DOMAINS, have, strict=True)]
-    want = [x / (sum(want) or 1.0) * n for x in want]
-    residuals: list[list[float]] = []
-    now = have
+
+def fit_rates(rows: DataFrame, targets: dict[str, float], scratch: Scratch) -> DataFrame:
+    """rows of posteriors with rate; expected domain totals match the targets, summing to all tokens."""
+    rows = rows.withColumn("w", F.lit(1.0))
+    have, gram = totals(rows, [])
+    n = have.sum()
+    if not n:
+        return rows.withColumnRenamed("w", "rate")
+    want = np.array([max(targets.get(d, 0.0), 0.0) if h > 1e-9 * n else 0.0 for d, h in zip(DOMAINS, have, strict=True)])
+    want *= n / (want.sum() or 1.0)
+    scale = 1 / np.maximum(want, 0.01 * n)
+    steps: list[list[float]] = []
     for _ in range(STEPS):
-        residuals.append([(a - b) / s for a, b, s in zip(now, want, have, strict=True)])
-        now = [float(x) for x in totals(residuals)]
-        if max(abs(a - b) for a, b in zip(now, want, strict=True)) < CLOSE * n:
+        miss = have - want
+        if np.abs(miss).max() <= CLOSE * n:
             break
-    return rows.withColumn("rate", rate(residuals))
+        whole = np.linalg.lstsq(gram + 1e-9 * np.trace(gram) * np.eye(len(want)), miss, rcond=None)[0]
+        for half in range(HALVINGS):
+            step = [float(v) for v in whole * 0.5**half]
+            now, now_gram = totals(rows, [*steps, step])
+            if np.linalg.norm((now - want) * scale) < np.linalg.norm(miss * scale) * (1 - 1e-3 * 0.5**half):
+                break
+        else:
+            break  # nothing lessens the residual
+        steps, have, gram = [*steps, step], now, now_gram
+        if len(steps) == FOLD:
+            rows = scratch.keep(rows.withColumn("w", after(steps)))
+            steps = []
+    return rows.select(*(c for c in rows.columns if c != "w"), after(steps).alias("rate"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **cols: str) -> DataFrame:
     """(doc_id, tokens, p_high, p_low, p_toxic, rate, copies): copies is the rate rounded by a hash of the id."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = fit_rates(posteriors(docs, labels, scratch, **cols), targets or TARGETS)
+    rows = fit_rates(posteriors(docs, labels, scratch, **cols), targets or TARGETS, scratch)
     u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(2**24)) / 2**24
     return rows.select("*", F.floor(F.col("rate") + u).cast("long").alias("copies"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """docs, each row as often as its copies say; columns as in docs."""
-    got = mix(docs, labels, targets).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_n"))
-    x = docs.join(got, docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))).filter("_n > 0")
-    return x.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    row = F.struct(*docs.columns).alias("row")
+    got = mix(docs, labels, targets).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("n")).filter("n > 0")
+    x = docs.select(row, F.col("doc_id").cast("long").alias("of"))
+    x = x.join(got, F.col("of").eqNullSafe(F.col("id")))
+    return x.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
