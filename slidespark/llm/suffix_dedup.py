@@ -12,8 +12,9 @@ rank is shared, until its prefix passes the threshold.
    strings share a prefix that grows as cells are halved twice a round, and shuffled by its rank: cells alone
    with it leave, equal cells are settled as runs, so a hot rank meets no single task.
 
-Ranks are fingerprints (64 bits a rank, combined over ranks), grouped and sorted by Spark; counting is map-side
-combined. Whole texts that equal another are known by their text key; they are repeats as a whole.
+Positions that no string chooses are left out because a pair of position and rank for every byte would alone be
+16 times the input. Ranks are fingerprints (64 bits a rank, combined over ranks) that are built by doubling and compared without
+the bytes; Spark groups them, counting is map-side combined, and ranks that many positions share are joined by broadcast. Whole texts that equal another are known by their text key; they are repeats as a whole.
 
 Edge cases: null texts are empty; texts shorter than the threshold are kept whole; overlapping occurrences and
 occurrences within one document count; rows of one text, null ids and repeated ids included, get equal results;
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, BOOL, INT, LONG, STR, Scratch, schema, whole_texts
+from .common import BIN, BOOL, INT, LONG, STR, Scratch, hot_join, schema, whole_texts
 
 SEED_LEN = 40
 #: Blocks of a first rank that are compared within a task.
@@ -203,10 +204,10 @@ def shared_by_cells(need: DataFrame, texts: DataFrame, threshold: int, scratch:
         kinds = cells.groupBy(*by, "name").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("block", "k1", "k2", "p", "low", "high")).alias("x"))
         kinds = scratch.keep(kinds.select(*by, "name", "n", (F.col("again") | (F.col("n") > 1)).alias("again"), "x.*"))
         # blocks that are repeats as a whole lend their strings and need no verdict
-        equal = kinds.filter("n > 1").select(*by, "name")
-        found.append(scratch.keep(cells.filter("not again").join(equal, [*by, "name"], "left_semi").select("rank", "block", F.col("low").alias("a"), F.col("high").alias("b"))))
-        open_ = kinds.groupBy(*by).agg(F.count("*").alias("names"), F.min("again").alias("settled")).filter("names > 1 and not settled")
-        need = scratch.keep(kinds.join(open_, by, "left_semi").select("rank", "block", "k1", "k2", "p", "low", "high", "again"))
+        equal = scratch.keep(kinds.filter("n > 1").select(*by, "name", "n"))
+        found.append(scratch.keep(hot_join(cells.filter("not again"), equal, [*by, "name"], "n").select("rank", "block", F.col("low").alias("a"), F.col("high").alias("b"))))
+        open_ = scratch.keep(kinds.groupBy(*by).agg(F.count("*").alias("names"), F.min("again").alias("settled")).filter("names > 1 and not settled"))
+        need = scratch.keep(hot_join(kinds, open_, by, "names").select("rank", "block", "k1", "k2", "p", "low", "high", "again"))
         scratch.drop(cells, kinds)
         if need.isEmpty():
             break
@@ -310,8 +311,8 @@ def find_repeats(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id",
     rows = text_keys(whole_texts(docs, id_col, text_col))
     first = scratch.keep(seeds(rows, threshold))
     # rank 1: unique prefixes leave
-    shared = first.groupBy("rank").agg(F.count("*").alias("c")).filter("c > 1").select("rank")
-    seen = first.join(shared, "rank", "left_semi").select("k1", *_place(F.col("at"))).groupBy("k1", "k2").agg(F.collect_set("p").alias("seen"))
+    shared = scratch.keep(first.groupBy("rank").agg(F.count("*").alias("c")).filter("c > 1"))
+    seen = hot_join(first, shared, ["rank"], "c").select("k1", *_place(F.col("at"))).groupBy("k1", "k2").agg(F.collect_set("p").alias("seen"))
     seen = scratch.keep(seen)
     base = scratch.keep(rows.select("doc_id", "k1", "k2", "n_bytes"))
     copies = base.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
@@ -320,24 +321,25 @@ def find_repeats(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id",
     scratch.drop(first)
     # rank 2: blocks
     found = scratch.keep(blocks(texts, threshold))
-    kinds = found.groupBy("rank", "block").agg(F.min(F.struct("k1", "at", "low", "high")).alias("x"), F.max(F.struct("k1", "at")).alias("y"), F.max("twice").alias("twice"))
+    kinds = found.groupBy("rank", "block").agg(F.min(F.struct("k1", "at", "low", "high")).alias("x"), F.max(F.struct("k1", "at")).alias("y"), F.max("twice").alias("twice"), F.count("*").alias("times"))
     again = F.col("twice") | (F.col("x.k1") != F.col("y.k1")) | (F.col("x.at") != F.col("y.at"))
-    kinds = scratch.keep(kinds.select("rank", "block", "x.k1", *_place(F.col("x.at")), "x.low", "x.high", again.alias("again")))
+    kinds = scratch.keep(kinds.select("rank", "block", "x.k1", *_place(F.col("x.at")), "x.low", "x.high", "times", again.alias("again")))
     sizes = kinds.groupBy("rank").agg(F.count("*").alias("size"), F.min("again").alias("all_again")).filter("size > 1 and not all_again")
-    need = scratch.keep(kinds.join(sizes, "rank").drop("all_again"))
+    need = scratch.keep(hot_join(kinds.drop("times"), scratch.keep(sizes), ["rank"], "size").drop("all_again"))
     # rank 3: strings
     few = shared_in_task(packed_strings(need.filter(F.col("size") <= IN_TASK), texts, threshold), threshold)
     many = shared_by_cells(need.filter(F.col("size") > IN_TASK), texts, threshold, scratch)
     verdict = few.union(many).union(kinds.filter("again").select("rank", "block", F.col("low").alias("a"), F.col("high").alias("b")))
     # a block's runs in one row, one for each of its offsets at most
-    verdict = scratch.keep(verdict.groupBy("rank", "block").agg(F.collect_list(F.struct("a", "b")).alias("runs")))
+    verdict = verdict.groupBy("rank", "block").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    verdict = scratch.keep(verdict.join(kinds.select("rank", "block", "times"), ["rank", "block"]))
     at = found.filter("not twice").select("rank", "block", "k1", *_place(F.col("at")))
     run = lambda x: F.struct((F.col("p") - x["b"]).alias("from"), (F.col("p") - x["a"] + threshold).alias("to"))
-    spans = at.join(verdict, ["rank", "block"]).select("k1", "k2", F.transform("runs", run).alias("s"))
+    spans = hot_join(at, verdict, ["rank", "block"], "times").select("k1", "k2", F.transform("runs", run).alias("s"))
     spans = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("s")).alias("found"))
     out = scratch.keep(removed(texts, spans))
     scratch.drop(texts, found, kinds, need, verdict, seen)
-    return base.join(copies, ["k1", "k2"]), out
+    return hot_join(base, scratch.keep(copies), ["k1", "k2"], "copies"), out
 
 
 def dedup_digest(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,7 +348,8 @@ def dedup_digest(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id",
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= threshold)
     short = out.select("k1", "k2", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
     sha = text_keys(whole_texts(docs, id_col, text_col)).select("k1", "k2", F.sha2("text", 256).alias("all_sha")).dropDuplicates(["k1", "k2"])
-    x = base.join(short, ["k1", "k2"], "left").join(sha, ["k1", "k2"])
+    of_text = base.groupBy("k1", "k2").agg(F.max("copies").alias("of")).join(sha, ["k1", "k2"]).join(short, ["k1", "k2"], "left")
+    x = hot_join(base, Scratch(docs.sparkSession, "suffix-dedup").keep(of_text), ["k1", "k2"], "of")
     return x.select(
         "doc_id",
         "n_bytes",
@@ -361,10 +364,10 @@ def dedup_texts(docs: DataFrame, threshold: int = 200, id_col: str = "doc_id", t
 
     The other columns and the number of rows are unchanged; a text that is repeated as a whole becomes empty."""
     base, out = find_repeats(docs, threshold, id_col, text_col)
-    texts = base.select("k1", "k2", "n_bytes", "copies").dropDuplicates(["k1", "k2"]).join(out.select("k1", "k2", "kept_text"), ["k1", "k2"], "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= threshold)
-    change = texts.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.when(whole, "").otherwise(F.col("kept_text")).alias("_kept")).filter("_kept is not null")
+    of_text = base.groupBy("k1", "k2").agg(F.max("copies").alias("copies"), F.max("n_bytes").alias("n_bytes")).join(out.select("k1", "k2", "kept_text"), ["k1", "k2"], "left")
+    of_text = Scratch(docs.sparkSession, "suffix-dedup").keep(of_text.select("k1", "k2", "copies", F.when(whole, "").otherwise(F.col("kept_text")).alias("kept")))
     t = F.coalesce(F.col(text_col), F.lit(""))
-    x = docs.withColumn("_a", F.xxhash64(t)).withColumn("_b", F.hash(t))
-    x = x.join(change, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left")
-    return x.select(*(F.coalesce("_kept", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(t).alias("k1"), F.hash(t).alias("k2"))
+    x = hot_join(rows, of_text, ["k1", "k2"], "copies")
+    return x.select(*(F.coalesce("kept", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
