@@ -9,8 +9,8 @@ chi-square quantile are rejected. Sparse groups are shrunk towards all rows of t
 
 Scale: rows are read once for their statistics, which are written; every step is then one pass over seven small
 numbers a row with grouped sums (map-side combined). Quantiles come from counts of fixed bins, so no group is
-collected; a group's figures are joined back by the group's key, which Spark broadcasts while small and splits
-where skewed.
+collected; a group's figures are joined back by the group's key: those of the largest groups are broadcast, at most
+HOT of them, and the others are shuffled.
 
 Edge cases: null texts count as empty (base_failed); null language or source is a group of its own; groups of one
 row use the corpus figures; an empty table gives no rows; repeated rows count as rows.
@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textstats as S
-from .common import Scratch
+from .common import Scratch, hot_join
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Share of rows in the concentrated subset, its consistency factor for 5 dimensions, and the chi-square cut-off (5 dimensions, 1 - 1e-6).
@@ -37,12 +37,17 @@ FLOOR = {"f_words": 0.5, "f_length": 0.03, "f_symbols": 0.04, "f_lines": 0.05, "
 KEYS = ["lang", "source"]
 
 
+def site(name: str) -> Column:
+    """The name of a group: null is a group of its own, apart from the empty name."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
+
+
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
+        site(lang_col).alias("lang"),
+        site(source_col).alias("source"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     t = F.col("text")
@@ -72,14 +77,14 @@ def quantile(rows: DataFrame, keys: list[str], value: Column, share: float, name
     return run.filter(F.col("_c") >= share * F.col("_t")).groupBy(*keys).agg(F.min("_b").alias(name))
 
 
-def nearest(rows: DataFrame, keys: list[str], value: Column, share: float) -> DataFrame:
+def nearest(rows: DataFrame, keys: list[str], value: Column, share: float, scratch: Scratch) -> DataFrame:
     """The share of rows of least value with their weight: 1, but at the cut an equal part for each of the rows that tie."""
     bins = rows.select(*keys, value.alias("_b")).groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     w = W.partitionBy(*keys)
     run = bins.withColumn("_c", F.sum("_n").over(w.orderBy("_b"))).withColumn("_t", F.sum("_n").over(w))
     cut = run.filter(F.col("_c") >= share * F.col("_t")).groupBy(*keys).agg(F.min(F.struct("_b", "_n", "_c", "_t")).alias("_x"))
-    cut = cut.select(*keys, F.col("_x._b").alias("_cut"), ((share * F.col("_x._t") - F.col("_x._c") + F.col("_x._n")) / F.col("_x._n")).alias("_part"))
-    x = rows.join(cut, keys).filter(value <= F.col("_cut"))
+    cut = cut.select(*keys, F.col("_x._t").alias("_t"), F.col("_x._b").alias("_cut"), ((share * F.col("_x._t") - F.col("_x._c") + F.col("_x._n")) / F.col("_x._n")).alias("_part"))
+    x = hot_join(rows, scratch.keep(cut), keys, "_t").filter(value <= F.col("_cut"))
     return x.select(*rows.columns, F.when(value < F.col("_cut"), 1.0).otherwise(F.col("_part")).alias("weight"))
 
 
@@ -105,6 +110,7 @@ def factors(groups: DataFrame, corpus: DataFrame) -> DataFrame:
     x = x.select(
         *KEYS,
         "start",
+        F.ceil(F.col("n") / SUBSET).alias("rows"),
         *((share * mean("", i) + (1 - share) * mean("c_", i)).alias(f"m{i}") for i in d),
         *(((share * cov("", i, j) + (1 - share) * cov("c_", i, j)) * CONSISTENCY + (FLOOR[FEATURES[i]] ** 2 if i == j else 0.0)).alias(f"a{i}{j}") for i, j in pairs),
     )
@@ -114,12 +120,12 @@ def factors(groups: DataFrame, corpus: DataFrame) -> DataFrame:
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         x = x.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
     det = sum((2 * F.log(f"l{i}{i}") for i in d), F.lit(0.0))
-    return x.select(*KEYS, "start", *(f"m{i}" for i in d), *(f"l{i}{j}" for i, j in pairs), det.alias("det"))
+    return x.select(*KEYS, "start", "rows", *(f"m{i}" for i in d), *(f"l{i}{j}" for i, j in pairs), det.alias("det"))
 
 
 def distance(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """rows with start and d2, the squared Mahalanobis distance from their group, once for every start that is fitted."""
-    x = rows.join(fitted, KEYS)
+    x = hot_join(rows, fitted, KEYS, "rows")
     for i, f in enumerate(FEATURES):
         rest = F.col(f) - F.col(f"m{i}")
         for k in range(i):
@@ -138,15 +144,17 @@ def start(rows: DataFrame, scratch: Scratch) -> DataFrame:
     mid = quantile(long, [*KEYS, "k"], F.col("v"), 0.5, "v").groupBy(*KEYS).agg(*(F.max(F.when(F.col("k") == i, F.col("v"))).alias(f"m{i}") for i in range(len(FEATURES))))
     mid = mid.select(*KEYS, F.lit(0).alias("start"), *((F.col(f"m{i}") / 128).alias(f"m{i}") for i in range(len(FEATURES))))
     drawn = [F.min(F.struct(F.xxhash64(F.lit(k), *FEATURES).alias("h"), *FEATURES)) for k in range(1, STARTS)]
+    sizes = rows.groupBy(*KEYS).agg(F.count("*").alias("rows"))
     drawn = rows.groupBy(*KEYS).agg(F.array(*(F.struct(F.lit(k).alias("start"), x.alias("at")) for k, x in enumerate(drawn, 1))).alias("x"))
     drawn = drawn.select(*KEYS, F.explode("x").alias("x")).select(*KEYS, "x.start", *(F.col(f"x.at.{f}").alias(f"m{i}") for i, f in enumerate(FEATURES)))
     d2 = sum((((F.col(f) - F.col(f"m{i}")) / FLOOR[f]) ** 2 for i, f in enumerate(FEATURES)), F.lit(0.0))
-    return rows.join(scratch.keep(mid.unionByName(drawn)), KEYS).select(*rows.columns, "start", d2.alias("d2"))
+    starts = scratch.keep(mid.unionByName(drawn).join(sizes, KEYS))
+    return hot_join(rows, starts, KEYS, "rows").select(*rows.columns, "start", d2.alias("d2"))
 
 
 def concentrate(far: DataFrame, scratch: Scratch) -> DataFrame:
     """One step: figures of the nearest rows of every group and start; the corpus is that of start 0."""
-    near = nearest(far, [*KEYS, "start"], F.floor(F.log(F.col("d2") + 1e-6) * 32), SUBSET)
+    near = nearest(far, [*KEYS, "start"], F.floor(F.log(F.col("d2") + 1e-6) * 32), SUBSET, scratch)
     groups = scratch.keep(moments(near, [*KEYS, "start"]))
     sums = [c for c in groups.columns if c not in (*KEYS, "start")]
     corpus = groups.filter("start = 0").agg(*(F.sum(c).alias(f"c_{c}") for c in sums)).filter("c_n > 0")
@@ -181,4 +189,5 @@ def apply(docs: DataFrame, **cols: str) -> DataFrame:
     seen = distance(stats.select("*", *transformed()).filter(~F.col("base_failed")), fitted)
     out = seen.select(*stats.columns, "d2", (F.col("d2") <= CUTOFF).alias("kept"))
     failed = stats.filter("base_failed").select("*", F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
-    return out.unionByName(failed)
+    name = lambda k: F.when(F.col(k) != "", F.substring(k, 2, 2**31 - 1)).alias(k)
+    return out.unionByName(failed).select("doc_id", *map(name, KEYS), *(c for c in out.columns if c not in ("doc_id", *KEYS)))
