@@ -2,8 +2,9 @@
 
 Method: a tolerant tree of the page is built. Every paragraph earns points for its length and commas, less its
 share of link text; its container takes them in full, the container above half, the next a third. The container
-with the most points and those of its siblings that look like text are kept; boilerplate elements are dropped by
-element name, role and class.
+with the most points and those siblings of it and of its ancestors that look like text are kept; boilerplate elements
+are dropped by element name, role and class (a class says so if all of its parts do). Of containers with equal
+points the first is taken.
 
 Edge cases: null, empty or text-free html gives the empty string; markup that never closes, unknown elements and
 very long or deeply nested pages are read whole (the tree is arrays, without recursion); plain text without any
@@ -23,7 +24,7 @@ from .common import LONG, STR, schema
 
 # fixed values: element names of the HTML standard, and names used for page furniture
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video select option button".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas audio video select option button".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 DROP = frozenset("head nav header footer aside form fieldset menu dialog search".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -33,6 +34,11 @@ FURNITURE = frozenset(
     " notice notices notification alert popup modal overlay newsletter subscribe subscription signup login related recommended recommendations widget toolbar"
     " pagination pager popular trending taboola outbrain feedback discussion hidden skip".split()
 )
+#: Words that may stand beside a furniture name in a class without changing what it says.
+BESIDE = frozenset(
+    "site page main post posts entry article top bottom left right upper lower global local primary secondary inner outer wrapper wrap container box block bar list item items"
+    " section area region panel content unit slot zone module links link icons buttons button text form bg row col column grid fixed sticky mobile desktop js is the".split()
+)
 OPENED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table td th article section main body html div aside nav header footer form blockquote".split())
 
@@ -57,7 +63,7 @@ def _furniture(tag: str, attrs: str) -> bool:
                 continue
             for name in v.split():
                 parts = NAME.findall(name)
-                if any(p in FURNITURE and (i == 0 or parts[i - 1] not in ("with", "has", "no", "without")) for i, p in enumerate(parts)):
+                if parts and parts[0] not in ("with", "has", "no", "without") and any(p in FURNITURE for p in parts) and all(p in FURNITURE or p in BESIDE for p in parts):
                     return True
     return False
 
@@ -112,12 +118,14 @@ def main_text(html: str) -> str:
             continue
         tags.append(tag)
         parent.append(stack[-1])
-        dead.append(dead[stack[-1]] or _furniture(tag, m[3]))
+        # the header of the article itself holds its title
+        own = tag == "header" and any(tags[x] in ("article", "main") for x in stack)
+        dead.append(dead[stack[-1]] or _furniture("div" if own else tag, m[3]))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at) if not m[3].rstrip().endswith("/") else None
             if end:
                 at = end.end()
-            elif tag in ("script", "style", "textarea", "title") and not m[3].rstrip().endswith("/"):
+            elif tag in ("script", "style") and not m[3].rstrip().endswith("/"):
                 at = n
             continue
         if m[3].rstrip().endswith("/") and tag not in BLOCK:
@@ -167,18 +175,25 @@ def main_text(html: str) -> str:
                 top = i
             i = parent[i]
         roots = {top}
-        if parent[top] >= 0:
-            least = max(3.0, final[top] * 0.2)
-            for j in range(1, size):
-                if parent[j] == parent[top] and j != top and not dead[j] and density[j] < 0.25:
-                    if final[j] >= least or tags[j] in ("p", "h1", "h2", "blockquote", "pre") and words[j] >= 1:
-                        roots.add(j)
+        # siblings of the best container and of its ancestors that look like text
+        least = max(3.0, final[top] * 0.2)
+        beside, i = set(), top
+        while parent[i] >= 0:
+            beside.add(i)
+            i = parent[i]
+        up_to = {parent[i]: i for i in beside}
+        for j in range(1, size):
+            if parent[j] in up_to and j not in beside and not dead[j] and density[j] < 0.25:
+                few = 1 if parent[j] == parent[top] else 10
+                if final[j] >= least or tags[j] in ("p", "h1", "h2", "blockquote", "pre") and words[j] >= few:
+                    roots.add(j)
+    named = any(tags[i] in ("article", "main") for i in roots)
     inside = [False] * size
     for i in range(size):
         up = parent[i]
         inside[i] = not dead[i] and (i in roots or up >= 0 and inside[up])
-        # lists and boxes of links within the article
-        if inside[i] and i not in roots and tags[i] in ("ul", "ol", "div", "section", "table", "dl") and words[i] and density[i] > 0.6:
+        # boxes of links outside of an article; within it lists of links, such as sources, are text
+        if inside[i] and i not in roots and not named and tags[i] in ("ul", "ol", "div", "section", "table", "dl") and words[i] and density[i] > 0.6:
             inside[i] = False
     out = []
     for b in sorted(text):
