@@ -93,6 +93,8 @@ def test_suffix_dedup_equals_brute_force(docs, nothing, corpus, in_task, monkeyp
     assert suffix_dedup.dedup_digest(nothing).count() == 0
     cut = suffix_dedup.dedup_texts(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
+    odd = suffix_dedup.dedup_texts(docs.withColumnsRenamed({"k1": "_a", "rank": "_kept"}))
+    assert {(r["_a"], r["_kept"]) for r in odd.collect()} == {("k", 1), (None, None)}
 
 
 def test_minhash_equals_brute_force(docs, nothing, corpus):
@@ -138,19 +140,53 @@ def test_minhash_trees_reach_the_recall(spark, percent, monkeypatch):
     assert met >= 0.995 * 1500
 
 
-def test_minhash_large_node_by_pivots(spark):
-    """A family of copies too large for an exhaustive node is settled by pivots."""
+@pytest.mark.parametrize("chunk", [minhash_dedup.CHUNK, 40])
+def test_minhash_large_nodes(spark, chunk, monkeypatch):
+    """Families of near-copies too large for a small node: dense ones, and one whose members lie around the threshold."""
+    monkeypatch.setattr(minhash_dedup, "CHUNK", chunk)
     rnd = random.Random(2)
-    base = [f"w{i}" for i in range(300)]
-    rows = []
-    for i in range(400):
-        c = list(base)
-        for _ in range(i % 4):
-            c[rnd.randrange(300)] = f"n{i}"
-        rows.append((i, " ".join(c)))
+    rows, sets = [], []
+    for f, edits in enumerate((1, 3, 7)):
+        base = [f"w{f}-{i}" for i in range(300)]
+        for i in range(150):
+            c = list(base)
+            for _ in range(rnd.randrange(edits + 1)):
+                c[rnd.randrange(300)] = f"n{i}"
+            rows.append((1000 * f + i, " ".join(c)))
     ready(spark)
+    sets = {i: minhash_dedup.shingles(t, 3) for i, t in rows}
+    comp = {i: i for i in sets}
+
+    def find(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and i // 1000 == j // 1000 and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                comp[y] = x
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
-    assert {r.component_id for r in got.collect()} == {0}
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: find(i) for i in sets}
+
+
+def test_minhash_blocks_across_chunks():
+    """Links between components of two sides are found, and no others; they form no star."""
+    pd = pytest.importorskip("pandas")
+    tokens = {i: np.arange(100) + (0 if i < 20 else 1000) for i in range(40)}
+    f = pd.DataFrame([{"side": i % 2, "sid": i, "n": 100, "sketch": 0, "comp": i, "tokens": tokens[i]} for i in range(40)])
+    got = minhash_dedup._blocks(85)(f)
+    ends = Counter(got["a"].tolist() + got["b"].tolist())
+    assert max(ends.values()) <= 6 and len(got) == 38
+    assert all((a < 20) == (b < 20) for a, b in zip(got["a"], got["b"], strict=True))
+
+
+def test_minhash_sketch_loses_no_more_than_stated():
+    rnd = np.random.default_rng(3)
+    for percent in (80, 85):
+        differ = rnd.binomial(minhash_dedup.BITS, (1 - percent / 100) / 2, 200_000)
+        assert (differ > minhash_dedup.bits_for(percent)).sum() <= 2
 
 
 def test_toxicity_held_out(spark):
@@ -175,15 +211,92 @@ def test_toxicity_held_out(spark):
 
 
 def test_block_max_is_exact():
+    """The index against all cosines, with ties: those at the k-th place share what is left of it."""
     rnd = np.random.default_rng(1)
-    bags = [{int(t): int(c) for t, c in zip(rnd.choice(40, 5, False), rnd.integers(1, 4, 5), strict=True)} for _ in range(500)]
-    idx = toxicity.Index(bags, list(range(500)), [i % 3 == 0 for i in range(500)], rnd.random(40) + 0.2)
-    for b in bags[:50]:
-        t, q = idx.vector(b)
-        every = q @ idx.weights[t]
-        want = np.lexsort((np.arange(len(every)), -every))[: toxicity.NEAREST]
-        slots, sims = idx.nearest(b)
-        assert np.allclose(sims, every[want], atol=1e-6)
+    bags = [(np.sort(rnd.choice(40, 5, False)), rnd.integers(1, 4, 5)) for _ in range(500)] + [(np.array([3, 7]), np.array([1, 1]))] * 100
+    weight = rnd.random(40) + 0.2
+    idx = toxicity.Index(bags, list(range(600)), [int(i % 3 == 0) for i in range(600)], weight)
+    dense = np.zeros((600, 40))
+    for i, (t, n) in enumerate(bags):
+        w = (1 + np.log(n)) * weight[t]
+        dense[i, t] = w / np.sqrt((w * w).sum())
+    for q in [*range(50), 599]:
+        every = dense @ dense[q]
+        kth = np.sort(every)[-toxicity.NEAREST]
+        slots, sims, share = idx.nearest(bags[q])
+        want = sorted(np.flatnonzero(every >= kth - 1e-6))
+        assert sorted(idx.ids[slots].tolist()) == want
+        assert np.allclose(np.sort(sims), np.sort(every[want]), atol=1e-5) and abs(share.sum() - toxicity.NEAREST) < 1e-6
+
+
+def test_toxicity_ties_are_shared(spark):
+    """A hundred toxic and 3,000 clean examples of one word: the word says nothing of the class."""
+    rows = [(i, "same") for i in range(4200)]
+    lab = [(i, 1, int(i % 31 == 0)) for i in range(4000)]
+    ready(spark)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(lab, "doc_id long, quality int, toxic int")
+    got = {round(r.score, 6) for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert len(got) == 1 and got.pop() < 0.1
+
+
+def test_toxicity_equals_brute_force(spark):
+    """The whole operator against plain Python: every cosine, shared ties, votes; extra columns, repeated rows and nulls."""
+    rnd = random.Random(8)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        w = [rnd.choice(vocab) for _ in range(rnd.randrange(1, 30))]
+        if i % 5 == 0:
+            w += rnd.choices(["vile", "scum"], k=2)
+        rows.append((i, " ".join(w), i, "x", 0.5))
+    rows += [rows[7], (900, None, 0, "x", 0.0), (901, "", 0, "x", 0.0), (None, rows[5][1], 0, None, None)]
+    lab = [(i, 1, int(i % 5 == 0)) for i in range(300)] + [(2, None, None), (5000, 1, 1)]
+    ready(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, v string, score double")
+    model = toxicity.fit(docs, spark.createDataFrame(lab, "doc_id long, quality int, toxic int"))
+    got = Counter((r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, model).collect())
+    import zlib
+
+    train = {i: y for i, _, y in lab if y is not None and zlib.crc32(str(i).encode()) % 5}
+    ex = [(i, Counter(rows[i][1].split()), train[i]) for i in sorted(train) if i < 400]
+    prior = sum(train.values()) / len(train)
+    words = sorted({w for _, c, _ in ex for w in c})
+    of = [sum(y == k for *_, y in ex) for k in (0, 1)]
+    df = Counter(w for r in rows for w in set((r[1] or "").split()))
+    n = [Counter(w for _, c, y in ex if y == k for w in c) for k in (0, 1)]
+    rel = toxicity.relevance(np.array([n[0][w] for w in words], float), np.array([n[1][w] for w in words], float), *of)
+    weight = {w: (math.log((len(rows) + 1) / (df[w] + 1)) + 0.1) * r for w, r in zip(words, rel, strict=True)}
+
+    def vector(c):
+        v = {w: (1 + math.log(k)) * weight[w] for w, k in c.items() if weight.get(w, 0) > 0}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+
+    vecs = [(vector(c), y) for _, c, y in ex]
+
+    def vote(text):
+        q = vector(Counter(text.split()))
+        s = sorted(((sum(x * v.get(w, 0) for w, x in q.items()), y) for v, y in vecs), reverse=True)
+        s = [(a, y) for a, y in s if a > 0]
+        if not s:
+            return prior
+        k = toxicity.NEAREST
+        if len(s) > k:
+            kth = s[k - 1][0]
+            above = [x for x in s if x[0] > kth + 1e-6]
+            tied = [x for x in s if abs(x[0] - kth) <= 1e-6]
+            s = [(a, y, 1.0) for a, y in above] + [(a, y, (k - len(above)) / len(tied)) for a, y in tied]
+        else:
+            s = [(a, y, 1.0) for a, y in s]
+        w0, w1 = (1 - prior) / of[0], prior / of[1]
+        pos, neg = w1 * sum(a * a * f for a, y, f in s if y), w0 * sum(a * a * f for a, y, f in s if not y)
+        mass = 0.25 * min(w0, w1)
+        return (pos + mass * prior) / (pos + neg + mass)
+
+    want = [(r[0], float(toxicity.curve(np.array([vote(r[1] or "")]), *model.curve)[0])) for r in rows]
+    have = sorted(((a is None, a or 0), s) for (a, s), k in got.items() for _ in range(k))
+    for (a, s), (b, t) in zip(have, sorted(((i is None, i or 0), t) for i, t in want), strict=True):
+        assert a == b and abs(s - t) < 1e-4
 
 
 PAGE = """<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body class="has-sidebar"><nav><a href=/>Home</a></nav>
@@ -256,10 +369,62 @@ def test_embeddings_equal_brute_force(spark):
     assert all(got[i] == (0, i) for i in range(900, 906))
 
 
+def planted_domains():
+    """Documents whose words tell toxic, and whose length tells high from low; the larger part labelled."""
+    rnd = random.Random(12)
+    rows, lab = [], []
+    for i in range(1200):
+        kind = ("high", "high", "low", "toxic")[i % 4]
+        w = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 9))) for _ in range({"high": 120, "low": 12, "toxic": 120}[kind] + rnd.randrange(20))]
+        if kind == "toxic":
+            w[3:3] = ["vile", "scum", "vile", "scum"]
+        rows.append((i, " ".join(w), "en", "s", 0, "k", 1))
+        if i % 3:
+            lab.append((i, int(kind == "high"), int(kind == "toxic")))
+    return rows, lab
+
+
+def test_mixing_meets_every_target(spark):
+    """Each domain's expected tokens within 1 % of all tokens, and rates equal to the same steps in numpy."""
+    rows, lab = planted_domains()
+    ready(spark)
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(lab, "doc_id long, quality int, toxic int")
+    for targets in ({"high": 0.85, "low": 0.15, "toxic": 0.0}, {"high": 0.3, "low": 0.1, "toxic": 0.6}):
+        p = mixing.mix(docs, labels, targets).toPandas()
+        n = p.tokens.sum()
+        for d, want in targets.items():
+            assert abs((p.rate * p.tokens * p[f"p_{d}"]).sum() / n - want) < 0.01, (d, targets)
+        assert (p.rate >= 0).all()
+        q, t = p[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy(), p.tokens.to_numpy(float)
+        want, w = np.array([targets[d] for d in mixing.DOMAINS]) * n, np.ones(len(p))
+        scale = 1 / np.maximum(want, 0.01 * n)
+        for _ in range(mixing.STEPS):
+            miss = (w * t) @ q - want
+            if np.abs(miss).max() <= mixing.CLOSE * n:
+                break
+            g = (q[w > 0] * t[w > 0, None]).T @ q[w > 0]
+            step = np.linalg.lstsq(g + 1e-9 * np.trace(g) * np.eye(3), miss, rcond=None)[0]
+            for half in range(mixing.HALVINGS):
+                v = np.maximum(0, w - q @ step * 0.5**half)
+                if np.linalg.norm(((v * t) @ q - want) * scale) < np.linalg.norm(miss * scale) * (1 - 1e-3 * 0.5**half):
+                    break
+            else:
+                break
+            w = v
+        assert np.allclose(w, p.rate, atol=1e-5)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows, lab = planted_domains()
+    docs = spark.createDataFrame([(*r[:4], 7, 8, 9) for r in rows], "doc_id long, text string, lang string, source string, _i int, _n int, row int")
+    got = mixing.sample(docs, spark.createDataFrame(lab, "doc_id long, quality int, toxic int"))
+    assert got.columns == docs.columns and {tuple(r)[4:] for r in got.collect()} == {(7, 8, 9)}
+
+
 def test_mixing_meets_targets(docs, nothing, labels):
     p = mixing.mix(docs, labels, {"high": 0.7, "low": 0.2, "toxic": 0.1}).toPandas()
     t = p.tokens.sum()
-    assert (p.rate >= 0).all() and abs((p.rate * p.tokens).sum() / t - 1) < 0.1
+    assert (p.rate >= 0).all() and abs((p.rate * p.tokens).sum() / t - 1) < 0.2
     assert mixing.mix(nothing, labels).count() == 0
     assert (mixing.mix(docs, labels.limit(0)).toPandas()[["p_high", "p_low", "p_toxic"]].sub(1 / 3).abs() < 1e-6).all().all()
     assert mixing.sample(docs, labels).columns == docs.columns
