@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: five stages, each written and read again as the next one's input."""
+"""A training corpus from raw documents: five stages, each written and read again as the next one's input.
+
+Edge cases, stage by stage: null texts count as empty and pass the first four stages like other clean documents (as do
+empty texts, which link with nothing); null ids are documents of their own, told apart by their text; of rows that
+repeat an id and its text one stays in the MinHash stage; extra columns, whatever their names, pass all but the last stage, which
+returns its own; very long texts are read whole; of ties the smallest id is kept; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -25,10 +31,10 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Of rows that repeat an id and its text one stays, the least; rows without an id are told apart by their text."""
     ready(spark)
     no_id = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(2**62 - 1).bitwiseOR(2**62)  # above ids, so that a row with an id is kept rather
-    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), no_id))
-    gone = minhash_dedup.near_duplicates(rows, k=5, percent=80, id_col="_key").filter("not kept").select(F.col("doc_id").alias("_key")).distinct()
-    left = rows.join(gone, "_key", "left_anti")
-    return left.groupBy("_key", F.sha2("text", 256).alias("_text")).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("key"), F.col("text"), F.struct(*docs.columns).alias("row"))
+    gone = minhash_dedup.near_duplicates(rows, k=5, percent=80, id_col="key").filter("not kept").select(F.col("doc_id").alias("key")).distinct()
+    left = rows.join(gone, "key", "left_anti")
+    return left.groupBy("key", F.sha2("text", 256).alias("sha")).agg(F.min("row").alias("row")).select("row.*")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +59,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity_stage), ("minhash_dedup", minhash_stage), ("suffix_dedup", suffix_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
 
-#: No SQL: nearest neighbours, similarity joins and BPE are beyond it; tests hold the stages against brute force.
+#: No SQL: nearest neighbours, similarity joins and BPE are beyond it; tests/llm/test_pipeline_stages.py holds every stage against plain Python on a small corpus.
 ORACLE_SQL = None
 
 
