@@ -93,6 +93,32 @@ def pool_embeddings(expr: DataFrame, vectors: DataFrame, key: tuple[str, ...] =
     return sums.join(nnz, list(key)).select(*key, F.col("dim").cast("long").alias("dim"), (F.col("s") / F.col("nnz") / 1e6).alias("value"), "nnz")
 
 
+def project_and_pool(expr: DataFrame, vectors: DataFrame, weights: list[list[float]], key: tuple[str, ...] = ("bx", "by_")) -> DataFrame:
+    """As pool_embeddings, with the gene vectors mapped by weights (out x in) first; equal to mapping the pooled vectors."""
+    v = F.col("embedding").cast("array<double>")
+    dot = lambda row: F.aggregate(F.zip_with(v, F.array(*map(F.lit, row)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return pool_embeddings(expr, vectors.select("gene_id", F.array(*map(dot, weights)).alias("embedding")), key)
+
+
+def embedding_probe(pooled: DataFrame, spots: DataFrame, key: tuple[str, ...] = ("bx", "by_")) -> DataFrame:
+    """C14: one row on pooled vectors (key, dim, value, nnz) of all spots (key): norms, spread of the dimensions, mapped genes.
+
+    Spots without a mapped gene have no rows in pooled and count as zero vectors."""
+    total = spots.agg(F.count("*").alias("n"))
+    per = pooled.groupBy(*key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.max("nnz").alias("nnz"))
+    x = spots.select(*key).join(per, list(key), "left").fillna(0, ["norm", "nnz"])
+    norms = x.agg(
+        F.count("*").alias("spots"),
+        *(f("norm").alias(f"norm_{n}") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))),
+        *(f("nnz").alias(f"genes_{n}") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))),
+        F.percentile("nnz", F.lit(0.5)).alias("genes_median"),
+        F.count_if(F.col("nnz") == 0).alias("zero_spots"),
+    )
+    d = pooled.groupBy("dim").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).crossJoin(F.broadcast(total))  # one row
+    std = d.select(F.sqrt(F.greatest(F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2, F.lit(0.0))).alias("std"))
+    return norms.crossJoin(std.agg(F.avg("std").alias("dim_std_mean"), F.min("std").alias("dim_std_min"), F.max("std").alias("dim_std_max")))  # one row each
+
+
 def fano_median(spots: DataFrame, expr: DataFrame) -> DataFrame:
     """Median over expressed genes of sample variance over mean; spots (group, x, y), expr (x, y, gene_id, cnt)."""
     n = spots.groupBy("grp").agg(F.count("*").alias("n"))
@@ -127,20 +153,36 @@ def classification_metrics(pred: DataFrame) -> DataFrame:
     return x.withColumn("balanced_accuracy", (F.col("foreground_recall") + F.col("background_specificity")) / 2)
 
 
+def confusion(pred: DataFrame) -> DataFrame:
+    """(target, predicted, n) of foreground rows, all 256 cells, empty ones too."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(15)).cast("array<long>"))
+    grid = pred.sparkSession.range(1).select(k.alias("target")).withColumn("predicted", k)
+    n = pred.filter("foreground = 1").groupBy("target", "predicted").agg(F.count("*").alias("n"))
+    return grid.join(n, ["target", "predicted"], "left").fillna(0, ["n"])
+
+
 def majority_baseline(train: DataFrame, test: DataFrame) -> DataFrame:
     """Accuracy on test of the most frequent train class, the lowest on ties."""
     top = train.groupBy("target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target").limit(1).select(F.col("target").alias("majority"))
     return test.crossJoin(F.broadcast(top)).groupBy("majority").agg(F.count("*").alias("n"), (F.sum((F.col("target") == F.col("majority")).cast("long")) / F.count("*")).alias("accuracy"))
 
 
-def prediction_loss(pred: DataFrame) -> DataFrame:
+def class_weights(train: DataFrame) -> tuple[float, float]:
+    """C20: N / (2 n) of background and foreground rows; 0 for a class without rows."""
+    r = train.agg(F.count("*").alias("n"), F.count_if(F.col("foreground") == 1).alias("f")).first()
+    return tuple(r.n / (2 * k) if k else 0.0 for k in (r.n - r.f, r.f))
+
+
+def prediction_loss(pred: DataFrame, weights: tuple[float, float] | None = None) -> DataFrame:
     """C20: mean 16-way cross entropy (foreground rows, over all rows) and binary cross entropy from a logit.
 
-    pred (logits array<double>, target, foreground 0/1, z)."""
+    pred (logits array<double>, target, foreground 0/1, z); weights of background and foreground rows for the binary loss."""
     top = F.array_max("logits")
     lse = top + F.log(F.aggregate("logits", F.lit(0.0), lambda s, v: s + F.exp(v - top)))
     ce = F.when(F.col("foreground") == 1, lse - F.get("logits", F.col("target").cast("int"))).otherwise(0.0)
     bce = F.greatest("z", F.lit(0.0)) - F.col("z") * F.col("foreground") + F.log1p(F.exp(-F.abs("z")))
+    if weights:
+        bce = bce * F.when(F.col("foreground") == 1, weights[1]).otherwise(weights[0])
     return pred.agg(F.avg(ce).alias("direction_loss"), F.avg(bce).alias("foreground_loss"))
 
 
@@ -194,6 +236,46 @@ def mapping_coverage(records: DataFrame, genes: DataFrame, symbols: DataFrame) -
     )
 
 
+def missing_genes(records: DataFrame, genes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(gene_id, symbol, umi) of genes that do not map; the top ones by count are top_k of it."""
+    umi = records.groupBy("gene_id").agg(F.sum("cnt").cast("long").alias("umi"))
+    x = genes.join(symbols.select("symbol").distinct(), "symbol", "left_anti").join(umi, "gene_id", "left")
+    return x.select("gene_id", "symbol", F.coalesce("umi", F.lit(0)).alias("umi"))
+
+
+def emptied_bins(expr: DataFrame, genes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Bins, and those in which no gene maps."""
+    known = genes.join(symbols.select("symbol").distinct(), "symbol", "left_semi").select("gene_id", F.lit(1).alias("hit")).distinct()
+    per = expr.join(known, "gene_id", "left").groupBy("bx", "by_").agg(F.count("hit").alias("k"))
+    return per.agg(F.count("*").alias("bins"), F.count_if(F.col("k") == 0).alias("emptied"))
+
+
+def neighborhood_stats(tokens: DataFrame) -> DataFrame:
+    """Per centre its own genes, the unique genes and the counts of its neighbourhood; tokens as of D3."""
+    return tokens.groupBy("bx", "by_").agg(F.count_if(F.col("rank") == 0).alias("centre_genes"), F.countDistinct("gene_id").alias("genes"), F.sum("cnt").cast("long").alias("umis"))
+
+
+def context_reach(neighbors: DataFrame, nuclei: DataFrame, size: int = 3, resolution: float = 1.0) -> DataFrame:
+    """p50, p90 and p99 of the distance to the farthest neighbour, and of centres outside of any nucleus the share with one among their neighbours.
+
+    neighbors as of D2, nuclei (bx, by_, nucleus_id) by bin."""
+    lab = nuclei.filter("nucleus_id > 0").select(F.col("bx").alias("nx"), F.col("by_").alias("ny"), F.lit(1).alias("_n"))
+    d2 = (F.col("nx") - F.col("bx")) ** 2 + (F.col("ny") - F.col("by_")) ** 2
+    per = neighbors.join(lab, ["nx", "ny"], "left").groupBy("bx", "by_").agg(F.max(d2).alias("d2"), F.count("_n").alias("near"), F.count(F.when(F.col("rank") == 0, F.col("_n"))).alias("own"))
+    far = F.sqrt("d2") * size * resolution
+    outside = F.when(F.col("own") == 0, (F.col("near") > 0).cast("double"))
+    return per.agg(*(F.percentile(far, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 99)), F.avg(outside).alias("outside_with_nucleus"))
+
+
+def eligible_patches(patches: DataFrame, eligible: DataFrame) -> DataFrame:
+    """Every patch of the manifest with its eligible nuclei and its state; a patch with none stays in all denominators.
+
+    patches (patch), eligible (patch, nucleus_id, eligible)."""
+    n = eligible.filter("eligible").groupBy("patch").agg(F.count("*").alias("nuclei"))
+    x = patches.select("patch").join(n, "patch", "left").fillna(0, ["nuclei"])
+    return x.withColumn("state", F.when(F.col("nuclei") > 0, "ready").otherwise("no_eligible_nuclei"))
+
+
 def eligible_nuclei(spots: DataFrame, pixels: DataFrame, least: int = 20) -> DataFrame:
     """Nuclei by their observed spots; eligible with enough."""
     x = spots.join(pixels.filter("nucleus_id > 0").select("x", "y", "nucleus_id"), ["x", "y"])

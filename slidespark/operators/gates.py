@@ -63,6 +63,40 @@ def require_unique(df: DataFrame, key: list[str]) -> None:
         raise ValueError(f"keys occur more than once: {bad}")
 
 
+def validate_preparation(samples: DataFrame, tiles: DataFrame, markers: DataFrame, n: int = 50) -> DataFrame:
+    """(id, rule, n): prepared tiles that break a rule, and how often; none are expected.
+
+    samples (id, x, y, neighbors array<long>, foreground, dx, dy, eligible, interior), one row a supported centre; tiles (id,
+    records, bins), bins the size of the tile's grid; markers (id, state, foreground, background) as written with the data."""
+    fg = F.col("foreground")
+    bad = {
+        "neighbors": (F.size("neighbors") != n) | F.exists("neighbors", lambda i: (i < 0) | (i >= F.col("bins"))),
+        "class": ~fg.isin(-1, 0, 1),
+        "direction": ~(F.coalesce(F.abs("dx") < float("inf"), F.lit(False)) & F.coalesce(F.abs("dy") < float("inf"), F.lit(False))),
+        "eligible": F.col("eligible") != (F.col("interior") & (fg >= 0)),
+    }
+    x = samples.join(tiles.select("id", "bins"), "id")
+    got = x.groupBy("id").agg(
+        *(F.count_if(F.coalesce(c, F.lit(True))).alias(f"rule_{k}") for k, c in bad.items()), *(F.count_if(F.col("eligible") & (fg == v)).alias(f"have_{name}") for name, v in (("foreground", 1), ("background", 0)))
+    )
+    t = tiles.join(markers, "id", "left").join(got, "id", "left").fillna(0, [f"rule_{k}" for k in bad] + ["have_foreground", "have_background"])
+    counts = [(F.col(f"have_{k}") != F.coalesce(F.col(k), F.lit(0))).cast("long") for k in ("foreground", "background")]
+    state = F.coalesce("state", F.lit("missing"))
+    rules = {**{k: F.col(f"rule_{k}") for k in bad}, "counts": counts[0] + counts[1], "state": (~state.isin("prepared", "empty") | ((state == "empty") != (F.col("records") == 0))).cast("long")}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), c.cast("long").alias("n")) for k, c in rules.items()))).alias("r")
+    return t.select("id", each).select("id", "r.rule", "r.n").filter("n > 0")
+
+
+def mismatched(df: DataFrame, fingerprint: str) -> DataFrame:
+    """Parts (id, fingerprint) that were prepared under another schema, gene order or dictionary."""
+    return df.filter(~F.col("fingerprint").eqNullSafe(F.lit(fingerprint)))
+
+
+def require_fingerprint(df: DataFrame, fingerprint: str) -> None:
+    if bad := mismatched(df, fingerprint).limit(5).collect():
+        raise ValueError(f"prepared under another schema: {bad}")
+
+
 def validate_predictions(pred: DataFrame, centres: DataFrame) -> DataFrame:
     """Rules broken by predictions (x, y, p, logits) of the given centres."""
     p = pred.withColumn("_p", F.lit(1)).join(centres.select("x", "y", F.lit(1).alias("_c")), ["x", "y"], "full_outer")

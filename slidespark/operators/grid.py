@@ -124,3 +124,20 @@ def expand_bins(labels: DataFrame, size: int, height: Column, width: Column) ->
     x = labels.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step))
     x = x.withColumns({"x": F.col("bx") * size + F.col("_dx"), "y": F.col("by_") * size + F.col("_dy")})
     return x.filter((F.col("x") < height) & (F.col("y") < width)).drop("_dx", "_dy")
+
+
+def restrict_genes(spots: DataFrame, selected: list[int], n_genes: int) -> DataFrame:
+    """Spots (.., genes array<struct<gene_id, cnt>>) with the selected genes only, under their new ids 0, 1, ..
+
+    A spot without any is kept as an empty token. Selected ids are unique and below n_genes."""
+    if not selected or len(set(selected)) < len(selected) or min(selected) < 0 or max(selected) >= n_genes:
+        raise ValueError("selected gene ids must be unique and valid")
+    new = F.create_map(*(F.lit(v).cast("long") for i, g in enumerate(selected) for v in (g, i)))
+    ids = F.array(*(F.lit(g).cast("long") for g in selected))
+    kept = F.filter("genes", lambda g: F.array_contains(ids, g["gene_id"].cast("long")))
+    return spots.withColumn("genes", F.transform(kept, lambda g: F.struct(F.element_at(new, g["gene_id"].cast("long")).alias("gene_id"), g["cnt"].alias("cnt"))))
+
+
+def coverage(spots: DataFrame) -> DataFrame:
+    """Spots, those left empty, and tokens of restricted spots."""
+    return spots.agg(F.count("*").alias("spots"), F.count_if(F.size("genes") == 0).alias("empty"), F.sum(F.size("genes")).cast("long").alias("tokens"))

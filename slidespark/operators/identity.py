@@ -12,9 +12,13 @@ from . import ranking
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+    """df cut off from its lineage, in the shared folder; a temporary one only where a local session names none."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 

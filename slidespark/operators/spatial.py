@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,20 +18,42 @@ def ring_offsets(rings: int = 10) -> list[tuple[int, int]]:
     return sorted(((x, y) for x in span for y in span), key=key)
 
 
+#: Bins on the side of a tile in which neighbours are looked up.
+TILE = 128
+
+
 def ring_neighbors(bins: DataFrame, n: int = 50, rings: int = 10) -> DataFrame:
     """(bx, by_, rank, nx, ny): the first n occupied bins in ring order of every bin that has as many.
 
-    The offsets are a fixed table of (2 * rings + 1) ** 2 rows; only bins, not counts, are joined. Ranks
-    come from a window per centre, which holds at most that many rows."""
+    Bins are dealt into square tiles with a halo of ``rings`` bins (a third more rows), and every tile looks up the
+    offsets in its own occupancy grid, so only bins are shuffled, once. A tile holds (TILE + 2 * rings) ** 2 bins at most."""
     offsets = ring_offsets(rings)
     if not 1 <= n <= len(offsets):
         raise ValueError(f"n must be within 1 and {len(offsets)}")
-    steps = F.array(*(F.struct(F.lit(i).alias("o"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for i, (x, y) in enumerate(offsets)))
-    look = bins.select("bx", "by_", F.explode(steps).alias("s")).select("bx", "by_", "s.o", (F.col("bx") + F.col("s.dx")).alias("nx"), (F.col("by_") + F.col("s.dy")).alias("ny"))
-    hit = look.join(bins.select(F.col("bx").alias("nx"), F.col("by_").alias("ny")), ["nx", "ny"])
-    w = W.partitionBy("bx", "by_")
-    ranked = hit.withColumn("rank", F.row_number().over(w.orderBy("o")) - 1).filter(F.col("rank") < n)
-    return ranked.withColumn("_have", F.count("*").over(w)).filter(F.col("_have") == n).select("bx", "by_", F.col("rank").cast("long").alias("rank"), "nx", "ny")
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - rings) / TILE), F.floor((F.col(c) + rings) / TILE)).cast("array<long>"))
+    dealt = bins.select(F.col("bx").cast("long"), F.col("by_").cast("long")).withColumn("tx", tiles("bx")).withColumn("ty", tiles("by_"))
+    dx, dy = np.array(offsets).T
+    fields = "bx long, by_ long, rank long, nx long, ny long"
+
+    def look_up(key: tuple, t: pa.Table) -> pa.Table:
+        x0, y0 = (k.as_py() * TILE - rings for k in key)
+        x, y = (t.column(c).to_numpy() - o for c, o in (("bx", x0), ("by_", y0)))
+        grid = np.zeros((TILE + 2 * rings,) * 2, bool)
+        grid[x, y] = True
+        x, y = np.nonzero(grid[rings : rings + TILE, rings : rings + TILE])  # one centre a bin, its halo inside the grid
+        out = []
+        for at in range(0, len(x), 4096):
+            cx, cy = x[at : at + 4096] + rings, y[at : at + 4096] + rings
+            seen = grid[cx[:, None] + dx, cy[:, None] + dy]
+            count = np.cumsum(seen, axis=1, dtype=np.int32)
+            full = count[:, -1] >= n
+            c, o = np.nonzero(seen[full] & (count[full] <= n))
+            cx, cy = cx[full][c] + x0, cy[full][c] + y0
+            out.append([cx, cy, np.tile(np.arange(n), int(full.sum())), cx + dx[o], cy + dy[o]])
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 5
+        return pa.table(dict(zip(("bx", "by_", "rank", "nx", "ny"), (pa.array(c, pa.int64()) for c in cols), strict=True)))
+
+    return dealt.groupBy("tx", "ty").applyInArrow(look_up, fields)
 
 
 def relative_positions(neighbors: DataFrame, size: int = 3) -> DataFrame:
@@ -68,20 +92,36 @@ def gene_lookup(genes: DataFrame, symbols: DataFrame, strict: bool = False) -> D
     return out
 
 
+def _bucket(c: str, radius: int) -> Column:
+    return F.floor(F.col(c) / radius).cast("long")
+
+
+def _square(c: Column) -> Column:
+    return c * c
+
+
+def _around(centres: DataFrame, radius: int) -> DataFrame:
+    """centres once in each of the nine buckets (_cbx, _cby) around them."""
+    step = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    c = centres.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step))
+    return c.withColumns({"_cbx": _bucket("cx", radius) + F.col("_i"), "_cby": _bucket("cy", radius) + F.col("_j")}).drop("_i", "_j")
+
+
 def within(points: DataFrame, centres: DataFrame, radius: int) -> DataFrame:
     """Pairs of points (x, y, ..) and centres (cx, cy, ..) at most radius apart, by buckets of the radius."""
-    b = lambda c: F.floor(c / radius).cast("long")
-    step = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    c = centres.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step)).withColumns({"_bx": b(F.col("cx")) + F.col("_i"), "_by": b(F.col("cy")) + F.col("_j")}).drop("_i", "_j")
-    p = points.withColumns({"_bx": b(F.col("x")), "_by": b(F.col("y"))})
-    d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
-    return p.join(c, ["_bx", "_by"]).drop("_bx", "_by").withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+    c = _around(centres, radius)
+    p = points.withColumns({"_bx": _bucket("x", radius), "_by": _bucket("y", radius)})
+    d2 = _square(F.col("x") - F.col("cx")) + _square(F.col("y") - F.col("cy"))
+    x = p.join(c, (F.col("_bx") == F.col("_cbx")) & (F.col("_by") == F.col("_cby")))
+    return x.drop("_bx", "_by", "_cbx", "_cby").withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
 
 
 def background_mask(points: DataFrame, centres: DataFrame, radius: int = 30) -> DataFrame:
     """Unlabelled, dark points (x, y, nucleus_id, stain) with no nucleus centre within the radius."""
-    near = within(points.select("x", "y"), centres.select("cx", "cy"), radius).select("x", "y").distinct()
-    return points.filter("nucleus_id = 0 and stain <= 10").join(near, ["x", "y"], "left_anti")
+    dark = points.filter("nucleus_id = 0 and stain <= 10").withColumns({"_bx": _bucket("x", radius), "_by": _bucket("y", radius)})
+    c = _around(centres.select("cx", "cy"), radius)
+    close = (dark["_bx"] == c["_cbx"]) & (dark["_by"] == c["_cby"]) & (_square(dark["x"] - c["cx"]) + _square(dark["y"] - c["cy"]) <= radius * radius)
+    return dark.join(c, close, "left_anti").drop("_bx", "_by")
 
 
 def best_overlap(pairs: DataFrame) -> DataFrame:

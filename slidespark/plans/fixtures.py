@@ -31,9 +31,9 @@ VIEWS = {
     "fx_bins": "SELECT DISTINCT bx, by_ FROM {fx_records}",
     "fx_labels": LABELS_OF.replace("{of}", "{fx_spots}"),
     "fx_anchor_labels": LABELS_OF.replace("{of}", "(SELECT 3*bx AS x, 3*by_ AS y FROM {fx_bins}) q"),
-    "fx_genes": "SELECT CAST(p_partkey AS BIGINT) AS gene_id, concat('ENS',CAST(p_partkey AS VARCHAR(20))) AS gene_identifier, p_name AS gene_name FROM {part} WHERE p_partkey<200",
+    "fx_genes": "SELECT CAST(p_partkey AS BIGINT) AS gene_id, concat('ENS',CAST(p_partkey AS VARCHAR(20))) AS gene_identifier, p_name AS gene_name FROM {part}",
     "fx_embeddings": """SELECT s.symbol, e.embedding FROM (SELECT symbol, row_number() OVER (ORDER BY symbol)-1 AS r FROM
- (SELECT DISTINCT upper(p_name) AS symbol FROM {part} WHERE p_partkey<200) q) s JOIN {embeddings} e ON e.vec_id=s.r WHERE s.r % 8 <> 7""",
+ (SELECT DISTINCT upper(p_name) AS symbol FROM {part}) q) s JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id)-1 AS k, count(*) OVER () AS n FROM {embeddings}) e ON e.k=s.r % e.n WHERE s.r % 8 <> 7""",
     # samples: bins with a class and a foreground flag by integer rules
     "fx_samples": "SELECT bx, by_, CAST(floor(bx/50) AS BIGINT) AS tile, CASE WHEN (bx+2*by_) % 3 = 0 THEN 1 ELSE 0 END AS foreground, (bx*7+by_*3) % 16 AS direction FROM {fx_bins}",
     # predictions: integer rules of the bin

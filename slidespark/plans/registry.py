@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from slidespark.operators import spatial as D
 from slidespark.sources import records as A
 
 from .fixtures import Fixtures, oracle
+from .shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -295,21 +295,13 @@ def _(fx):
     return rounded(E.row_pearson(half(0), half(1), N_GENES), "r")
 
 
-@query("c12_pool_embeddings", f"SELECT bx, by_, dim-1 AS dim, round(sum(cnt*v)/any_value(nnz)/1e6, 3) AS value, any_value(nnz) AS nnz FROM (SELECT bx, by_, cnt, symbol, count(*) OVER (PARTITION BY bx, by_, dim) AS nnz, dim, v FROM (SELECT e.bx, e.by_, upper(gene_name) AS symbol, CAST(sum(cnt) AS BIGINT) AS cnt FROM {EXPR} e JOIN fx_genes USING (gene_id) GROUP BY 1,2,3) s JOIN (SELECT symbol, unnest(range(1, 5)) AS dim, CAST(round(CAST(embedding[unnest(range(1, 5))] AS DOUBLE)*1e6) AS BIGINT) AS v FROM fx_embeddings) v USING (symbol)) q GROUP BY bx, by_, dim")
+@query("c12_pool_embeddings", f"SELECT bx, by_, dim-1 AS dim, CAST(sum(cnt*v) AS BIGINT) AS value, any_value(nnz) AS nnz FROM (SELECT bx, by_, cnt, symbol, count(*) OVER (PARTITION BY bx, by_, dim) AS nnz, dim, v FROM (SELECT e.bx, e.by_, upper(gene_name) AS symbol, CAST(sum(cnt) AS BIGINT) AS cnt FROM {EXPR} e JOIN fx_genes USING (gene_id) GROUP BY 1,2,3) s JOIN (SELECT symbol, unnest(range(1, len(embedding)+1)) AS dim, CAST(round(CAST(unnest(embedding) AS DOUBLE)*1e6) AS BIGINT) AS v FROM fx_embeddings) v USING (symbol)) q GROUP BY bx, by_, dim")
 def _(fx):
-    g = fx["fx_genes"].select("gene_id", S.gene_symbol(F.col("gene_name"), F.col("gene_identifier")).alias("symbol"))
-    m = E.merge_symbols(E.bin_expression(fx["fx_records"]), g).withColumnRenamed("symbol", "gene_id")
-    v = fx["fx_embeddings"].select(F.col("symbol").alias("gene_id"), F.slice("embedding", 1, 4).alias("embedding"))
-    return rounded(E.pool_embeddings(m, v), "value", digits=3)
-
-
-@query("c12_pool_embeddings_whole")
-def _(fx):
-    """All dimensions; too many rows for SQL of this form."""
     g = fx["fx_genes"].select("gene_id", S.gene_symbol(F.col("gene_name"), F.col("gene_identifier")).alias("symbol"))
     m = E.merge_symbols(E.bin_expression(fx["fx_records"]), g).withColumnRenamed("symbol", "gene_id")
     v = fx["fx_embeddings"].select(F.col("symbol").alias("gene_id"), "embedding")
-    return rounded(E.pool_embeddings(m, v), "value", digits=3)
+    # as the fixed-point sum, which has no ties of rounding
+    return E.pool_embeddings(m, v).withColumn("value", F.round(F.col("value") * F.col("nnz") * 1e6).cast("long"))
 
 
 @query("c15_fano_median", "SELECT grp, round(fano, 6) AS fano FROM (SELECT grp, quantile_cont(f, 0.5) AS fano FROM (SELECT grp, greatest((q-s*s::DOUBLE/n)/(n-1), 0)/(s::DOUBLE/n) AS f FROM (SELECT cell_a AS grp, gene_id, sum(c) AS s, sum(c*c) AS q FROM (SELECT x, y, gene_id, sum(cnt) AS c FROM fx_records GROUP BY 1,2,3) e JOIN fx_labels USING (x, y) WHERE cell_a > 0 GROUP BY 1,2) g JOIN (SELECT cell_a AS grp, count(*) AS n FROM fx_labels WHERE cell_a > 0 GROUP BY 1) n USING (grp) WHERE n >= 2) h GROUP BY grp) z")
@@ -372,8 +364,7 @@ def _(fx):
 
 @query("c28_neighborhood_stats", None)
 def _(fx):
-    t = D.gather_tokens(D.ring_neighbors(fx["fx_bins"]), E.bin_expression(fx["fx_records"]))
-    return t.groupBy("bx", "by_").agg(F.count_if(F.col("rank") == 0).alias("centre_genes"), F.countDistinct("gene_id").alias("genes"), F.sum("cnt").cast("long").alias("umis"))
+    return E.neighborhood_stats(D.gather_tokens(D.ring_neighbors(fx["fx_bins"]), E.bin_expression(fx["fx_records"])))
 
 
 ORACLE_SQL["c28_neighborhood_stats"] = oracle("SELECT 1 FROM fx_records", "fx_records", "fx_bins").replace(
@@ -457,15 +448,8 @@ def _(fx):
     return D.adjacent_tiles(B.make_tiles(fx.spark, n, n, 150, 12))
 
 
-@query("d11_kernel_enhance", "SELECT s.x, s.y, gene_id, round(sum(c/greatest((s.x-e.x)*(s.x-e.x)+(s.y-e.y)*(s.y-e.y), 1)), 6) AS value FROM fx_spots s JOIN (SELECT x, y, gene_id, sum(cnt) AS c FROM fx_records WHERE gene_id < 20 GROUP BY 1,2,3) e ON e.x BETWEEN s.x-2 AND s.x+2 AND e.y BETWEEN s.y-2 AND s.y+2 AND (s.x-e.x)*(s.x-e.x)+(s.y-e.y)*(s.y-e.y) <= 4 GROUP BY 1,2,3")
+@query("d11_kernel_enhance", "SELECT s.x, s.y, e.gene_id, round(sum(c*w), 6) AS value FROM (SELECT x, y, gene_id, sum(cnt) AS c FROM fx_records GROUP BY 1,2,3) e, (SELECT a AS dx, b AS dy, 1.0E0/greatest(a*a+b*b, 1) AS w FROM range(-2, 3) p(a), range(-2, 3) q(b) WHERE a*a+b*b <= 4) o JOIN fx_spots s ON s.x = e.x+dx AND s.y = e.y+dy GROUP BY 1,2,3")
 def _(fx):
-    e = fx["fx_records"].filter("gene_id < 20").groupBy("x", "y", "gene_id").agg(F.sum("cnt").alias("cnt"))
-    return rounded(D.kernel_enhance(fx["fx_spots"], e, 2), "value")
-
-
-@query("d11_kernel_enhance_whole")
-def _(fx):
-    """All genes; the range join in SQL is too slow for them."""
     e = fx["fx_records"].groupBy("x", "y", "gene_id").agg(F.sum("cnt").alias("cnt"))
     return rounded(D.kernel_enhance(fx["fx_spots"], e, 2), "value")
 
@@ -626,28 +610,6 @@ def _(fx):
     return fx["fx_genes"].select("gene_id", S.is_mt(F.concat(F.when(F.col("gene_id") % 7 == 0, "mt-").otherwise(""), "gene_name")).alias("mt"))
 
 
-def all_genes(fx: Fixtures) -> DataFrame:
-    """fx_genes over the whole of part."""
-    k = F.col("p_partkey").cast("long")
-    return fx["part"].select(k.alias("gene_id"), F.concat(F.lit("ENS"), k.cast("string")).alias("gene_identifier"), F.col("p_name").alias("gene_name"))
-
-
-@query("g2_gene_symbol_whole")
-def _(fx):
-    n, i = F.col("gene_name"), F.col("gene_identifier")
-    return all_genes(fx).select("gene_id", S.gene_symbol(n, i).alias("symbol"), S.gene_identifier(n, i).alias("identifier"))
-
-
-@query("g4_fingerprint_whole")
-def _(fx):
-    return all_genes(fx).select("gene_id", S.fingerprint(F.col("gene_identifier"), F.col("gene_name")).alias("h"))
-
-
-@query("g6_is_mt_whole")
-def _(fx):
-    return all_genes(fx).select("gene_id", S.is_mt(F.concat(F.when(F.col("gene_id") % 7 == 0, "mt-").otherwise(""), "gene_name")).alias("mt"))
-
-
 @query("g7_safe_div", "SELECT bx, by_, round(greatest(least(CAST(bx AS DOUBLE)/nullif(by_ % 4, 0), 9), 1), 6) AS r FROM fx_bins WHERE by_ % 4 <> 0 UNION ALL SELECT bx, by_, NULL FROM fx_bins WHERE by_ % 4 = 0")
 def _(fx):
     r = S.safe_div(F.col("bx").cast("double"), F.col("by_") % 4)
@@ -782,6 +744,6 @@ def _(fx):
 def _(fx):
     from slidespark.streaming.ingest import stream_ingest
 
-    base = (fx.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/") + f"/stream-{__import__('uuid').uuid4().hex}"
+    base = new_folder(fx.spark, "stream")
     fx["fx_records"].select("gene_id", "x", "y", "cnt").repartition(6).write.parquet(f"{base}/in")
     return stream_ingest(fx.spark, f"{base}/in", f"{base}/out", f"{base}/log", 150)

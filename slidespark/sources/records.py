@@ -121,7 +121,7 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    x = spark.read.csv(path, sep="\t", schema="x long, y long, p double, l string")
+    x = spark.read.csv(path, sep="\t", schema="x long, y long, p double, l string", header=False)
     return x.select("x", "y", "p", F.split("l", ":").cast("array<double>").alias("logits"))
 
 
@@ -155,9 +155,24 @@ def write_cell_matrix(counts: DataFrame, obs: DataFrame, var: DataFrame, path: s
 
 
 def publish(df: DataFrame, path: str, marker: str) -> None:
-    """An existing path is refused; the marker is written after the table is whole."""
-    df.write.mode("errorifexists").parquet(path)
-    df.sparkSession.range(1).select(F.lit(path).alias("path")).write.mode("errorifexists").json(marker)
+    """An existing path is refused; the table is written under a temporary name and renamed when whole, then the marker follows.
+
+    A failed write leaves only the temporary folder, which the next run replaces."""
+    spark = df.sparkSession
+    to, temporary = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.partial"))
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(to):
+        raise FileExistsError(path)
+    df.write.mode("overwrite").parquet(f"{path}.partial")
+    if not fs.rename(temporary, to):
+        raise OSError(f"{path}.partial could not be renamed")
+    spark.range(1).select(F.lit(path).alias("path")).write.mode("errorifexists").json(marker)
+
+
+def write_shards(records: DataFrame, path: str, size: int = 1200) -> None:
+    """A5: the patches of shard_by_patch as one partition each, written in one pass."""
+    x = shard_by_patch(records, size)
+    x.repartition("px", "py", F.floor(F.col("x") / 64) % 16).write.mode("errorifexists").partitionBy("px", "py").parquet(path)
 
 
 def flatten_molecules(nested: DataFrame, factor: int = 5) -> DataFrame:

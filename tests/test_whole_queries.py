@@ -27,7 +27,7 @@ def test_whole_queries(spark, tmp_path):
             for dy in range(-2, 3):
                 if dx * dx + dy * dy <= 4 and (r.x + dx, r.y + dy) in spots:
                     want[r.x + dx, r.y + dy, r.gene_id] += r.cnt / max(dx * dx + dy * dy, 1)
-    got = {(r.x, r.y, r.gene_id): r.value for r in run("d11_kernel_enhance_whole")}
+    got = {(r.x, r.y, r.gene_id): r.value for r in run("d11_kernel_enhance")}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
     vector = {r.symbol: r.embedding for r in registry.Fixtures(spark, sf)["fx_embeddings"].collect()}
@@ -40,11 +40,11 @@ def test_whole_queries(spark, tmp_path):
         genes[x, y] += 1
         for d, v in enumerate(vector[g]):
             total[x, y, d] += n * v
-    got = {(r.bx, r.by_, r.dim): r.value for r in run("c12_pool_embeddings_whole")}
+    got = {(r.bx, r.by_, r.dim): r.value / r.nnz / 1e6 for r in run("c12_pool_embeddings")}
     assert {d for *_, d in got} == set(range(9)) and got.keys() == total.keys()
     assert all(abs(got[x, y, d] - v / genes[x, y]) < 1e-3 for (x, y, d), v in total.items())
 
     name = {k: f"mt-name {k}" if k == 300 else f"name {k}" for k in range(1, 301)}
-    assert {r.gene_id: (r.symbol, r.identifier) for r in run("g2_gene_symbol_whole")} == {k: (v.upper(), f"ENS{k}") for k, v in name.items()}
-    assert {r.gene_id: r.h for r in run("g4_fingerprint_whole")} == {k: hashlib.sha256(f"ENS{k}\x1f{v}".encode()).hexdigest() for k, v in name.items()}
-    assert {r.gene_id for r in run("g6_is_mt_whole") if r.mt} == {k for k in name if k % 7 == 0 or k == 300}
+    assert {r.gene_id: (r.symbol, r.identifier) for r in run("g2_gene_symbol")} == {k: (v.upper(), f"ENS{k}") for k, v in name.items()}
+    assert {r.gene_id: r.h for r in run("g4_fingerprint")} == {k: hashlib.sha256(f"ENS{k}\x1f{v}".encode()).hexdigest() for k, v in name.items()}
+    assert {r.gene_id for r in run("g6_is_mt") if r.mt} == {k for k in name if k % 7 == 0 or k == 300}
