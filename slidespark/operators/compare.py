@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidespark.functions.quantile import exact_quantile
+
 from .expression import pearson
-from .spatial import best_overlap
+from .spatial import best_of, best_overlap, overlap_counts
 
 
-def split_correlation(records: DataFrame, split: DataFrame, n_genes: int) -> DataFrame:
+def split_correlation(records: DataFrame, sides: DataFrame, n_genes: int, repeats: int = 10) -> DataFrame:
     """Per cell the mean correlation of the two sides over the repeats where it is defined.
 
-    split (x, y, cell, repeat, side) comes from half_split or line_split. Both sides are conditional sums of one
-    grouping, so a repeat costs no join of its own."""
-    g = records.join(split, ["x", "y"]).groupBy("repeat", "cell", "gene_id").agg(F.sum(F.when(F.col("side") == 1, F.col("cnt")).otherwise(0)).alias("a"), F.sum("cnt").alias("t"))
-    g = g.withColumn("b", F.col("t") - F.col("a"))
-    s = {"sa": F.col("a"), "sb": F.col("b"), "saa": F.col("a") * F.col("a"), "sbb": F.col("b") * F.col("b"), "sab": F.col("a") * F.col("b")}
-    per = g.groupBy("repeat", "cell").agg(*(F.sum(e).cast("long").alias(k) for k, e in s.items()))
-    r = per.select("cell", pearson(n_genes, *map(F.col, s)).alias("r"))
+    sides (x, y, cell, sides) comes from half_sides or line_sides: bit r is the side in repeat r. All repeats are
+    conditional sums of one grouping, so records are joined and shuffled once and not copied."""
+    x = records.join(sides, ["x", "y"])
+    on = lambda r: F.shiftright("sides", r).bitwiseAND(F.lit(1).cast("long"))
+    g = x.groupBy("cell", "gene_id").agg(F.sum("cnt").alias("t"), *(F.sum(F.col("cnt") * on(r)).alias(f"a{r}") for r in range(repeats)))
+    sums = []
+    for r in range(repeats):
+        a = F.col(f"a{r}")
+        b = F.col("t") - a
+        sums += [F.sum(e).cast("long").alias(f"{k}{r}") for k, e in (("sa", a), ("sb", b), ("saa", a * a), ("sbb", b * b), ("sab", a * b))]
+    per = g.groupBy("cell").agg(*sums)
+    each = F.array(*(pearson(n_genes, *(F.col(f"{k}{r}") for k in ("sa", "sb", "saa", "sbb", "sab"))) for r in range(repeats)))
+    r = per.select("cell", F.explode(each).alias("r"))
     return r.groupBy("cell").agg(F.avg("r").alias("correlation"), F.count("r").alias("valid_repeats"))
 
 
@@ -67,11 +75,11 @@ def transcript_iou(molecules: DataFrame) -> DataFrame:
 
     molecules (manual > 0, predicted >= 0)."""
     pairs = molecules.select(F.col("manual").alias("s"), F.col("predicted").alias("t"))
-    fwd = best_overlap(pairs)
-    back = best_overlap(pairs.select(F.col("t").alias("s"), F.col("s").alias("t"))).select(F.col("s").alias("t"), F.col("t").alias("s"), F.lit(True).alias("mutual"))
-    na = pairs.groupBy("s").agg(F.count("*").alias("na"))
-    nb = pairs.groupBy("t").agg(F.count("*").alias("nb"))
-    x = na.join(fwd.join(back, ["s", "t"]).join(nb, "t"), "s", "left")
+    n = overlap_counts(pairs)
+    back = best_of(n, "t", "s").select("s", "t", F.lit(True).alias("mutual"))
+    na = n.groupBy("s").agg(F.sum("n").alias("na"))
+    nb = n.groupBy("t").agg(F.sum("n").alias("nb"))
+    x = na.join(best_of(n, "s", "t").join(back, ["s", "t"]).join(nb, "t"), "s", "left")
     iou = F.coalesce(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")), F.lit(0.0))
     return x.select(F.col("s").alias("manual"), F.col("t").alias("predicted"), iou.alias("iou"), F.coalesce("mutual", F.lit(False)).alias("mutual"))
 
@@ -79,21 +87,16 @@ def transcript_iou(molecules: DataFrame) -> DataFrame:
 def iou_summary(per_cell: DataFrame) -> DataFrame:
     """The summary row of transcript_iou."""
     m = F.when(F.col("mutual"), F.col("iou"))
-    return per_cell.agg(
-        F.count("*").alias("manual_cells"),
-        F.count(m).alias("mutual_matches"),
-        F.avg(m).alias("matched_only_mean"),
-        F.percentile(m, F.lit(0.5)).alias("matched_only_median"),
-        F.avg("iou").alias("all_gt_mean"),
-        F.percentile("iou", F.lit(0.5)).alias("all_gt_median"),
-        (F.sum((F.col("iou") >= 0.5).cast("long")) / F.count("*")).alias("recall50"),
+    x = per_cell.agg(
+        F.count("*").alias("manual_cells"), F.count(m).alias("mutual_matches"), F.avg(m).alias("matched_only_mean"), F.avg("iou").alias("all_gt_mean"), (F.sum((F.col("iou") >= 0.5).cast("long")) / F.count("*")).alias("recall50")
     )
+    return x.crossJoin(exact_quantile(per_cell, m, 0.5, "matched_only_median")).crossJoin(exact_quantile(per_cell, F.col("iou"), 0.5, "all_gt_median"))  # one row each
 
 
 def segmentation_quality(records: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """I8: cells, median area, share of counts in cells, share of nuclei with a cell."""
     areas = labels.filter(F.col(label) > 0).groupBy(label).agg(F.count("*").alias("area"))
-    a = areas.agg(F.count("*").alias("cells"), F.percentile("area", F.lit(0.5)).alias("median_area"))
+    a = areas.agg(F.count("*").alias("cells")).crossJoin(exact_quantile(areas, F.col("area"), 0.5, "median_area"))  # one row each
     x = records.join(labels.select("x", "y", F.col(label).alias("c")), ["x", "y"], "left")
     u = x.agg((F.sum(F.when(F.col("c") > 0, F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("assigned"))
     n = labels.filter("nucleus_id > 0").groupBy("nucleus_id").agg(F.max((F.col(label) > 0).cast("long")).alias("m")).agg(F.avg("m").alias("nuclei_matched"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slidespark.functions import scalars as S
+from slidespark.functions.quantile import exact_quantile, exact_quantiles
 
 
 def bin_expression(records: DataFrame, keys: tuple[str, ...] = ("bx", "by_")) -> DataFrame:
@@ -54,7 +55,7 @@ def metric_summary(df: DataFrame, col: str, where: Column | None = None) -> Data
     c = F.col(col).cast("double")
     ok = c.isNotNull() & ~F.isnan(c) & (where if where is not None else F.lit(True))
     v = F.when(ok, c)
-    return df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"))
+    return df.agg(F.count(v).alias("n"), F.avg(v).alias("mean")).crossJoin(exact_quantile(df, v, 0.5, "median"))  # one row each
 
 
 NINE = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
@@ -62,10 +63,16 @@ NINE = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
 def quantiles(df: DataFrame, col: str, shares: tuple[float, ...] = NINE) -> DataFrame:
     """Exact, linearly interpolated quantiles, one row a share."""
-    x = df.agg(F.percentile(col, F.array(*map(F.lit, shares))).alias("v"))
+    x = exact_quantiles(df, F.col(col), list(shares), "v")
     return x.select(F.posexplode("v").alias("i", "value")).select(F.get(F.array(*map(F.lit, shares)), F.col("i")).alias("share"), "value")
 
 
+def quantile_summary(df: DataFrame, col: str) -> DataFrame:
+    """One row: p10, p50, p90, mean, min and max."""
+    q = exact_quantiles(df, F.col(col), [0.1, 0.5, 0.9], "q").select(*(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p10", "p50", "p90"))))
+    return q.crossJoin(df.agg(F.avg(col).alias("mean"), F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max")))  # one row each
+
+
 def pearson(n: Column | int, a: Column, b: Column, aa: Column, bb: Column, ab: Column, undefined: float | None = None) -> Column:
     """C11: correlation from five sums over n columns; undefined where a side has no variance."""
     n = F.lit(n) if not isinstance(n, Column) else n
@@ -88,7 +95,7 @@ def pool_embeddings(expr: DataFrame, vectors: DataFrame, key: tuple[str, ...] =
     vectors (gene_id, embedding). Sums are fixed point, so they do not depend on the order of rows; spots
     without a mapped gene have no row here and are zero vectors."""
     dims = vectors.select("gene_id", F.posexplode("embedding").alias("dim", "v")).select("gene_id", "dim", F.round(F.col("v").cast("double") * 1e6).cast("long").alias("v"))
-    nnz = expr.join(F.broadcast(vectors.select("gene_id")), "gene_id").groupBy(*key).agg(F.count("*").alias("nnz"))
+    nnz = expr.join(vectors.select("gene_id"), "gene_id").groupBy(*key).agg(F.count("*").alias("nnz"))
     sums = expr.join(dims, "gene_id").groupBy(*key, "dim").agg(F.sum(F.col("cnt") * F.col("v")).alias("s"))
     return sums.join(nnz, list(key)).select(*key, F.col("dim").cast("long").alias("dim"), (F.col("s") / F.col("nnz") / 1e6).alias("value"), "nnz")
 
@@ -224,7 +231,7 @@ def densest_window(records: DataFrame, patch: int, coarse: int) -> DataFrame:
 
 def mapping_coverage(records: DataFrame, genes: DataFrame, symbols: DataFrame) -> DataFrame:
     """Genes, symbols and counts that map; genes (gene_id, symbol), symbols (symbol)."""
-    known = genes.join(F.broadcast(symbols.select("symbol", F.lit(1).alias("hit"))), "symbol", "left")
+    known = genes.join(symbols.select("symbol", F.lit(1).alias("hit")), "symbol", "left")
     umi = records.groupBy("gene_id").agg(F.sum("cnt").cast("long").alias("umi"))
     x = known.join(umi, "gene_id", "left")
     return x.agg(
@@ -264,7 +271,8 @@ def context_reach(neighbors: DataFrame, nuclei: DataFrame, size: int = 3, resolu
     per = neighbors.join(lab, ["nx", "ny"], "left").groupBy("bx", "by_").agg(F.max(d2).alias("d2"), F.count("_n").alias("near"), F.count(F.when(F.col("rank") == 0, F.col("_n"))).alias("own"))
     far = F.sqrt("d2") * size * resolution
     outside = F.when(F.col("own") == 0, (F.col("near") > 0).cast("double"))
-    return per.agg(*(F.percentile(far, F.lit(p / 100)).alias(f"p{p}") for p in (50, 90, 99)), F.avg(outside).alias("outside_with_nucleus"))
+    q = exact_quantiles(per, far, [0.5, 0.9, 0.99]).select(*(F.get("q", F.lit(i)).alias(f"p{p}") for i, p in enumerate((50, 90, 99))))
+    return q.crossJoin(per.agg(F.avg(outside).alias("outside_with_nucleus")))  # one row each
 
 
 def eligible_patches(patches: DataFrame, eligible: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slidespark.functions import scalars as S
+from slidespark.functions.quantile import exact_quantiles
 
 CORE, HALO, BIN = 1200, 60, 3
 
@@ -89,7 +90,7 @@ def spatial_holdout(samples: DataFrame, height: Column | int, width: Column | in
 
 def stretch(pixels: DataFrame, col: str, low: float = 1.0, high: float = 99.5) -> DataFrame:
     """Contrast stretch of an intensity to 0..255 between percentiles of its positive pixels."""
-    cut = pixels.filter(F.col(col) > 0).agg(F.percentile(col, F.array(F.lit(low / 100), F.lit(high / 100))).alias("_p"))
+    cut = exact_quantiles(pixels.filter(F.col(col) > 0), F.col(col), [low / 100, high / 100], "_p")
     a, b = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
     x = pixels.crossJoin(F.broadcast(cut))  # one row
     return x.withColumn("stretched", S.clip((F.col(col) - a) / F.greatest(b - a, F.lit(1e-12)), 0.0, 1.0) * 255).drop("_p")

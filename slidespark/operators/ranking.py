@@ -9,10 +9,24 @@ from pyspark.sql import functions as F
 from slidespark.functions import scalars as S
 
 
+#: Rows of a stratum that one task ranks.
+PART = 1_000_000
+
+
 def _ranked(df: DataFrame, strata: list[str], key: list[str], seed) -> DataFrame:
+    """df with _rank in hash order within the stratum and _n, the stratum's rows.
+
+    A stratum of more than PART rows is cut into ranges of the hash; a row's rank is that within its range after
+    the rows of the ranges before it, so no task holds a large stratum."""
     order = S.hash_order(seed, *map(F.col, strata), *map(F.col, key))
-    w = W.partitionBy(*strata)
-    return df.withColumn("_rank", F.row_number().over(w.orderBy(order, *key))).withColumn("_n", F.count("*").over(w))
+    x = df.select("*", order.alias("_o"), F.struct(*strata).alias("_s"))  # structs of nulls are equal
+    sizes = x.groupBy("_s").agg(F.count("*").alias("_n"))
+    at = F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / 2**32
+    x = x.join(sizes, "_s").withColumn("_r", F.floor(at * F.ceil(F.col("_n") / PART)))
+    w = W.partitionBy("_s").orderBy("_r").rowsBetween(W.unboundedPreceding, 0)
+    ranges = x.groupBy("_s", "_r").agg(F.count("*").alias("_t")).select("_s", "_r", (F.sum("_t").over(w) - F.col("_t")).alias("_start"))
+    x = x.withColumn("_k", F.row_number().over(W.partitionBy("_s", "_r").orderBy("_o", *key)))
+    return x.join(ranges, ["_s", "_r"]).withColumn("_rank", F.col("_start") + F.col("_k")).drop("_s", "_r", "_o", "_k", "_start")
 
 
 def split_points(samples: DataFrame, strata: list[str], key: list[str], fraction: float = 0.1, seed: int = 0) -> DataFrame:
@@ -103,15 +117,29 @@ def top_k(df: DataFrame, by: str, ident: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(by), ident).limit(k)
 
 
+def half_sides(spots: DataFrame, repeats: int = 10, seed: int = 0) -> DataFrame:
+    """Spots with sides: bit r is the spot's side in repeat r."""
+    bit = lambda r: F.shiftleft((F.substring(S.hash_order(seed, F.lit(r), F.col("x"), F.col("y")), 1, 1) >= "8").cast("long"), r)
+    return spots.withColumn("sides", sum((bit(r) for r in range(1, repeats)), bit(0)))
+
+
 def half_split(spots: DataFrame, repeats: int = 10, seed: int = 0) -> DataFrame:
-    """Side 0 or 1 of each spot in each repeat."""
-    x = spots.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)).cast("array<long>")))
-    return x.withColumn("side", (F.substring(S.hash_order(seed, F.col("repeat"), F.col("x"), F.col("y")), 1, 1) >= "8").cast("long"))
+    """Side 0 or 1 of each spot in each repeat, one row each."""
+    return _each(half_sides(spots, repeats, seed), repeats)
 
 
-def line_split(spots: DataFrame, repeats: int = 10) -> DataFrame:
-    """Side of a line through the cell's centroid; spots (x, y, cell, cx, cy). The lines are evenly turned and integer."""
+def line_sides(spots: DataFrame, repeats: int = 10) -> DataFrame:
+    """Bit r is the side of line r through the cell's centroid; spots (x, y, cell, cx, cy). The lines are evenly turned and integer."""
     lines = [(i, 10 - i) if i % 2 else (10 - i, -i) for i in range(repeats)]
-    x = spots.withColumn("l", F.explode(F.array(*(F.struct(F.lit(i).alias("repeat"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(lines)))))
-    s = (F.col("x") - F.col("cx")) * F.col("l.a") + (F.col("y") - F.col("cy")) * F.col("l.b")
-    return x.withColumns({"repeat": F.col("l.repeat").cast("long"), "side": (s >= 0).cast("long")}).drop("l")
+    bit = lambda r, a, b: F.shiftleft(((F.col("x") - F.col("cx")) * a + (F.col("y") - F.col("cy")) * b >= 0).cast("long"), r)
+    return spots.withColumn("sides", sum((bit(r, a, b) for r, (a, b) in enumerate(lines[1:], 1)), bit(0, *lines[0])))
+
+
+def line_split(spots: DataFrame, repeats: int = 10) -> DataFrame:
+    """As line_sides, one row a repeat."""
+    return _each(line_sides(spots, repeats), repeats)
+
+
+def _each(x: DataFrame, repeats: int) -> DataFrame:
+    x = x.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)).cast("array<long>")))
+    return x.withColumn("side", F.getbit("sides", F.col("repeat").cast("int")).cast("long")).drop("sides")

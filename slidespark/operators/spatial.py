@@ -81,10 +81,10 @@ def lookup_pixels(points: DataFrame, pixels: DataFrame, cols: tuple[str, ...]) -
 
 def gene_lookup(genes: DataFrame, symbols: DataFrame, strict: bool = False) -> DataFrame:
     """(gene_id, symbol, embedding_id): ids of known symbols in order of first gene, -1 for unknown ones."""
-    known = genes.join(F.broadcast(symbols.select("symbol").distinct().withColumn("hit", F.lit(1))), "symbol", "left")
+    known = genes.join(symbols.select("symbol").distinct().withColumn("hit", F.lit(1)), "symbol", "left")
     first = known.filter("hit = 1").groupBy("symbol").agg(F.min("gene_id").alias("first"))
     ids = first.select("symbol", (F.row_number().over(W.orderBy("first")) - 1).cast("long").alias("eid"))  # one row a symbol
-    out = known.join(F.broadcast(ids), "symbol", "left").select("gene_id", "symbol", F.coalesce("eid", F.lit(-1)).cast("long").alias("embedding_id"))
+    out = known.join(ids, "symbol", "left").select("gene_id", "symbol", F.coalesce("eid", F.lit(-1)).cast("long").alias("embedding_id"))
     if strict:
         missing = [r.symbol for r in out.filter("embedding_id < 0").select("symbol").distinct().orderBy("symbol").limit(10).collect()]
         if missing:
@@ -124,19 +124,27 @@ def background_mask(points: DataFrame, centres: DataFrame, radius: int = 30) ->
     return dark.join(c, close, "left_anti").drop("_bx", "_by")
 
 
+def overlap_counts(pairs: DataFrame) -> DataFrame:
+    """(s, t, n) of all pairs of labels, zero included: the small table that D8, D9 and I5 are taken from."""
+    return pairs.groupBy("s", "t").agg(F.count("*").alias("n"))
+
+
+def best_of(counts: DataFrame, key: str, other: str) -> DataFrame:
+    """(key, other, n): for every label of key the label of other with most common rows, the smallest on ties."""
+    best = counts.filter("s > 0 and t > 0").groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(other).alias("o"))).alias("b"))
+    return best.select(key, F.col("b.o").alias(other), (-F.col("b.m")).alias("n"))
+
+
 def best_overlap(pairs: DataFrame) -> DataFrame:
     """(s, t, n): for every source the target with most common rows, the smallest on ties. Zero is no label."""
-    n = pairs.filter("s > 0 and t > 0").groupBy("s", "t").agg(F.count("*").alias("n"))
-    best = n.groupBy("s").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("t").alias("t"))).alias("b"))
-    return best.select("s", "b.t", (-F.col("b.m")).alias("n"))
+    return best_of(overlap_counts(pairs), "s", "t")
 
 
 def overlap_matches(pairs: DataFrame, least: int = 30, share: float = 0.5) -> DataFrame:
     """Mutual best matches of two labelings (s, t by pixel) with enough overlap and share of the smaller area."""
-    n = pairs.filter("s > 0 and t > 0").groupBy("s", "t").agg(F.count("*").alias("n"))
-    best = lambda k, o: n.groupBy(k).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(o).alias("o"))).alias("b")).select(k, F.col("b.o").alias(o))
-    area = lambda k, name: pairs.filter(F.col(k) > 0).groupBy(k).agg(F.count("*").alias(name))
-    m = n.join(best("s", "t"), ["s", "t"]).join(best("t", "s"), ["s", "t"]).join(area("s", "na"), "s").join(area("t", "nb"), "t")
+    n = overlap_counts(pairs)
+    area = lambda k, name: n.filter(F.col(k) > 0).groupBy(k).agg(F.sum("n").alias(name))
+    m = best_of(n, "s", "t").join(best_of(n, "t", "s").select("s", "t"), ["s", "t"]).join(area("s", "na"), "s").join(area("t", "nb"), "t")
     r = F.col("n") / F.least("na", "nb")
     return m.filter((F.col("n") >= least) & (r >= share)).select("s", "t", "n", r.alias("share"))
 

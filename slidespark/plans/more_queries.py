@@ -169,6 +169,11 @@ def _(fx):
     return V.common_hvg(n, fx["fx_records"].select("gene_id"), 40)
 
 
+@query("c10_quantile_summary", "SELECT round(quantile_cont(umi, 0.1), 6) AS p10, round(quantile_cont(umi, 0.5), 6) AS p50, round(quantile_cont(umi, 0.9), 6) AS p90, round(avg(umi), 6) AS mean, CAST(min(umi) AS DOUBLE) AS min, CAST(max(umi) AS DOUBLE) AS max FROM (SELECT CAST(sum(cnt) AS DOUBLE) AS umi FROM fx_records GROUP BY bx, by_) q")
+def _(fx):
+    return rounded(E.quantile_summary(E.bin_stats(E.bin_expression(fx["fx_records"])), "umi"), "p10", "p50", "p90", "mean")
+
+
 @query("c18_confusion", "SELECT a.t AS target, b.k AS predicted, CAST(count(f.x) AS BIGINT) AS n FROM range(16) a(t) CROSS JOIN range(16) b(k) LEFT JOIN (SELECT x, target, predicted FROM fx_pred WHERE foreground = 1) f ON f.target = a.t AND f.predicted = b.k GROUP BY 1,2")
 def _(fx):
     return E.confusion(fx["fx_pred"])

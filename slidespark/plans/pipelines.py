@@ -76,8 +76,8 @@ def compare_labelings(records: DataFrame, labels: DataFrame, a: str, b: str, n_t
     for label in (a, b):
         spots = labels.filter(F.col(label) > 0).select("x", "y", F.col(label).alias("cell"))
         centre = expression.cell_stats(labels, label).select("cell", F.floor("cx").alias("cx"), F.floor("cy").alias("cy"))
-        half = compare.split_correlation(use, ranking.half_split(spots, 10, seed), n_genes).select("cell", F.col("correlation").alias("random"))
-        line = compare.split_correlation(use, ranking.line_split(spots.join(centre, "cell"), 10).select("x", "y", "cell", "repeat", "side"), n_genes).select("cell", F.col("correlation").alias("directional"))
+        half = compare.split_correlation(use, ranking.half_sides(spots, 10, seed), n_genes).select("cell", F.col("correlation").alias("random"))
+        line = compare.split_correlation(use, ranking.line_sides(spots.join(centre, "cell"), 10).select("x", "y", "cell", "sides"), n_genes).select("cell", F.col("correlation").alias("directional"))
         cells = expression.cell_qc_metrics(records, labels, label).join(half, "cell", "left").join(line, "cell", "left")
         rows.append(cells.withColumns({"dataset": F.lit("slide"), "method": F.lit(label)}))
     purity = evaluate.paired_purity(use, labels, a, b, radius, spots=records.select("x", "y").distinct())

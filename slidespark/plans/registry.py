@@ -375,8 +375,8 @@ ORACLE_SQL["c28_neighborhood_stats"] = oracle("SELECT 1 FROM fx_records", "fx_re
 @query("c29_context_reach", None)
 def _(fx):
     n = D.ring_neighbors(fx["fx_bins"])
-    d = n.groupBy("bx", "by_").agg(F.max((F.col("nx") - F.col("bx")) ** 2 + (F.col("ny") - F.col("by_")) ** 2).alias("d2"))
-    return d.agg(*(F.round(F.percentile(F.sqrt("d2") * 3, F.lit(p / 100)), 6).alias(f"p{p}") for p in (50, 90, 99)))
+    x = E.context_reach(n, fx["fx_bins"].withColumn("nucleus_id", F.lit(0)))
+    return rounded(x.select("p50", "p90", "p99"), "p50", "p90", "p99")
 
 
 ORACLE_SQL["c29_context_reach"] = ring_oracle("SELECT round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90, round(quantile_cont(d, 0.99), 6) AS p99 FROM (SELECT sqrt(max((nx-bx)*(nx-bx)+(ny-by_)*(ny-by_)))*3 AS d FROM nb50 GROUP BY bx, by_) q")
@@ -648,7 +648,7 @@ def _(fx):
 @query("i1_random_correlation", None)
 def _(fx):
     spots = fx["fx_labels"].filter("cell_a > 0").select("x", "y", F.col("cell_a").alias("cell"))
-    return rounded(C.split_correlation(fx["fx_records"], R.half_split(spots, 10, 7), N_GENES), "correlation", digits=5)
+    return rounded(C.split_correlation(fx["fx_records"], R.half_sides(spots, 10, 7), N_GENES), "correlation", digits=5)
 
 
 SPLIT_SQL = "SELECT cell, round(avg(r), 5) AS correlation, count(r) AS valid_repeats FROM (SELECT repeat, cell, " + PEARSON_SQL.format(n=N_GENES, a="sa", b="sb", aa="saa", bb="sbb", ab="sab") + " AS r FROM (SELECT repeat, cell, CAST(sum(a) AS BIGINT) AS sa, CAST(sum(t-a) AS BIGINT) AS sb, CAST(sum(a*a) AS BIGINT) AS saa, CAST(sum((t-a)*(t-a)) AS BIGINT) AS sbb, CAST(sum(a*(t-a)) AS BIGINT) AS sab FROM (SELECT repeat, cell, gene_id, sum(CASE WHEN side=1 THEN cnt ELSE 0 END) AS a, sum(cnt) AS t FROM fx_records JOIN ({split}) s USING (x, y) GROUP BY 1,2,3) g GROUP BY 1,2) z) y GROUP BY cell"
@@ -659,7 +659,7 @@ ORACLE_SQL["i1_random_correlation"] = oracle(SPLIT_SQL.replace("{split}", "SELEC
 def _(fx):
     spots = fx["fx_labels"].filter("cell_a > 0").select("x", "y", F.col("cell_a").alias("cell"))
     c = E.cell_stats(fx["fx_labels"], "cell_a").select("cell", F.floor("cx").alias("cx"), F.floor("cy").alias("cy"))
-    return rounded(C.split_correlation(fx["fx_records"], R.line_split(spots.join(c, "cell"), 10).select("x", "y", "cell", "repeat", "side"), N_GENES), "correlation", digits=5)
+    return rounded(C.split_correlation(fx["fx_records"], R.line_sides(spots.join(c, "cell"), 10).select("x", "y", "cell", "sides"), N_GENES), "correlation", digits=5)
 
 
 ORACLE_SQL["i2_directional_correlation"] = oracle(SPLIT_SQL.replace("{split}", "SELECT x, y, cell_a AS cell, i AS repeat, CAST((x-cx)*(CASE WHEN i%2=1 THEN i ELSE 10-i END)+(y-cy)*(CASE WHEN i%2=1 THEN 10-i ELSE -i END) >= 0 AS BIGINT) AS side FROM fx_labels JOIN (SELECT cell_a, CAST(floor(avg(x)) AS BIGINT) AS cx, CAST(floor(avg(y)) AS BIGINT) AS cy FROM fx_labels GROUP BY 1) c USING (cell_a), range(10) t(i) WHERE cell_a > 0"))
