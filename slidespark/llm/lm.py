@@ -1,8 +1,8 @@
 """Language-model scores by masked pseudo-likelihood.
 
-Method: a network predicts every token from the tokens on both of its sides. Its input and output classes are the
-most frequent words themselves and word endings for all others; a word's probability within its class comes from
-the corpus counts, whatever its rank. The network (two class embeddings, tanh, softmax) is
+Method: a network predicts every token from the tokens on both of its sides, with a factored output: the network gives
+the class, which is the word itself for the most frequent and the word's ending for all others, and a word's probability within
+its class comes from the corpus counts, whatever its rank. So context tells rarer words apart by their ending only. The network (two class embeddings, tanh, softmax) is
 trained in numpy on the counts of (left, token, right) classes of the whole corpus, which are its sufficient
 statistics and of a fixed size. A document's score is the sum of its tokens' conditional log probabilities.
 
@@ -10,7 +10,7 @@ What is gathered: counts of all words, a table that grows with the corpus, and a
 The HEAD most frequent words are broadcast, which only saves a shuffle: every other word of a document is joined
 to the table of counts, so scores do not depend on HEAD.
 
-Edge cases: null and word-free texts have no tokens and score 0; single words are predicted from the text's ends;
+Edge cases: words of equal count rank by their bytes; null and word-free texts have no tokens and score 0; single words are predicted from the text's ends;
 very long texts are scored in slices with their neighbours; repeated rows count and are scored as rows; an empty
 table gives no rows; other columns are not read.
 """
@@ -78,6 +78,19 @@ def class_totals(counts: DataFrame, own: list[tuple[str, int]]) -> dict[int, int
     return dict(total)
 
 
+def most_frequent(counts: DataFrame, k: int) -> list[tuple[str, int]]:
+    """The k words of the highest counts, ties by word. Counts by powers of two (64 rows at most) say where to cut, so that
+    only words about as frequent as the k-th are sorted, whatever the number of partitions."""
+    power = F.floor(F.log2("n")).cast("int")
+    sizes = dict(counts.groupBy(power.alias("p")).agg(F.count("*").alias("c")).collect())
+    have, cut = 0, 0
+    for p in sorted(sizes, reverse=True):
+        have, cut = have + sizes[p], p
+        if have >= k:
+            break
+    return [tuple(r) for r in counts.filter(F.col("n") >= 2**cut).orderBy(F.desc("n"), "word").limit(k).collect()]
+
+
 class Lexicon:
     """Class of every word, and log probability within the class of the most frequent."""
 
@@ -162,7 +175,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = whole_texts(docs, id_col, text_col)
     sc = docs.sparkSession.sparkContext
     corpus = scratch.keep(word_counts(rows))
-    head = [tuple(r) for r in corpus.orderBy(F.desc("n"), "word").limit(max(HEAD, OWN)).collect()]
+    head = most_frequent(corpus, max(HEAD, OWN))
     totals = class_totals(corpus, head[:OWN])
     lexicon = sc.broadcast(Lexicon(head, totals))
     counts = np.array([tuple(r) for r in context_counts(rows, lexicon).collect()], np.int64).reshape(-1, 2)
