@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import naive_bayes as NB
 from . import textstats as S
-from .common import Scratch
+from .common import Scratch, least_hashes
 
 DOMAINS = ["high", "low", "toxic"]
 TARGETS = {"high": 0.85, "low": 0.15, "toxic": 0.0}
@@ -49,8 +49,7 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def terms(texts: DataFrame, classes: DataFrame) -> list[str]:
     """Words that set the toxic rows of a bounded, class-balanced hash sample apart, by chi-square of the classes' rows."""
-    order = F.xxhash64("doc_id", F.lit("terms"))
-    pick = classes.filter("cls = 'toxic'").orderBy(order, "doc_id").limit(MAX_SAMPLE // 2).union(classes.filter("cls <> 'toxic'").orderBy(order, "doc_id").limit(MAX_SAMPLE // 2))
+    pick = least_hashes(classes.filter("cls = 'toxic'"), MAX_SAMPLE // 2, "terms", "doc_id").union(least_hashes(classes.filter("cls <> 'toxic'"), MAX_SAMPLE // 2, "terms", "doc_id"))
     rows = texts.join(F.broadcast(pick), "doc_id").select((F.col("cls") == "toxic").cast("double").alias("y"), "text")
     n1, n = (float(x or 0) for x in rows.agg(F.sum("y"), F.count("*")).first())
     n0 = n - n1

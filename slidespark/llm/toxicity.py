@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DBL, INT, LONG, STR, Scratch, held_out, schema, whole_texts
+from .common import DBL, INT, LONG, STR, Scratch, held_out, least_hashes, schema, whole_texts
 
 #: Documented bounds of the fitted classifier.
 MAX_EXAMPLES, MAX_CHARS = 4000, 32_000_000
@@ -135,8 +135,9 @@ class Index:
 
 def sample_labels(labels: DataFrame, n: int) -> DataFrame:
     """(doc_id, toxic) of at most n train rows, half of them toxic if there are as many, in hash order."""
-    rows = train_labels(labels).withColumn("_o", F.xxhash64("doc_id", F.lit("examples")))
-    return rows.filter("toxic = 1").orderBy("_o", "doc_id").limit(n // 2).union(rows.filter("toxic = 0").orderBy("_o", "doc_id").limit(n - n // 2)).select("doc_id", "toxic")
+    rows = train_labels(labels)
+    take = lambda y, k: least_hashes(rows.filter(F.col("toxic") == y), k, "examples", "doc_id")
+    return take(1, n // 2).union(take(0, n - n // 2)).select("doc_id", "toxic")
 
 
 def train_labels(labels: DataFrame) -> DataFrame:
