@@ -45,6 +45,7 @@ def _replay(frame: pd.DataFrame) -> pd.DataFrame:
 
     def find(k):
         while parent[k] != k:
+            parent[k] = parent[parent[k]]
             k = parent[k]
         return k
 
