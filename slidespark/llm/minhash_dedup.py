@@ -2,7 +2,8 @@
 
 Method: every document is the set of its word shingles. A tree sends a document down one path: at each level it
 chooses the token of its set with the least hash under that tree and level, and documents that choose alike stay
-together. Nodes of few documents are compared exhaustively; larger nodes are branched again, LEVELS times. As many
+together. Nodes of few documents are compared exhaustively, first with one of them, which makes copies one
+component, then those that are left apart; larger nodes are branched again, LEVELS times. As many
 independent trees are taken as bring the recall of a pair at the wanted similarity to RECALL, however deep its nodes go.
 Nodes that are still large at the last level are compared exhaustively too, in chunks: first every chunk with
 itself and the node's pivots, which makes a dense group one component; then what is outside of the node's largest
@@ -163,18 +164,23 @@ def nodes_of(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return sized.filter(F.col("size") <= SMALL), sized.filter(F.col("size") > SMALL)
 
 
-def small_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a < b) of small nodes whose set sizes and sketches allow the similarity. A node's list is at most SMALL long."""
-    lists = rows.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("sid", "n", "sketch"))).alias("m"))
+def small_pairs(rows: DataFrame, percent: int, connect: bool) -> DataFrame:
+    """Pairs (a < b) of small nodes whose set sizes and sketches allow the similarity. A node's list is at most SMALL long.
+
+    connect: those with the node's first document; else all that are in different components (rows have comp)."""
+    extra = [] if connect else ["comp"]
+    lists = rows.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("sid", "n", "sketch", *extra))).alias("m"))
 
     def allowed(p):
         x, y = p["x"], p["y"]
         ok = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent
-        return ok & (F.bit_count(x["sketch"].bitwiseXOR(y["sketch"])) <= bits_for(percent))
+        ok = ok & (F.bit_count(x["sketch"].bitwiseXOR(y["sketch"])) <= bits_for(percent))
+        return ok if connect else ok & (x["comp"] != y["comp"])
 
-    each = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, SMALL), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    first = F.slice("m", 1, 1) if connect else F.col("m")
+    each = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice("m", i + 2, SMALL), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = lists.select(F.explode(F.filter(each, allowed)).alias("p"))
-    return pairs.select(F.col("p.x.sid").alias("a"), F.col("p.y.sid").alias("b"))
+    return pairs.select(F.col("p.x.sid").alias("a"), F.col("p.y.sid").alias("b")).distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -276,29 +282,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     path = F.transform(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: F.slice("chosen", t * LEVELS + 1, LEVELS))
     rows = sets.select("sid", "n", "sketch", F.posexplode(path).alias("tree", "path"))
     rows = rows.select(F.xxhash64("tree", F.get("path", 0)).alias("node"), "sid", "n", "sketch", "path")
-    pairs, large = [], None
+    small, large = None, None
     for level in range(LEVELS):
         few, many = nodes_of(rows if level + 1 < LEVELS else rows.drop("path"), scratch)
-        pairs.append(small_pairs(few, percent))
+        few = few.select("node", "sid", "n", "sketch")
+        small = few if small is None else small.union(few)
         large = many.drop("size")
         if level + 1 < LEVELS:
             rows = large.withColumn("node", F.xxhash64("node", F.get("path", level + 1)))
-    pair = pairs[0]
-    for p in pairs[1:]:
-        pair = pair.union(p)
-    pair = scratch.keep(pair.distinct())
     large = scratch.keep(chunked(large))
-    wanted = pair.select(F.col("a").alias("sid")).union(pair.select("b")).union(large.select("sid")).distinct()
-    full = scratch.keep(full_sets(docs, k, sets.select("sid", "rep").join(wanted, "sid"), id_col, text_col))
+    pair = scratch.keep(small_pairs(small, percent, connect=True))
     same_doc = named.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("b"), F.collect_set("sid").alias("all")).filter("a <> b").select("a", F.explode("all").alias("b")).filter("a <> b")
-    links = scratch.keep(confirm(pair, full, percent).union(links_within(large, full, percent)).union(same_doc))
+
+    def with_tokens(pairs, nodes):
+        """Full sets of the documents that are to be compared."""
+        wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(nodes.select("sid")).distinct()
+        return scratch.keep(full_sets(docs, k, sets.select("sid", "rep").join(wanted, "sid"), id_col, text_col))
+
     nodes = sets.select(F.col("sid").alias("id"))
+    full = with_tokens(pair, large)
+    links = scratch.keep(confirm(pair, full, percent).union(links_within(large, full, percent)).union(same_doc))
     comp = connected(nodes, links, scratch)
+    # what the first comparisons left apart
+    apart = scratch.keep(comp.withColumnRenamed("id", "sid").withColumnRenamed("component", "comp"))
+    pair = scratch.keep(small_pairs(small.join(apart, "sid"), percent, connect=False))
     open_ = large.filter("chunks > 1")
-    if not open_.isEmpty():
-        comp = scratch.keep(comp.withColumnRenamed("id", "sid").withColumnRenamed("component", "comp"))
-        more = scratch.keep(links_across(large, comp, full, percent))
-        comp = connected(nodes, links.union(more), scratch)
+    if not (pair.isEmpty() and open_.isEmpty()):
+        full = with_tokens(pair, open_)
+        more = scratch.keep(confirm(pair, full, percent).union(links_across(large, apart, full, percent)))
+        if not more.isEmpty():
+            comp = connected(nodes, links.union(more), scratch)
     comp = comp.select(F.col("id").alias("sid"), F.col("component").alias("comp"))
     of_set = sets.select("sid", "rep", "copies").join(comp, "sid")
     least = of_set.groupBy("comp").agg(F.min("rep").alias("component"))
