@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slidespark.functions import scalars as S
@@ -60,12 +61,14 @@ def _(fx):
 
 @query("a3_decode_gene_runs", "SELECT gene_id, count(*) AS n, CAST(sum(cnt) AS BIGINT) AS umis, min(pos) AS first_pos, max(pos) AS last_pos FROM (SELECT *, row_number() OVER (ORDER BY gene_id, seq)-1 AS pos FROM fx_records) q GROUP BY gene_id")
 def _(fx):
-    from pyspark.sql import Window as W
-
     r = fx["fx_records"]
     runs = A.gene_runs(r.groupBy("gene_id").agg(F.count("*").alias("n")))
-    # positions of the gene-sorted file: rank within the gene after the gene's start
-    pos = r.withColumn("k", F.row_number().over(W.partitionBy("gene_id").orderBy("seq")) - 1).join(F.broadcast(runs), "gene_id")
+    # positions of the gene-sorted file: rank within a range of the gene's file order, after the ranges before and the gene's start
+    r = r.withColumn("part", F.floor(F.col("seq") / 100_000))
+    before = W.partitionBy("gene_id").orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+    parts = r.groupBy("gene_id", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(before) - F.col("n")).drop("n")
+    pos = r.withColumn("k", F.row_number().over(W.partitionBy("gene_id", "part").orderBy("seq")) - 1).join(parts, ["gene_id", "part"]).join(runs, "gene_id")
+    pos = pos.withColumn("k", F.col("before") + F.col("k"))
     got = A.decode_gene_runs(pos.select((F.col("start") + F.col("k")).alias("pos"), "cnt"), runs)
     return got.groupBy("gene_id").agg(F.count("*").alias("n"), F.sum("cnt").cast("long").alias("umis"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 

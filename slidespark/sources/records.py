@@ -98,8 +98,11 @@ def parse_gene_info(lines: DataFrame, tax_id: int = 9606) -> DataFrame:
 
 
 def read_gene_info(spark: SparkSession, path: str, tax_id: int = 9606) -> DataFrame:
-    """As parse_gene_info, from a file; lines keep file order."""
-    return parse_gene_info(spark.read.text(path).withColumn("line", F.monotonically_increasing_id()), tax_id)
+    """As parse_gene_info, from files in the order of their names; lines keep file order.
+
+    Spark packs small files by size, so a line is placed by its file's name and its place among that file's splits."""
+    lines = spark.read.text(path).select("value", F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), F.monotonically_increasing_id().alias("row")).alias("line"))
+    return parse_gene_info(lines, tax_id)
 
 
 def load_embeddings(df: DataFrame) -> DataFrame:
