@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 from . import spatial
 from .compare import pair_by_nucleus
 from .expression import fano_median, metric_summary, pearson, select_hvg
-from .identity import components
+from .identity import _checkpoint, components
 
 
 def common_hvg(nuclear: DataFrame, genes: DataFrame, n_top: int = 1500, least: int = 1) -> DataFrame:
@@ -95,52 +98,96 @@ def paired_purity(records: DataFrame, labels: DataFrame, a: str, b: str, radius:
 
 
 def _assign(frame: pd.DataFrame) -> pd.DataFrame:
-    """One overlap component: the one-to-one choice of greatest total IoU, by shortest augmenting paths with potentials."""
-    gt, pred = np.unique(frame["s"]), np.unique(frame["t"])
-    cost = np.zeros((len(gt), len(gt) + len(pred)))  # a column of no value for every row left alone
-    cost[np.searchsorted(gt, frame["s"]), np.searchsorted(pred, frame["t"])] = -frame["iou"]
-    rows, cols = cost.shape
-    u, v, owner = np.zeros(rows), np.zeros(cols), np.full(cols, -1)
-    for r in range(rows):
-        dist, via, done = np.full(cols, np.inf), np.full(cols, -1), np.zeros(cols, bool)
-        at, here, low = r, -1, 0.0
-        while True:
-            step = low + cost[at] - u[at] - v
-            near = ~done & (step < dist)
-            dist[near], via[near] = step[near], here
-            here = int(np.argmin(np.where(done, np.inf, dist)))
-            low, done[here] = dist[here], True
-            if owner[here] < 0:
-                break
-            at = owner[here]
-        seen = np.flatnonzero(done & (np.arange(cols) != here))
-        u[r] += low
-        u[owner[seen]] += low - dist[seen]
-        v[seen] -= low - dist[seen]
-        while here >= 0:
-            prev = via[here]
-            owner[here] = owner[prev] if prev >= 0 else r
-            here = prev
-    hit = [(int(gt[owner[c]]), int(pred[c]), -cost[owner[c], c]) for c in range(len(pred)) if owner[c] >= 0 and cost[owner[c], c] < 0]
+    """One overlap component: the one-to-one choice of greatest total IoU, by shortest augmenting paths over its edges alone."""
+    near: dict[int, list[tuple[int, float]]] = {}
+    for s, t, iou in zip(frame["s"].tolist(), frame["t"].tolist(), frame["iou"].tolist(), strict=True):
+        near.setdefault(s, []).append((t, iou))
+    u: dict[int, float] = {s: max(w for _, w in e) for s, e in near.items()}  # u[s] + v[t] >= iou, equal on the chosen pairs
+    v: dict[int, float] = {t: 0.0 for t in frame["t"].tolist()}
+    of_s: dict[int, tuple[int, float]] = {}
+    of_t: dict[int, int] = {}
+    for root in near:
+        # the cheapest way to an unmatched t, or to a matched s that is left alone instead (cost u[s], for a value of 0)
+        far, heap, via, done = {root: 0.0}, [(0.0, 0, root)], {}, {}
+        end, best = root, u[root]
+        ends_at_t = False
+        while heap and heap[0][0] < best:
+            d, kind, k = heappop(heap)
+            if (kind, k) in done:
+                continue
+            done[kind, k] = d
+            if kind:  # a t
+                if k not in of_t:
+                    end, best, ends_at_t = k, d, True
+                    break
+                heappush(heap, (d, 0, of_t[k]))
+                continue
+            if d + u[k] < best:
+                end, best, ends_at_t = k, d + u[k], False
+            for t, w in near[k]:
+                step = d + max(u[k] + v[t] - w, 0.0)
+                if step < best and step < via.get(t, (np.inf,))[0]:
+                    via[t] = (step, k, w)
+                    heappush(heap, (step, 1, t))
+        for (kind, k), d in done.items():
+            if d < best:
+                if kind:
+                    v[k] += best - d
+                else:
+                    u[k] -= best - d
+        t = end if ends_at_t else of_s.pop(end, (None, 0.0))[0]
+        if not ends_at_t and end != root:
+            of_t.pop(t)
+        while t is not None:
+            _, s, w = via[t]
+            before = of_s.get(s)
+            of_s[s], of_t[t] = (t, w), s
+            t = before[0] if before else None
+    hit = [(s, t, w) for s, (t, w) in of_s.items() if w > 0]
     return pd.DataFrame(hit, columns=["s", "t", "iou"]).astype({"s": "int64", "t": "int64", "iou": "float64"})
 
 
+def _settled(edges: DataFrame) -> DataFrame:
+    """Edges (s, t, iou) that a best one-to-one choice holds for sure: none of s and t could gain more together by other partners."""
+    best = lambda c, o: edges.groupBy(c).agg(F.max(F.struct("iou", (-F.col(o)).alias("o"))).alias("b"))
+    x = edges
+    for c, o in (("s", "t"), ("t", "s")):
+        x = x.join(best(c, o).select(c, (-F.col("b.o")).alias(f"best_{c}")), c)
+    rest = lambda c, o: x.filter(F.col(o) != F.col(f"best_{c}")).groupBy(c).agg(F.max("iou").alias(f"rest_{c}"))
+    pair = x.filter((F.col("best_s") == F.col("t")) & (F.col("best_t") == F.col("s"))).select("s", "t", "iou")
+    pair = pair.join(rest("s", "t"), "s", "left").join(rest("t", "s"), "t", "left").fillna(0.0, ["rest_s", "rest_t"])
+    return pair.filter(F.col("iou") >= F.col("rest_s") + F.col("rest_t")).select("s", "t", "iou")
+
+
+def best_pairs(edges: DataFrame) -> DataFrame:
+    """(s, t, iou): of edges (s, t, iou) the one-to-one choice of greatest total IoU.
+
+    In rounds, pairs that no exchange can better are taken and their partners' other edges leave, which breaks chains of
+    touching cells into short ones. When a round settles none, each component left is solved in a task over its edges."""
+    left, taken = _checkpoint(edges), []
+    while True:
+        pairs = _checkpoint(_settled(left))
+        if pairs.isEmpty():
+            break
+        taken.append(pairs)
+        left = _checkpoint(left.join(pairs.select("s"), "s", "left_anti").join(pairs.select("t"), "t", "left_anti"))
+    if not left.isEmpty():
+        node = lambda kind, c: F.struct(F.lit(kind).alias("k"), F.col(c).alias("i"))
+        comp = components(left.select(node(0, "s").alias("a"), node(1, "t").alias("b"))).filter("key.k = 0").select(F.col("key.i").alias("s"), "root")
+        taken.append(left.join(comp, "s").select("root", "s", "t", "iou").groupBy("root").applyInPandas(_assign, "s long, t long, iou double"))
+    return reduce(DataFrame.unionByName, taken) if taken else left
+
+
 def instance_iou(pixels: DataFrame, ignore: Column | None = None) -> DataFrame:
     """(gt, predicted, iou) of every annotated cell under the one-to-one match of greatest total IoU; 0 where missed.
 
-    pixels (gt, predicted), 0 for none, one row a pixel; ignored pixels are void. Overlap components are independent,
-    so each is matched in a task of its own; single pairs need none."""
+    pixels (gt, predicted), 0 for none, one row a pixel; ignored pixels are void."""
     p = pixels.filter(~ignore) if ignore is not None else pixels
     n = p.filter("gt > 0 or predicted > 0").groupBy("gt", "predicted").agg(F.count("*").alias("n"))
     area = lambda c, name: n.filter(F.col(c) > 0).groupBy(c).agg(F.sum("n").alias(name))
     both = n.filter("gt > 0 and predicted > 0").join(area("gt", "na"), "gt").join(area("predicted", "nb"), "predicted")
-    both = both.select(F.col("gt").alias("s"), F.col("predicted").alias("t"), (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("iou"))
-    node = lambda kind, c: F.struct(F.lit(kind).alias("k"), F.col(c).cast("long").alias("i"))
-    comp = components(both.select(node(0, "s").alias("a"), node(1, "t").alias("b"))).filter("key.k = 0").select(F.col("key.i").alias("s"), "root")
-    grouped = both.join(comp, "s")
-    many = grouped.groupBy("root").agg(F.count("*").alias("c")).filter("c > 1").select("root")
-    one = grouped.join(many, "root", "left_anti").select(F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"), "iou")
-    matched = grouped.join(many, "root").select("root", "s", "t", "iou").groupBy("root").applyInPandas(_assign, "s long, t long, iou double").unionByName(one)
+    both = both.select(F.col("gt").cast("long").alias("s"), F.col("predicted").cast("long").alias("t"), (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("iou"))
+    matched = best_pairs(both)
     return n.filter("gt > 0").select("gt").distinct().join(matched.withColumnRenamed("s", "gt"), "gt", "left").select("gt", F.col("t").alias("predicted"), F.coalesce("iou", F.lit(0.0)).alias("iou"))
 
 

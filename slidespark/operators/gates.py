@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from slidespark.plans.shared import new_folder
+
 
 def union_patches(parts: dict[str, DataFrame]) -> DataFrame:
     """rows of all patches, tagged; empty patches add none and stay in the manifest's totals."""
@@ -41,6 +44,21 @@ def assert_conserved(before: DataFrame, after: DataFrame, records: bool = True)
         raise ValueError(f"not conserved: {a} became {b}")
 
 
+def conserve(before: DataFrame, step: Callable[[DataFrame], DataFrame], records: bool = True) -> DataFrame:
+    """step(before), written to the shared folder and read back, counted on both sides while it is written: one job, no extra scan.
+
+    step must read its input once; rows may change in number only with records off, where a step merges them."""
+    spark, path = before.sparkSession, new_folder(before.sparkSession, "conserved")
+    seen = Observation(), Observation()
+    figures = F.count("*").alias("records"), F.coalesce(F.sum("cnt"), F.lit(0)).cast("long").alias("umis")
+    after = step(before.observe(seen[0], *figures)).observe(seen[1], *figures)
+    after.write.parquet(path)
+    a, b = (o.get for o in seen)
+    if a["umis"] != b["umis"] or records and a["records"] != b["records"]:
+        raise ValueError(f"not conserved: {a} became {b}")
+    return spark.read.schema(after.schema).parquet(path)
+
+
 def incomplete(manifest: DataFrame, status: DataFrame) -> DataFrame:
     """Tiles without a terminal state, failed, or prepared under more than one schema. status (id, state, fingerprint)."""
     mixed = status.select("fingerprint").distinct().agg((F.count("*") > 1).alias("mixed"))

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidespark.plans.shared import new_folder
+
 from . import ranking
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage, in the shared folder; a temporary one only where a local session names none."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """df written to the shared folder and read back: cut off from its lineage, and from constraints that would pile up over rounds."""
+    path = new_folder(df.sparkSession, "identity")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,12 +34,16 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+#: Edges of a component that one task may replay; larger components are contracted further.
+REPLAY = 10_000
+
+
 def _replay(frame: pd.DataFrame) -> pd.DataFrame:
-    """Unions of one component in edge order; a union of sides that hold labels of one tile is refused."""
-    parent, tiles = {}, {}
-    for t, lab in [*zip(frame.tile_a, frame.label_a, strict=True), *zip(frame.tile_b, frame.label_b, strict=True)]:
-        parent[t, lab] = t, lab
-        tiles[t, lab] = {t}
+    """Accepted edges (a, b) of one component in edge order; an edge between sides that share a tile is refused."""
+    parent, tiles, out = {}, {}, []
+    for side in "ab":
+        for tile, label, own in zip(frame[f"{side}_tile"], frame[f"{side}_label"], frame[f"{side}_tiles"], strict=True):
+            parent[tile, label], tiles[tile, label] = (tile, label), set(own)
 
     def find(k):
         while parent[k] != k:
@@ -49,29 +51,78 @@ def _replay(frame: pd.DataFrame) -> pd.DataFrame:
             k = parent[k]
         return k
 
-    for r in frame.sort_values("ordinal").itertuples():
-        a, b = sorted((find((r.tile_a, r.label_a)), find((r.tile_b, r.label_b))))
+    for r in frame.sort_values(["o", "a_tile", "a_label", "b_tile", "b_label"]).itertuples():
+        a, b = find((r.a_tile, r.a_label)), find((r.b_tile, r.b_label))
         if a != b and not tiles[a] & tiles[b]:
             parent[b] = a
             tiles[a] |= tiles.pop(b)
-    out = [(*k, *find(k)) for k in parent]
-    return pd.DataFrame(out, columns=["tile", "label", "root_tile", "root_label"])
-
-
-def reconcile_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+            out.append((r.a_tile, r.a_label, r.b_tile, r.b_label))
+    return pd.DataFrame(out, columns=["a_tile", "a_label", "b_tile", "b_label"])
+
+
+def _with_tiles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges (root, o, a, b) with the tiles of both sides, those whose sides share a tile left out: they are refused whenever their turn comes."""
+    side = lambda c: nodes.select(F.col("key").alias(c), F.col("tiles").alias(f"{c}_tiles"))
+    return edges.join(side("a"), "a").join(side("b"), "b").filter(~F.arrays_overlap("a_tiles", "b_tiles"))
+
+
+def _contract(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round over edges (root, o, a, b) and nodes (root, key, tiles): accepted edges (a, b), the edges and the nodes left.
+
+    An edge that comes first at both of its sides is decided now, as no earlier one can change them. A side whose tiles
+    no other node of its component holds can never be refused, so its first edge is taken at once, whatever the order at
+    the other side; that is what shortens long chains. Of parallel edges the first one decides."""
+    x = _with_tiles(edges, nodes).groupBy("root", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("o").alias("o"))
+    x = _checkpoint(x.select("root", F.struct("o", "a", "b").alias("e")))
+    held = nodes.select("root", "key", F.explode("tiles").alias("tile"))
+    bound = held.join(held.groupBy("root", "tile").agg(F.count("*").alias("n")).filter("n > 1"), ["root", "tile"], "left_semi").select("key").distinct()
+    first = _checkpoint(x.select(F.explode(F.array("e.a", "e.b")).alias("key"), "e").groupBy("key").agg(F.min("e").alias("e")))
+    free = first.join(bound, "key", "left_anti").select("e")
+    both = first.groupBy("e").agg(F.count("*").alias("n")).filter("n = 2").select("e")
+    taken = _checkpoint(free.union(both).distinct().select("e.a", "e.b"))
+    to = _checkpoint(components(taken).withColumnRenamed("root", "to"))
+    left = nodes.join(to, "key", "left").groupBy("root", F.coalesce("to", "key").alias("key")).agg(F.array_distinct(F.flatten(F.collect_list("tiles"))).alias("tiles"))
+    e = x.select("root", "e.*")
+    for c in "ab":
+        e = e.join(to.withColumnRenamed("key", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    return taken, _checkpoint(e.filter("a <> b").select("root", "o", "a", "b")), _checkpoint(left)
+
+
+def reconcile_labels(edges: DataFrame, nodes: DataFrame, replay: int = REPLAY) -> DataFrame:
     """H1: (tile, label, root_tile, root_label) for nodes (tile, label) under edges (ordinal, tile_a, label_a, tile_b, label_b).
 
-    Components with one label a tile are final. A refusal cannot cross components, so only components with two
-    labels of a tile are replayed in edge order, each one seam cluster."""
+    Edges are taken in order; one whose sides already hold labels of a common tile is refused. A refusal cannot cross
+    components of all edges, so components with one label a tile are final. The others keep, of their tiles, those that
+    occur twice in the component. While such a component has more than ``replay`` edges it is contracted in rounds
+    (``_contract``); what is left is replayed in edge order, one component a task. Components of edges that depend on
+    one another one by one, each refused because of the one before, take as many rounds as the longest such run."""
     key = lambda t, lab: F.struct(F.col(t).alias("tile"), F.col(lab).alias("label"))
-    comp = _checkpoint(components(edges.select(key("tile_a", "label_a").alias("a"), key("tile_b", "label_b").alias("b"))))
-    clash = comp.groupBy("root", "key.tile").agg(F.count("*").alias("n")).filter("n > 1").select("root").distinct()
-    hard = edges.withColumn("a", key("tile_a", "label_a")).join(comp.join(clash, "root", "left_semi").withColumnRenamed("key", "a"), "a")
     kinds = dict(nodes.dtypes)
-    out = f"tile {kinds['tile']}, label {kinds['label']}, root_tile {kinds['tile']}, root_label {kinds['label']}"
-    replayed = hard.select("root", "ordinal", "tile_a", "label_a", "tile_b", "label_b").groupBy("root").applyInPandas(_replay, out)
-    easy = comp.join(clash, "root", "left_anti").select("key.tile", "key.label", F.col("root.tile").alias("root_tile"), F.col("root.label").alias("root_label"))
-    found = easy.unionByName(replayed)
+    kind = f"struct<tile:{kinds['tile']},label:{kinds['label']}>"
+    ends = edges.select(F.col("ordinal").alias("o"), key("tile_a", "label_a").cast(kind).alias("a"), key("tile_b", "label_b").cast(kind).alias("b"))
+    comp = _checkpoint(components(ends))
+    twice = comp.groupBy("root", "key.tile").agg(F.count("*").alias("n")).filter("n > 1").select("root", "tile")
+    clash = twice.select("root").distinct()
+    own = comp.join(clash, "root", "left_semi").withColumn("tile", F.col("key.tile")).join(twice.withColumn("hit", F.lit(True)), ["root", "tile"], "left")
+    own = _checkpoint(own.select("root", "key", F.when(F.col("hit"), F.array("tile")).otherwise(F.array().cast(f"array<{kinds['tile']}>")).alias("tiles")))
+    left = _checkpoint(ends.join(own.select(F.col("key").alias("a"), "root"), "a").select("root", "o", "a", "b"))
+    sides = lambda d: d.select(*(F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in "ab" for f in ("tile", "label")))
+    flat = f"a_tile {kinds['tile']}, a_label {kinds['label']}, b_tile {kinds['tile']}, b_label {kinds['label']}"
+    accepted = []
+    while True:
+        large = left.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > replay).select("root")
+        small = _with_tiles(left.join(large, "root", "left_anti"), own)
+        small = small.select("root", "o", *(F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in "ab" for f in ("tile", "label")), "a_tiles", "b_tiles")
+        accepted.append(small.groupBy("root").applyInPandas(_replay, flat))
+        left = left.join(large, "root", "left_semi")
+        if left.isEmpty():
+            break
+        taken, left, own = _contract(left, own.join(large, "root", "left_semi"))
+        accepted.append(sides(taken))
+    every = reduce(DataFrame.unionByName, accepted)
+    joined = components(every.select(key("a_tile", "a_label").alias("a"), key("b_tile", "b_label").alias("b")))
+    found = comp.join(clash, "root", "left_anti").unionByName(joined)
+    found = found.select("key.tile", "key.label", F.col("root.tile").alias("root_tile"), F.col("root.label").alias("root_label"))
     x = nodes.select("tile", "label").distinct().join(found, ["tile", "label"], "left")
     return x.select("tile", "label", F.coalesce("root_tile", "tile").alias("root_tile"), F.coalesce("root_label", "label").alias("root_label"))
 

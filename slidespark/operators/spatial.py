@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from slidespark.functions import scalars as S
+from slidespark.plans.shared import new_folder
 
 
 def ring_offsets(rings: int = 10) -> list[tuple[int, int]]:
@@ -96,6 +99,13 @@ def _bucket(c: str, radius: int) -> Column:
     return F.floor(F.col(c) / radius).cast("long")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back."""
+    path = new_folder(df.sparkSession, "spatial")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _square(c: Column) -> Column:
     return c * c
 
@@ -124,6 +134,36 @@ def background_mask(points: DataFrame, centres: DataFrame, radius: int = 30) ->
     return dark.join(c, close, "left_anti").drop("_bx", "_by")
 
 
+def nearest(points: DataFrame, centres: DataFrame, radius: int = 30) -> DataFrame:
+    """(x, y, cell, distance) of every point: its nearest centre (cell, cx, cy), the smallest cell on ties; null where there is none.
+
+    Buckets of the radius are searched first, then, for points that found none, buckets of twice the size and so on: a
+    point with a centre within a bucket's size has its nearest one in the nine buckets around it. Rounds grow with the
+    logarithm of the farthest distance, and each one has only the points still open."""
+    left = _kept(points.select("x", "y").distinct())
+    c = _kept(centres.select("cell", "cx", "cy"))
+    ends = lambda d, x, y: d.agg(*(f(v) for v in (x, y) for f in (F.min, F.max))).first()
+    a, b = ends(left, "x", "y"), ends(c, "cx", "cy")
+    found, size = [], radius
+    if a[0] is not None and b[0] is not None:
+        far = max(abs(p - q) for i in (0, 2) for p in a[i : i + 2] for q in b[i : i + 2]) * 2
+        while True:
+            best = within(left, c, size).groupBy("x", "y").agg(F.min(F.struct("d2", "cell")).alias("b"))
+            found.append(_kept(best.select("x", "y", "b.cell", F.sqrt("b.d2").alias("distance"))))
+            left = _kept(left.join(found[-1], ["x", "y"], "left_anti"))
+            if size > far or left.isEmpty():
+                break
+            size *= 2
+    none = left.select("x", "y", F.lit(None).cast(c.schema["cell"].dataType).alias("cell"), F.lit(None).cast("double").alias("distance"))
+    return reduce(DataFrame.unionByName, found, none)
+
+
+def neighbor_counts(bins: DataFrame, neighbors: DataFrame) -> DataFrame:
+    """One row (occupied, kept, dropped): bins, those with enough neighbours to be centres, and the others."""
+    a, b = bins.select("bx", "by_").distinct().agg(F.count("*").alias("occupied")), neighbors.filter("rank = 0").agg(F.count("*").alias("kept"))
+    return a.crossJoin(b).withColumn("dropped", F.col("occupied") - F.col("kept"))  # one row each
+
+
 def overlap_counts(pairs: DataFrame) -> DataFrame:
     """(s, t, n) of all pairs of labels, zero included: the small table that D8, D9 and I5 are taken from."""
     return pairs.groupBy("s", "t").agg(F.count("*").alias("n"))

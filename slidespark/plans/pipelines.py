@@ -49,8 +49,7 @@ def prepare_slide(records: DataFrame, pixels: DataFrame, gene_table: DataFrame,
     """Records to a packed training set.
 
     records (x, y, bx, by_, gene_id, cnt), pixels (x, y, nucleus_id, stain), gene_table (gene_id, symbol), symbols (symbol)."""
-    expr = expression.bin_expression(records)
-    gates.assert_conserved(records, expr, records=False)
+    expr = gates.conserve(records, expression.bin_expression, records=False)
     bins = expr.select("bx", "by_").distinct()
     near = spatial.ring_neighbors(bins, n)
     centres = near.filter("rank = 0").select("bx", "by_")

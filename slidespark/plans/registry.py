@@ -186,6 +186,8 @@ def ring_oracle(body: str) -> str:
 
 
 QUERIES["d2_ring_neighbors"] = lambda spark, d: D.ring_neighbors(Fixtures(spark, d)["fx_bins"])
+QUERIES["d2_ring_counts"] = lambda spark, d: D.neighbor_counts(Fixtures(spark, d)["fx_bins"], QUERIES["d2_ring_neighbors"](spark, d))
+ORACLE_SQL["d2_ring_counts"] = ring_oracle("SELECT o AS occupied, k AS kept, o-k AS dropped FROM (SELECT count(*) AS o FROM fx_bins) a, (SELECT count(*) AS k FROM nb50 WHERE rank = 0) b")
 ORACLE_SQL["d2_ring_neighbors"] = ring_oracle("SELECT bx, by_, rank, nx, ny FROM nb50")
 QUERIES["b8_relative_positions"] = lambda spark, d: D.relative_positions(D.ring_neighbors(Fixtures(spark, d)["fx_bins"]))
 ORACLE_SQL["b8_relative_positions"] = ring_oracle("SELECT bx, by_, rank, (nx-bx)*3 AS dx, (ny-by_)*3 AS dy FROM nb50")
@@ -429,6 +431,11 @@ def _(fx):
     return D.background_mask(fx["fx_anchor_labels"], E.cell_stats(fx["fx_labels"], "nucleus_id")).select("x", "y")
 
 
+@query("d6_nearest_nucleus", f"SELECT x, y, cell, round(sqrt(d2), 6) AS distance FROM (SELECT x, y, c.cell, (a.x-cx)*(a.x-cx)+(a.y-cy)*(a.y-cy) AS d2, row_number() OVER (PARTITION BY x, y ORDER BY (a.x-cx)*(a.x-cx)+(a.y-cy)*(a.y-cy), c.cell) AS r FROM fx_anchor_labels a, {CENTRES_SQL} c) q WHERE r = 1")
+def _(fx):
+    return rounded(D.nearest(fx["fx_anchor_labels"], E.cell_stats(fx["fx_labels"], "nucleus_id")), "distance")
+
+
 @query("d7_label_candidates", f"SELECT bx, by_, CAST(CASE WHEN nucleus_id > 0 THEN 1 WHEN stain <= 10 AND NOT EXISTS (SELECT 1 FROM {CENTRES_SQL} c WHERE (l.x-cx)*(l.x-cx)+(l.y-cy)*(l.y-cy) <= 900) THEN 0 ELSE -1 END AS BIGINT) AS foreground, round(coalesce(cx-l.x, 0), 6) AS dx, round(coalesce(cy-l.y, 0), 6) AS dy FROM fx_bins JOIN fx_anchor_labels l ON l.x=3*bx AND l.y=3*by_ LEFT JOIN {CENTRES_SQL} c ON c.cell=nucleus_id")
 def _(fx):
     x = D.label_candidates(fx["fx_bins"], fx["fx_anchor_labels"], E.cell_stats(fx["fx_labels"], "nucleus_id"))
@@ -750,3 +757,13 @@ def _(fx):
     base = new_folder(fx.spark, "stream")
     fx["fx_records"].select("gene_id", "x", "y", "cnt").repartition(6).write.parquet(f"{base}/in")
     return stream_ingest(fx.spark, f"{base}/in", f"{base}/out", f"{base}/log", 150)
+
+
+@query("k1_ingest_status", "SELECT 3 AS batches, count(DISTINCT (floor(x/150), floor(y/150))) AS tiles, count(*) AS records, CAST(sum(cnt) AS BIGINT) AS umis, true AS complete FROM fx_records")
+def _(fx):
+    from slidespark.streaming.ingest import ingest_status, stream_ingest
+
+    base = new_folder(fx.spark, "stream")
+    fx["fx_records"].select("gene_id", "x", "y", "cnt").repartition(6).write.parquet(f"{base}/in")
+    stream_ingest(fx.spark, f"{base}/in", f"{base}/out", f"{base}/log", 150, files=2)
+    return ingest_status(fx.spark, f"{base}/out", fx.spark.read.parquet(f"{base}/in").count())

@@ -165,7 +165,7 @@ def publish(df: DataFrame, path: str, marker: str) -> None:
     to, temporary = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.partial"))
     fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(to):
-        raise FileExistsError(path)
+        raise FileExistsError(f"{path} already exists")
     df.write.mode("overwrite").parquet(f"{path}.partial")
     if not fs.rename(temporary, to):
         raise OSError(f"{path}.partial could not be renamed")
