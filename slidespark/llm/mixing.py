@@ -4,19 +4,19 @@ Method: the labelled rows define domains (toxic; else low or high by their quali
 statistics and words that tell the classes apart gives every document its posterior of each domain. Document rates
 w >= 0 then minimise the least squares
 
-    r' M r,  r_k = sum_i w_i t_i p_ik - T_k
+    1/2 |r|^2 + RIDGE/2 sum_i t_i (w_i - 1)^2 / n,  r_k = sum_i w_i t_i p_ik / n - T_k
 
-(t tokens, p posteriors, T targets) by projected gradient steps from w = 1, w <- max(0, w - p' M r), in the metric
-M of the inverse Gram matrix of the documents that still have a rate. A step needs only the domain totals and that matrix, one grouped
-sum over all documents; a step that does not lessen the residual is halved. Steps go on until every total is within
-CLOSE of its target (as a share of all tokens) or the residual falls no more, which is where targets cannot be met with
-rates of 0 or more. A document's rate after some steps is a fold of its own posterior over their few numbers; the
-table of rates is written anew every FOLD steps.
+(t tokens, n all of them, p posteriors, T targets as shares). The second term is the least change from rate 1 among
+rates that meet the targets, and the trade of both where targets are out of reach. The minimum is one projected gradient
+step from w = 1, w_i = max(0, 1 - p_i l) with l = r / RIDGE, so the fit looks for the few numbers l: Newton steps on
+the dual, each halved until the dual falls, from domain totals and the Gram matrix of documents with a rate. A pass is
+one grouped sum over all documents; passes do not grow with their number.
 
 Edge cases: null and empty texts have no tokens and rate 1; without labels all posteriors are the class shares 1/3;
 targets are scaled to sum 1, those of domains that hold no token are ignored; an empty table gives no rows;
-repeated rows are documents of their own; very long texts are one row like others; rows that tie in everything have equal rates; other columns pass
-through ``sample`` only, whatever their names.
+repeated rows are documents of their own with equal rates and copies, told apart from others of the same id or without
+one by their text; very long texts are one row like others; other columns pass through ``sample`` only, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ DOMAINS = ["high", "low", "toxic"]
 TARGETS = {"high": 0.85, "low": 0.15, "toxic": 0.0}
 #: Labelled rows that the choice of words reads (documented bound), and the least chi-square of a chosen word.
 MAX_SAMPLE, CHANCE = 4000, 25.0
-#: Largest miss of a total, in shares of all tokens; steps between two writes of the rates; steps and halvings at most.
-CLOSE, FOLD, STEPS, HALVINGS = 1e-4, 8, 200, 20
+#: Weight of the change from rate 1; size of the dual's gradient, in shares of all tokens, that ends the fit; passes at most.
+RIDGE, CLOSE, PASSES = 1e-4, 1e-6, 60
 BINS = {"b_words": 16, "b_length": 32, "b_symbols": 16, "b_distinct": 16, "b_terms": 8}
 
 
@@ -64,17 +64,19 @@ def terms(texts: DataFrame, classes: DataFrame) -> list[str]:
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tokens, p_high, p_low, p_toxic) of every row."""
+    """(doc_id, text_hash, tokens, p_high, p_low, p_toxic) of every row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
     classes = scratch.keep(labelled(labels))
     chosen = terms(texts, classes)
     lex = F.array(*map(F.lit, chosen)) if chosen else F.array().cast("array<string>")
     t = F.col("text")
     of_words = S.let(S.words(F.lower(t)), lambda w: S.let(F.array_distinct(w), lambda s: F.struct(F.size(w).alias("n"), F.size(s).alias("d"), F.size(F.array_intersect(s, lex)).alias("x"))))
-    rows = texts.select("doc_id", of_words.alias("w"), S.word_chars(t).alias("chars"), S.n_symbols(t).alias("symbols"))
+    rows = texts.select("doc_id", "text_hash", of_words.alias("w"), S.word_chars(t).alias("chars"), S.n_symbols(t).alias("symbols"))
     n = F.greatest(F.col("w.n"), F.lit(1))
     rows = rows.select(
         "doc_id",
+        "text_hash",
         F.col("w.n").cast("long").alias("tokens"),
         NB.binned(F.log2(n), 16).alias("b_words"),
         NB.binned(F.col("chars") / n * 2, 32).alias("b_length"),
@@ -85,80 +87,70 @@ def posteriors(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str
     rows = scratch.keep(rows)
     logs, shares = NB.fit(rows.join(classes, "doc_id"), BINS, DOMAINS)
     ll = [(NB.log_likelihood(logs, d) + math.log(shares[d])).alias(f"l_{d}") for d in DOMAINS]
-    x = rows.select("doc_id", "tokens", *ll)
+    x = rows.select("doc_id", "text_hash", "tokens", *ll)
     top = F.greatest(*(f"l_{d}" for d in DOMAINS))
-    x = x.select("doc_id", "tokens", *(F.exp(F.col(f"l_{d}") - top).alias(f"e_{d}") for d in DOMAINS))
+    x = x.select("doc_id", "text_hash", "tokens", *(F.exp(F.col(f"l_{d}") - top).alias(f"e_{d}") for d in DOMAINS))
     total = sum((F.col(f"e_{d}") for d in DOMAINS[1:]), F.col(f"e_{DOMAINS[0]}"))
-    return scratch.keep(x.select("doc_id", "tokens", *((F.col(f"e_{d}") / total).alias(f"p_{d}") for d in DOMAINS)))
+    return scratch.keep(x.select("doc_id", "text_hash", "tokens", *((F.col(f"e_{d}") / total).alias(f"p_{d}") for d in DOMAINS)))
 
 
-def after(steps: list[list[float]]) -> Column:
-    """Rate of a row with rate w after the steps whose numbers are given: a fold of projected steps."""
-    if not steps:
-        return F.col("w")
+def rate(dual: np.ndarray) -> Column:
+    """Rate of a row under the dual numbers: a step from 1 down the posteriors, projected to 0 or more."""
+    slope = sum((F.col(f"p_{d}") * float(v) for d, v in zip(DOMAINS[1:], dual[1:], strict=True)), F.col(f"p_{DOMAINS[0]}") * float(dual[0]))
+    return F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), 1 - slope)).otherwise(1.0)
 
-    def one(w, r):
-        slope = sum((F.col(f"p_{d}") * F.get(r, k) for k, d in enumerate(DOMAINS[1:], 1)), F.col(f"p_{DOMAINS[0]}") * F.get(r, 0))
-        return F.greatest(F.lit(0.0), w - slope)
 
-    return F.when(F.col("tokens") > 0, F.aggregate(F.array(*(F.array(*map(F.lit, r)) for r in steps)), F.col("w"), one)).otherwise(F.col("w"))
-
-
-def totals(rows: DataFrame, steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Domain totals at the rates after the steps, and the Gram matrix of the posteriors of rows with a rate."""
-    pairs = [(i, j) for i in range(len(DOMAINS)) for j in range(i + 1)]
-    x = rows.select("tokens", *(f"p_{d}" for d in DOMAINS), after(steps).alias("w"))
-    t, p = F.col("tokens"), [F.col(f"p_{d}") for d in DOMAINS]
-    got = x.agg(*(F.sum(F.col("w") * t * v) for v in p), *(F.sum(F.when(F.col("w") > 0, t * p[i] * p[j]).otherwise(0.0)) for i, j in pairs)).first()
-    got = [float(v or 0) for v in got]
-    gram = np.zeros((len(DOMAINS),) * 2)
-    for (i, j), v in zip(pairs, got[len(DOMAINS) :], strict=True):
+def sums(rows: DataFrame, dual: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """One pass: all tokens, domain totals and the sum of squared rates, and the Gram matrix of rows with a rate."""
+    k = len(DOMAINS)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+    x = rows.select("tokens", *(f"p_{d}" for d in DOMAINS), rate(dual).alias("w"))
+    t, w, p = F.col("tokens"), F.col("w"), [F.col(f"p_{d}") for d in DOMAINS]
+    got = x.agg(F.sum(t), F.sum(t * w * w), *(F.sum(w * t * v) for v in p), *(F.sum(F.when(w > 0, t * p[i] * p[j]).otherwise(0.0)) for i, j in pairs)).first()
+    n, square, *rest = (float(v or 0) for v in got)
+    gram = np.zeros((k, k))
+    for (i, j), v in zip(pairs, rest[k:], strict=True):
         gram[i, j] = gram[j, i] = v
-    return np.array(got[: len(DOMAINS)]), gram
-
-
-def fit_rates(rows: DataFrame, targets: dict[str, float], scratch: Scratch) -> DataFrame:
-    """rows of posteriors with rate; expected domain totals match the targets, summing to all tokens."""
-    rows = rows.withColumn("w", F.lit(1.0))
-    have, gram = totals(rows, [])
-    n = have.sum()
-    if not n:
-        return rows.withColumnRenamed("w", "rate")
-    want = np.array([max(targets.get(d, 0.0), 0.0) if h > 1e-9 * n else 0.0 for d, h in zip(DOMAINS, have, strict=True)])
-    want *= n / (want.sum() or 1.0)
-    scale = 1 / np.maximum(want, 0.01 * n)
-    steps: list[list[float]] = []
-    for _ in range(STEPS):
-        miss = have - want
-        if np.abs(miss).max() <= CLOSE * n:
-            break
-        whole = np.linalg.lstsq(gram + 1e-9 * np.trace(gram) * np.eye(len(want)), miss, rcond=None)[0]
-        for half in range(HALVINGS):
-            step = [float(v) for v in whole * 0.5**half]
-            now, now_gram = totals(rows, [*steps, step])
-            if np.linalg.norm((now - want) * scale) < np.linalg.norm(miss * scale) * (1 - 1e-3 * 0.5**half):
+    return n, np.array(rest[:k]), square, gram
+
+
+def fit_rates(rows: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """rows of posteriors with rate; expected domain totals match the targets as closely as rates of 0 or more can."""
+    dual = np.zeros(len(DOMAINS))
+    n, have, square, gram = sums(rows, dual)
+    if n:
+        want = np.array([max(targets.get(d, 0.0), 0.0) if h > 1e-9 * n else 0.0 for d, h in zip(DOMAINS, have, strict=True)])
+        want /= want.sum() or 1.0
+        value = lambda square, dual: square / n / 2 + want @ dual + RIDGE / 2 * dual @ dual
+        slope = want + RIDGE * dual - have / n
+        passes = 1
+        while np.abs(slope).max() > CLOSE and passes < PASSES:
+            step = -np.linalg.solve(gram / n + RIDGE * np.eye(len(dual)), slope)
+            size, now = 1.0, None
+            while passes < PASSES:
+                _, have, new_square, gram_there = sums(rows, dual + size * step)
+                passes += 1
+                if value(new_square, dual + size * step) <= value(square, dual) + 1e-4 * size * slope @ step:
+                    now = dual + size * step
+                    break
+                size /= 2
+            if now is None:
                 break
-        else:
-            break  # nothing lessens the residual
-        steps, have, gram = [*steps, step], now, now_gram
-        if len(steps) == FOLD:
-            rows = scratch.keep(rows.withColumn("w", after(steps)))
-            steps = []
-    return rows.select(*(c for c in rows.columns if c != "w"), after(steps).alias("rate"))
+            dual, square, gram = now, new_square, gram_there
+            slope = want + RIDGE * dual - have / n
+    return rows.withColumn("rate", rate(dual))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **cols: str) -> DataFrame:
-    """(doc_id, tokens, p_high, p_low, p_toxic, rate, copies): copies is the rate rounded by a hash of the id."""
-    scratch = Scratch(docs.sparkSession, "mixing")
-    rows = fit_rates(posteriors(docs, labels, scratch, **cols), targets or TARGETS, scratch)
-    u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(2**24)) / 2**24
+    """(doc_id, text_hash, tokens, p_high, p_low, p_toxic, rate, copies): copies is the rate rounded by a hash of id and text."""
+    rows = fit_rates(posteriors(docs, labels, Scratch(docs.sparkSession, "mixing"), **cols), targets or TARGETS)
+    u = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("mix")), F.lit(2**24)) / 2**24
     return rows.select("*", F.floor(F.col("rate") + u).cast("long").alias("copies"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """docs, each row as often as its copies say; columns as in docs."""
-    row = F.struct(*docs.columns).alias("row")
-    got = mix(docs, labels, targets).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("n")).filter("n > 0")
-    x = docs.select(row, F.col("doc_id").cast("long").alias("of"))
-    x = x.join(got, F.col("of").eqNullSafe(F.col("id")))
+    """docs, each row as often as its copies say; columns as in docs. Rows are matched by id and text, which decide their copies."""
+    got = mix(docs, labels, targets).groupBy(F.col("doc_id").alias("id"), "text_hash").agg(F.max("copies").alias("n")).filter("n > 0")
+    x = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("of"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("of_text"))
+    x = x.join(got, F.col("of").eqNullSafe(F.col("id")) & (F.col("of_text") == F.col("text_hash")))
     return x.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
