@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slidespark.functions.quantile import exact_quantile, grouped_quantiles
+
 from . import spatial
 from .compare import pair_by_nucleus
 from .expression import fano_median, metric_summary, pearson, select_hvg
-from .identity import _checkpoint, components
+from .identity import keep, components
 
 
 def common_hvg(nuclear: DataFrame, genes: DataFrame, n_top: int = 1500, least: int = 1) -> DataFrame:
@@ -164,13 +166,13 @@ def best_pairs(edges: DataFrame) -> DataFrame:
 
     In rounds, pairs that no exchange can better are taken and their partners' other edges leave, which breaks chains of
     touching cells into short ones. When a round settles none, each component left is solved in a task over its edges."""
-    left, taken = _checkpoint(edges), []
+    left, taken = keep(edges), []
     while True:
-        pairs = _checkpoint(_settled(left))
+        pairs = keep(_settled(left))
         if pairs.isEmpty():
             break
         taken.append(pairs)
-        left = _checkpoint(left.join(pairs.select("s"), "s", "left_anti").join(pairs.select("t"), "t", "left_anti"))
+        left = keep(left.join(pairs.select("s"), "s", "left_anti").join(pairs.select("t"), "t", "left_anti"))
     if not left.isEmpty():
         node = lambda kind, c: F.struct(F.lit(kind).alias("k"), F.col(c).alias("i"))
         comp = components(left.select(node(0, "s").alias("a"), node(1, "t").alias("b"))).filter("key.k = 0").select(F.col("key.i").alias("s"), "root")
@@ -193,7 +195,8 @@ def instance_iou(pixels: DataFrame, ignore: Column | None = None) -> DataFrame:
 
 def instance_summary(per_cell: DataFrame) -> DataFrame:
     """Mean and median IoU over all annotated cells, and the share at 0.5 or more."""
-    return per_cell.agg(F.count("*").alias("annotated_cells"), F.avg("iou").alias("mean_iou"), F.percentile("iou", F.lit(0.5)).alias("median_iou"), F.avg((F.col("iou") >= 0.5).cast("double")).alias("recall50"))
+    x = per_cell.agg(F.count("*").alias("annotated_cells"), F.avg("iou").alias("mean_iou"), F.avg((F.col("iou") >= 0.5).cast("double")).alias("recall50"))
+    return x.crossJoin(exact_quantile(per_cell, F.col("iou"), 0.5, "median_iou")).select("annotated_cells", "mean_iou", "median_iou", "recall50")  # one row each
 
 
 def evaluation_gene_audit(chosen: DataFrame, mapped: DataFrame, patches: DataFrame) -> DataFrame:
@@ -216,13 +219,14 @@ def comparison_table(cells: DataFrame, source_umis: DataFrame, purity: DataFrame
     x = cells.groupBy(*key).agg(
         F.count("*").alias("cells"),
         F.sum("n_umis").alias("_umis"),
-        *(F.percentile(c, F.lit(0.5)).alias(f"median_{c[2:]}") for c in ("n_umis", "n_genes", "n_spots")),
         *(f(F.when(big, F.col(c))).alias(f"{c}_{n}") for c in ("random", "directional") for f, n in ((F.count, "n"), (F.avg, "mean"))),
     )
+    median = lambda d, names: grouped_quantiles(d, key, names, [0.5]).select(*key, *(F.get(n, F.lit(0)).alias(n) for n in names))
+    x = x.join(median(cells, {f"median_{c[2:]}": F.col(c) for c in ("n_umis", "n_genes", "n_spots")}), key)
     x = x.join(source_umis, "dataset").withColumn("assigned_share", F.col("_umis") / F.col("umis")).drop("_umis", "umis")
     for d, c in ((purity, "purity"), (iou, "iou")):
         if d is not None:
-            x = x.join(d.groupBy(*key).agg(F.avg(c).alias(f"{c}_mean"), F.percentile(c, F.lit(0.5)).alias(f"{c}_median")), key, "left")
+            x = x.join(d.groupBy(*key).agg(F.avg(c).alias(f"{c}_mean")).join(median(d, {f"{c}_median": F.col(c)}), key), key, "left")
     return x
 
 

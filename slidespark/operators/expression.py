@@ -89,15 +89,29 @@ def row_pearson(a: DataFrame, b: DataFrame, n_genes: int, key: tuple[str, ...] =
     return x.select(*key, pearson(n_genes, *map(F.col, ("sa", "sb", "saa", "sbb", "sab")), undefined=undefined).alias("r"))
 
 
+#: Dimensions summed side by side, and the most vector components that are broadcast (half a gigabyte).
+BLOCK, BROADCAST = 32, 1 << 26
+
+
 def pool_embeddings(expr: DataFrame, vectors: DataFrame, key: tuple[str, ...] = ("bx", "by_")) -> DataFrame:
     """Per spot and dimension the count-weighted sum of gene vectors over the number of mapped genes.
 
-    vectors (gene_id, embedding). Sums are fixed point, so they do not depend on the order of rows; spots
-    without a mapped gene have no row here and are zero vectors."""
-    dims = vectors.select("gene_id", F.posexplode("embedding").alias("dim", "v")).select("gene_id", "dim", F.round(F.col("v").cast("double") * 1e6).cast("long").alias("v"))
-    nnz = expr.join(vectors.select("gene_id"), "gene_id").groupBy(*key).agg(F.count("*").alias("nnz"))
-    sums = expr.join(dims, "gene_id").groupBy(*key, "dim").agg(F.sum(F.col("cnt") * F.col("v")).alias("s"))
-    return sums.join(nnz, list(key)).select(*key, F.col("dim").cast("long").alias("dim"), (F.col("s") / F.col("nnz") / 1e6).alias("value"), "nnz")
+    vectors (gene_id, embedding); genes with a null or empty vector are not mapped. Sums are fixed point, so they do not
+    depend on the order of rows; spots without a mapped gene have no row here and are zero vectors.
+
+    The narrow records are shuffled by spot, once; vectors of at most BROADCAST components together, which are counted
+    first, come to them and are summed in place, BLOCK dimensions a row. Larger ones are joined by gene."""
+    fixed = F.transform("embedding", lambda e: F.round(e.cast("double") * 1e6).cast("long"))
+    v = vectors.select("gene_id", fixed.alias("v")).filter(F.size("v") > 0)
+    v = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.size("v") - 1) / BLOCK).cast("int"))))
+    v = v.select("gene_id", "block", F.slice("v", F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias("v"))
+    x = expr.select(*key, "gene_id", "cnt")
+    if (vectors.agg(F.sum(F.size("embedding"))).first()[0] or 0) <= BROADCAST:
+        x, v = x.repartition(*key), F.broadcast(v)
+    sums = [F.sum(F.col("cnt") * F.get("v", F.lit(i))).alias(f"s{i}") for i in range(BLOCK)]
+    g = x.join(v, "gene_id").groupBy(*key, "block").agg(F.count("*").alias("nnz"), F.max(F.size("v")).alias("width"), *sums)
+    each = F.posexplode(F.slice(F.array(*(f"s{i}" for i in range(BLOCK))), F.lit(1), F.col("width"))).alias("i", "s")
+    return g.select(*key, "block", "nnz", each).select(*key, (F.col("block") * BLOCK + F.col("i")).cast("long").alias("dim"), (F.col("s") / F.col("nnz") / 1e6).alias("value"), "nnz")
 
 
 def project_and_pool(expr: DataFrame, vectors: DataFrame, weights: list[list[float]], key: tuple[str, ...] = ("bx", "by_")) -> DataFrame:
@@ -118,7 +132,7 @@ def embedding_probe(pooled: DataFrame, spots: DataFrame, key: tuple[str, ...] =
         F.count("*").alias("spots"),
         *(f("norm").alias(f"norm_{n}") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))),
         *(f("nnz").alias(f"genes_{n}") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))),
-        F.percentile("nnz", F.lit(0.5)).alias("genes_median"),
+        F.percentile("nnz", F.lit(0.5)).alias("genes_median"),  # held as counts by value, at most one value a gene
         F.count_if(F.col("nnz") == 0).alias("zero_spots"),
     )
     d = pooled.groupBy("dim").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q")).crossJoin(F.broadcast(total))  # one row
@@ -127,7 +141,9 @@ def embedding_probe(pooled: DataFrame, spots: DataFrame, key: tuple[str, ...] =
 
 
 def fano_median(spots: DataFrame, expr: DataFrame) -> DataFrame:
-    """Median over expressed genes of sample variance over mean; spots (group, x, y), expr (x, y, gene_id, cnt)."""
+    """Median over expressed genes of sample variance over mean; spots (group, x, y), expr (x, y, gene_id, cnt).
+
+    A group has at most one value a gene, so its median is taken in one task."""
     n = spots.groupBy("grp").agg(F.count("*").alias("n"))
     g = spots.join(expr, ["x", "y"]).groupBy("grp", "gene_id").agg(F.sum("cnt").alias("s"), F.sum(F.col("cnt") * F.col("cnt")).alias("q"))
     x = g.join(n, "grp").filter("n >= 2 and s > 0")

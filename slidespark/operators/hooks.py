@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slidespark.plans.shared import new_folder
+
 
 def score(samples: DataFrame, load: Callable[[], Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
     """L1: (x, y, p, logits) of samples (x, y, ..). ``load`` runs once a task and returns the predictor of a batch.
@@ -52,44 +54,49 @@ def encode_genes(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.n
 def fit_baseline(train: DataFrame, features: str = "features", steps: int = 60, rate: float = 1.0, ridge: float = 1e-3) -> dict[str, list]:
     """L3: a foreground classifier (all rows) and a 16-way direction classifier (foreground rows) on pooled features.
 
-    train (features array<double>, foreground 0/1, direction 0..15). Softmax regression by full gradients: every step is
-    one grouped sum of a few numbers a class, so nothing but gradients reaches the driver."""
-    x = train.select(F.concat(F.array(F.lit(1.0)), F.col(features).cast("array<double>")).alias("f"), F.col("foreground").cast("int").alias("fg"), F.col("direction").cast("int").alias("d"))
-    width = x.select(F.size("f")).first()[0]
-    out = {}
-    for name, rows, target, classes in (("foreground", x, "fg", 2), ("direction", x.filter("fg = 1"), "d", 16)):
-        w = np.zeros((classes, width))
-        for _ in range(steps):
-            grad, n = _gradient(rows, target, w)
-            if not n:
-                break
-            w -= rate * (grad / n + ridge * w)
-        out[name] = w.tolist()
-    return out
-
-
-def _gradient(rows: DataFrame, target: str, w: np.ndarray) -> tuple[np.ndarray, int]:
-    classes, width = w.shape
+    train (features array<double>, foreground 0/1, direction 0..15), of one row at least. Softmax regression by full
+    gradients: the features are written once to the shared folder, and a step is one pass over them for both classifiers.
+    Each task sums its own gradients, Spark sums those of the tasks, and 18 numbers a feature reach the driver."""
+    spark, path = train.sparkSession, new_folder(train.sparkSession, "features")
+    x = train.select(F.concat(F.array(F.lit(1.0)), F.col(features).cast("array<double>")).alias("f"), F.col("foreground").cast("int").alias("foreground"), F.col("direction").cast("int").alias("direction"))
+    x.write.parquet(path)
+    x = spark.read.schema(x.schema).parquet(path)
+    first = x.select(F.size("f")).first()
+    if first is None:
+        raise ValueError("no rows to fit")
+    w = np.zeros((18, first[0]))
+    for _ in range(steps):
+        grad, n = _gradient(x, w)
+        w -= np.where(n > 0, rate * (grad / np.maximum(n, 1) + ridge * w), 0)
+    return {"foreground": w[:2].tolist(), "direction": w[2:].tolist()}
+
+
+def _gradient(rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summed gradients of both classifiers, whose weights are rows 0-1 and 2-17 of w, and by row the number of examples."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, n = np.zeros((classes, width)), 0
+        g, n = np.zeros(w.shape), np.zeros(len(w))
         for f in frames:
             if len(f):
-                m = np.array(f["f"].tolist())
-                z = m @ w.T
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(f)), f["y"].to_numpy()] -= 1
-                g, n = g + p.T @ m, n + len(f)
+                m, fg = np.array(f["f"].tolist()), f["foreground"].to_numpy()
+                for at, use, y in ((slice(0, 2), slice(None), fg), (slice(2, 18), fg == 1, f["direction"].to_numpy())):
+                    a, b = m[use], y[use].astype(int)
+                    if len(a):
+                        z = a @ w[at].T
+                        p = np.exp(z - z.max(1, keepdims=True))
+                        p /= p.sum(1, keepdims=True)
+                        p[np.arange(len(a)), b] -= 1
+                        g[at], n[at] = g[at] + p.T @ a, n[at] + len(a)
         k, j = np.indices(g.shape)
-        yield pd.DataFrame({"k": np.r_[k.ravel(), -1], "j": np.r_[j.ravel(), -1], "v": np.r_[g.ravel(), n]})
+        yield pd.DataFrame({"k": np.r_[k.ravel(), np.arange(len(w))], "j": np.r_[j.ravel(), np.full(len(w), -1)], "v": np.r_[g.ravel(), n]})
 
-    got = rows.select("f", F.col(target).alias("y")).mapInPandas(run, "k int, j int, v double").groupBy("k", "j").agg(F.sum("v").alias("v")).collect()
-    g = np.zeros((classes, width))
-    for r in got:
-        if r.k >= 0:
+    g, n = np.zeros(w.shape), np.zeros((len(w), 1))
+    for r in rows.mapInPandas(run, "k int, j int, v double").groupBy("k", "j").agg(F.sum("v").alias("v")).collect():
+        if r.j < 0:
+            n[r.k] = r.v
+        else:
             g[r.k, r.j] = r.v
-    return g, int(next((r.v for r in got if r.k < 0), 0))
+    return g, n
 
 
 def baseline_predictor(model: dict[str, list], features: str = "features") -> Callable[[], Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]]:

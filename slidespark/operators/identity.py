@@ -13,7 +13,7 @@ from slidespark.plans.shared import new_folder
 from . import ranking
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: cut off from its lineage, and from constraints that would pile up over rounds."""
     path = new_folder(df.sparkSession, "identity")
     df.write.parquet(path)
@@ -22,13 +22,13 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(key, root): smallest key reachable over edges (a, b). Rounds of minimum labels with pointer jumping."""
-    both = _checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = _checkpoint(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    label = keep(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         seen = both.join(label.select(F.col("key").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("key")).agg(F.min("r").alias("r"))
         near = label.join(seen, "key").select("key", F.least("root", "r").alias("root"), F.col("root").alias("was"))
         up = near.select(F.col("key").alias("up"), F.col("root").alias("top"))
-        new = _checkpoint(near.join(up, near.root == up.up, "left").select("key", F.coalesce(F.least("root", "top"), "root").alias("root"), "was"))
+        new = keep(near.join(up, near.root == up.up, "left").select("key", F.coalesce(F.least("root", "top"), "root").alias("root"), "was"))
         label = new.select("key", "root")
         if new.filter("root <> was").isEmpty():
             return label
@@ -73,19 +73,19 @@ def _contract(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame,
     no other node of its component holds can never be refused, so its first edge is taken at once, whatever the order at
     the other side; that is what shortens long chains. Of parallel edges the first one decides."""
     x = _with_tiles(edges, nodes).groupBy("root", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("o").alias("o"))
-    x = _checkpoint(x.select("root", F.struct("o", "a", "b").alias("e")))
+    x = keep(x.select("root", F.struct("o", "a", "b").alias("e")))
     held = nodes.select("root", "key", F.explode("tiles").alias("tile"))
     bound = held.join(held.groupBy("root", "tile").agg(F.count("*").alias("n")).filter("n > 1"), ["root", "tile"], "left_semi").select("key").distinct()
-    first = _checkpoint(x.select(F.explode(F.array("e.a", "e.b")).alias("key"), "e").groupBy("key").agg(F.min("e").alias("e")))
+    first = keep(x.select(F.explode(F.array("e.a", "e.b")).alias("key"), "e").groupBy("key").agg(F.min("e").alias("e")))
     free = first.join(bound, "key", "left_anti").select("e")
     both = first.groupBy("e").agg(F.count("*").alias("n")).filter("n = 2").select("e")
-    taken = _checkpoint(free.union(both).distinct().select("e.a", "e.b"))
-    to = _checkpoint(components(taken).withColumnRenamed("root", "to"))
+    taken = keep(free.union(both).distinct().select("e.a", "e.b"))
+    to = keep(components(taken).withColumnRenamed("root", "to"))
     left = nodes.join(to, "key", "left").groupBy("root", F.coalesce("to", "key").alias("key")).agg(F.array_distinct(F.flatten(F.collect_list("tiles"))).alias("tiles"))
     e = x.select("root", "e.*")
     for c in "ab":
         e = e.join(to.withColumnRenamed("key", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-    return taken, _checkpoint(e.filter("a <> b").select("root", "o", "a", "b")), _checkpoint(left)
+    return taken, keep(e.filter("a <> b").select("root", "o", "a", "b")), keep(left)
 
 
 def reconcile_labels(edges: DataFrame, nodes: DataFrame, replay: int = REPLAY) -> DataFrame:
@@ -100,12 +100,12 @@ def reconcile_labels(edges: DataFrame, nodes: DataFrame, replay: int = REPLAY) -
     kinds = dict(nodes.dtypes)
     kind = f"struct<tile:{kinds['tile']},label:{kinds['label']}>"
     ends = edges.select(F.col("ordinal").alias("o"), key("tile_a", "label_a").cast(kind).alias("a"), key("tile_b", "label_b").cast(kind).alias("b"))
-    comp = _checkpoint(components(ends))
+    comp = keep(components(ends))
     twice = comp.groupBy("root", "key.tile").agg(F.count("*").alias("n")).filter("n > 1").select("root", "tile")
     clash = twice.select("root").distinct()
     own = comp.join(clash, "root", "left_semi").withColumn("tile", F.col("key.tile")).join(twice.withColumn("hit", F.lit(True)), ["root", "tile"], "left")
-    own = _checkpoint(own.select("root", "key", F.when(F.col("hit"), F.array("tile")).otherwise(F.array().cast(f"array<{kinds['tile']}>")).alias("tiles")))
-    left = _checkpoint(ends.join(own.select(F.col("key").alias("a"), "root"), "a").select("root", "o", "a", "b"))
+    own = keep(own.select("root", "key", F.when(F.col("hit"), F.array("tile")).otherwise(F.array().cast(f"array<{kinds['tile']}>")).alias("tiles")))
+    left = keep(ends.join(own.select(F.col("key").alias("a"), "root"), "a").select("root", "o", "a", "b"))
     sides = lambda d: d.select(*(F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in "ab" for f in ("tile", "label")))
     flat = f"a_tile {kinds['tile']}, a_label {kinds['label']}, b_tile {kinds['tile']}, b_label {kinds['label']}"
     accepted = []

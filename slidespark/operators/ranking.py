@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,6 +29,24 @@ def _ranked(df: DataFrame, strata: list[str], key: list[str], seed) -> DataFrame
     return x.join(ranges, ["_s", "_r"]).withColumn("_rank", F.col("_start") + F.col("_k")).drop("_s", "_r", "_o", "_k", "_start")
 
 
+def lowest(df: DataFrame, strata: list[str], key: list[str], seed, most: Column, top: int) -> DataFrame:
+    """df's first rows in hash order within each stratum, with _rank: most of them (from the strata's columns, top at most), all where there are fewer.
+
+    Rows are counted by stratum and by the hash's place on a log scale, the count table alone is shuffled. It gives
+    each stratum the place below which its wanted rows lie, a sixth more at most, and only rows below are shuffled and
+    ranked. Repeated keys share a hash and are all ranked. Strata are tiles or classes: their table is of the
+    manifest's size and is broadcast."""
+    order = S.hash_order(seed, *map(F.col, strata), *map(F.col, key))
+    at = (F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") + 0.5) / 2**32
+    x = df.withColumns({"_o": order, "_s": F.struct(*strata), "_most": most}).withColumn("_place", F.floor(F.log2(at) * 4))
+    w = W.partitionBy("_s").orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
+    counts = x.groupBy("_s", "_most", "_place").agg(F.count("*").alias("_t")).withColumn("_below", F.sum("_t").over(w) - F.col("_t"))
+    cut = counts.filter(F.col("_below") < F.col("_most")).groupBy("_s").agg(F.max("_place").alias("_cut"))
+    x = x.join(F.broadcast(cut), "_s").filter(F.col("_place") <= F.col("_cut"))
+    x = x.withColumn("_rank", F.row_number().over(W.partitionBy("_s").orderBy("_o", *key))).filter(F.col("_rank") <= top)
+    return x.filter(F.col("_rank") <= F.col("_most")).drop("_s", "_o", "_most", "_place", "_cut")
+
+
 def split_points(samples: DataFrame, strata: list[str], key: list[str], fraction: float = 0.1, seed: int = 0) -> DataFrame:
     """Validation share of every stratum, at least one row and never all; one-row strata are train."""
     size = F.least(F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(fraction))), F.col("_n") - 1)
@@ -63,18 +81,17 @@ def cap_background(samples: DataFrame, tile: list[str], order: list[str]) -> Dat
 
 def epoch_sample(samples: DataFrame, tile: list[str], key: list[str], cap: int, seed: int, epoch: int) -> DataFrame:
     """E5: at most cap foreground rows a tile, and at most as many background rows; cap 0 takes all."""
-    x = _ranked(samples, [*tile, "foreground"], key, f"{seed}:{epoch}")
-    if cap:
-        pos = F.least(F.sum((F.col("foreground") == 1).cast("long")).over(W.partitionBy(*tile)), F.lit(cap))
-        x = x.withColumn("_pos", pos)
-        most = F.when(F.col("foreground") == 1, F.lit(cap)).otherwise(F.least(F.lit(cap), F.when(F.col("_pos") > 0, F.col("_pos")).otherwise(cap)))
-        x = x.filter(F.col("_rank") <= most).drop("_pos")
-    return x.drop("_rank", "_n")
+    if not cap:
+        return samples
+    fg = F.col("foreground") == 1
+    x = lowest(samples, [*tile, "foreground"], key, f"{seed}:{epoch}", F.lit(cap), cap)
+    have = F.coalesce(F.sum(fg.cast("long")).over(W.partitionBy(*tile)), F.lit(0))
+    return x.withColumn("_have", have).filter(fg | (F.col("_have") == 0) | (F.col("_rank") <= F.col("_have"))).drop("_rank", "_have")
 
 
 def tile_sample(bins: DataFrame, tile: list[str], key: list[str], n: int = 512, seed: int = 0) -> DataFrame:
     """At most n rows a tile in hash order."""
-    return _ranked(bins, tile, key, seed).filter(F.col("_rank") <= n).drop("_rank", "_n")
+    return lowest(bins, tile, key, seed, F.lit(n), n).drop("_rank")
 
 
 def prefix_offsets(df: DataFrame, order: list[str], size: str) -> DataFrame:
@@ -100,8 +117,8 @@ def plan_batches(samples: DataFrame, tile: list[str], key: list[str], size: int,
 def balanced_batch(samples: DataFrame, key: list[str], per_class: int, seed: int = 0) -> DataFrame:
     """per_class foreground rows of each direction and 16 times as many background rows."""
     cls = F.when(F.col("foreground") == 1, F.col("direction")).otherwise(-1)
-    x = _ranked(samples.withColumn("_cls", cls), ["_cls"], key, seed)
-    return x.filter(F.col("_rank") <= F.when(F.col("_cls") < 0, 16 * per_class).otherwise(per_class)).drop("_cls", "_rank", "_n")
+    most = F.when(F.col("_cls") < 0, 16 * per_class).otherwise(per_class)
+    return lowest(samples.withColumn("_cls", cls), ["_cls"], key, seed, most, 16 * per_class).drop("_cls", "_rank")
 
 
 def compact_labels(df: DataFrame, label: str, tile: list[str]) -> DataFrame:

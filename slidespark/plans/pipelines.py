@@ -87,7 +87,8 @@ def compare_labelings(records: DataFrame, labels: DataFrame, a: str, b: str, n_t
         of = lambda m: compare.transcript_iou(molecules.withColumn("predicted", F.col(m))).select(F.lit("slide").alias("dataset"), F.lit(m).alias("method"), "iou")
         iou = of(a).unionByName(of(b))
     total = records.agg(F.sum("cnt").alias("umis")).withColumn("dataset", F.lit("slide"))
-    return evaluate.comparison_table(rows[0].unionByName(rows[1]), total, purity, iou)
+    # one row a cell or nucleus, read several times by the table
+    return evaluate.comparison_table(identity.keep(rows[0].unionByName(rows[1])), total, identity.keep(purity), iou and identity.keep(iou))
 
 
 def stitch(records: DataFrame, core_labels: DataFrame, edges: DataFrame, manifest: DataFrame, status: DataFrame, core: int = grid.CORE, low: int = 50, high: int = 5000, partial: bool = False) -> tuple[slide.SlideMatrix, DataFrame]:
