@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slidespark.functions.quantile import exact_quantile
+from slidespark.functions.quantile import exact_quantile, grouped_quantiles
 
-from .expression import pearson
+from .expression import cell_qc_metrics, pearson
 from .spatial import best_of, best_overlap, overlap_counts
 
 
@@ -30,10 +30,26 @@ def split_correlation(records: DataFrame, sides: DataFrame, n_genes: int, repeat
     return r.groupBy("cell").agg(F.avg("r").alias("correlation"), F.count("r").alias("valid_repeats"))
 
 
+def cell_consistency(records: DataFrame, labels: DataFrame, label: str, sides: DataFrame, n_genes: int, repeats: int = 10) -> DataFrame:
+    """I1 and I2 as reported: every cell's spots, counts and genes with its correlation, null where no repeat defines one."""
+    per = split_correlation(records, sides, n_genes, repeats)
+    return cell_qc_metrics(records, labels, label).join(per, "cell", "left").fillna(0, ["valid_repeats"])
+
+
+def cross_totals(labels: DataFrame, source: str, target: str) -> DataFrame:
+    """One row: source cells, those with a target, their distinct targets, and how many more sources than targets."""
+    lab = labels.select(F.col(source).alias("s"), F.col(target).alias("t"))
+    n = overlap_counts(lab)
+    x = n.filter("s > 0").select("s").distinct().join(best_of(n, "s", "t"), "s", "left")
+    x = x.agg(F.count("*").alias("source_cells_total"), F.count("t").alias("source_cells_matched"), F.count_distinct("t").alias("target_cells_matched"))
+    return x.withColumn("many_to_one_excess", F.col("source_cells_matched") - F.col("target_cells_matched"))
+
+
 def cross_correlation(records: DataFrame, labels: DataFrame, source: str, target: str, n_genes: int) -> DataFrame:
     """Source cells relabelled to their best target; correlations of the shared part with each unique part.
 
-    Only targets with all three parts and both correlations defined are kept."""
+    Only targets with all three parts and both correlations defined are kept. A negative unique part, which only negative
+    counts can give, is an error."""
     lab = labels.select("x", "y", F.col(source).alias("s"), F.col(target).alias("t"))
     best = best_overlap(lab.select("s", "t")).select("s", F.col("t").alias("m"))
     lab = lab.join(best, "s", "left").select("x", "y", "t", F.coalesce("m", F.lit(0)).alias("m"))
@@ -47,6 +63,7 @@ def cross_correlation(records: DataFrame, labels: DataFrame, source: str, target
     g = long.groupBy(F.col("p.cell").alias("cell"), "gene_id").agg(
         n(F.col("same") & (F.col("p.side") == 1)).alias("o"), n(~F.col("same") & (F.col("p.side") == 0)).alias("a"), n(~F.col("same") & (F.col("p.side") == 1)).alias("b")
     )
+    g = g.withColumn("a", F.expr("CASE WHEN least(a, b) < 0 THEN raise_error('negative part of an expression') ELSE a END"))
     sums = {"so": "o", "sa": "a", "sb": "b", "soo": "o*o", "saa": "a*a", "sbb": "b*b", "soa": "o*a", "sob": "o*b"}
     c = g.groupBy("cell").agg(*(F.sum(F.expr(e)).cast("long").alias(k) for k, e in sums.items()))
     c = c.withColumn("ra", pearson(n_genes, *map(F.col, ("so", "sa", "soo", "saa", "soa")))).withColumn("rb", pearson(n_genes, *map(F.col, ("so", "sb", "soo", "sbb", "sob"))))
@@ -103,12 +120,36 @@ def segmentation_quality(records: DataFrame, labels: DataFrame, label: str) -> D
     return a.crossJoin(u).crossJoin(n)  # one row each
 
 
-def pseudolabel_audit(molecules: DataFrame, candidates: DataFrame, size: int = 3) -> DataFrame:
-    """Shares of manually assigned molecules on positive, background and unknown bins."""
+def pseudolabel_audit(molecules: DataFrame, candidates: DataFrame, size: int = 3, splits: tuple[str, ...] = ()) -> DataFrame:
+    """Shares of manually assigned molecules on positive, background and unknown bins, and on background bins of each split.
+
+    candidates (bx, by_, foreground), with their split where splits are named."""
     x = molecules.select(F.floor(F.col("x") / size).cast("long").alias("bx"), F.floor(F.col("y") / size).cast("long").alias("by_"))
-    x = x.join(candidates.select("bx", "by_", "foreground"), ["bx", "by_"], "left").withColumn("f", F.coalesce("foreground", F.lit(-1)))
-    share = lambda v: F.avg((F.col("f") == v).cast("double"))
-    return x.agg(F.count("*").alias("molecules"), share(1).alias("positive"), share(0).alias("background"), share(-1).alias("unknown"))
+    x = x.join(candidates.select("bx", "by_", "foreground", *(["split"] if splits else [])), ["bx", "by_"], "left").withColumn("f", F.coalesce("foreground", F.lit(-1)))
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    each = (share((F.col("f") == 0) & (F.col("split") == s)).alias(f"{s}_background") for s in splits)
+    return x.agg(F.count("*").alias("molecules"), *(share(F.col("f") == v).alias(n) for n, v in (("positive", 1), ("background", 0), ("unknown", -1))), *each)
+
+
+def cutoff_iou(molecules: DataFrame, labels: DataFrame, label: str, cutoffs: list[int]) -> DataFrame:
+    """One row a cutoff: share of molecules in cells of that area or more, and I5 under those cells alone.
+
+    molecules (manual, predicted), 0 for none, predicted being the label. Molecules are counted by pair of labels once and
+    the small table of pairs is taken for each cutoff; cells under it count as no cell."""
+    areas = labels.filter(F.col(label) > 0).groupBy(F.col(label).alias("t")).agg(F.count("*").alias("area"))
+    n = molecules.groupBy(F.col("manual").alias("s"), F.col("predicted").alias("t")).agg(F.count("*").alias("n")).join(areas, "t", "left")
+    n = n.withColumn("cutoff", F.explode(F.array(*map(F.lit, cutoffs)).cast("array<long>")))
+    n = n.groupBy("cutoff", "s", F.when(F.col("area") >= F.col("cutoff"), F.col("t")).otherwise(0).alias("t")).agg(F.sum("n").alias("n"))
+    assigned = n.groupBy("cutoff").agg((F.sum(F.when(F.col("t") > 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("assigned_share"))
+    manual = n.filter("s > 0")
+    size = lambda c, name: manual.groupBy("cutoff", c).agg(F.sum("n").alias(name))
+    best = lambda c, o: manual.filter("t > 0").groupBy("cutoff", c).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(o).alias("o"))).alias("b")).select("cutoff", c, F.col("b.o").alias(o), (-F.col("b.m")).alias("n"))
+    mutual = best("s", "t").join(best("t", "s").select("cutoff", "s", "t"), ["cutoff", "s", "t"]).join(size("t", "nb"), ["cutoff", "t"])
+    x = size("s", "na").join(mutual, ["cutoff", "s"], "left").withColumn("iou", F.col("n") / (F.col("na") + F.col("nb") - F.col("n")))
+    x = x.groupBy("cutoff").agg(
+        F.count("*").alias("manual_cells"), F.count("iou").alias("mutual_matches"), F.avg("iou").alias("matched_only_mean"), F.avg(F.coalesce("iou", F.lit(0.0))).alias("all_gt_mean"), F.avg((F.coalesce("iou", F.lit(0.0)) >= 0.5).cast("double")).alias("recall50")
+    )
+    return assigned.join(x, "cutoff", "left")
 
 
 def size_sensitivity(labels: DataFrame, label: str, cutoffs: list[int]) -> DataFrame:
@@ -129,6 +170,37 @@ def qc_summary(cells: DataFrame) -> DataFrame:
     return cells.groupBy("reason").agg(F.count("*").alias("cells"), F.sum("n_umis").cast("long").alias("umis"))
 
 
+def mitochondrial(records: DataFrame, labels: DataFrame, label: str, genes: DataFrame, prefix: str = "MT-") -> DataFrame:
+    """(cell, mt_umis, mt_percent) of cells with counts; mt_percent is null where no gene's symbol has the prefix. genes (gene_id, symbol)."""
+    mt = genes.filter(F.upper("symbol").startswith(prefix)).select("gene_id").distinct().withColumn("mt", F.lit(1))
+    x = records.join(labels.filter(F.col(label) > 0).select("x", "y", F.col(label).alias("cell")), ["x", "y"]).join(mt, "gene_id", "left")
+    x = x.groupBy("cell").agg(F.sum("cnt").alias("n"), F.sum(F.when(F.col("mt") == 1, F.col("cnt")).otherwise(0)).cast("long").alias("mt_umis"))
+    x = x.crossJoin(F.broadcast(mt.agg((F.count("*") > 0).alias("any"))))  # one row
+    return x.select("cell", "mt_umis", F.when(F.col("any"), 100 * F.col("mt_umis") / F.nullif("n", F.lit(0))).alias("mt_percent"))
+
+
+def qc_report(cells: DataFrame, slide_umis: DataFrame, low: int = 50, high: int = 5000, shares: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """One row: cells before and after, removed by reason, cells at either bound, counts kept, and quantiles of genes and counts.
+
+    cells (n_umis, n_genes), slide_umis one row (umis) with the unassigned ones; an array a metric, before and after."""
+    ok = (F.col("n_genes") >= low) & (F.col("n_genes") <= high)
+    n = lambda c, name: F.count_if(c).alias(name)
+    x = cells.agg(
+        F.count("*").alias("input_cells"),
+        n(ok, "retained_cells"),
+        n(F.col("n_genes") < low, "removed_few"),
+        n(F.col("n_genes") > high, "removed_many"),
+        n(F.col("n_genes") == low, "at_low"),
+        n(F.col("n_genes") == high, "at_high"),
+        F.coalesce(F.sum("n_umis"), F.lit(0)).cast("long").alias("input_umis"),
+        F.coalesce(F.sum(F.when(ok, F.col("n_umis"))), F.lit(0)).cast("long").alias("retained_umis"),
+    ).crossJoin(F.broadcast(slide_umis.select("umis")))  # one row
+    of = lambda by: 100 * F.col("retained_umis") / F.nullif(F.col(by), F.lit(0))
+    x = x.withColumns({"retained_percent": of("input_umis"), "retained_percent_of_slide": of("umis")}).drop("umis").withColumn("one", F.lit(1))
+    values = {f"{c}_{w}": F.when(o, F.col(f"n_{c}")) for c in ("genes", "umis") for w, o in (("before", F.lit(True)), ("after", ok))}
+    return x.join(grouped_quantiles(cells.withColumn("one", F.lit(1)), ["one"], values, list(shares)), "one", "left").drop("one")  # one row each
+
+
 def qc_sensitivity(cells: DataFrame, lowers: tuple[int, ...] = (20, 50, 100, 200, 500), high: int = 5000) -> DataFrame:
     """Cells and counts kept for each lower bound."""
     x = cells.withColumn("lower", F.explode(F.array(*map(F.lit, lowers)).cast("array<long>")))

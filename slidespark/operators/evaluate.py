@@ -15,7 +15,7 @@ from slidespark.functions.quantile import exact_quantile, grouped_quantiles
 from . import spatial
 from .compare import pair_by_nucleus
 from .expression import fano_median, metric_summary, pearson, select_hvg
-from .identity import keep, components
+from .identity import components, keep
 
 
 def common_hvg(nuclear: DataFrame, genes: DataFrame, n_top: int = 1500, least: int = 1) -> DataFrame:
@@ -209,6 +209,13 @@ def evaluation_gene_audit(chosen: DataFrame, mapped: DataFrame, patches: DataFra
     return a.crossJoin(b)  # one row each
 
 
+def evaluation_gene_patches(chosen: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(patch, genes, mapped, mapped_share): the share of each patch's chosen genes that map. chosen (patch, gene_id)."""
+    hit = chosen.select("patch", "gene_id").join(mapped.select("gene_id").distinct().withColumn("_m", F.lit(1)), "gene_id", "left")
+    x = hit.groupBy("patch").agg(F.count("*").alias("genes"), F.count("_m").alias("mapped"))
+    return x.withColumn("mapped_share", F.col("mapped") / F.col("genes"))
+
+
 def comparison_table(cells: DataFrame, source_umis: DataFrame, purity: DataFrame | None = None, iou: DataFrame | None = None, more_than: int = 100) -> DataFrame:
     """One row a (dataset, method): cells, share of counts assigned, medians, mean correlations of cells with enough spots.
 
@@ -230,4 +237,4 @@ def comparison_table(cells: DataFrame, source_umis: DataFrame, purity: DataFrame
     return x
 
 
-__all__ = ["common_hvg", "comparison_table", "consistency_summary", "evaluation_gene_audit", "instance_iou", "instance_summary", "metric_summary", "paired_consistency", "paired_purity"]
+__all__ = ["common_hvg", "comparison_table", "consistency_summary", "evaluation_gene_audit", "evaluation_gene_patches", "instance_iou", "instance_summary", "metric_summary", "paired_consistency", "paired_purity"]

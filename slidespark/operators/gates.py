@@ -116,7 +116,7 @@ def require_fingerprint(df: DataFrame, fingerprint: str) -> None:
 
 
 def validate_predictions(pred: DataFrame, centres: DataFrame) -> DataFrame:
-    """Rules broken by predictions (x, y, p, logits) of the given centres."""
+    """Rules broken by predictions (x, y, p, logits) of the given centres; with a column model, its fingerprint, also by how many models beyond one."""
     p = pred.withColumn("_p", F.lit(1)).join(centres.select("x", "y", F.lit(1).alias("_c")), ["x", "y"], "full_outer")
     fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     have = F.col("_p").isNotNull()
@@ -125,6 +125,7 @@ def validate_predictions(pred: DataFrame, centres: DataFrame) -> DataFrame:
         F.count_if(F.col("_c").isNull()).alias("extra"),
         F.count_if(have & ~F.coalesce(fine(F.col("p")) & (F.size("logits") == 16) & F.forall("logits", fine), F.lit(False))).alias("not_finite"),
         F.count_if(have & ((F.col("p") < 0) | (F.col("p") > 1))).alias("outside"),
+        *([F.greatest(F.count_distinct(F.when(have, F.coalesce(F.col("model").cast("string"), F.lit("")))) - 1, F.lit(0)).alias("more_models")] if "model" in pred.columns else []),
     )
 
 
@@ -134,9 +135,31 @@ def reconcile(report: DataFrame, recomputed: DataFrame, key: list[str], value: s
     return a.join(b, key, "full_outer").filter(~F.col("reported").eqNullSafe(F.col("recomputed")))
 
 
-def progress(manifest: DataFrame, status: DataFrame) -> DataFrame:
-    """Tiles and their share by state; a tile's most advanced state counts. status (id, state)."""
+def _states(manifest: DataFrame, status: DataFrame) -> DataFrame:
+    """(id, records, state) of all tiles; a tile's most advanced state counts."""
     rank = F.array(*map(F.lit, ("pending", "active", "failed", "empty", "done")))
     s = status.groupBy("id").agg(F.max(F.array_position(rank, F.col("state"))).alias("r"))
-    x = manifest.select("id", "records").join(s, "id", "left").withColumn("state", F.get(rank, (F.coalesce("r", F.lit(1)) - 1).cast("int")))
-    return x.groupBy("state").agg(F.count("*").alias("tiles"), F.sum("records").cast("long").alias("records"))
+    return manifest.select("id", "records").join(s, "id", "left").withColumn("state", F.get(rank, (F.coalesce("r", F.lit(1)) - 1).cast("int")))
+
+
+def progress(manifest: DataFrame, status: DataFrame) -> DataFrame:
+    """Tiles and records by state; a tile's most advanced state counts. status (id, state)."""
+    return _states(manifest, status).groupBy("state").agg(F.count("*").alias("tiles"), F.sum("records").cast("long").alias("records"))
+
+
+def progress_report(manifest: DataFrame, status: DataFrame) -> DataFrame:
+    """One row: tiles, tiles with records, completed records and their share, ids of failed and of active tiles, and whether all are done.
+
+    The lists are of tiles, so no longer than the manifest."""
+    x, done = _states(manifest, status), F.col("state").isin("done", "empty")
+    ids = lambda s: F.array_sort(F.collect_list(F.when(F.col("state") == s, F.col("id"))))
+    total, complete = F.coalesce(F.sum("records"), F.lit(0)).cast("long"), F.coalesce(F.sum(F.when(done, F.col("records"))), F.lit(0)).cast("long")
+    return x.agg(
+        F.count("*").alias("tiles"),
+        F.count_if(F.col("records") > 0).alias("expression_tiles"),
+        complete.alias("completed_records"),
+        (complete / F.nullif(total, F.lit(0))).alias("record_fraction"),
+        ids("failed").alias("failed_tiles"),
+        ids("active").alias("active_tiles"),
+        (F.count_if(~done) == 0).alias("complete"),
+    )

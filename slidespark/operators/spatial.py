@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from slidespark.functions import scalars as S
 from slidespark.plans.shared import new_folder
 
+from .grid import CORE, HALO, interior
+
 
 def ring_offsets(rings: int = 10) -> list[tuple[int, int]]:
     """Offsets by square rings from the centre: in each ring the row above, the row below, then the left and right columns."""
@@ -229,6 +231,25 @@ def attach_predictions(molecules: DataFrame, pred: DataFrame) -> DataFrame:
     return molecules.join(pred.select("x", "y", "p"), ["x", "y"], "left")
 
 
+def prediction_shares(molecules: DataFrame, pred: DataFrame, pixels: DataFrame) -> DataFrame:
+    """One row: molecules, those with a prediction, shares inside nuclei and with p over 0.1 and 0.5 (no prediction is not over).
+
+    pixels (x, y, nucleus_id), one row a pixel."""
+    x = attach_predictions(molecules.select("x", "y"), pred).join(pixels.filter("nucleus_id > 0").select("x", "y", F.lit(1).alias("inside")), ["x", "y"], "left")
+    over = lambda v: F.avg(F.coalesce(F.col("p") > v, F.lit(False)).cast("double"))
+    return x.agg(F.count("*").alias("molecules"), F.count("p").alias("with_prediction"), (F.count("inside") / F.nullif(F.count("*"), F.lit(0))).alias("in_nuclei"), over(0.1).alias("over_01"), over(0.5).alias("over_05"))
+
+
+def mark_eligible(candidates: DataFrame, height: int | None = None, width: int | None = None, core: int = CORE, halo: int = HALO, size: int = 3, margin: int = 0) -> DataFrame:
+    """Candidates with interior (B5, in the tile whose core holds the bin's anchor) and eligible: interior with a known class.
+
+    The last tiles end at height and width where those are given."""
+    x, y = (F.col(c) * size for c in ("bx", "by_"))
+    end = lambda c, n: F.lit(core) if n is None else F.least(F.lit(core), n - F.floor(c / core) * core)
+    inside = interior(F.pmod(x, F.lit(core)) + halo, F.pmod(y, F.lit(core)) + halo, end(x, height), end(y, width), halo, margin)
+    return candidates.withColumn("interior", inside).withColumn("eligible", F.col("interior") & F.coalesce(F.col("foreground") >= 0, F.lit(False)))
+
+
 def label_candidates(bins: DataFrame, pixels: DataFrame, centres: DataFrame, size: int = 3, radius: int = 30) -> DataFrame:
     """(bx, by_, foreground 1/0/-1, dx, dy, direction) at bin anchors; direction points to the own nucleus' centre."""
     at = bins.select("bx", "by_", (F.col("bx") * size).alias("x"), (F.col("by_") * size).alias("y"))

@@ -16,13 +16,14 @@ from slidespark.operators import genes as G
 from slidespark.operators import grid as B
 from slidespark.operators import hooks as L
 from slidespark.operators import identity as H
+from slidespark.operators import ranking as R
 from slidespark.operators import slide as Z
 from slidespark.operators import spatial as D
 from slidespark.sources import records as A
 
 from . import pipelines as P
 from .fixtures import oracle
-from .registry import CELLS_SQL, EXPR, N_GENES, ORACLE_SQL, PEARSON_SQL, QUERIES, RING_SQL, SPLIT_SQL, TILED, query, rounded, seam_edges, side
+from .registry import BEST_AB, CELLS_SQL, EXPR, N_GENES, ORACLE_SQL, PEARSON_SQL, QUERIES, RING_SQL, SPLIT_SQL, TILED, query, rounded, seam_edges, side
 from .shared import new_folder
 
 TILE_ID = "CAST(floor(x/150) AS BIGINT)*100+CAST(floor(y/150) AS BIGINT)"
@@ -584,3 +585,110 @@ def _(fx):
     return x.select("symbol", F.posexplode("embedding").alias("dim", "v")).select("symbol", "dim", F.round(F.col("v").cast("double"), 5).alias("value"))
 
 
+
+
+# --- reports of single steps ----------------------------------------------------------------------------------------
+
+
+_with, _select = _body("i1_random_correlation")
+CONSISTENCY_SQL = f"{_with} SELECT c.*, correlation, coalesce(valid_repeats, 0) AS valid_repeats FROM {CELLS_SQL} c LEFT JOIN ({_select}) q USING (cell)"
+
+
+@query("i1_cell_consistency")
+def _(fx):
+    spots = fx["fx_labels"].filter("cell_a > 0").select("x", "y", F.col("cell_a").alias("cell"))
+    return rounded(C.cell_consistency(fx["fx_records"], fx["fx_labels"], "cell_a", R.half_sides(spots, 10, 7), N_GENES), "correlation", digits=5)
+
+
+ORACLE_SQL["i1_cell_consistency"] = CONSISTENCY_SQL
+
+
+@query("i3_cross_totals", f"SELECT count(*) AS source_cells_total, count(m) AS source_cells_matched, count(DISTINCT m) AS target_cells_matched, count(m)-count(DISTINCT m) AS many_to_one_excess FROM (SELECT DISTINCT cell_a AS s FROM fx_labels WHERE cell_a > 0) a LEFT JOIN {BEST_AB} b USING (s)")
+def _(fx):
+    return C.cross_totals(fx["fx_labels"], "cell_a", "cell_b")
+
+
+SPLITS = ("train", "validation", "test")
+
+
+@query("i9_split_audit", "SELECT count(*) AS molecules, " + ", ".join(f"round(avg(CAST({c} AS INT)), 6) AS {n}" for n, c in {"positive": "f = 1", "background": "f = 0", "unknown": "f = -1", **{f"{s}_background": f"f = 0 AND k = {i}" for i, s in enumerate(SPLITS)}}.items()) + " FROM (SELECT foreground AS f, bx % 3 AS k FROM fx_records JOIN fx_labels USING (x, y) JOIN fx_samples USING (bx, by_) WHERE manual_cell > 0) q")
+def _(fx):
+    m = fx["fx_records"].join(fx["fx_labels"].filter("manual_cell > 0").select("x", "y"), ["x", "y"]).select("x", "y")
+    c = fx["fx_samples"].withColumn("split", F.get(F.array(*map(F.lit, SPLITS)), (F.col("bx") % 3).cast("int")))
+    x = C.pseudolabel_audit(m, c, splits=SPLITS)
+    return rounded(x, *(c for c in x.columns if c != "molecules"))
+
+
+IOU_PAIRS = "(SELECT c AS cutoff, manual_cell AS s, CASE WHEN area >= c THEN cell_b ELSE 0 END AS t, count(*) AS n FROM fx_records JOIN fx_labels USING (x, y) LEFT JOIN (SELECT cell_b, count(*) AS area FROM fx_labels WHERE cell_b > 0 GROUP BY 1) a USING (cell_b), (SELECT CAST(unnest([8, 900, 1500]) AS BIGINT) AS c) k GROUP BY 1,2,3)"
+RANKED_PAIRS = f"(SELECT *, row_number() OVER (PARTITION BY cutoff, s ORDER BY n DESC, t) AS rs, row_number() OVER (PARTITION BY cutoff, t ORDER BY n DESC, s) AS rt FROM {IOU_PAIRS} p WHERE s > 0 AND t > 0)"
+
+
+@query(
+    "i10_cutoff_iou",
+    f"SELECT cutoff, any_value(assigned_share) AS assigned_share, count(*) AS manual_cells, count(iou) AS mutual_matches, round(avg(iou), 6) AS matched_only_mean, round(avg(coalesce(iou, 0)), 6) AS all_gt_mean, round(avg(CASE WHEN iou >= 0.5 THEN 1 ELSE 0 END), 6) AS recall50 FROM (SELECT a.cutoff, assigned_share, n/(na+nb-n) AS iou FROM (SELECT cutoff, s, sum(n) AS na FROM {IOU_PAIRS} p WHERE s > 0 GROUP BY 1,2) a JOIN (SELECT cutoff, round(sum(CASE WHEN t > 0 THEN n ELSE 0 END)/sum(n), 6) AS assigned_share FROM {IOU_PAIRS} p GROUP BY 1) h USING (cutoff) LEFT JOIN (SELECT * FROM {RANKED_PAIRS} r JOIN (SELECT cutoff, t, sum(n) AS nb FROM {IOU_PAIRS} p WHERE s > 0 GROUP BY 1,2) b USING (cutoff, t) WHERE rs = 1 AND rt = 1) m USING (cutoff, s)) z GROUP BY 1",
+)
+def _(fx):
+    m = fx["fx_records"].join(fx["fx_labels"], ["x", "y"]).select(F.col("manual_cell").alias("manual"), F.col("cell_b").alias("predicted"))
+    return rounded(C.cutoff_iou(m, fx["fx_labels"], "cell_b", [8, 900, 1500]), "assigned_share", "matched_only_mean", "all_gt_mean", "recall50")
+
+
+_metrics = [(c, w, i, s) for c in ("genes", "umis") for w in ("before", "after") for i, s in enumerate((0, 0.25, 0.5, 0.75, 1))]
+_counts = {"retained_cells": "ok", "removed_few": "n_genes < 150", "removed_many": "n_genes > 190", "at_low": "n_genes = 150", "at_high": "n_genes = 190"}
+QC_SQL = f"SELECT count(*) AS input_cells, {', '.join(f'count(*) FILTER (WHERE {c}) AS {n}' for n, c in _counts.items())}, CAST(sum(n_umis) AS BIGINT) AS input_umis, CAST(sum(CASE WHEN ok THEN n_umis ELSE 0 END) AS BIGINT) AS retained_umis, round(100*sum(CASE WHEN ok THEN n_umis ELSE 0 END)/sum(n_umis), 6) AS retained_percent, round(100*sum(CASE WHEN ok THEN n_umis ELSE 0 END)/(SELECT sum(cnt) FROM fx_records), 6) AS retained_percent_of_slide, "
+QC_SQL += ", ".join(f"quantile_cont({f'n_{c}' if w == 'before' else f'CASE WHEN ok THEN n_{c} END'}, {s}) AS {c}_{w}_{i}" for c, w, i, s in _metrics)
+
+
+@query("i11_qc_report", f"{QC_SQL} FROM (SELECT *, n_genes BETWEEN 150 AND 190 AS ok FROM {CELLS_SQL} c) q")
+def _(fx):
+    cells = E.cell_qc_metrics(fx["fx_records"], fx["fx_labels"], "cell_a")
+    x = C.qc_report(cells, fx["fx_records"].agg(F.sum("cnt").alias("umis")), 150, 190)
+    x = x.withColumns({f"{c}_{w}_{i}": F.get(f"{c}_{w}", F.lit(i)) for c, w, i, _ in _metrics}).drop(*(f"{c}_{w}" for c, w, _, _ in _metrics))
+    return rounded(x, "retained_percent", "retained_percent_of_slide")
+
+
+@query("i11_mitochondrial", "SELECT cell_a AS cell, CAST(sum(CASE WHEN gene_name ILIKE 's%' THEN cnt ELSE 0 END) AS BIGINT) AS mt_umis, round(100*sum(CASE WHEN gene_name ILIKE 's%' THEN cnt ELSE 0 END)/sum(cnt), 6) AS mt_percent FROM fx_records JOIN fx_labels USING (x, y) LEFT JOIN fx_genes USING (gene_id) WHERE cell_a > 0 GROUP BY 1")
+def _(fx):
+    """The test genes have no MT- symbols: those that begin with S stand for them."""
+    g = fx["fx_genes"].select("gene_id", F.col("gene_name").alias("symbol"))
+    return rounded(C.mitochondrial(fx["fx_records"], fx["fx_labels"], "cell_a", g, "S"), "mt_percent")
+
+
+@query("i14_gene_patches", f"SELECT patch, count(*) AS genes, count(*) FILTER (WHERE known) AS mapped, round(avg(CAST(known AS INT)), 6) AS mapped_share FROM (SELECT DISTINCT {TILE_ID} AS patch, gene_id FROM fx_records) c LEFT JOIN (SELECT gene_id, upper(gene_name) IN (SELECT symbol FROM fx_embeddings) AS known FROM fx_genes) g USING (gene_id) GROUP BY 1".replace("avg(CAST(known AS INT))", "avg(CASE WHEN known THEN 1 ELSE 0 END)"))
+def _(fx):
+    r = fx["fx_records"].withColumn("patch", tile_id())
+    known = fx["fx_genes"].select("gene_id", F.upper("gene_name").alias("symbol")).join(fx["fx_embeddings"].select("symbol"), "symbol", "left_semi")
+    return rounded(V.evaluation_gene_patches(r.select("patch", "gene_id").distinct(), known), "mapped_share")
+
+
+_with, _select = _body("d7_label_candidates")
+
+
+@query("d7_eligible")
+def _(fx):
+    x = D.label_candidates(fx["fx_bins"], fx["fx_anchor_labels"], E.cell_stats(fx["fx_labels"], "nucleus_id"))
+    return D.mark_eligible(x, core=150, margin=30).select("bx", "by_", "foreground", "interior", "eligible")
+
+
+ORACLE_SQL["d7_eligible"] = f"{_with} SELECT bx, by_, foreground, interior, interior AND foreground >= 0 AS eligible FROM (SELECT *, 3*bx%150 >= 30 AND 3*bx%150 < 120 AND 3*by_%150 >= 30 AND 3*by_%150 < 120 AS interior FROM ({_select}) q) z"
+
+
+@query("d14_prediction_shares", "SELECT count(*) AS molecules, count(p) AS with_prediction, round(avg(CASE WHEN nucleus_id > 0 THEN 1 ELSE 0 END), 6) AS in_nuclei, round(avg(CASE WHEN p > 0.1 THEN 1 ELSE 0 END), 6) AS over_01, round(avg(CASE WHEN p > 0.5 THEN 1 ELSE 0 END), 6) AS over_05 FROM fx_records LEFT JOIN (SELECT 3*x AS x, 3*y AS y, p FROM fx_pred) q USING (x, y) LEFT JOIN fx_labels USING (x, y)")
+def _(fx):
+    p = fx["fx_pred"].select((F.col("x") * 3).alias("x"), (F.col("y") * 3).alias("y"), "p")
+    return rounded(D.prediction_shares(fx["fx_records"], p, fx["fx_labels"]), "in_nuclei", "over_01", "over_05")
+
+
+@query("c27_report", f"SELECT count(*) AS tiles, count(*) FILTER (WHERE records > 0) AS expression_tiles, CAST(sum(CASE WHEN s IN ('prepared', 'empty') THEN records ELSE 0 END) AS BIGINT) AS completed_records, round(sum(CASE WHEN s IN ('prepared', 'empty') THEN records ELSE 0 END)/sum(records), 6) AS record_fraction, coalesce(string_agg(CASE WHEN s = 'failed' THEN CAST(id AS VARCHAR) END, ',' ORDER BY id), '') AS failed_tiles, coalesce(string_agg(CASE WHEN s IS NULL AND id % 2 = 0 THEN CAST(id AS VARCHAR) END, ',' ORDER BY id), '') AS active_tiles, count(*) = count(*) FILTER (WHERE s IN ('prepared', 'empty')) AS complete FROM (SELECT id, records, {STATE_SQL} AS s FROM {REPORT_TILES} t) q")
+def _(fx):
+    tiles, status = report_tiles(fx)
+    done = status.withColumn("state", F.when(F.col("state") == "prepared", "done").otherwise(F.col("state")))
+    started = tiles.filter("id % 2 = 0").select("id", F.lit("active").alias("state"))
+    x = J.progress_report(tiles, done.unionByName(started))
+    text = lambda c: F.concat_ws(",", F.transform(c, lambda i: i.cast("string"))).alias(c)
+    return rounded(x, "record_fraction").withColumns({c: text(c) for c in ("failed_tiles", "active_tiles")})
+
+
+@query("j5_one_model", "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS not_finite, CAST(0 AS BIGINT) AS outside, count(DISTINCT y % 3)-1 AS more_models FROM fx_pred")
+def _(fx):
+    p = fx["fx_pred"].withColumns({"logits": F.array_repeat(F.lit(0.5), 16), "model": F.col("y") % 3})
+    return J.validate_predictions(p, fx["fx_pred"])

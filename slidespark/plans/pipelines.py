@@ -45,8 +45,8 @@ class Prepared(NamedTuple):
     coverage: DataFrame
 
 
-def prepare_slide(records: DataFrame, pixels: DataFrame, gene_table: DataFrame, symbols: DataFrame, core: int = grid.CORE, size: int = grid.BIN, n: int = 50, fraction: float = 0.1, seed: int = 0) -> Prepared:
-    """Records to a packed training set.
+def prepare_slide(records: DataFrame, pixels: DataFrame, gene_table: DataFrame, symbols: DataFrame, core: int = grid.CORE, size: int = grid.BIN, n: int = 50, fraction: float = 0.1, seed: int = 0, height: int | None = None, width: int | None = None) -> Prepared:
+    """Records to a packed training set; centres are eligible in the interior of their tile, 10 bins from its core's edge.
 
     records (x, y, bx, by_, gene_id, cnt), pixels (x, y, nucleus_id, stain), gene_table (gene_id, symbol), symbols (symbol)."""
     expr = gates.conserve(records, expression.bin_expression, records=False)
@@ -57,6 +57,7 @@ def prepare_slide(records: DataFrame, pixels: DataFrame, gene_table: DataFrame,
     labelled = spatial.label_candidates(centres, anchors, expression.cell_stats(pixels, "nucleus_id"), size)
     labelled = labelled.withColumn("tile", F.floor(F.col("bx") * size / core) * 100_000 + F.floor(F.col("by_") * size / core))
     split = ranking.split_points(labelled.filter("foreground >= 0"), ["tile", "foreground"], ["bx", "by_"], fraction, seed).select("bx", "by_", "split")
+    labelled = spatial.mark_eligible(labelled, height, width, core, size=size, margin=10 * size)
     samples = labelled.join(split, ["bx", "by_"], "left").withColumn("split", F.coalesce("split", F.lit("ignored")))
     mapped = expr.join(gene_table.join(symbols.select("symbol").distinct(), "symbol", "left_semi").select("gene_id", "symbol").distinct(), "gene_id")
     merged = mapped.groupBy("bx", "by_", "symbol").agg(F.sum("cnt").cast("long").alias("cnt")).withColumnRenamed("symbol", "gene_id")
