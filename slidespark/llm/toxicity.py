@@ -315,160 +315,6 @@ def frequencies(texts: DataFrame, names: dict[str, int]) -> tuple[np.ndarray, in
     return out[:-1], int(out[-1])
 
 
-def score(self, bag) -> tuple[float, list[int]]:
-        v, near = self.vote(bag)
-        return (curve(np.array([v]), *self.curve)[0] if self.index else self.prior), near
-
-
-def _logit(v: np.ndarray) -> np.ndarray:
-    v = np.clip(v, 1e-4, 1 - 1e-4)
-    return np.log(v / (1 - v))
-
-
-def curve(v: np.ndarray, a: float, b: float) -> np.ndarray:
-    return 1 / (1 + np.exp(-(a + b * _logit(v))))
-
-
-def calibrate(v: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Logistic curve of the vote's logit by Newton steps, with a weak pull towards the vote itself."""
-    x, a, b = _logit(v), 0.0, 1.0
-    w = w / w.sum() * len(w)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(a + b * x)))
-        g = np.array([(w * (y - p)).sum() - a, (w * (y - p) * x).sum() - (b - 1)])
-        h = w * p * (1 - p)
-        m = np.array([[h.sum() + 1, (h * x).sum()], [(h * x).sum(), (h * x * x).sum() + 1]])
-        step = np.linalg.solve(m, g)
-        a, b = a + step[0], max(b + step[1], 0.05)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(a), float(b)
-
-
-def relevance(n0: np.ndarray, n1: np.ndarray, of0: int, of1: int) -> np.ndarray:
-    """(c / (c + CHANCE)) ** 2 for the chi-square c, with continuity correction, of terms that n0 and n1 of the classes' examples hold."""
-    n = of0 + of1
-    off = np.maximum(np.abs(n1 * (of0 - n0) - n0 * (of1 - n1)) - n / 2, 0.0)
-    chi = n * off**2 / np.maximum((n0 + n1) * (n - n0 - n1) * of0 * of1, 1.0)
-    return (chi / (chi + CHANCE)) ** 2
-
-
-def word_counts(sample: DataFrame) -> pa.Table:
-    """(word, n0, n1): documents of either class that hold each word of the examples; bounded as they are."""
-
-    def run(batches):
-        have: dict[str, list[int]] = {}
-        for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in set(WORDS(text.lower())):
-                    have.setdefault(w, [0, 0])[y] += 1
-        keys = list(have)
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([have[x][y] for x in part], pa.int64()) for y in (0, 1))], ["word", "n0", "n1"])
-
-    counts = sample.select("toxic", "text").mapInArrow(run, schema(word=STR, n0=LONG, n1=LONG))
-    return counts.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-
-
-def bags_of(sample: DataFrame, names: dict[str, int]) -> pa.Table:
-    """(doc_id, toxic, t, n) of the examples by id: the numbers of their terms and how often each occurs."""
-    held = sample.sparkSession.sparkContext.broadcast(names)
-
-    def run(batches):
-        bag = Bag(held.value)
-        for b in batches:
-            t, n = zip(*(bag(x) for x in b.column(2).to_pylist()), strict=True) if b.num_rows else ((), ())
-            lists = (pa.array([x.astype(np.int32) for x in c], pa.list_(pa.int32())) for c in (t, n))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc_id", "toxic", "t", "n"])
-
-    ints = T.ArrayType(INT)
-    return sample.select("doc_id", "toxic", "text").mapInArrow(run, schema(doc_id=LONG, toxic=INT, t=ints, n=ints)).toArrow().sort_by("doc_id")
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = MAX_EXAMPLES) -> Classifier:
-    """Fit on train labels. What reaches the driver: the words of at most ``examples`` documents with their counts, and the documents as numbers of words."""
-    texts = whole_texts(docs, id_col, text_col)
-    shares = dict(train_labels(labels).groupBy("toxic").count().collect())
-    prior = shares.get(1, 0) / max(sum(shares.values()), 1)
-    picked = [tuple(r) for r in sample_labels(labels, examples).collect()]
-    none = Classifier({}, None, (1.0, 1.0), prior)
-    if not picked:
-        return none
-    spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int"))
-    # one text of an id that repeats, the least; whole texts, in hash order, as far as MAX_CHARS goes
-    there = texts.join(chosen, "doc_id")
-    sizes = there.groupBy("doc_id").agg(F.min(F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("x")).select("doc_id", "x.n", "x.h").collect()
-    order = {d: i for i, (d, _) in enumerate(picked)}
-    left, keep = MAX_CHARS, []
-    for r in sorted(sizes, key=lambda r: order[r.doc_id] % max(examples // 2, 1)):
-        if r.n <= left:
-            left -= r.n
-            keep.append((r.doc_id, r.h))
-    if not keep:
-        return none
-    which = F.broadcast(spark.createDataFrame(keep, "doc_id long, h long"))
-    sample = there.withColumn("h", F.xxhash64("text")).join(which, ["doc_id", "h"])
-    sample = Scratch(spark, "toxicity").keep(sample.dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text"))
-    of = dict(sample.groupBy("toxic").count().collect())
-    of = [of.get(0, 0), of.get(1, 0)]
-    if not all(of):
-        return none
-    found = word_counts(sample)
-    rel = relevance(*(found.column(c).to_numpy().astype(np.float64) for c in ("n0", "n1")), *of)
-    # words that weigh nothing need no place in the index
-    words = [w for w, r in zip(found.column("word").to_pylist(), rel, strict=True) if r > 0]
-    names = {w: i for i, w in enumerate(words)}
-    df, total = frequencies(texts, names)
-    weight = (np.log((total + 1) / (df + 1)) + 0.1) * rel[rel > 0]
-    got = bags_of(sample, names)
-    ids, labels = got.column("doc_id").to_pylist(), got.column("toxic").to_pylist()
-    bags = list(zip(*([np.asarray(x.values, np.int64) for x in got.column(c)] for c in ("t", "n")), strict=True))
-    index = Index(bags, ids, labels, weight)
-    model = Classifier(names, index, ((1 - prior) / of[0], prior / of[1]), prior)
-    # calibration: every example without itself and those with its words
-    same: dict[tuple, list[int]] = {}
-    slot_of = {int(d): i for i, d in enumerate(index.ids) if d >= 0}
-    key = [hash((b[0].tobytes(), b[1].tobytes())) for b in bags]
-    for d, k in zip(ids, key, strict=True):
-        same.setdefault(k, []).append(slot_of[d])
-    held = spark.sparkContext.broadcast((model, bags, [np.array(same[k]) for k in key]))
-    spans = spark.range(0, len(ids), 1, max(1, min(32, len(ids) // 100)))
-
-    def votes(batches):
-        m, b, skip = held.value
-        for x in batches:
-            at = x.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([m.vote(b[i], skip[i])[0] for i in at], pa.float64())], ["i", "v"])
-
-    v = spans.mapInArrow(votes, schema(i=LONG, v=DBL)).toArrow().sort_by("i").column("v").to_numpy()
-    y = np.array(labels, np.float64)
-    model.curve = calibrate(v, y, np.where(y > 0, model.weight[1], model.weight[0]))
-    return model
-
-
-def frequencies(texts: DataFrame, names: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Document frequency of the terms and number of documents, over all rows."""
-    held = texts.sparkSession.sparkContext.broadcast(names)
-
-    def count(batches):
-        terms, have, n = held.value, np.zeros(len(held.value) + 1, np.int64), 0
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                have[[terms[w] for w in set(WORDS(x.lower())) if w in terms]] += 1
-                n += 1
-        have[-1] = n
-        at = np.flatnonzero(have)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(have[at], pa.int64())], ["t", "n"])
-
-    rows = texts.select("text").mapInArrow(count, schema(t=LONG, n=LONG)).groupBy("t").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(names) + 1, np.float64)
-    for t, n in rows:
-        out[t] = n
-    return out[:-1], int(out[-1])
-
-
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score, neighbours[, extra columns of the input]) of every document; neighbours: the nearest example ids."""
     held = docs.sparkSession.sparkContext.broadcast(model)
