@@ -34,7 +34,10 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("key"), F.col("text"), F.struct(*docs.columns).alias("row"))
     gone = minhash_dedup.near_duplicates(rows, k=5, percent=80, id_col="key").filter("not kept").select(F.col("doc_id").alias("key")).distinct()
     left = rows.join(gone, "key", "left_anti")
-    return left.groupBy("key", F.sha2("text", 256).alias("sha")).agg(F.min("row").alias("row")).select("row.*")
+    # rows of a group have the same id and text; maps have no order and count as their text
+    rest = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    place = F.struct(F.lit(0), *(F.to_json(F.struct(f"row.{f.name}")) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else F.col(f"row.{f.name}") for f in rest))
+    return left.groupBy("key", F.sha2("text", 256).alias("sha")).agg(F.min_by("row", place).alias("row")).select("row.*")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,19 +32,22 @@ FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs"
     " sidebar sidenav rail aside footer header masthead comment comments commentlist disqus reply replies respond share sharing social cookie cookies consent gdpr"
     " notice notices notification alert popup modal overlay newsletter subscribe subscription signup login related recommended recommendations widget toolbar"
-    " pagination pager popular trending taboola outbrain feedback discussion hidden skip".split()
+    " pagination pager popular trending taboola outbrain feedback hidden skip".split()
 )
 #: Words that may stand beside a furniture name in a class without changing what it says.
 BESIDE = frozenset(
     "site page main post posts entry article top bottom left right upper lower global local primary secondary inner outer wrapper wrap container box block bar list item items"
-    " section area region panel content unit slot zone module links link icons buttons button text form bg row col column grid fixed sticky mobile desktop js is the".split()
+    " section area region panel content unit slot zone module links link icons buttons button text form bg row col column grid fixed sticky mobile desktop js is the"
+    " body user users reader readers thread threads author count tools tool message messages articles story stories posts fb facebook".split()
 )
 OPENED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table td th article section main body html div aside nav header footer form blockquote".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
 ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?=[\s/>]|$))", re.I)
-NAME = re.compile(r"[a-z]+")
+NAME = re.compile(r"[A-Z]*[a-z]+|[A-Z]+")
+#: Words of readers' comments: one of them in a class decides alone. Words before a name that only say what a container has.
+COMMENT, HAS = re.compile(r"comment(s|er|ers|list|lists|thread|threads|body|box|form|area|section)?"), frozenset("with has have no not without hide show".split())
 
 
 def _furniture(tag: str, attrs: str) -> bool:
@@ -53,7 +56,8 @@ def _furniture(tag: str, attrs: str) -> bool:
     if not attrs.strip() or tag in ("html", "body"):
         return False
     for k, v in ATTR.findall(attrs):
-        k, v = k.lower(), v.strip("\"'").lower()
+        k, names = k.lower(), v.strip("\"'")
+        v = names.lower()
         if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v in ROLES:
             return True
         if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
@@ -61,9 +65,9 @@ def _furniture(tag: str, attrs: str) -> bool:
         if k in ("class", "id"):
             if tag in ("article", "main") and not re.search(r"comment|reply|related|sponsor|advert|promo", v):
                 continue
-            for name in v.split():
-                parts = NAME.findall(name)
-                if parts and parts[0] not in ("with", "has", "no", "without") and any(p in FURNITURE for p in parts) and all(p in FURNITURE or p in BESIDE for p in parts):
+            for name in names.split():
+                parts = [x.lower() for x in NAME.findall(name)]
+                if HAS.isdisjoint(parts) and (any(map(COMMENT.fullmatch, parts)) or any(p in FURNITURE for p in parts) and all(p in FURNITURE or p in BESIDE for p in parts)):
                     return True
     return False
 
@@ -120,8 +124,10 @@ def main_text(html: str) -> str:
         parent.append(stack[-1])
         # the header of the article itself holds its title
         own = tag == "header" and any(tags[x] in ("article", "main") for x in stack)
+        # a quotation set beside its article is text of it, and so is the name of a button within a sentence
+        own = own or tag == "aside" and re.search(r"pull-?_?quote", m[3], re.I) is not None or tag == "button" and any(tags[x] == "p" for x in stack)
         dead.append(dead[stack[-1]] or _furniture("div" if own else tag, m[3]))
-        if tag in RAW:
+        if tag in RAW and not own:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at) if not m[3].rstrip().endswith("/") else None
             if end:
                 at = end.end()
@@ -185,7 +191,7 @@ def main_text(html: str) -> str:
         for j in range(1, size):
             if parent[j] in up_to and j not in beside and not dead[j] and density[j] < 0.25:
                 few = 1 if parent[j] == parent[top] else 10
-                if final[j] >= least or tags[j] in ("p", "h1", "h2", "blockquote", "pre") and words[j] >= few:
+                if final[j] >= least or tags[j] in ("p", "h1", "h2", "h3", "blockquote", "pre") and words[j] >= few:
                     roots.add(j)
     named = any(tags[i] in ("article", "main") for i in roots)
     inside = [False] * size

@@ -475,3 +475,31 @@ def test_lm_scores_every_word_by_its_counts(spark, docs, corpus, head, monkeypat
     log = {w: 0.0 if w in own else math.log(n[w] / total[lm.ending(w)]) for w in n}
     want = Counter((i, len(ws), round(sum(log[w] for w in ws), 3)) for i, ws in texts)
     assert Counter((r.doc_id, r.n_tokens, round(r.log_prob, 3) + 0.0) for r in lm.score(docs).collect()) == want
+
+
+TALE = "The river rose again, and the town, which had seen it before, moved its boats and waited for the night to pass."
+
+
+@pytest.mark.parametrize("name", ["comment-body", "reader-comments", "user-comments", "fb-comments", "CommentThread", "related-articles", "share-tools", "gdpr-message"])
+def test_html_leaves_out_furniture_within_an_article(name):
+    page = "<article><h1>T</h1><p>{0}</p><p>{0}</p>{1}</article>".format
+    assert html_text.main_text(page(TALE, f'<div class="{name}"><p>Nice words, dear writer, thanks.</p></div>')) == f"T\n{TALE}\n{TALE}"
+
+
+@pytest.mark.parametrize(
+    "part,text",
+    [
+        ('<section class="discussion"><h2>Discussion</h2><p>Water falls.</p></section>', "Discussion\nWater falls."),
+        ('<aside class="pullquote">moved its boats</aside>', "moved its boats"),
+        ("<p>Press <button>Save</button> to store it.</p>", "Press Save to store it."),
+        ('<div class="has-comments"><p>The end.</p></div>', "The end."),
+        ('<div class="commentary"><p>The end.</p></div>', "The end."),
+    ],
+)
+def test_html_keeps_the_article_whole(part, text):
+    assert html_text.main_text(f"<article><h1>T</h1><p>{TALE}</p>{part}</article>") == f"T\n{TALE}\n{text}"
+
+
+def test_html_of_an_empty_table_and_extra_columns(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{TALE}</p>", "x")], "page_id long, url string, html string, text string")
+    assert [r.text for r in html_text.extract(df).collect()] == [TALE] and html_text.extract(df.limit(0)).count() == 0

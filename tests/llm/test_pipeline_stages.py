@@ -139,3 +139,9 @@ def test_empty_folder(spark, tmp_path):
     docs = table(spark, str(tmp_path), "documents")
     for _, stage in P.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_minhash_stage_passes_map_columns(spark, folder):
+    docs = table(spark, folder, "documents").selectExpr("*", "map(source, n_chars) AS extra")
+    got = P.minhash_stage(spark, docs, folder)
+    assert got.columns == docs.columns and got.count() == P.minhash_stage(spark, docs.drop("extra"), folder).count()
