@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +79,43 @@ def test_conserve(spark):
         gates.conserve(d, lambda x: x.groupBy("gene_id").agg(F.sum("cnt").alias("cnt")))
     with pytest.raises(ValueError, match="not conserved"):
         gates.conserve(d, lambda x: x.filter("cnt <> 7"))
+
+
+def test_lowest_ranks_of_small_large_and_repeated_keys(spark):
+    from slidespark.operators import ranking as R
+
+    df = spark.range(5000).selectExpr("id % 3 AS t", "CASE WHEN id % 3 = 2 THEN 7 ELSE id END AS k", "id").union(spark.createDataFrame([(None, 1, 1), (9, 1, 1)], "t long, k long, id long"))
+    every = R._ranked(df, ["t"], ["k"], 5).filter("_rank <= 40").select("t", "k").collect()
+    few = R.lowest(df, ["t"], ["k"], 5, F.lit(40), 40)
+    assert sorted(map(str, few.select("t", "k").collect())) == sorted(map(str, every)) and len(every) == 122
+    assert {r["max(_rank)"] for r in few.filter("t < 3").groupBy("t").agg(F.max("_rank")).collect()} == {40}
+
+
+def test_grouped_quantiles_equal_numpy(spark):
+    from slidespark.functions.quantile import grouped_quantiles
+
+    rnd = np.random.default_rng(3)
+    data = {"a": rnd.normal(size=3000), "b": np.repeat([1.0, 2.0], [5, 900]), "c": np.array([4.0]), None: np.array([])}
+    rows = [(k, float(v), float(-v)) for k, x in data.items() for v in x] + [(None, None, 1.0), ("c", None, None)]
+    df = spark.createDataFrame(rows, "g string, v double, w double").repartition(5)
+    got = {r.g: r for r in grouped_quantiles(df, ["g"], {"p": F.col("v"), "m": F.col("w")}, [0.0, 0.3, 0.5, 1.0]).collect()}
+    assert set(got) == set(data) and got[None].p is None and got[None].m == [1.0] * 4
+    for k in "abc":
+        assert np.allclose(got[k].p, np.quantile(data[k], [0, 0.3, 0.5, 1])) and np.allclose(got[k].m, np.quantile(-data[k], [0, 0.3, 0.5, 1]))
+
+
+@pytest.mark.parametrize("most", [0, 1 << 26])
+def test_pooling_of_wide_vectors_equals_numpy(spark, monkeypatch, most):
+    from slidespark.operators import expression as E
+
+    monkeypatch.setattr(E, "BROADCAST", most)
+    rnd = np.random.default_rng(4)
+    vec = rnd.normal(size=(30, 70)).round(3)
+    cnt = [(i % 7, 0, int(g), int(rnd.integers(1, 9))) for i in range(60) for g in [rnd.integers(0, 34)]]
+    v = spark.createDataFrame([(i, [float(e) for e in x]) for i, x in enumerate(vec)] + [(30, []), (31, None)], "gene_id long, embedding array<double>")
+    got = E.pool_embeddings(spark.createDataFrame(cnt, "bx long, by_ long, gene_id long, cnt long"), v).toPandas()
+    for b in range(7):
+        use = [(g, c) for x, _, g, c in cnt if x == b and g < 30]
+        part = got[got.bx == b].sort_values("dim")
+        assert part.dim.tolist() == list(range(70)) and set(part.nnz) == {len(use)}
+        assert np.allclose(part.value, sum(c * vec[g] for g, c in use) / len(use), atol=1e-9)
