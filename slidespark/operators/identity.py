@@ -145,3 +145,12 @@ def stitch_slide(core_pixels: DataFrame, edges: DataFrame) -> DataFrame:
 def attach_shared_identity(labels: DataFrame, identities: DataFrame) -> DataFrame:
     """Labels (tile, label, ..) with the global id of each local label, 0 for none. identities (tile, label, global_id)."""
     return labels.join(identities, ["tile", "label"], "left").withColumn("global_id", F.coalesce("global_id", F.lit(0)))
+
+
+def shared_union(nodes: DataFrame, identities: DataFrame) -> DataFrame:
+    """D15 in place of H1: (tile, label, root_tile, root_label) by shared identity; a label without one is a root of its own.
+
+    identities (tile, label, global_id), 0 for none. The least tile and label of an identity is its root."""
+    root = identities.filter("global_id > 0").groupBy("global_id").agg(F.min(F.struct("tile", "label")).alias("r"))
+    x = attach_shared_identity(nodes.select("tile", "label").distinct(), identities.select("tile", "label", "global_id")).join(root, "global_id", "left")
+    return x.select("tile", "label", F.coalesce("r.tile", "tile").alias("root_tile"), F.coalesce("r.label", "label").alias("root_label"))

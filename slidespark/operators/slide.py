@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import grid, ranking
+from . import grid, ranking, spatial
 from .expression import cell_stats
 from .gates import assert_conserved
 
@@ -63,6 +63,41 @@ def _corners() -> dict[str, Column]:
     return {"x0": o("x"), "y0": o("y"), "x1": o("x") + s("width"), "y1": o("y") + s("height")}
 
 
+def seam_pairs(tiles: DataFrame) -> DataFrame:
+    """Adjacent tiles (a, b) with the box they share and their number; pairs are numbered by the tiles' rows and columns.
+
+    tiles is the manifest of make_tiles, at most 2^14 tiles a side."""
+    at = lambda s: tiles.select(F.col("id").alias(s), F.col("ix").alias(f"ix{s}"), F.col("iy").alias(f"iy{s}"))
+    box = overlap_box(tiles, spatial.adjacent_tiles(tiles)).filter("x0 < x1 and y0 < y1").join(at("a"), "a").join(at("b"), "b")
+    way = 3 * (F.col("ixb") - F.col("ixa")) + F.col("iyb") - F.col("iya")  # 1 to 4 in the order of the four directions
+    return box.select("a", "b", "x0", "y0", "x1", "y1", ((F.col("ixa") * 2**14 + F.col("iya")) * 4 + way - 1).cast("long").alias("pair"))
+
+
+def seam_matches(labels: DataFrame, tiles: DataFrame, least: int = 30, share: float = 0.5) -> DataFrame:
+    """Edges of H1 from the labels (tile, x, y, label) of haloed tiles, tiles being their manifest.
+
+    (ordinal, tile_a, label_a, tile_b, label_b, pixels, fraction) of the mutual best labels of each pair of adjacent tiles,
+    in the order of the pairs, then of label_a. Areas count all labelled pixels of the box that both tiles hold. Only
+    pixels of these boxes are shuffled, once. Where labels match, a pixel with two labels in one tile and
+    a label of 2^31 or more are errors."""
+    pairs = seam_pairs(tiles)
+    boxes = pairs.withColumn("s", F.explode(F.array(F.struct(F.col("a").alias("tile"), F.lit(0).alias("side")), F.struct(F.col("b").alias("tile"), F.lit(1).alias("side")))))
+    boxes = boxes.select("s.*", "pair", "x0", "y0", "x1", "y1")
+    # at most eight rows a tile of the manifest
+    x = labels.filter("label > 0").join(F.broadcast(boxes), "tile").filter("x >= x0 and x < x1 and y >= y0 and y < y1")
+    on = lambda k: F.when(F.col("side") == k, F.col("label"))
+    both = x.groupBy("pair", "x", "y").agg(*(F.coalesce(F.max(on(k)), F.lit(0)).alias(c) for k, c in enumerate("st")), *(F.count(on(k)).alias(f"n{c}") for k, c in enumerate("st")))
+    both = both.withColumn("s", F.when(F.greatest("ns", "nt") > 1, F.raise_error(F.lit("a pixel has two labels in one tile")).cast("long")).otherwise(F.col("s")))
+    n = both.groupBy("pair", "s", "t").agg(F.count("*").alias("n"))
+    area = lambda c: n.filter(F.col(c) > 0).groupBy("pair", c).agg(F.sum("n").alias(f"area_{c}"))
+    hit = n.filter("s > 0 and t > 0")
+    best = lambda c, o: hit.groupBy("pair", c).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(o).alias("o"))).alias("b")).select("pair", c, F.col("b.o").alias(o))
+    m = hit.join(best("s", "t"), ["pair", "s", "t"]).join(best("t", "s"), ["pair", "s", "t"]).join(area("s"), ["pair", "s"]).join(area("t"), ["pair", "t"])
+    m = m.withColumn("fraction", F.col("n") / F.least("area_s", "area_t")).filter((F.col("n") >= least) & (F.col("fraction") >= share))
+    o = F.when(F.col("s") < 2**31, F.col("pair") * 2**31 + F.col("s")).otherwise(F.raise_error(F.lit("label of 2^31 or more")).cast("long"))
+    return m.join(F.broadcast(pairs.select("pair", "a", "b")), "pair").select(o.cast("long").alias("ordinal"), F.col("a").alias("tile_a"), F.col("s").alias("label_a"), F.col("b").alias("tile_b"), F.col("t").alias("label_b"), F.col("n").alias("pixels"), "fraction")
+
+
 def seam_agreement(labels: DataFrame, identities: DataFrame) -> DataFrame:
     """H6: by pair of overlapping tiles the spots that both label, the share with one identity, and mutual best matches.
 

@@ -567,10 +567,57 @@ QUERIES["c30_comparison_table"], ORACLE_SQL["c30_comparison_table"] = QUERIES["p
 @query("p3_stitch", f"SELECT cell, area, round(cx, 6) AS cx, round(cy, 6) AS cy, n_spots, n_umis, n_genes, CASE WHEN n_genes < 150 THEN 'few_genes' WHEN n_genes > 190 THEN 'many_genes' ELSE 'kept' END AS reason FROM (SELECT row_number() OVER (ORDER BY t, r) AS cell, area, cx, cy, coalesce(n_spots, 0) AS n_spots, coalesce(n_umis, 0) AS n_umis, coalesce(n_genes, 0) AS n_genes FROM (SELECT cell_a, min(tile) AS t, cell_a+10*min(tile) AS r, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM {TILED} q GROUP BY 1) z LEFT JOIN {CELLS_SQL} c ON c.cell = z.cell_a) y")
 def _(fx):
     pixels, edges = seam_edges(fx)
-    manifest = pixels.select(F.col("tile").alias("id")).distinct()
-    status = manifest.withColumns({"state": F.lit("done"), "fingerprint": F.lit("f")})
-    _, cells = P.stitch(fx["fx_records"].select("x", "y", "gene_id", "cnt"), pixels, edges, manifest, status, 150, 150, 190)
-    return rounded(cells, "cx", "cy")
+    manifest = pixels.select(F.col("tile").alias("id"), F.floor(F.col("x") / 150).alias("ix"), F.floor(F.col("y") / 150).alias("iy")).distinct()
+    x = P.stitch(fx["fx_records"].select("x", "y", "gene_id", "cnt"), pixels, manifest, done(manifest), edges, core=150, low=150, high=190)
+    return rounded(x.cells, "cx", "cy")
+
+
+def done(manifest):
+    return manifest.select("id", F.lit("done").alias("state"), F.lit("f").alias("fingerprint"))
+
+
+def haloed_labels(fx):
+    """The manifest, and each haloed tile's labels by pixel under numbers of its own; tiles of 48 pixels, so that most cells cross seams."""
+    n = side(fx)
+    tiles = B.make_tiles(fx.spark, n, n, 48, 12)
+    k = -(-n // 48)
+    h = D.halo_records(fx["fx_labels"].filter("cell_a > 0").select("x", "y", "cell_a"), 48, 12, F.lit(k), F.lit(k)).filter("x >= ix*48-12 and x < ix*48+60 and y >= iy*48-12 and y < iy*48+60")
+    return tiles, h.select(F.format_string("x%02d_y%02d", "ix", "iy").alias("tile"), "x", "y", (F.col("cell_a") + F.pmod(F.col("ix") * 3 + F.col("iy"), F.lit(7)) * 100_000).cast("long").alias("label"))
+
+
+NUMBERED = HALOED.replace("*150", "*48").replace("+162", "+60").replace("ix*100+iy AS tile", "ix, iy, printf('x%02d_y%02d', ix, iy) AS tile").replace("{c} AS label", "CAST(cell_a + (ix*3+iy) % 7 * 100000 AS BIGINT) AS label").replace("{c}", "cell_a")
+MATCHED = f"(SELECT a.ix, a.iy, b.ix AS jx, b.iy AS jy, a.tile AS ta, a.label AS la, b.tile AS tb, b.label AS lb, count(*) AS n FROM {NUMBERED} a JOIN {NUMBERED} b USING (x, y) WHERE (b.ix-a.ix, b.iy-a.iy) IN ((0,1),(1,-1),(1,0),(1,1)) GROUP BY ALL HAVING count(*) >= 30)"
+
+
+@query("d10_seam_matches", f"SELECT CAST(((ix*16384+iy)*4 + 3*(jx-ix)+jy-iy-1)*2147483648+la AS BIGINT) AS ordinal, ta AS tile_a, la AS label_a, tb AS tile_b, lb AS label_b, n AS pixels, 1.0E0 AS fraction FROM {MATCHED} m")
+def _(fx):
+    """Both tiles label a pixel alike, so that the least area is the common one."""
+    tiles, labels = haloed_labels(fx)
+    return Z.seam_matches(labels, tiles)
+
+
+STITCHED = f"""WITH RECURSIVE e AS (SELECT DISTINCT ta, la, tb, lb FROM {MATCHED} m), n AS (SELECT DISTINCT tile, label FROM {NUMBERED} h),
+ reach(t, l, rt, rl) AS (SELECT tile, label, tile, label FROM n UNION SELECT r.t, r.l, u.tb, u.lb FROM reach r JOIN (SELECT * FROM e UNION ALL SELECT tb, lb, ta, la FROM e) u ON u.ta = r.rt AND u.la = r.rl),
+ root AS (SELECT t, l, min((rt, rl)) AS root FROM reach GROUP BY 1, 2),
+ pix AS (SELECT x, y, dense_rank() OVER (ORDER BY root) AS cell FROM {NUMBERED} h JOIN root ON t = tile AND l = label WHERE floor(x/48) = ix AND floor(y/48) = iy),
+ obs AS (SELECT cell, area, cx, cy, coalesce(n_spots, 0) AS n_spots, coalesce(n_umis, 0) AS n_umis, coalesce(n_genes, 0) AS n_genes FROM (SELECT cell, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM pix GROUP BY 1) a
+ LEFT JOIN (SELECT cell, count(DISTINCT (x, y)) AS n_spots, CAST(sum(cnt) AS BIGINT) AS n_umis, count(DISTINCT gene_id) AS n_genes FROM fx_records JOIN pix USING (x, y) GROUP BY 1) c USING (cell))"""
+
+
+def stitched(fx):
+    tiles, labels = haloed_labels(fx)
+    return P.stitch(fx["fx_records"].select("x", "y", "gene_id", "cnt"), labels, tiles, done(tiles), core=48, low=150, high=190, lowers=(100, 150, 180))
+
+
+@query("p3_stitch_tiles", f"SELECT * FROM ({STITCHED} SELECT cell, area, round(cx, 6) AS cx, round(cy, 6) AS cy, n_spots, n_umis, n_genes, CASE WHEN n_genes < 150 THEN 'few_genes' WHEN n_genes > 190 THEN 'many_genes' ELSE 'kept' END AS reason FROM obs) z")
+def _(fx):
+    """From the tiles' pixels: pairs and boxes, matches, union, cells, counts and QC."""
+    return rounded(stitched(fx).cells, "cx", "cy")
+
+
+@query("p3_sensitivity", f"SELECT * FROM ({STITCHED} SELECT CAST(low AS BIGINT) AS lower, count(*) FILTER (WHERE n_genes BETWEEN low AND 190) AS cells, CAST(coalesce(sum(n_umis) FILTER (WHERE n_genes BETWEEN low AND 190), 0) AS BIGINT) AS umis FROM obs, (SELECT unnest([100, 150, 180]) AS low) t GROUP BY 1) z")
+def _(fx):
+    return stitched(fx).sensitivity
 
 
 @query("p4_gene_table")

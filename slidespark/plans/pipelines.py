@@ -92,18 +92,60 @@ def compare_labelings(records: DataFrame, labels: DataFrame, a: str, b: str, n_t
     return evaluate.comparison_table(identity.keep(rows[0].unionByName(rows[1])), total, identity.keep(purity), iou and identity.keep(iou))
 
 
-def stitch(records: DataFrame, core_labels: DataFrame, edges: DataFrame, manifest: DataFrame, status: DataFrame, core: int = grid.CORE, low: int = 50, high: int = 5000, partial: bool = False) -> tuple[slide.SlideMatrix, DataFrame]:
-    """Tile labels to the slide's cells by genes, and the QC of its cells.
-
-    core_labels (tile, label, x, y), edges as of H1, records (x, y, gene_id, cnt). A slide with tiles that are not done is
-    refused unless partial (J2)."""
-    if not partial:
+class Stitched(NamedTuple):
+    """The slide's products (H4), its cells with the reason they are removed for (I11), the cells left at other bounds (I12),
+    and the edges between tiles with whether the union took them (none where identities were given)."""
+
+    matrix: slide.SlideMatrix
+    cells: DataFrame
+    sensitivity: DataFrame
+    matches: DataFrame | None
+
+
+def stitch(
+    records: DataFrame,
+    labels: DataFrame,
+    manifest: DataFrame,
+    status: DataFrame,
+    edges: DataFrame | None = None,
+    identities: DataFrame | None = None,
+    core: int = grid.CORE,
+    low: int = 50,
+    high: int = 5000,
+    least: int = 30,
+    share: float = 0.5,
+    lowers: tuple[int, ...] = (20, 50, 100, 200, 500),
+    partial: bool = False,
+) -> Stitched:
+    """The labels of tiles to the slide's cells by genes, and the QC of its cells.
+
+    labels (tile, x, y, label) of haloed tiles, manifest as of make_tiles, status (id, state, fingerprint), records (x, y,
+    gene_id, cnt). Labels of several tiles are one cell by shared identities (tile, label, global_id) (D15) where given;
+    else by edges as of H1, which are the matches at the seams (D10, D9) unless given. A cell counts once, by the tile
+    whose core owns the pixel. A slide with tiles that are not done is refused unless partial (J2); then only the tiles
+    that are done take part. Tiles, core pixels and the identities of a tile are unique, or it is an error (J3)."""
+    gates.require_unique(manifest, ["id"])
+    if partial:
+        labels = labels.join(F.broadcast(status.filter("state = 'done'").select(F.col("id").alias("tile")).distinct()), "tile", "left_semi")  # one row a tile
+    else:
         gates.require_complete(manifest, status)
-    union = identity.reconcile_labels(edges, core_labels.filter("label > 0").select("tile", "label"))
-    cells = identity.global_cells(core_labels, union)
-    owned = grid.core_tile(records, core)
-    matrix = slide.slide_cell_matrix(owned, cells, core, records)
-    return matrix, compare.cell_qc(matrix.obs, low, high)
+    nodes = labels.filter("label > 0").select("tile", "label").distinct()
+    matches = None
+    if identities is not None:
+        gates.require_unique(identities, ["tile", "label"])
+        gates.require_unique(identities.filter("global_id > 0"), ["tile", "global_id"])
+        union = identity.keep(identity.shared_union(nodes, identities))
+    else:
+        edges = identity.keep(slide.seam_matches(labels, manifest, least, share) if edges is None else edges)
+        union = identity.keep(identity.reconcile_labels(edges, nodes))
+        root = lambda s: union.select(F.col("tile").alias(f"tile_{s}"), F.col("label").alias(f"label_{s}"), F.struct("root_tile", "root_label").alias(f"root_{s}"))
+        # two sides whose tiles clash stay apart for good, so an edge was taken if its sides ended in one cell
+        matches = edges.join(root("a"), ["tile_a", "label_a"]).join(root("b"), ["tile_b", "label_b"]).select(*edges.columns, (F.col("root_a") == F.col("root_b")).alias("accepted"))
+    owned = grid.core_only(labels.join(F.broadcast(manifest.select(F.col("id").alias("tile"), "ix", "iy")), "tile"), core)
+    cells = identity.keep(identity.global_cells(owned.select("tile", "label", "x", "y"), union))
+    gates.require_unique(cells, ["x", "y"])
+    matrix = slide.slide_cell_matrix(grid.core_tile(records, core), cells, core, records)
+    return Stitched(matrix, compare.cell_qc(matrix.obs, low, high), compare.qc_sensitivity(matrix.obs, lowers, high), matches)
 
 
 def gene_table(annotations: DataFrame, summaries: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], normalize: bool = True) -> DataFrame:
@@ -117,4 +159,4 @@ def gene_table(annotations: DataFrame, summaries: DataFrame, load: Callable[[],
     return hooks.encode_genes(first, load, normalize, alias)
 
 
-__all__ = ["Prepared", "Schema", "compare_labelings", "gene_table", "init_schema", "prepare_slide", "stitch"]
+__all__ = ["Prepared", "Schema", "Stitched", "compare_labelings", "gene_table", "init_schema", "prepare_slide", "stitch"]
