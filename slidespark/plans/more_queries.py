@@ -534,6 +534,27 @@ ORACLE_SQL["p1_prepare_slide"] = oracle("SELECT 1 FROM fx_records", "fx_records"
 )
 
 
+ODD = "(floor(3*bx/150)+floor(3*by_/150)) % 2 = 1"
+_p1 = ORACLE_SQL["p1_prepare_slide"]
+
+
+@query("p1_prepare_tiles")
+def _(fx):
+    """Every second tile from the written index: its samples are those of the whole slide."""
+    n, path = side(fx), new_folder(fx.spark, "p1")
+    raw = fx["fx_records"].select("seq", F.col("gene_id").alias("gene"), "x", "y", "cnt")
+    i = P.index_slide(raw, f"{path}/index", 150)
+    tiles = B.make_tiles(fx.spark, n, n, 150, 36).filter("(ix + iy) % 2 = 1")
+    tiles = tiles.join(R.split_tiles(tiles.select("id"), 0.1, 7), "id")
+    g = i.genes.select("gene_id", F.col("gene").alias("key")).join(fx["fx_genes"].select(F.col("gene_id").alias("key"), F.upper("gene_name").alias("symbol")), "key").drop("key")
+    p = P.prepare_tiles(f"{path}/index", f"{path}/out", tiles, fx["fx_anchor_labels"], g, fx["fx_embeddings"], n, n, 150, 36, seed=7)
+    tokens = p.tokens.groupBy("bx", "by_").agg(F.count("*").alias("tokens"), F.sum("cnt").cast("long").alias("umis"))
+    return p.samples.join(tokens, ["bx", "by_"], "left").select("bx", "by_", "foreground", "tokens", "umis")
+
+
+ORACLE_SQL["p1_prepare_tiles"] = f"SELECT * FROM ({_p1}) z WHERE {ODD}"
+
+
 def evaluated(sql: str) -> str:
     """sql over the genes of C17 alone, which are all genes that nuclei express."""
     some = f"(SELECT * FROM fx_records WHERE gene_id IN (SELECT gene_id FROM {NUCLEAR.replace('fx_records', 'FX')} u))"
@@ -556,7 +577,7 @@ def table_row(label: str) -> str:
 
 @query("p2_compare_labelings", f"SELECT * FROM ({table_row('cell_a')}) a UNION ALL SELECT * FROM ({table_row('cell_b')}) b")
 def _(fx):
-    x = P.compare_labelings(fx["fx_records"], fx["fx_labels"], "cell_a", "cell_b", seed=7)
+    x = P.compare_labelings(fx["fx_records"], fx["fx_labels"], "cell_a", "cell_b", seed=7).table
     x = rounded(rounded(x, "random_mean", "directional_mean", "purity_mean", digits=4), "assigned_share")
     return x.drop("purity_median")
 
@@ -564,6 +585,15 @@ def _(fx):
 QUERIES["c30_comparison_table"], ORACLE_SQL["c30_comparison_table"] = QUERIES["p2_compare_labelings"], ORACLE_SQL["p2_compare_labelings"]
 
 
+@query("p2_cross_correlation", evaluated(_body("i3_cross_correlation")[1]))
+def _(fx):
+    """From the common input of all genes and the slide's shape, on the genes of C17."""
+    n = side(fx)
+    genes = fx["fx_records"].select("gene_id").distinct()
+    x = P.compare_labelings(fx["fx_records"], fx["fx_labels"], "cell_a", "cell_b", seed=7, genes=genes, shape=(n, n)).cross
+    return rounded(x, "source_correlation", "target_correlation", digits=5)
+
+
 @query("p3_stitch", f"SELECT cell, area, round(cx, 6) AS cx, round(cy, 6) AS cy, n_spots, n_umis, n_genes, CASE WHEN n_genes < 150 THEN 'few_genes' WHEN n_genes > 190 THEN 'many_genes' ELSE 'kept' END AS reason FROM (SELECT row_number() OVER (ORDER BY t, r) AS cell, area, cx, cy, coalesce(n_spots, 0) AS n_spots, coalesce(n_umis, 0) AS n_umis, coalesce(n_genes, 0) AS n_genes FROM (SELECT cell_a, min(tile) AS t, cell_a+10*min(tile) AS r, count(*) AS area, avg(x) AS cx, avg(y) AS cy FROM {TILED} q GROUP BY 1) z LEFT JOIN {CELLS_SQL} c ON c.cell = z.cell_a) y")
 def _(fx):
     pixels, edges = seam_edges(fx)

@@ -6,10 +6,11 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from slidespark.operators import compare, evaluate, expression, gates, genes, grid, hooks, identity, ranking, slide, spatial
+from slidespark.sources import records as sources
 
 
 class Schema(NamedTuple):
@@ -45,13 +46,17 @@ class Prepared(NamedTuple):
     coverage: DataFrame
 
 
-def prepare_slide(records: DataFrame, pixels: DataFrame, gene_table: DataFrame, symbols: DataFrame, core: int = grid.CORE, size: int = grid.BIN, n: int = 50, fraction: float = 0.1, seed: int = 0, height: int | None = None, width: int | None = None) -> Prepared:
+def prepare_slide(records: DataFrame, pixels: DataFrame, gene_table: DataFrame, symbols: DataFrame, core: int = grid.CORE, size: int = grid.BIN, n: int = 50, fraction: float = 0.1, seed: int = 0, height: int | None = None, width: int | None = None, only: list[tuple[int, int]] | None = None) -> Prepared:
     """Records to a packed training set; centres are eligible in the interior of their tile, 10 bins from its core's edge.
 
-    records (x, y, bx, by_, gene_id, cnt), pixels (x, y, nucleus_id, stain), gene_table (gene_id, symbol), symbols (symbol)."""
+    records (x, y, bx, by_, gene_id, cnt), pixels (x, y, nucleus_id, stain), gene_table (gene_id, symbol), symbols (symbol).
+    With only, tiles (ix, iy), centres are those that these tiles own; the other records serve as neighbours."""
     expr = gates.conserve(records, expression.bin_expression, records=False)
     bins = expr.select("bx", "by_").distinct()
     near = spatial.ring_neighbors(bins, n)
+    if only is not None:
+        near = near.filter(sources.tile_code(F.floor(F.col("bx") * size / core), F.floor(F.col("by_") * size / core)).isin([ix * sources.SIDE + iy for ix, iy in only]))
+    near = identity.keep(near)  # three products read it
     centres = near.filter("rank = 0").select("bx", "by_")
     anchors = pixels.join(bins.select((F.col("bx") * size).alias("x"), (F.col("by_") * size).alias("y")), ["x", "y"], "left_semi")
     labelled = spatial.label_candidates(centres, anchors, expression.cell_stats(pixels, "nucleus_id"), size)
@@ -64,12 +69,116 @@ def prepare_slide(records: DataFrame, pixels: DataFrame, gene_table: DataFrame,
     return Prepared(samples, near, spatial.gather_tokens(near, merged), expression.mapping_coverage(records, gene_table, symbols))
 
 
-def compare_labelings(records: DataFrame, labels: DataFrame, a: str, b: str, n_top: int = 1500, radius: int = 2, seed: int = 0, manual: str | None = None) -> DataFrame:
-    """The comparison table (C30) of two labelings, one row a method, with purity (I7) and, given manual labels, transcript IoU.
+class Indexed(NamedTuple):
+    """The genes (gene_id, gene, n_records, umis), the slide's bounds, and records and counts by tile of a written index."""
 
-    Correlations use the genes of C17; counts and medians use all genes and the unassigned records too."""
+    genes: DataFrame
+    bounds: DataFrame
+    totals: DataFrame
+
+
+def index_slide(raw: DataFrame, path: str, core: int = grid.CORE) -> Indexed:
+    """P1's first half: raw records (seq, gene, x, y, cnt) with gene ids (A2) into the tile index (A4); it must hold them all."""
+    records, found, bounds = sources.ingest_records(raw)
+    found = identity.keep(found)  # one row a gene
+    records = raw.join(found.select("gene", "gene_id"), "gene").select("gene_id", "x", "y", "cnt")
+    totals = sources.write_spatial_index(records, path, core)
+    bounds = identity.keep(bounds)
+    a, b = bounds.select("records", "umis").first(), totals.agg(F.sum("records").alias("records"), F.sum("umis").alias("umis")).first()
+    if a != b:
+        raise ValueError(f"not conserved: {a} became {b}")
+    return Indexed(found, bounds, totals)
+
+
+class PreparedTiles(NamedTuple):
+    """What prepare_tiles wrote, and the report of its tiles."""
+
+    samples: DataFrame
+    neighbors: DataFrame
+    tokens: DataFrame
+    counts: DataFrame
+
+
+def prepare_tiles(
+    index: str, out: str, tiles: DataFrame, pixels: DataFrame, gene_table: DataFrame, symbols: DataFrame, height: int, width: int, core: int = grid.CORE, halo: int = grid.HALO, size: int = grid.BIN, n: int = 50, fraction: float = 0.1, seed: int = 0, cap: int = 4096, whole: bool = False, strict: bool = False
+) -> PreparedTiles:
+    """P1 of the given tiles (id, ix, iy, split, ..) of a tile index, written under out, read back, validated (J4) and reported.
+
+    Only the folders of these tiles and of their neighbours are read (A4, D1). Neighbourhoods reach 10 bins, so the halo
+    must hold 11; then the samples are those of prepare_slide over the whole slide. strict refuses genes without an
+    embedding (D5)."""
+    spark = tiles.sparkSession
+    if halo < 11 * size:
+        raise ValueError("the halo is smaller than the neighbourhoods")
+    only = [(r.ix, r.iy) for r in tiles.select("ix", "iy").collect()]  # a run's own list, one row a tile
+    region = sources.read_region(spark, index, only, core, halo)
+    if strict:
+        used = gene_table.join(region.select("gene_id").distinct(), "gene_id", "left_semi")
+        spatial.gene_lookup(used.select("gene_id", "symbol"), symbols, strict=True)
+    records = grid.to_bin(region, size).select("x", "y", "bx", "by_", "gene_id", "cnt")
+    p = prepare_slide(records, pixels, gene_table, symbols, core, size, n, fraction, seed, height, width, only)
+    at = lambda c: F.floor(F.col(c) * size / core).cast("long")
+    ids = F.broadcast(tiles.select("id", "ix", "iy"))  # one row a tile
+    named = lambda d: d.withColumns({"ix": at("bx"), "iy": at("by_")}).join(ids, ["ix", "iy"]).drop("ix", "iy")
+    of = lambda v: F.count_if(F.col("eligible") & (F.col("foreground") == v))
+    seen = Observation()
+    for name, d in (("samples", named(p.samples).observe(seen, of(1).alias("foreground"), of(0).alias("background"))), ("neighbors", named(p.neighbors)), ("tokens", named(p.tokens))):
+        d.write.mode("errorifexists").parquet(f"{out}/{name}")
+    samples, neighbors, tokens = (spark.read.parquet(f"{out}/{name}") for name in ("samples", "neighbors", "tokens"))
+
+    held = grid.core_only(region.withColumns({"ix": F.floor(F.col("x") / core), "iy": F.floor(F.col("y") / core)}), core).groupBy("ix", "iy").agg(F.count("*").alias("records"))
+    known = identity.keep(tiles.join(held, ["ix", "iy"], "left").fillna(0, ["records"]))
+    state = F.when(F.col("records") == 0, "empty").otherwise("prepared")
+    marks = samples.groupBy("id").agg(of(1).alias("foreground"), of(0).alias("background"))
+    known.join(marks, "id", "left").select("id", state.alias("state"), F.coalesce("foreground", F.lit(0)).alias("foreground"), F.coalesce("background", F.lit(0)).alias("background")).write.parquet(f"{out}/markers")
+    markers = spark.read.parquet(f"{out}/markers")
+    got = markers.agg(F.coalesce(F.sum("foreground"), F.lit(0)).alias("foreground"), F.coalesce(F.sum("background"), F.lit(0)).alias("background")).first().asDict()
+    if got != seen.get:
+        raise ValueError(f"not conserved: {seen.get} samples were written, {got} are there")
+
+    # Neighbours as places in the grid of the haloed tile
+    rows, cols = (F.ceil((F.col(c) + 2 * halo) / size) for c in ("width", "height"))
+    place = (F.col("nx") - F.floor(F.col("origin_x") / size)) * cols + F.col("ny") - F.floor(F.col("origin_y") / size)
+    near = neighbors.join(F.broadcast(tiles.select("id", "width", "height", "origin_x", "origin_y")), "id")
+    near = near.groupBy("bx", "by_").agg(F.collect_list(place).alias("neighbors"))  # n entries a centre
+    checked = samples.withColumns({"x": F.col("bx") * size, "y": F.col("by_") * size, "dx": F.coalesce("dx", F.lit(0.0)), "dy": F.coalesce("dy", F.lit(0.0))}).join(near, ["bx", "by_"], "left")
+    if bad := gates.validate_preparation(checked, known.withColumn("bins", rows * cols), markers, n).limit(5).collect():
+        raise ValueError(f"preparation breaks its rules: {bad}")
+
+    # A centre counts in every haloed tile of the run that holds it, and once in its own
+    copies = spatial.halo_records(samples.select((F.col("bx") * size).alias("x"), (F.col("by_") * size).alias("y"), "foreground", "eligible"), core, halo, F.lit(-(-height // core)), F.lit(-(-width // core)))
+    own = (F.floor(F.col("x") / core) == F.col("ix")) & (F.floor(F.col("y") / core) == F.col("iy"))
+    copies = copies.join(ids, ["ix", "iy"]).select("id", "foreground", (F.col("eligible") & own).alias("eligible"), own.alias("in_core"))
+    return PreparedTiles(samples, neighbors, tokens, slide.point_counts(known.select("id", "split", "records"), markers, copies, cap, whole))
+
+
+class Comparison(NamedTuple):
+    """The table, one row a method (C30); cross correlations of a's cells with b's (I3), their totals and their summary
+    over cells with enough counts (I15); figures of the table that a second count does not confirm (J7), none of which
+    are expected."""
+
+    table: DataFrame
+    cross: DataFrame
+    cross_totals: DataFrame
+    cross_summary: DataFrame
+    faults: DataFrame
+
+
+def compare_labelings(
+    records: DataFrame, labels: DataFrame, a: str, b: str, n_top: int = 1500, radius: int = 2, seed: int = 0, manual: str | None = None, genes: DataFrame | None = None, shape: tuple[int, int] | None = None
+) -> Comparison:
+    """Two labelings of one slide compared, with purity (I7) and, given manual labels, transcript IoU.
+
+    Correlations use the genes of C17; counts and medians use all genes and the unassigned records too. Given genes
+    (gene_id) and the slide's shape, records first become the common input (A6), counts by spot and gene: unknown genes
+    and records outside the slide are errors, and counts are conserved (J1)."""
+    molecules = records
+    if genes is not None:
+        spots, counts = sources.build_common_input(records, genes, *(shape or (2**31, 2**31)))
+        records = identity.keep(counts.join(spots, "spot").select("x", "y", "gene_id", "cnt"))
+        gates.assert_conserved(molecules, records, records=False)
     nuclear = expression.label_expression(records, labels, "nucleus_id").withColumnRenamed("label", "nucleus")
-    chosen = evaluate.common_hvg(nuclear, records.select("gene_id"), n_top)
+    chosen = identity.keep(evaluate.common_hvg(nuclear, records.select("gene_id"), n_top))
     use = records.join(chosen.select("gene_id"), "gene_id", "left_semi")
     n_genes = chosen.count()
     rows = []
@@ -84,12 +193,28 @@ def compare_labelings(records: DataFrame, labels: DataFrame, a: str, b: str, n_t
     purity = purity.select(F.lit("slide").alias("dataset"), F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(f"purity_{k}").alias("purity")) for k, m in (("a", a), ("b", b))))).alias("p")).select("dataset", "p.*")
     iou = None
     if manual:
-        molecules = records.join(labels.filter(F.col(manual) > 0).select("x", "y", F.col(manual).alias("manual"), a, b), ["x", "y"])
-        of = lambda m: compare.transcript_iou(molecules.withColumn("predicted", F.col(m))).select(F.lit("slide").alias("dataset"), F.lit(m).alias("method"), "iou")
+        found = molecules.join(labels.filter(F.col(manual) > 0).select("x", "y", F.col(manual).alias("manual"), a, b), ["x", "y"])
+        of = lambda m: compare.transcript_iou(found.withColumn("predicted", F.col(m))).select(F.lit("slide").alias("dataset"), F.lit(m).alias("method"), "iou")
         iou = of(a).unionByName(of(b))
     total = records.agg(F.sum("cnt").alias("umis")).withColumn("dataset", F.lit("slide"))
     # one row a cell or nucleus, read several times by the table
-    return evaluate.comparison_table(identity.keep(rows[0].unionByName(rows[1])), total, identity.keep(purity), iou and identity.keep(iou))
+    cells = identity.keep(rows[0].unionByName(rows[1]))
+    table = evaluate.comparison_table(cells, total, identity.keep(purity), iou and identity.keep(iou))
+    cross = identity.keep(compare.cross_correlation(use, labels, a, b, n_genes))
+    return Comparison(table, cross, compare.cross_totals(labels, a, b), compare.cross_sensitivity(cross), _recheck(table, cells, records, labels, (a, b)))
+
+
+def _recheck(table: DataFrame, cells: DataFrame, records: DataFrame, labels: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+    """(method, figure, reported, recomputed) where cells and the share assigned, counted again from the records, or the
+    means, taken again from the rows by cell, differ by 1e-9 or more."""
+    x = records.join(labels.select("x", "y", *methods), ["x", "y"], "left")
+    share = lambda m: (F.sum(F.when(F.col(m) > 0, F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("assigned_share")
+    own = x.groupBy().agg(*(F.struct(share(m), F.count_distinct(F.when(F.col(m) > 0, F.col(m))).alias("cells")).alias(f"of_{i}") for i, m in enumerate(methods)))
+    own = own.select(F.explode(F.array(*(F.struct(F.lit(m).alias("method"), f"of_{i}.assigned_share", f"of_{i}.cells") for i, m in enumerate(methods)))).alias("r")).select("r.*")
+    big = cells.filter("n_spots > 100").groupBy("method").agg(*((F.sum(c) / F.count(c)).alias(f"{c}_mean") for c in ("random", "directional")))
+    figures = ("assigned_share", "cells", "random_mean", "directional_mean")
+    long = lambda d: d.select("method", F.explode(F.array(*(F.struct(F.lit(c).alias("figure"), F.round(F.col(c).cast("double"), 9).alias("value")) for c in figures))).alias("f")).select("method", "f.*")
+    return gates.reconcile(long(table), long(own.join(big, "method", "left")), ["method", "figure"], "value")
 
 
 class Stitched(NamedTuple):
@@ -159,4 +284,4 @@ def gene_table(annotations: DataFrame, summaries: DataFrame, load: Callable[[],
     return hooks.encode_genes(first, load, normalize, alias)
 
 
-__all__ = ["Prepared", "Schema", "Stitched", "compare_labelings", "gene_table", "init_schema", "prepare_slide", "stitch"]
+__all__ = ["Comparison", "Indexed", "Prepared", "PreparedTiles", "Schema", "Stitched", "compare_labelings", "gene_table", "index_slide", "init_schema", "prepare_slide", "prepare_tiles", "stitch"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,6 +59,33 @@ def write_spatial_index(records: DataFrame, path: str, core: int = 1200) -> Data
     return tile_totals(records.sparkSession.read.parquet(path))
 
 
+#: Tiles a side that a tile's code leaves room for.
+SIDE = 2**20
+
+
+def tile_code(ix: Column, iy: Column) -> Column:
+    """One number for a tile."""
+    return ix.cast("long") * SIDE + iy.cast("long")
+
+
+def read_region(spark: SparkSession, path: str, tiles: list[tuple[int, int]], core: int = 1200, halo: int = 60) -> DataFrame:
+    """A4 with D1: the index's records (x, y, gene_id, cnt) in the haloed boxes of the given tiles (ix, iy), each once.
+
+    Only folders of these tiles and of those next to them are read; in them files are sorted, so rows of pixels prune too."""
+    if 2 * halo > core:
+        raise ValueError("halos of tiles beyond the adjacent ones")
+    if not tiles:
+        return spark.read.parquet(path).select("x", "y", "gene_id", "cnt").limit(0)
+    near = {(ix + dx) * SIDE + iy + dy for ix, iy in tiles for dx in (-1, 0, 1) for dy in (-1, 0, 1) if ix + dx >= 0 and iy + dy >= 0}
+    x = spark.read.parquet(path).filter(tile_code(F.col("ix"), F.col("iy")).isin(sorted(near)))
+    rows = [ix for ix, _ in tiles]
+    x = x.filter((F.col("x") >= min(rows) * core - halo) & (F.col("x") < (max(rows) + 1) * core + halo))
+    own = [ix * SIDE + iy for ix, iy in sorted(tiles)]
+    corner = lambda a, b: tile_code(F.floor((F.col("x") + a) / core), F.floor((F.col("y") + b) / core)).isin(own)
+    inside = corner(-halo, -halo) | corner(-halo, halo) | corner(halo, -halo) | corner(halo, halo)
+    return x.filter(inside).select("x", "y", "gene_id", "cnt")
+
+
 def tile_totals(index: DataFrame) -> DataFrame:
     return index.groupBy(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy")).agg(F.count("*").alias("records"), F.sum("cnt").cast("long").alias("umis"))
 
