@@ -650,18 +650,30 @@ def _(fx):
     return stitched(fx).sensitivity
 
 
-@query("p4_gene_table")
-def _(fx):
-    """Annotation lines and summaries to vectors; tests hold it against its parts."""
+def annotated(fx):
+    """Annotation lines of the genes of tax 1, and the documents as their summaries."""
     p = fx["part"].select((F.col("p_size") % 3).alias("tax"), "p_partkey", "p_name", F.concat_ws("|", "p_brand", "p_type").alias("syn"))
     dash = [F.lit("-")]
     value = F.concat_ws("\t", F.col("tax").cast("string"), F.col("p_partkey").cast("string"), "p_name", *dash, "syn", *dash * 11)
     ann = A.parse_gene_info(p.select(F.col("p_partkey").cast("long").alias("line"), value.alias("value")), 1)
-    s = fx["documents"].select(F.col("doc_id").alias("line"), F.col("doc_id").alias("gene_id"), F.col("text").alias("summary"))
-    x = P.gene_table(ann, s, count_letters)
+    return ann, fx["documents"].select(F.col("doc_id").alias("line"), F.col("doc_id").alias("gene_id"), F.col("text").alias("summary"))
+
+
+GENES_1 = "(SELECT CAST(p_partkey AS BIGINT) AS gene_id, trim(p_name) AS s, list_sort(list_distinct([upper(trim(p_brand)), upper(trim(p_type))])) AS syn FROM part WHERE p_size % 3 = 1 AND trim(p_name) NOT IN ('', '-'))"
+TEXTS_1 = f"(SELECT upper(s) AS symbol, arg_min(concat_ws(' ', 'Gene symbol: ' || s || '.', 'Aliases: ' || list_aggregate(list_filter(syn, lambda v: v <> upper(s)), 'string_agg', ', ') || '.', 'Summary: ' || d.text), gene_id) AS t, arg_min(syn, gene_id) AS syn, min(gene_id) AS ord FROM {GENES_1} g LEFT JOIN (SELECT doc_id, text FROM documents WHERE trim(text) <> '') d ON d.doc_id = g.gene_id GROUP BY 1)"
+
+
+@query("p4_gene_table", f"WITH x AS {TEXTS_1}, v AS (SELECT symbol, [CAST(length(lower(t))-length(replace(lower(t), c, '')) AS DOUBLE) for c in ['a', 'e', 'i', 'o']] AS v FROM x), a AS (SELECT alias, arg_min(symbol, (ord, symbol)) AS symbol FROM (SELECT unnest(syn) AS alias, symbol, ord FROM x) e WHERE alias NOT IN (SELECT symbol FROM x) GROUP BY 1) SELECT symbol, CAST(i AS INT) AS dim, round(v[i+1]/greatest(sqrt(list_sum([w*w for w in v])), 1e-12), 5) AS value FROM (SELECT * FROM v UNION ALL SELECT alias, v FROM a JOIN v USING (symbol)) q, range(4) r(i)")
+def _(fx):
+    """Annotation lines and summaries to vectors."""
+    x = P.gene_table(*annotated(fx), count_letters)
     return x.select("symbol", F.posexplode("embedding").alias("dim", "v")).select("symbol", "dim", F.round(F.col("v").cast("double"), 5).alias("value"))
 
 
+@query("p4_gene_lookup", f"SELECT * FROM (WITH x AS {TEXTS_1}, known AS (SELECT symbol FROM x UNION SELECT unnest(syn) FROM x) SELECT gene_id, symbol, CASE WHEN hit THEN dense_rank() OVER (PARTITION BY hit ORDER BY first)-1 ELSE -1 END AS embedding_id FROM (SELECT gene_id, upper(gene_name) AS symbol, upper(gene_name) IN (SELECT symbol FROM known) AS hit, min(gene_id) OVER (PARTITION BY upper(gene_name)) AS first FROM fx_genes) g) z")
+def _(fx):
+    """The vectors of the annotated genes, written and validated, for all genes of the slide."""
+    return P.gene_vectors(*annotated(fx), count_letters, fx["fx_genes"].select("gene_id", F.col("gene_name").alias("symbol"))).lookup
 
 
 # --- reports of single steps ----------------------------------------------------------------------------------------

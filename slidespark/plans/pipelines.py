@@ -284,4 +284,21 @@ def gene_table(annotations: DataFrame, summaries: DataFrame, load: Callable[[],
     return hooks.encode_genes(first, load, normalize, alias)
 
 
-__all__ = ["Comparison", "Indexed", "Prepared", "PreparedTiles", "Schema", "Stitched", "compare_labelings", "gene_table", "index_slide", "init_schema", "prepare_slide", "prepare_tiles", "stitch"]
+class GeneVectors(NamedTuple):
+    """(symbol, embedding), and the slide's genes with the number of their vector, -1 for none."""
+
+    vectors: DataFrame
+    lookup: DataFrame
+
+
+def gene_vectors(annotations: DataFrame, summaries: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], slide_genes: DataFrame, normalize: bool = True, strict: bool = False) -> GeneVectors:
+    """P4 whole: gene_table encoded once and written, read back and validated (A9), then looked up for slide_genes (gene_id, symbol).
+
+    Symbols are compared in upper case; strict refuses genes without a vector."""
+    made = identity.keep(gene_table(annotations, summaries, load, normalize))
+    vectors = sources.load_embeddings(made.withColumn("seq", F.lit(0)))
+    genes = slide_genes.select("gene_id", F.upper("symbol").alias("symbol"))
+    return GeneVectors(vectors, spatial.gene_lookup(genes, vectors, strict))
+
+
+__all__ = ["Comparison", "GeneVectors", "Indexed", "Prepared", "PreparedTiles", "Schema", "Stitched", "compare_labelings", "gene_table", "gene_vectors", "index_slide", "init_schema", "prepare_slide", "prepare_tiles", "stitch"]

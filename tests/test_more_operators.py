@@ -130,6 +130,12 @@ def test_gene_table_and_schema(spark):
     count = lambda: lambda texts: np.array([[t.count("a"), t.count("o")] for t in texts], float)
     got = {r.symbol: r.embedding for r in pipelines.gene_table(ann, s, count, normalize=False).collect()}
     assert set(got) == {"ABC", "EO", "ALT"} and got["ALT"] == got["ABC"]
+    slide = spark.createDataFrame([(5, "alt"), (6, "none"), (7, "eo")], "gene_id long, symbol string")
+    both = pipelines.gene_vectors(ann, s, count, slide, normalize=False)
+    assert {r.symbol: r.embedding for r in both.vectors.collect()} == got
+    assert {r.gene_id: r.embedding_id for r in both.lookup.collect()} == {5: 0, 6: -1, 7: 1}
+    with pytest.raises(ValueError, match="NONE"):
+        pipelines.gene_vectors(ann, s, count, slide, strict=True)
     rec = [(x, y, x // 3, y // 3, (x * y) % 7, 1 + (x + y) % 3) for x in range(0, 200, 2) for y in range(0, 200, 3)]
     r = spark.createDataFrame(rec, "x long, y long, bx long, by_ long, gene_id long, cnt long")
     a, b = (pipelines.init_schema(r, 200, 200, 100, 0, per_tile=50, top=5, fraction=0.25, seed=k, least=1) for k in (1, 1))
