@@ -152,6 +152,11 @@ def prepare_tiles(
     return PreparedTiles(samples, neighbors, tokens, slide.point_counts(known.select("id", "split", "records"), markers, copies, cap, whole))
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """df, never to be broadcast: a written table is sized by its compressed files, a small part of its rows in memory."""
+    return df.hint("merge")
+
+
 class Comparison(NamedTuple):
     """The table, one row a method (C30); cross correlations of a's cells with b's (I3), their totals and their summary
     over cells with enough counts (I15); figures of the table that a second count does not confirm (J7), none of which
@@ -175,11 +180,11 @@ def compare_labelings(
     molecules = records
     if genes is not None:
         spots, counts = sources.build_common_input(records, genes, *(shape or (2**31, 2**31)))
-        records = identity.keep(counts.join(spots, "spot").select("x", "y", "gene_id", "cnt"))
+        records = _large(identity.keep(counts.join(spots, "spot").select("x", "y", "gene_id", "cnt")))
         gates.assert_conserved(molecules, records, records=False)
     nuclear = expression.label_expression(records, labels, "nucleus_id").withColumnRenamed("label", "nucleus")
     chosen = identity.keep(evaluate.common_hvg(nuclear, records.select("gene_id"), n_top))
-    use = records.join(chosen.select("gene_id"), "gene_id", "left_semi")
+    use = _large(records.join(F.broadcast(chosen.select("gene_id")), "gene_id", "left_semi"))  # one row a gene
     n_genes = chosen.count()
     rows = []
     for label in (a, b):
@@ -267,7 +272,7 @@ def stitch(
         # two sides whose tiles clash stay apart for good, so an edge was taken if its sides ended in one cell
         matches = edges.join(root("a"), ["tile_a", "label_a"]).join(root("b"), ["tile_b", "label_b"]).select(*edges.columns, (F.col("root_a") == F.col("root_b")).alias("accepted"))
     owned = grid.core_only(labels.join(F.broadcast(manifest.select(F.col("id").alias("tile"), "ix", "iy")), "tile"), core)
-    cells = identity.keep(identity.global_cells(owned.select("tile", "label", "x", "y"), union))
+    cells = _large(identity.keep(identity.global_cells(owned.select("tile", "label", "x", "y"), union)))
     gates.require_unique(cells, ["x", "y"])
     matrix = slide.slide_cell_matrix(grid.core_tile(records, core), cells, core, records)
     return Stitched(matrix, compare.cell_qc(matrix.obs, low, high), compare.qc_sensitivity(matrix.obs, lowers, high), matches)
