@@ -86,15 +86,17 @@ def paired_purity(records: DataFrame, labels: DataFrame, a: str, b: str, radius:
     counts = records.groupBy("x", "y", "gene_id").agg(F.sum("cnt").alias("cnt"))
     value = spatial.kernel_enhance(spots, counts, radius).withColumnRenamed("value", "cnt")
     lab = spots.join(labels, ["x", "y"])
-    pairs = pair_by_nucleus(lab, a, b)
+    pairs = keep(pair_by_nucleus(lab, a, b).select("nucleus", "a", "b"))  # one row a nucleus, read several times
     n = F.count("*")
     centres = labels.filter("nucleus_id > 0").groupBy(F.col("nucleus_id").alias("cell")).agg((F.sum("x") / n).alias("cx"), (F.sum("y") / n).alias("cy"))
-    window = spatial.window_members(centres.join(pairs.select(F.col("nucleus").alias("cell")), "cell"), spots, half).select(F.col("cell").alias("grp"), "x", "y")
-    group = lambda c: lab.filter(F.col(c) > 0).select(F.col(c).alias("grp"), "x", "y")
-    size = lambda d, name: d.groupBy("grp").agg(F.count("*").alias(name))
-    x = pairs.select("nucleus", "a", "b")
-    for key, d, name in (("a", group(a), "a"), ("b", group(b), "b"), ("nucleus", window, "window")):
-        x = x.join(size(d, f"spots_{name}").join(fano_median(d, value).withColumnRenamed("fano", f"fano_{name}"), "grp").withColumnRenamed("grp", key), key)
+    window = spatial.window_members(centres.join(pairs.select(F.col("nucleus").alias("cell")), "cell"), spots, half)
+    # all three kinds of groups together, so that the enhanced counts are made and shuffled once
+    group = lambda d, c, kind: d.select(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id")).alias("grp"), "x", "y")
+    members = group(lab.filter(F.col(a) > 0), a, "a").unionByName(group(lab.filter(F.col(b) > 0), b, "b")).unionByName(group(window, "cell", "window"))
+    rows = keep(members.groupBy("grp").agg(F.count("*").alias("spots")).join(fano_median(members, value), "grp"))  # one row a cell or nucleus
+    x = pairs
+    for key, kind in (("a", "a"), ("b", "b"), ("nucleus", "window")):
+        x = x.join(rows.filter(F.col("grp.kind") == kind).select(F.col("grp.id").alias(key), F.col("spots").alias(f"spots_{kind}"), F.col("fano").alias(f"fano_{kind}")), key)
     x = x.filter((F.least("spots_a", "spots_b", "spots_window") > more_than) & (F.col("fano_window") > 0) & F.col("fano_a").isNotNull() & F.col("fano_b").isNotNull())
     return x.select("nucleus", F.col("a").alias("cell_a"), F.col("b").alias("cell_b"), "spots_a", "spots_b", "spots_window", (F.col("fano_a") / F.col("fano_window")).alias("purity_a"), (F.col("fano_b") / F.col("fano_window")).alias("purity_b"))
 
