@@ -23,6 +23,8 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,10 @@ from .common import BIN, BOOL, INT, LONG, STR, Scratch, hot_join, schema, whole_
 SEED_LEN = 40
 #: Blocks of a first rank that are compared within a task.
 IN_TASK = 512
+#: Bytes of texts that are ranked together, few enough for a processor's cache.
+CHUNK = 1 << 16
+#: Windows that are searched for their least rank at once.
+SEARCHED = 4096
 #: Offsets of a cell, round by round, where a first rank has more blocks.
 WIDTHS = (64, 16, 4, 1)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -72,25 +78,45 @@ def _sliding(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(cur[: len(cur) - (w - h)], cur[w - h :]) if h < w else cur
 
 
-def chosen(b: bytes, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, ranks, first, last): positions that some string of threshold length chooses, rightmost least
-    rank, and the first and last start of the strings that do."""
-    ranks = prefix_ranks(b, SEED_LEN)
+def chosen(raw: bytes, start: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, rank, first, last) of the positions that some string of threshold length chooses, rightmost least
+    rank, and the first and last start of the strings that do.
+
+    raw holds texts of threshold bytes at least, one after the other, which begin at start; strings across two are left
+    out. Places are those in raw."""
+    ranks = prefix_ranks(raw, SEED_LEN)
     w = threshold - SEED_LEN + 1
     least = _sliding(ranks, w)
-    # where the least rank of each window lies: the last position so far that equals it
-    hit = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    n = len(least)
-    where = np.empty(n, np.int64)
-    ends = np.r_[hit[1:], n]
-    for s, e in zip(hit.tolist(), ends.tolist(), strict=True):
-        at = np.flatnonzero(ranks[s : e - 1 + w] == least[s]) + s
-        if len(at) == 1:
-            where[s:e] = at[0]
-        else:
-            where[s:e] = at[np.searchsorted(at, np.arange(s, e) + w - 1, side="right") - 1]
-    cut = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-    return where[cut], ranks[where[cut]], cut, np.r_[cut[1:], n] - 1
+    stop = np.r_[start[1:], len(raw)] - threshold + 1  # where the strings that begin in a text end
+    # the choice moves only where a rank as small enters on the right or the chosen one leaves on the left
+    enters = ranks[w - 1 :] == least
+    moves = enters.copy()
+    moves[1:] |= least[1:] != least[:-1]
+    moves[start] = True
+    moves[stop[:-1]] = True
+    cut = np.flatnonzero(moves)
+    end = np.r_[cut[1:], len(least)] - 1
+    text = np.searchsorted(start, cut, side="right") - 1
+    inside = cut < stop[text]
+    text, cut, end = text[inside], cut[inside], end[inside]
+    where = cut + w - 1
+    left = np.flatnonzero(~enters[cut])
+    windows = np.lib.stride_tricks.sliding_window_view(ranks, w)
+    for at in range(0, len(left), SEARCHED):
+        i = left[at : at + SEARCHED]
+        where[i] -= np.argmax(windows[cut[i], ::-1] == least[cut[i], None], axis=1)
+    return text, where, ranks[where], cut, end
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[slice, bytes, np.ndarray]]:
+    """(rows, their bytes, where each begins) of neighbouring texts of about CHUNK bytes together, or of one."""
+    at, held, size = 0, [], 0
+    for i, text in enumerate(texts, 1):
+        held.append(text.encode())
+        size += len(held[-1])
+        if size >= CHUNK or i == len(texts):
+            yield slice(at, i), b"".join(held), np.cumsum([0, *map(len, held[:-1])])
+            at, held, size = i, [], 0
 
 
 def _i64(x: np.ndarray) -> np.ndarray:
@@ -109,11 +135,12 @@ def seeds(rows: DataFrame, threshold: int) -> DataFrame:
     def run(batches):
         for b in batches:
             out = [[], [], []]
-            for text, k1, k2 in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                p, r, _, _ = chosen(text.encode(), threshold)
+            k1, k2 = (b.column(i).to_numpy().astype(np.int64) for i in (1, 2))
+            for rows, raw, start in _chunks(b.column(0).to_pylist()):
+                i, p, r, _, _ = chosen(raw, start, threshold)
                 out[0].append(_i64(r))
-                out[1].append(np.full(len(p), k1, np.int64))
-                out[2].append((np.int64(k2) << 32) | p)
+                out[1].append(k1[rows][i])
+                out[2].append((k2[rows][i] << 32) | (p - start[i]))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["rank", "k1", "at"])
 
@@ -132,11 +159,12 @@ def blocks(texts: DataFrame, threshold: int) -> DataFrame:
     def run(batches):
         for b in batches:
             out = [[] for _ in range(7)]
-            for k1, k2, text, seen, twice in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                raw = text.encode()
-                p, r, first, last = chosen(raw, threshold)
-                keep = np.isin(p, np.array(seen, np.int64))
-                p, r, first, last = p[keep], r[keep], first[keep], last[keep]
+            k1, k2 = (b.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+            seen, twice = b.column(3).to_pylist(), b.column(4).to_numpy(zero_copy_only=False)
+            for rows, raw, start in _chunks(b.column(2).to_pylist()):
+                i, p, r, first, last = chosen(raw, start, threshold)
+                keep = np.isin(p, np.concatenate([np.array(x, np.int64) + at for x, at in zip(seen[rows], start, strict=True)]))
+                i, p, r, first, last = i[keep], p[keep], r[keep], first[keep], last[keep]
                 # a block is named by hashes of its first and last strings and of a sum over all of them
                 strings = prefix_ranks(raw, threshold)
                 run_sum = np.r_[np.uint64(0), np.cumsum(_mix(strings), dtype=np.uint64)]
@@ -145,11 +173,11 @@ def blocks(texts: DataFrame, threshold: int) -> DataFrame:
                 name = _mix(_mix(_mix(strings[first] * _M2 + strings[last]) * _M1 + total) * _M2 + (low * 1024 + high).astype(np.uint64))
                 out[0].append(_i64(r))
                 out[1].append(_i64(name))
-                out[2].append(np.full(len(p), k1, np.int64))
-                out[3].append((np.int64(k2) << 32) | p)
+                out[2].append(k1[rows][i])
+                out[3].append((k2[rows][i] << 32) | (p - start[i]))
                 out[4].append(low.astype(np.int32))
                 out[5].append(high.astype(np.int32))
-                out[6].append(np.full(len(p), twice, bool))
+                out[6].append(twice[rows][i])
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["rank", "block", "k1", "at", "low", "high", "twice"])
 
@@ -239,15 +267,16 @@ def shared_in_task(packed: DataFrame, threshold: int) -> DataFrame:
     """(rank, block, a, b): runs of offsets a..b whose strings another block of the rank holds. A rank is whole in a task."""
 
     def settle(rows):
-        ranks, blocks_, lows, strings, owner = [], [], [], [], []
-        for i, (rank, block, low, high, raw) in enumerate(rows):
-            s = prefix_ranks(raw, threshold)[::-1]  # by growing offset
-            ranks.append(np.full(len(s), rank, np.int64))
-            lows.append(np.arange(low, high + 1))
-            strings.append(s)
-            owner.append(np.full(len(s), i))
-        key = _mix(_mix(np.concatenate(strings) + np.concatenate(ranks).view(np.uint64) * _M2) * _M1 + np.concatenate(lows).astype(np.uint64))
-        owner, d = np.concatenate(owner), np.concatenate(lows)
+        # all blocks' bytes in a row: their strings are ranked together, those across two blocks are left out
+        low, high = (np.array([r[i] for r in rows], np.int64) for i in (2, 3))
+        n = high - low + 1
+        every = prefix_ranks(b"".join(r[4] for r in rows), threshold)
+        begin = np.cumsum(n + threshold - 1) - (n + threshold - 1)
+        owner = np.repeat(np.arange(len(rows)), n)
+        d = np.arange(n.sum()) - (np.cumsum(n) - n - low)[owner]  # by growing offset
+        strings = every[(begin + high)[owner] - d]
+        ranks = np.array([r[0] for r in rows], np.int64)[owner]
+        key = _mix(_mix(strings + ranks.view(np.uint64) * _M2) * _M1 + d.astype(np.uint64))
         order = np.argsort(key, kind="stable")
         k = key[order]
         same = np.r_[False, k[1:] == k[:-1]]
