@@ -16,9 +16,14 @@ def split_correlation(records: DataFrame, sides: DataFrame, n_genes: int, repeat
 
     sides (x, y, cell, sides) comes from half_sides or line_sides: bit r is the side in repeat r. All repeats are
     conditional sums of one grouping, so records are joined and shuffled once and not copied."""
-    x = records.join(sides, ["x", "y"])
+    found = records.join(sides, ["x", "y"]).select("cell", "gene_id", "cnt", "sides")
+    return side_correlation(found.repartition("cell"), n_genes, repeats)  # narrow rows; both groupings are made there
+
+
+def side_correlation(found: DataFrame, n_genes: int, repeats: int = 10) -> DataFrame:
+    """split_correlation of records that have their cell and sides: found (cell, gene_id, cnt, sides), best dealt by cell."""
     on = lambda r: F.shiftright("sides", r).bitwiseAND(F.lit(1).cast("long"))
-    g = x.groupBy("cell", "gene_id").agg(F.sum("cnt").alias("t"), *(F.sum(F.col("cnt") * on(r)).alias(f"a{r}") for r in range(repeats)))
+    g = found.groupBy("cell", "gene_id").agg(F.sum("cnt").alias("t"), *(F.sum(F.col("cnt") * on(r)).alias(f"a{r}") for r in range(repeats)))
     sums = []
     for r in range(repeats):
         a = F.col(f"a{r}")
@@ -53,14 +58,19 @@ def cross_correlation(records: DataFrame, labels: DataFrame, source: str, target
     lab = labels.select("x", "y", F.col(source).alias("s"), F.col(target).alias("t"))
     best = best_overlap(lab.select("s", "t")).select("s", F.col("t").alias("m"))
     lab = lab.join(best, "s", "left").select("x", "y", "t", F.coalesce("m", F.lit(0)).alias("m"))
-    x = records.join(lab, ["x", "y"])
+    return relabelled_correlation(records.join(lab, ["x", "y"]), n_genes)
+
+
+def relabelled_correlation(found: DataFrame, n_genes: int) -> DataFrame:
+    """cross_correlation of records that have their labels: found (gene_id, cnt, m, t), m the source's best target or 0."""
     same = (F.col("m") == F.col("t")) & (F.col("t") > 0)
     parts = F.array(
         F.struct(F.when(F.col("m") > 0, F.col("m")).alias("cell"), F.lit(0).cast("long").alias("side")), F.struct(F.when(F.col("t") > 0, F.col("t")).alias("cell"), F.lit(1).cast("long").alias("side"))
     )
-    long = x.select("gene_id", "cnt", same.alias("same"), F.explode(parts).alias("p")).filter("p.cell is not null")
+    long = found.select("gene_id", "cnt", same.alias("same"), F.explode(parts).alias("p")).filter("p.cell is not null")
+    long = long.withColumn("cell", F.col("p.cell")).repartition("cell")  # narrow rows; both groupings are made there
     n = lambda c: F.sum(F.when(c, F.col("cnt")).otherwise(0)).cast("long")
-    g = long.groupBy(F.col("p.cell").alias("cell"), "gene_id").agg(
+    g = long.groupBy("cell", "gene_id").agg(
         n(F.col("same") & (F.col("p.side") == 1)).alias("o"), n(~F.col("same") & (F.col("p.side") == 0)).alias("a"), n(~F.col("same") & (F.col("p.side") == 1)).alias("b")
     )
     g = g.withColumn("a", F.expr("CASE WHEN least(a, b) < 0 THEN raise_error('negative part of an expression') ELSE a END"))

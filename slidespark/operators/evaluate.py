@@ -14,7 +14,7 @@ from slidespark.functions.quantile import exact_quantile, grouped_quantiles
 
 from . import spatial
 from .compare import pair_by_nucleus
-from .expression import fano_median, metric_summary, pearson, select_hvg
+from .expression import fano_of_sums, metric_summary, pearson, select_hvg
 from .identity import components, keep
 
 
@@ -83,20 +83,19 @@ def paired_purity(records: DataFrame, labels: DataFrame, a: str, b: str, radius:
     ``more_than`` observed spots; undefined or zero windows give no row. spots (x, y) are the observed ones, where
     records hold some genes only."""
     spots = records.select("x", "y").distinct() if spots is None else spots
-    counts = records.groupBy("x", "y", "gene_id").agg(F.sum("cnt").alias("cnt"))
-    value = spatial.kernel_enhance(spots, counts, radius).withColumnRenamed("value", "cnt")
-    lab = spots.join(labels, ["x", "y"])
+    lab = keep(spots.join(labels.select("x", "y", "nucleus_id", a, b), ["x", "y"], "left"))  # one row a spot, read several times
     pairs = keep(pair_by_nucleus(lab, a, b).select("nucleus", "a", "b"))  # one row a nucleus, read several times
     n = F.count("*")
     centres = labels.filter("nucleus_id > 0").groupBy(F.col("nucleus_id").alias("cell")).agg((F.sum("x") / n).alias("cx"), (F.sum("y") / n).alias("cy"))
-    window = spatial.window_members(centres.join(pairs.select(F.col("nucleus").alias("cell")), "cell"), spots, half)
-    # all three kinds of groups together, so that the enhanced counts are made and shuffled once
-    group = lambda d, c, kind: d.select(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("id")).alias("grp"), "x", "y")
-    members = group(lab.filter(F.col(a) > 0), a, "a").unionByName(group(lab.filter(F.col(b) > 0), b, "b")).unionByName(group(window, "cell", "window"))
-    rows = keep(members.groupBy("grp").agg(F.count("*").alias("spots")).join(fano_median(members, value), "grp"))  # one row a cell or nucleus
+    window = spatial.window_members(centres.join(pairs.select(F.col("nucleus").alias("cell")), "cell"), lab.select("x", "y"), half)
+    # all three kinds of groups together, told apart by the remainder, so that the enhanced counts are made once
+    group = lambda d, c, kind: d.select((F.col(c).cast("long") * 3 + kind).alias("grp"), "x", "y")
+    members = keep(group(lab.filter(F.col(a) > 0), a, 0).unionByName(group(lab.filter(F.col(b) > 0), b, 1)).unionByName(group(window, "cell", 2)))
+    sums = spatial.enhanced_sums(records, members, radius)
+    rows = keep(fano_of_sums(members.groupBy("grp").agg(F.count("*").alias("n")), sums))  # one row a cell or nucleus
     x = pairs
-    for key, kind in (("a", "a"), ("b", "b"), ("nucleus", "window")):
-        x = x.join(rows.filter(F.col("grp.kind") == kind).select(F.col("grp.id").alias(key), F.col("spots").alias(f"spots_{kind}"), F.col("fano").alias(f"fano_{kind}")), key)
+    for k, (key, kind) in enumerate((("a", "a"), ("b", "b"), ("nucleus", "window"))):
+        x = x.join(rows.filter(F.col("grp") % 3 == k).select(F.expr("grp div 3").alias(key), F.col("n").alias(f"spots_{kind}"), F.col("fano").alias(f"fano_{kind}")), key)
     x = x.filter((F.least("spots_a", "spots_b", "spots_window") > more_than) & (F.col("fano_window") > 0) & F.col("fano_a").isNotNull() & F.col("fano_b").isNotNull())
     return x.select("nucleus", F.col("a").alias("cell_a"), F.col("b").alias("cell_b"), "spots_a", "spots_b", "spots_window", (F.col("fano_a") / F.col("fano_window")).alias("purity_a"), (F.col("fano_b") / F.col("fano_window")).alias("purity_b"))
 

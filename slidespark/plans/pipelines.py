@@ -177,22 +177,28 @@ def compare_labelings(
     Correlations use the genes of C17; counts and medians use all genes and the unassigned records too. Given genes
     (gene_id) and the slide's shape, records first become the common input (A6), counts by spot and gene: unknown genes
     and records outside the slide are errors, and counts are conserved (J1)."""
-    molecules = records
+    molecules = records = _large(identity.keep(records.select("x", "y", "gene_id", "cnt")))
+    labels = _large(identity.keep(labels.select(*dict.fromkeys(("x", "y", "nucleus_id", a, b, *([manual] if manual else []))))))
     if genes is not None:
         spots, counts = sources.build_common_input(records, genes, *(shape or (2**31, 2**31)))
         records = _large(identity.keep(counts.join(spots, "spot").select("x", "y", "gene_id", "cnt")))
         gates.assert_conserved(molecules, records, records=False)
-    nuclear = expression.label_expression(records, labels, "nucleus_id").withColumnRenamed("label", "nucleus")
+    # records with their labels and their spots' sides, which all figures by cell are taken from
+    half = ranking.half_sides(labels.filter((F.col(a) > 0) | (F.col(b) > 0) | (F.col("nucleus_id") > 0)).select("x", "y", "nucleus_id", F.col(a).alias("s"), F.col(b).alias("t")), 10, seed)
+    found = _large(identity.keep(records.join(half, ["x", "y"])))
+    nuclear = identity.keep(found.groupBy(F.col("nucleus_id").alias("nucleus"), "gene_id").agg(F.sum("cnt").cast("long").alias("cnt")))
     chosen = identity.keep(evaluate.common_hvg(nuclear, records.select("gene_id"), n_top))
-    use = _large(records.join(F.broadcast(chosen.select("gene_id")), "gene_id", "left_semi"))  # one row a gene
+    some = lambda d: _large(d.join(F.broadcast(chosen.select("gene_id")), "gene_id", "left_semi"))  # noqa: E731  # one row a gene
+    use, used = some(records), some(found)
     n_genes = chosen.count()
     rows = []
-    for label in (a, b):
-        spots = labels.filter(F.col(label) > 0).select("x", "y", F.col(label).alias("cell"))
+    for label, c in ((a, "s"), (b, "t")):
+        own = lambda d, c=c: d.filter(F.col(c) > 0).withColumn("cell", F.col(c))
+        # the join with the centres deals the records by cell
         centre = expression.cell_stats(labels, label).select("cell", F.floor("cx").alias("cx"), F.floor("cy").alias("cy"))
-        half = compare.split_correlation(use, ranking.half_sides(spots, 10, seed), n_genes).select("cell", F.col("correlation").alias("random"))
-        line = compare.split_correlation(use, ranking.line_sides(spots.join(centre, "cell"), 10).select("x", "y", "cell", "sides"), n_genes).select("cell", F.col("correlation").alias("directional"))
-        cells = expression.cell_qc_metrics(records, labels, label).join(half, "cell", "left").join(line, "cell", "left")
+        half = compare.side_correlation(own(used).select("cell", "gene_id", "cnt", "sides").repartition("cell"), n_genes).select("cell", F.col("correlation").alias("random"))
+        line = compare.side_correlation(ranking.line_sides(own(used).drop("sides").join(centre, "cell"), 10), n_genes).select("cell", F.col("correlation").alias("directional"))
+        cells = expression.cell_metrics(own(found), labels, label).join(half, "cell", "left").join(line, "cell", "left")
         rows.append(cells.withColumns({"dataset": F.lit("slide"), "method": F.lit(label)}))
     purity = evaluate.paired_purity(use, labels, a, b, radius, spots=records.select("x", "y").distinct())
     purity = purity.select(F.lit("slide").alias("dataset"), F.explode(F.array(*(F.struct(F.lit(m).alias("method"), F.col(f"purity_{k}").alias("purity")) for k, m in (("a", a), ("b", b))))).alias("p")).select("dataset", "p.*")
@@ -205,7 +211,9 @@ def compare_labelings(
     # one row a cell or nucleus, read several times by the table
     cells = identity.keep(rows[0].unionByName(rows[1]))
     table = evaluate.comparison_table(cells, total, identity.keep(purity), iou and identity.keep(iou))
-    cross = identity.keep(compare.cross_correlation(use, labels, a, b, n_genes))
+    best = identity.keep(spatial.best_overlap(labels.select(F.col(a).alias("s"), F.col(b).alias("t"))))  # one row a cell
+    matched = used.join(best.select("s", F.col("t").alias("m")), "s", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    cross = identity.keep(compare.relabelled_correlation(matched, n_genes))
     return Comparison(table, cross, compare.cross_totals(labels, a, b), compare.cross_sensitivity(cross), _recheck(table, cells, records, labels, (a, b)))
 
 
