@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from slidespark.functions.quantile import exact_quantile, grouped_quantiles
 
 from .expression import cell_qc_metrics, pearson
-from .spatial import best_of, best_overlap, overlap_counts
+from .identity import keep
+from .spatial import best_of, best_overlap, kept_counts
 
 
 def split_correlation(records: DataFrame, sides: DataFrame, n_genes: int, repeats: int = 10) -> DataFrame:
@@ -44,7 +45,7 @@ def cell_consistency(records: DataFrame, labels: DataFrame, label: str, sides: D
 def cross_totals(labels: DataFrame, source: str, target: str) -> DataFrame:
     """One row: source cells, those with a target, their distinct targets, and how many more sources than targets."""
     lab = labels.select(F.col(source).alias("s"), F.col(target).alias("t"))
-    n = overlap_counts(lab)
+    n = kept_counts(lab)
     x = n.filter("s > 0").select("s").distinct().join(best_of(n, "s", "t"), "s", "left")
     x = x.agg(F.count("*").alias("source_cells_total"), F.count("t").alias("source_cells_matched"), F.count_distinct("t").alias("target_cells_matched"))
     return x.withColumn("many_to_one_excess", F.col("source_cells_matched") - F.col("target_cells_matched"))
@@ -91,8 +92,10 @@ def relabelled_correlation(found: DataFrame, n_genes: int) -> DataFrame:
 
 def pair_by_nucleus(labels: DataFrame, a: str, b: str) -> DataFrame:
     """Cells of both labelings that share a nucleus (nucleus, a, b), and how many nuclei give the same pair."""
-    to = lambda c, name: best_overlap(labels.select(F.col("nucleus_id").alias("s"), F.col(c).alias("t"))).select(F.col("s").alias("nucleus"), F.col("t").alias(name))
-    x = to(a, "a").join(to(b, "b"), "nucleus")
+    # pixels are counted once, by all three labels, for both sides and for the count of pairs
+    n = keep(labels.filter("nucleus_id > 0").groupBy(F.col("nucleus_id").alias("s"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")))
+    to = lambda c: best_of(n.groupBy("s", F.col(c).alias("t")).agg(F.sum("n").alias("n")), "s", "t").select(F.col("s").alias("nucleus"), F.col("t").alias(c))
+    x = keep(to("a").join(to("b"), "nucleus"))  # one row a nucleus
     dup = x.groupBy("a", "b").agg(F.count("*").alias("same_pair"))
     return x.join(dup, ["a", "b"])
 
@@ -102,7 +105,7 @@ def transcript_iou(molecules: DataFrame) -> DataFrame:
 
     molecules (manual > 0, predicted >= 0)."""
     pairs = molecules.select(F.col("manual").alias("s"), F.col("predicted").alias("t"))
-    n = overlap_counts(pairs)
+    n = kept_counts(pairs)
     back = best_of(n, "t", "s").select("s", "t", F.lit(True).alias("mutual"))
     na = n.groupBy("s").agg(F.sum("n").alias("na"))
     nb = n.groupBy("t").agg(F.sum("n").alias("nb"))
@@ -149,7 +152,7 @@ def cutoff_iou(molecules: DataFrame, labels: DataFrame, label: str, cutoffs: lis
     areas = labels.filter(F.col(label) > 0).groupBy(F.col(label).alias("t")).agg(F.count("*").alias("area"))
     n = molecules.groupBy(F.col("manual").alias("s"), F.col("predicted").alias("t")).agg(F.count("*").alias("n")).join(areas, "t", "left")
     n = n.withColumn("cutoff", F.explode(F.array(*map(F.lit, cutoffs)).cast("array<long>")))
-    n = n.groupBy("cutoff", "s", F.when(F.col("area") >= F.col("cutoff"), F.col("t")).otherwise(0).alias("t")).agg(F.sum("n").alias("n"))
+    n = keep(n.groupBy("cutoff", "s", F.when(F.col("area") >= F.col("cutoff"), F.col("t")).otherwise(0).alias("t")).agg(F.sum("n").alias("n")))
     assigned = n.groupBy("cutoff").agg((F.sum(F.when(F.col("t") > 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("assigned_share"))
     manual = n.filter("s > 0")
     size = lambda c, name: manual.groupBy("cutoff", c).agg(F.sum("n").alias(name))

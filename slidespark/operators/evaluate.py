@@ -186,7 +186,7 @@ def instance_iou(pixels: DataFrame, ignore: Column | None = None) -> DataFrame:
 
     pixels (gt, predicted), 0 for none, one row a pixel; ignored pixels are void."""
     p = pixels.filter(~ignore) if ignore is not None else pixels
-    n = p.filter("gt > 0 or predicted > 0").groupBy("gt", "predicted").agg(F.count("*").alias("n"))
+    n = keep(p.filter("gt > 0 or predicted > 0").groupBy("gt", "predicted").agg(F.count("*").alias("n")))  # one row a pair, read several times
     area = lambda c, name: n.filter(F.col(c) > 0).groupBy(c).agg(F.sum("n").alias(name))
     both = n.filter("gt > 0 and predicted > 0").join(area("gt", "na"), "gt").join(area("predicted", "nb"), "predicted")
     both = both.select(F.col("gt").cast("long").alias("s"), F.col("predicted").cast("long").alias("t"), (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("iou"))
