@@ -23,9 +23,11 @@ def stream_ingest(spark: SparkSession, source: str, out: str, checkpoint: str, c
 
 
 def write_batch(batch: DataFrame, number: int, out: str, core: int) -> None:
-    """One micro-batch into the index, then its totals, computed from what was written."""
+    """One micro-batch into the index, then its totals, computed from what was written.
+
+    Records are dealt by tile and by blocks of 512 pixel rows, so that a batch writes a few files a tile, not one a tile and task."""
     x = batch.withColumns({c: F.floor(F.col(v) / core).cast("int") for c, v in (("ix", "x"), ("iy", "y"))})
-    x.write.mode("overwrite").partitionBy("ix", "iy").parquet(f"{out}/batch={number}")
+    x.repartition("ix", "iy", F.floor(F.col("x") / 512)).write.mode("overwrite").partitionBy("ix", "iy").parquet(f"{out}/batch={number}")
     x = batch.sparkSession.read.schema(x.schema).parquet(f"{out}/batch={number}")
     x.groupBy("ix", "iy").agg(F.count("*").alias("records"), F.sum("cnt").cast("long").alias("umis")).write.mode("overwrite").parquet(f"{out}_totals/batch={number}")
 
