@@ -52,21 +52,22 @@ def prepare_slide(records: DataFrame, pixels: DataFrame, gene_table: DataFrame,
     records (x, y, bx, by_, gene_id, cnt), pixels (x, y, nucleus_id, stain), gene_table (gene_id, symbol), symbols (symbol).
     With only, tiles (ix, iy), centres are those that these tiles own; the other records serve as neighbours."""
     expr = gates.conserve(records, expression.bin_expression, records=False)
-    bins = expr.select("bx", "by_").distinct()
-    near = spatial.ring_neighbors(bins, n)
+    own = None
     if only is not None:
-        near = near.filter(sources.tile_code(F.floor(F.col("bx") * size / core), F.floor(F.col("by_") * size / core)).isin([ix * sources.SIDE + iy for ix, iy in only]))
-    near = identity.keep(near)  # three products read it
-    centres = near.filter("rank = 0").select("bx", "by_")
-    anchors = pixels.join(bins.select((F.col("bx") * size).alias("x"), (F.col("by_") * size).alias("y")), ["x", "y"], "left_semi")
-    labelled = spatial.label_candidates(centres, anchors, expression.cell_stats(pixels, "nucleus_id"), size)
-    labelled = labelled.withColumn("tile", F.floor(F.col("bx") * size / core) * 100_000 + F.floor(F.col("by_") * size / core))
+        own = sources.tile_code(F.floor(F.col("bx") * size / core), F.floor(F.col("by_") * size / core)).isin([ix * sources.SIDE + iy for ix, iy in only])
+    # neighbours and tokens are looked up within haloed tiles, each from the bins or counts alone: no table of neighbourhoods is joined
+    bins = expr.select("bx", "by_").distinct()
+    centres = spatial.ring_centres(bins, n, own=own)
+    labelled = spatial.label_candidates(centres, pixels, expression.cell_stats(pixels, "nucleus_id"), size)
+    labelled = identity.keep(labelled.withColumn("tile", F.floor(F.col("bx") * size / core) * 100_000 + F.floor(F.col("by_") * size / core)))  # one row a centre, read several times
     split = ranking.split_points(labelled.filter("foreground >= 0"), ["tile", "foreground"], ["bx", "by_"], fraction, seed).select("bx", "by_", "split")
     labelled = spatial.mark_eligible(labelled, height, width, core, size=size, margin=10 * size)
     samples = labelled.join(split, ["bx", "by_"], "left").withColumn("split", F.coalesce("split", F.lit("ignored")))
-    mapped = expr.join(gene_table.join(symbols.select("symbol").distinct(), "symbol", "left_semi").select("gene_id", "symbol").distinct(), "gene_id")
-    merged = mapped.groupBy("bx", "by_", "symbol").agg(F.sum("cnt").cast("long").alias("cnt")).withColumnRenamed("symbol", "gene_id")
-    return Prepared(samples, near, spatial.gather_tokens(near, merged), expression.mapping_coverage(records, gene_table, symbols))
+    used = identity.keep(expr.select("gene_id").distinct())
+    mapped = gene_table.join(F.broadcast(used), "gene_id", "left_semi").join(symbols.select("symbol").distinct(), "symbol", "left_semi").select("gene_id", "symbol").distinct()
+    counts = expr.join(F.broadcast(mapped), "gene_id", "left")  # a gene dictionary: one row a gene that the slide has
+    tokens = spatial.ring_tokens(counts.select("bx", "by_", F.col("symbol").alias("gene_id"), "cnt"), n, own=own)
+    return Prepared(samples, spatial.ring_neighbors(bins, n, own=own), tokens, expression.mapping_coverage(records, gene_table, symbols))
 
 
 class Indexed(NamedTuple):
