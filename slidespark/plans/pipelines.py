@@ -38,13 +38,24 @@ def init_schema(records: DataFrame, height: int, width: int, core: int = grid.CO
 
 
 class Prepared(NamedTuple):
-    """Samples (centres with class, direction, split and eligibility), tokens of their neighbourhoods, coverage of the genes."""
+    """Samples (centres with class, direction, split and eligibility), their neighbours and the tokens of their
+    neighbourhoods packed in one row a centre, coverage of the genes."""
 
     samples: DataFrame
-    neighbors: DataFrame
-    tokens: DataFrame
+    packed_neighbors: DataFrame
+    packed_tokens: DataFrame
     coverage: DataFrame
 
+    @property
+    def neighbors(self) -> DataFrame:
+        """(bx, by_, rank, nx, ny)"""
+        return spatial.unpacked_neighbors(self.packed_neighbors)
+
+    @property
+    def tokens(self) -> DataFrame:
+        """(bx, by_, rank, gene_id, cnt)"""
+        return spatial.unpacked_tokens(self.packed_tokens)
+
 
 def prepare_slide(records: DataFrame, pixels: DataFrame, gene_table: DataFrame, symbols: DataFrame, core: int = grid.CORE, size: int = grid.BIN, n: int = 50, fraction: float = 0.1, seed: int = 0, height: int | None = None, width: int | None = None, only: list[tuple[int, int]] | None = None) -> Prepared:
     """Records to a packed training set; centres are eligible in the interior of their tile, 10 bins from its core's edge.
@@ -66,8 +77,8 @@ def prepare_slide(records: DataFrame, pixels: DataFrame, gene_table: DataFrame,
     used = identity.keep(expr.select("gene_id").distinct())
     mapped = gene_table.join(F.broadcast(used), "gene_id", "left_semi").join(symbols.select("symbol").distinct(), "symbol", "left_semi").select("gene_id", "symbol").distinct()
     counts = expr.join(F.broadcast(mapped), "gene_id", "left")  # a gene dictionary: one row a gene that the slide has
-    tokens = spatial.ring_tokens(counts.select("bx", "by_", F.col("symbol").alias("gene_id"), "cnt"), n, own=own)
-    return Prepared(samples, spatial.ring_neighbors(bins, n, own=own), tokens, expression.mapping_coverage(records, gene_table, symbols))
+    tokens = spatial.packed_tokens(counts.select("bx", "by_", F.col("symbol").alias("gene_id"), "cnt"), n, own=own)
+    return Prepared(samples, spatial.packed_neighbors(bins, n, own=own), tokens, expression.mapping_coverage(records, gene_table, symbols))
 
 
 class Indexed(NamedTuple):
@@ -123,7 +134,7 @@ def prepare_tiles(
     named = lambda d: d.withColumns({"ix": at("bx"), "iy": at("by_")}).join(ids, ["ix", "iy"]).drop("ix", "iy")
     of = lambda v: F.count_if(F.col("eligible") & (F.col("foreground") == v))
     seen = Observation()
-    for name, d in (("samples", named(p.samples).observe(seen, of(1).alias("foreground"), of(0).alias("background"))), ("neighbors", named(p.neighbors)), ("tokens", named(p.tokens))):
+    for name, d in (("samples", named(p.samples).observe(seen, of(1).alias("foreground"), of(0).alias("background"))), ("neighbors", named(p.packed_neighbors)), ("tokens", named(p.packed_tokens))):
         d.write.mode("errorifexists").parquet(f"{out}/{name}")
     samples, neighbors, tokens = (spark.read.parquet(f"{out}/{name}") for name in ("samples", "neighbors", "tokens"))
 
@@ -139,9 +150,9 @@ def prepare_tiles(
 
     # Neighbours as places in the grid of the haloed tile
     rows, cols = (F.ceil((F.col(c) + 2 * halo) / size) for c in ("width", "height"))
-    place = (F.col("nx") - F.floor(F.col("origin_x") / size)) * cols + F.col("ny") - F.floor(F.col("origin_y") / size)
+    place = lambda x, y: ((x - F.floor(F.col("origin_x") / size)) * cols + y - F.floor(F.col("origin_y") / size)).cast("long")
     near = neighbors.join(F.broadcast(tiles.select("id", "width", "height", "origin_x", "origin_y")), "id")
-    near = near.groupBy("bx", "by_").agg(F.collect_list(place).alias("neighbors"))  # n entries a centre
+    near = near.select("bx", "by_", F.zip_with("nx", "ny", place).alias("neighbors"))
     checked = samples.withColumns({"x": F.col("bx") * size, "y": F.col("by_") * size, "dx": F.coalesce("dx", F.lit(0.0)), "dy": F.coalesce("dy", F.lit(0.0))}).join(near, ["bx", "by_"], "left")
     if bad := gates.validate_preparation(checked, known.withColumn("bins", rows * cols), markers, n).limit(5).collect():
         raise ValueError(f"preparation breaks its rules: {bad}")
@@ -150,7 +161,7 @@ def prepare_tiles(
     copies = spatial.halo_records(samples.select((F.col("bx") * size).alias("x"), (F.col("by_") * size).alias("y"), "foreground", "eligible"), core, halo, F.lit(-(-height // core)), F.lit(-(-width // core)))
     own = (F.floor(F.col("x") / core) == F.col("ix")) & (F.floor(F.col("y") / core) == F.col("iy"))
     copies = copies.join(ids, ["ix", "iy"]).select("id", "foreground", (F.col("eligible") & own).alias("eligible"), own.alias("in_core"))
-    return PreparedTiles(samples, neighbors, tokens, slide.point_counts(known.select("id", "split", "records"), markers, copies, cap, whole))
+    return PreparedTiles(samples, spatial.unpacked_neighbors(neighbors), spatial.unpacked_tokens(tokens), slide.point_counts(known.select("id", "split", "records"), markers, copies, cap, whole))
 
 
 def _large(df: DataFrame) -> DataFrame:
