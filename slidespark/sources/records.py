@@ -52,10 +52,15 @@ def decode_gene_runs(positions: DataFrame, runs: DataFrame, bucket: int = 4096)
     return p.join(r, "_b").filter("pos >= start and pos < stop").drop("_b", "start", "stop")
 
 
+def _stripe(x: Column, core: int) -> Column:
+    """The stripe of a tile that a file holds: 16 a tile at most, and of 2**16 pixels at least, so that small tiles are one file each."""
+    return F.floor(F.pmod(x, F.lit(core)) / max(-(-core // 16), -(-(2**16) // core)))
+
+
 def write_spatial_index(records: DataFrame, path: str, core: int = 1200) -> DataFrame:
     """A4: records by tile, sorted within files so that boxes prune; returns records and counts by tile."""
     x = records.withColumns({"ix": F.floor(F.col("x") / core).cast("int"), "iy": F.floor(F.col("y") / core).cast("int")})
-    x.repartition("ix", "iy", F.floor(F.col("x") / 64) % 16).sortWithinPartitions("ix", "iy", "x", "y").write.mode("errorifexists").partitionBy("ix", "iy").parquet(path)
+    x.repartition("ix", "iy", _stripe(F.col("x"), core)).sortWithinPartitions("ix", "iy", "x", "y").write.mode("errorifexists").partitionBy("ix", "iy").parquet(path)
     return tile_totals(records.sparkSession.read.parquet(path))
 
 
@@ -202,7 +207,7 @@ def publish(df: DataFrame, path: str, marker: str) -> None:
 def write_shards(records: DataFrame, path: str, size: int = 1200) -> None:
     """A5: the patches of shard_by_patch as one partition each, written in one pass."""
     x = shard_by_patch(records, size)
-    x.repartition("px", "py", F.floor(F.col("x") / 64) % 16).write.mode("errorifexists").partitionBy("px", "py").parquet(path)
+    x.repartition("px", "py", _stripe(F.col("x"), size)).write.mode("errorifexists").partitionBy("px", "py").parquet(path)
 
 
 def flatten_molecules(nested: DataFrame, factor: int = 5) -> DataFrame:
