@@ -39,7 +39,7 @@ def paired_consistency(records: DataFrame, labels: DataFrame, a: str, b: str, n_
     With excluded (gene_id) the correlations are repeated without those genes. Zero variance correlates 0."""
     pairs = pair_by_nucleus(labels, a, b).select("nucleus", F.col("a").alias("pa"), F.col("b").alias("pb"))
     x = records.join(labels.select("x", "y", F.col(a).alias("ca"), F.col(b).alias("cb")), ["x", "y"])
-    x = x.groupBy("ca", "cb", "gene_id").agg(F.sum("cnt").cast("long").alias("cnt"))
+    x = keep(x.groupBy("ca", "cb", "gene_id").agg(F.sum("cnt").cast("long").alias("cnt")))  # one row a pair of labels and gene, read three times
     cell = lambda c: x.filter(F.col(c) > 0).groupBy(c, "gene_id").agg(F.sum("cnt").cast("long").alias("cnt"))
     kind = lambda d, k: d.select("pa", "pb", "gene_id", *(F.col("cnt" if i == k else "_0").alias(n) for i, n in enumerate(("both", "all_a", "all_b"))))
     of = pairs.select("pa", "pb").distinct()
