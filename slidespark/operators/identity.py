@@ -127,11 +127,17 @@ def reconcile_labels(edges: DataFrame, nodes: DataFrame, replay: int = REPLAY) -
     return x.select("tile", "label", F.coalesce("root_tile", "tile").alias("root_tile"), F.coalesce("root_label", "label").alias("root_label"))
 
 
-def global_cells(core_pixels: DataFrame, union: DataFrame) -> DataFrame:
-    """H2: core pixels (tile, label, x, y) with cell ids 1..n in the order of their roots; only roots with core pixels count."""
+def cell_roots(core_pixels: DataFrame, union: DataFrame) -> DataFrame:
+    """H2: (root_tile, root_label, cell), cell ids 1..n in the order of the roots; only roots with core pixels (tile, label, x, y) count."""
     x = core_pixels.filter("label > 0").join(union, ["tile", "label"])
     ids = ranking.compact_labels(x.select("root_tile", "root_label"), "root_label", ["root_tile"])
-    return x.join(ids.select("root_tile", "root_label", F.col("global_id").alias("cell")), ["root_tile", "root_label"]).select("x", "y", "cell")
+    return ids.select("root_tile", "root_label", F.col("global_id").alias("cell"))
+
+
+def global_cells(core_pixels: DataFrame, union: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """H2: core pixels (tile, label, x, y) with the cell ids of cell_roots."""
+    roots = cell_roots(core_pixels, union) if roots is None else roots
+    return core_pixels.filter("label > 0").join(union, ["tile", "label"]).join(roots, ["root_tile", "root_label"]).select("x", "y", "cell")
 
 
 def stitch_slide(core_pixels: DataFrame, edges: DataFrame) -> DataFrame:

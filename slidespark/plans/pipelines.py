@@ -244,12 +244,14 @@ def _recheck(table: DataFrame, cells: DataFrame, records: DataFrame, labels: Dat
 
 class Stitched(NamedTuple):
     """The slide's products (H4), its cells with the reason they are removed for (I11), the cells left at other bounds (I12),
-    and the edges between tiles with whether the union took them (none where identities were given)."""
+    the edges between tiles with whether the union took them (none where identities were given), and the root
+    (root_tile, root_label) of each cell."""
 
     matrix: slide.SlideMatrix
     cells: DataFrame
     sensitivity: DataFrame
     matches: DataFrame | None
+    roots: DataFrame
 
 
 def stitch(
@@ -292,10 +294,12 @@ def stitch(
         # two sides whose tiles clash stay apart for good, so an edge was taken if its sides ended in one cell
         matches = edges.join(root("a"), ["tile_a", "label_a"]).join(root("b"), ["tile_b", "label_b"]).select(*edges.columns, (F.col("root_a") == F.col("root_b")).alias("accepted"))
     owned = grid.core_only(labels.join(F.broadcast(manifest.select(F.col("id").alias("tile"), "ix", "iy")), "tile"), core)
-    cells = _large(identity.keep(identity.global_cells(owned.select("tile", "label", "x", "y"), union)))
+    owned = owned.select("tile", "label", "x", "y")
+    roots = identity.keep(identity.cell_roots(owned, union))
+    cells = _large(identity.keep(identity.global_cells(owned, union, roots)))
     gates.require_unique(cells, ["x", "y"])
     matrix = slide.slide_cell_matrix(grid.core_tile(records, core), cells, core, records)
-    return Stitched(matrix, compare.cell_qc(matrix.obs, low, high), compare.qc_sensitivity(matrix.obs, lowers, high), matches)
+    return Stitched(matrix, compare.cell_qc(matrix.obs, low, high), compare.qc_sensitivity(matrix.obs, lowers, high), matches, roots)
 
 
 def gene_table(annotations: DataFrame, summaries: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], normalize: bool = True) -> DataFrame:
