@@ -56,7 +56,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every text."""
     ready(spark)
-    x = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
+    x = bpe.encode_decode(docs, vocabulary())
     return x.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 

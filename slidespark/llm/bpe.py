@@ -173,6 +173,19 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return whole_texts(docs, id_col, text_col).mapInArrow(run, schema(doc_id=LONG, ids=BIN))
 
 
+def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass: a task has one worker and one model instead of two at once."""
+    spec = _Spec(docs.sparkSession, tokenizer)
+
+    def run(batches):
+        m = _model(spec)
+        for b in batches:
+            ids = [m.encode(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(map(m.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
+
+    return whole_texts(docs, id_col, text_col).mapInArrow(run, schema(doc_id=LONG, ids=BIN, decoded=STR))
+
+
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids, decoded) for packed ids; special tokens are not skipped, null ids decode to the empty string."""
     spec = _Spec(encoded.sparkSession, tokenizer)

@@ -28,7 +28,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -233,6 +233,11 @@ def bags_of(sample: DataFrame, names: dict[str, int]) -> pa.Table:
     return sample.select("doc_id", "toxic", "text").mapInArrow(run, schema(doc_id=LONG, toxic=INT, t=ints, n=ints)).toArrow().sort_by("doc_id")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], **kinds: pa.DataType) -> DataFrame:
+    """rows as a table. Made of Arrow arrays, as a list of rows would start Python workers of another kind on every executor."""
+    return spark.createDataFrame(pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), zip(*rows, strict=True), strict=True)}))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", examples: int = MAX_EXAMPLES) -> Classifier:
     """Fit on train labels. What reaches the driver: the words of at most ``examples`` documents with their counts, and the documents as numbers of words."""
     texts = whole_texts(docs, id_col, text_col)
@@ -243,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not picked:
         return none
     spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int"))
+    chosen = F.broadcast(small_table(spark, picked, doc_id=pa.int64(), toxic=pa.int32()))
     # one text of an id that repeats, the least; whole texts, in hash order, as far as MAX_CHARS goes
     there = texts.join(chosen, "doc_id")
     sizes = there.groupBy("doc_id").agg(F.min(F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))).alias("x")).select("doc_id", "x.n", "x.h").collect()
@@ -255,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             keep.append((r.doc_id, r.h))
     if not keep:
         return none
-    which = F.broadcast(spark.createDataFrame(keep, "doc_id long, h long"))
+    which = F.broadcast(small_table(spark, keep, doc_id=pa.int64(), h=pa.int64()))
     sample = there.withColumn("h", F.xxhash64("text")).join(which, ["doc_id", "h"])
     sample = Scratch(spark, "toxicity").keep(sample.dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text"))
     of = dict(sample.groupBy("toxic").count().collect())
